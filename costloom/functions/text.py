@@ -105,7 +105,44 @@ def last_json_line(noisy: Column) -> Column:
 
 
 def longest_code(line: Column) -> Column:
-    """Longest code-like token of a line, the first one on a tie."""
-    tokens = F.regexp_extract_all(line, F.lit(r"\b([A-Z0-9][A-Z0-9\-]{3,})\b"), 1)
-    ranked = F.transform(tokens, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t")))
-    return F.array_max(ranked)["t"]
+    """Longest code-like token of a line (two capitals, then capitals, digits,
+    dashes), the first one on a tie, null if there is none."""
+    tokens = F.regexp_extract_all(line, F.lit(r"\b([A-Z]{2,}[0-9A-Z\-_]*)"), 1)
+    ranked = F.transform(tokens, lambda t, i: F.struct(
+        F.length(t).alias("size"), (-i).alias("place"), t.alias("token")))
+    return F.array_max(ranked)["token"]
+
+
+def amounts(text: Column) -> Column:
+    """Every amount with two decimals, in reading order."""
+    return F.regexp_extract_all(text, F.lit(r"(\d+[.,]\d{2})"), 1)
+
+
+def last_two_amounts(text: Column) -> tuple[Column, Column]:
+    """(unit price, total): the last two amounts of a block, blank unless two exist."""
+    found = amounts(text)
+    enough = F.size(found) >= 2
+    return (F.when(enough, F.try_element_at(found, F.lit(-2))).otherwise(""),
+            F.when(enough, F.try_element_at(found, F.lit(-1))).otherwise(""))
+
+
+def triples(values: Column) -> Column:
+    """A flat list read as (net, gross, total) triples; a short rest is dropped."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0))),
+                      lambda i: (i % 3 == 0) & (i + 2 < F.size(values)))
+    return F.transform(starts, lambda i: F.struct(
+        F.get(values, i).alias("net"), F.get(values, i + 1).alias("gross"),
+        F.get(values, i + 2).alias("total")))
+
+
+def zip_lines(shortest: bool, **cells: Column) -> Column:
+    """Multi-line cells of one table row as an array of rows.
+
+    The shortest cell decides how many rows there are, or the longest one with
+    blanks filling the others.
+    """
+    parts = {name: F.split(F.coalesce(c, F.lit("")), "\n") for name, c in cells.items()}
+    sizes = [F.size(p) for p in parts.values()]
+    n = F.least(*sizes) if shortest else F.greatest(*sizes)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(*[
+        F.coalesce(F.get(p, i), F.lit("")).alias(name) for name, p in parts.items()]))

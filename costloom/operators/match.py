@@ -176,3 +176,23 @@ def map_by_sku_and_brand(items: DataFrame, aliases: DataFrame) -> DataFrame:
     best = asked.join(offered, same).groupBy("sku", "supplier_name").agg(F.min("m").alias("m"))
     return join_on_key(items, best, ["sku", "supplier_name"]).select(
         *items.columns, F.col("m.product_id").alias("product_id"), F.col("m.alias_id").alias("alias_id"))
+
+
+def match_stored_files(invoices: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored file whose name contains the invoice's file name; the first by name.
+
+    A name contained in a stored name is one of its substrings, so this is an
+    equi-join on substrings.  Only lengths that invoice names really have are cut
+    (a few dozen numbers), which keeps the cuts per stored name small.
+    """
+    names = invoices.select("file_name").distinct()
+    lengths = names.select(F.length("file_name").alias("n")).distinct()
+    size = F.length("stored_name")
+    cuts = (
+        stored.select("stored_name").distinct()
+        .join(F.broadcast(lengths.filter("n between 1 and 1024")), size >= F.col("n"))
+        .withColumn("at", F.explode(F.sequence(F.lit(1), size - F.col("n") + 1)))
+        .select("stored_name", F.expr("substring(stored_name, at, n)").alias("file_name"))
+    )
+    first = cuts.join(names, "file_name").groupBy("file_name").agg(F.min("stored_name").alias("stored_name"))
+    return join_on_key(invoices, first, ["file_name"])
