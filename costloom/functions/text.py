@@ -107,7 +107,7 @@ def last_json_line(noisy: Column) -> Column:
 def longest_code(line: Column) -> Column:
     """Longest code-like token of a line (two capitals, then capitals, digits,
     dashes), the first one on a tie, null if there is none."""
-    tokens = F.regexp_extract_all(line, F.lit(r"\b([A-Z]{2,}[0-9A-Z\-_]*)"), 1)
+    tokens = F.regexp_extract_all(line, F.lit(r"(?<![\p{L}\p{N}_])([A-Z]{2,}[0-9A-Z\-_]*)"), 1)
     ranked = F.transform(tokens, lambda t, i: F.struct(
         F.length(t).alias("size"), (-i).alias("place"), t.alias("token")))
     return F.array_max(ranked)["token"]

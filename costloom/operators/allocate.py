@@ -106,8 +106,7 @@ def missing_total(quantity: Column, price: Column, total: Column, credit_vendor:
 def after_global_discount(value: Column, gross: Column, discount: Column) -> Column:
     """Amount reduced by discount / gross, two decimals, when both are positive."""
     applies = (gross > 0) & (discount > 0)
-    return F.when(applies, F.round((value * (1 - discount / gross)).cast("decimal(20,6)"), 2).cast("double")) \
-        .otherwise(value)
+    return F.when(applies, F.round(value * (1 - discount / gross), 2)).otherwise(value)
 
 
 def with_vat(price: Column, rate: Column) -> Column:

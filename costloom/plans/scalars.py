@@ -225,7 +225,7 @@ def packed_rows(r):
         lines(n, lambda i: F.concat(F.lit("IAF"), part, i)).alias("sku"),
         lines(n, lambda i: F.concat(F.lit("Item "), i)).alias("description"),
         lines(n, lambda i: F.concat(F.col("l_quantity").cast("int") + i, F.lit(",00"))).alias("quantity"),
-        lines(n, lambda i: F.concat(i, F.lit(",2500"))).alias("unit_price"),
+        lines(n, lambda i: F.concat(i, F.lit(".2500"))).alias("unit_price"),
         lines(n - part.cast("int") % 2, lambda i: F.concat(i, F.lit(",00"))).alias("total"))
 
 
@@ -234,7 +234,7 @@ ROW_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 @query("sc_18_parallel_cells_shortest", """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'IAF' || l_partkey || i AS sku, 'Item ' || i AS description,
-  CAST(l_quantity AS BIGINT) + i AS quantity, i + 0.25 AS unit_price,
+  CAST(l_quantity AS BIGINT) + i AS quantity, i + 0.25::DOUBLE AS unit_price,
   floor((CAST(l_quantity AS BIGINT) + i) * (i + 0.25::DOUBLE) * 100 + 0.5) / 100 AS total
 FROM (SELECT *, unnest(range(1, greatest(l_linenumber - l_partkey % 2, CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 END)::INT + 1)) AS i FROM lineitem) x""")
 def _(r):
@@ -304,7 +304,7 @@ def _(r):
 SELECT d.doc_id, code FROM documents d LEFT JOIN (
   SELECT doc_id, arg_max(t, (length(t), -i)) AS code FROM (
     SELECT doc_id, unnest(a) AS t, generate_subscripts(a, 1) AS i FROM (
-      SELECT doc_id, regexp_extract_all(text, '\\b([A-Z]{2,}[0-9A-Z\\-_]*)', 1) AS a FROM documents) y) x GROUP BY doc_id) z USING (doc_id)""")
+      SELECT doc_id, regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_])([A-Z]{2,}[0-9A-Z\\-_]*)', 1) AS a FROM documents) y) x GROUP BY doc_id) z USING (doc_id)""")
 def _(r):
     return r.table("documents").select("doc_id", text.longest_code(F.col("text")).alias("code"))
 
