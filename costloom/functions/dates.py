@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from costloom.functions.falsy import let
+
 # Month names by number, English, Dutch and French, long names first.
 MONTHS = {
     "01": ["january", "januari", "janvier", "jan"],
@@ -30,22 +32,24 @@ def normalize_date(text: Column) -> Column:
     for number, names in MONTHS.items():
         s = F.regexp_replace(s, "|".join(names), number)
     s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\d\-/.]", " "), r"\s+", " "))
-    part = F.split(s, r"[\-/.\s]", -1)
-    a, b, c = part[0], part[1], part[2]
-    year_first = F.length(a) == 4
-    year = (
-        F.when(year_first, a)
-        .when(F.length(c) == 4, c)
-        .when(c.try_cast("int") < 100, F.concat(F.lit("20"), c))
-        .otherwise(F.when(c != "", c))
-    )
-    day = F.when(year_first, c).otherwise(a)
 
     def two(x: Column) -> Column:
         return F.when(F.length(x) < 2, F.lpad(x, 2, "0")).otherwise(x)
 
-    complete = (F.size(part) == 3) & year.isNotNull()
-    return F.when(complete, F.concat_ws("-", year, two(b), two(day)))
+    def iso(part: Column) -> Column:
+        a, b, c = F.get(part, F.lit(0)), F.get(part, F.lit(1)), F.get(part, F.lit(2))
+        year_first = F.length(a) == 4
+        year = (
+            F.when(year_first, a)
+            .when(F.length(c) == 4, c)
+            .when(c.try_cast("int") < 100, F.concat(F.lit("20"), c))
+            .otherwise(F.when(c != "", c))
+        )
+        day = F.when(year_first, c).otherwise(a)
+        complete = (F.size(part) == 3) & year.isNotNull()
+        return F.when(complete, F.concat_ws("-", year, two(b), two(day)))
+
+    return let(F.split(s, r"[\-/.\s]", -1), iso)
 
 
 def parse_date(text: Column) -> Column:

@@ -4,6 +4,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used.
+
+    Inside array functions Spark evaluates every copy of an expression, so the
+    steps of longer parsers are bound this way.
+    """
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def first_truthy(*cols: Column) -> Column:
     """First numeric value that is neither null, NaN nor zero, else the last one."""
     out = cols[-1]

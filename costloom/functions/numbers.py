@@ -10,7 +10,7 @@ the style.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from costloom.functions.falsy import first_text, round_half_up
+from costloom.functions.falsy import first_text, let, round_half_up
 
 # Marks that may surround an amount.
 UNIFIED_MARKS = r"€|EUR|\$|£"
@@ -51,70 +51,86 @@ def _comma_last(text: Column) -> Column:
 
 def unified(text: Column) -> Column:
     """Amount in the mixed style; unreadable or missing text is 0."""
-    s = _drop(_strip(_drop(text, UNIFIED_MARKS)), INVISIBLE)
-    both = _has(s, ",") & _has(s, ".")
-    comma_is_decimal = _one_comma(s) & (F.length(_after_comma(s)) != 3)
-    dotted = (
-        F.when(both & _comma_last(s), _swap_comma(_drop(s, r"\.")))
-        .when(both, _drop(s, ","))
-        .when(_has(s, ",") & comma_is_decimal, _swap_comma(s))
-        .otherwise(_drop(s, ","))
-    )
+
+    def dotted(s: Column) -> Column:
+        both = _has(s, ",") & _has(s, ".")
+        comma_is_decimal = _one_comma(s) & (F.length(_after_comma(s)) != 3)
+        return (
+            F.when(both & _comma_last(s), _swap_comma(_drop(s, r"\.")))
+            .when(both, _drop(s, ","))
+            .when(_has(s, ",") & comma_is_decimal, _swap_comma(s))
+            .otherwise(_drop(s, ","))
+        )
+
     keep = r"[^0-9.\-]"
-    value = _drop(dotted, keep).try_cast("double")
-    # A lost decimal comma shows as a huge amount: "125267,18%" is not 12.5 million.
-    cents = F.length(_drop(_after_comma(text), r"[^0-9]")) == 2
-    lost_comma = (value > 100000) & ~_has(text, ".") & _one_comma(text) & cents
-    again = _drop(_swap_comma(text), keep).try_cast("double")
-    value = F.when(lost_comma, F.coalesce(again, value)).otherwise(value)
-    plain = s.rlike(r"^-?\d+(\.\d+)?$")
-    return F.coalesce(F.when(plain, s.try_cast("double")).otherwise(value), F.lit(0.0))
+
+    def checked(value: Column) -> Column:
+        # A lost decimal comma shows as a huge amount: "125267,18%" is not 12.5 million.
+        cents = F.length(_drop(_after_comma(text), r"[^0-9]")) == 2
+        lost_comma = (value > 100000) & ~_has(text, ".") & _one_comma(text) & cents
+        again = _drop(_swap_comma(text), keep).try_cast("double")
+        return F.coalesce(F.when(lost_comma, F.coalesce(again, value)).otherwise(value), F.lit(0.0))
+
+    def read(s: Column) -> Column:
+        plain = s.rlike(r"^-?\d+(\.\d+)?$")
+        return F.when(plain, s.try_cast("double")).otherwise(
+            let(_drop(dotted(s), keep).try_cast("double"), checked))
+
+    return let(_drop(_strip(_drop(text, UNIFIED_MARKS)), INVISIBLE), read)
 
 
 def strict_eu(text: Column) -> Column:
     """Amount where grouped dots are thousands; a minus may lead or trail."""
-    s = _drop(_strip(_drop(text, STRICT_MARKS)), r"[\x00-\x1F\x7F]")
-    negative = s.startswith("-") | s.endswith("-")
-    s = F.when(s.startswith("-"), _drop(s, "^-")).otherwise(_drop(s, "-$"))
-    s = _drop(s, " ")
-    comma, dot = _has(s, ","), _has(s, ".")
-    cents = s.rlike(r"^[^,]*,[^,]{2}$")
-    groups = s.rlike(r"^[^,]*(,[^,]{3})+$") & ~s.startswith("0,")
-    dotted = (
-        F.when(comma & dot & _comma_last(s), _swap_comma(_drop(s, r"\.")))
-        .when(comma & dot, _drop(s, ","))
-        .when(comma & ~cents & groups, _drop(s, ","))
-        .when(comma, _swap_comma(s))
-        .when(s.rlike(r"^-?\d{1,3}(\.\d{3})+$"), _drop(s, r"\."))
-        .otherwise(s)
-    )
-    # Letters a cast would take for a type mark ("12d", "NaN") are not amounts.
-    value = F.when(dotted.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"),
-                   dotted.try_cast("double"))
-    value = F.coalesce(value, F.lit(0.0))
-    return F.when(negative, -value).otherwise(value)
+
+    def unsigned(s: Column) -> Column:
+        comma, dot = _has(s, ","), _has(s, ".")
+        cents = s.rlike(r"^[^,]*,[^,]{2}$")
+        groups = s.rlike(r"^[^,]*(,[^,]{3})+$") & ~s.startswith("0,")
+        dotted = (
+            F.when(comma & dot & _comma_last(s), _swap_comma(_drop(s, r"\.")))
+            .when(comma & dot, _drop(s, ","))
+            .when(comma & ~cents & groups, _drop(s, ","))
+            .when(comma, _swap_comma(s))
+            .when(s.rlike(r"^-?\d{1,3}(\.\d{3})+$"), _drop(s, r"\."))
+            .otherwise(s)
+        )
+        # Letters a cast would take for a type mark ("12d", "NaN") are not amounts.
+        number = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
+        value = let(dotted, lambda d: F.when(d.rlike(number), d.try_cast("double")))
+        return F.coalesce(value, F.lit(0.0))
+
+    def signed(s: Column) -> Column:
+        negative = s.startswith("-") | s.endswith("-")
+        body = F.when(s.startswith("-"), _drop(s, "^-")).otherwise(_drop(s, "-$"))
+        value = let(_drop(body, " "), unsigned)
+        return let(value, lambda v: F.when(negative, -v).otherwise(v))
+
+    return let(_drop(_strip(_drop(F.coalesce(text, F.lit("")), STRICT_MARKS)), r"[\x00-\x1F\x7F]"), signed)
 
 
 def price(text: Column, places: int = 2) -> Column:
     """Amount on a price list, rounded to 2 (or 4) places; unreadable is null."""
-    s = F.trim(text)
-    negative = s.startswith("-")
-    s = F.trim(_drop(_drop(s, "^-"), PRICE_MARKS))
-    comma, dot = _has(s, ","), _has(s, ".")
-    both = comma & dot
     two = r"\d{2}$"
-    dotted = (
-        F.when(both & _comma_last(s) & s.rlike("," + two),
-               F.regexp_replace(_drop(s, r"\."), r"^([^,]*),", "$1."))
-        .when(both & _comma_last(s), _drop(s, ","))
-        .when(both & s.rlike(r"\." + two), _drop(s, ","))
-        .when(both, _drop(s, r"\."))
-        .when(comma & _one_comma(s) & ~s.rlike("," + two)
-              & (F.length(_after_comma(s)) > 2), _drop(s, ","))
-        .otherwise(F.regexp_replace(s, r"^([^,]*),", "$1."))
-    )
-    lead = F.regexp_extract(dotted, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double")
-    return round_half_up(F.when(negative, -lead).otherwise(lead), places)
+
+    def dotted(s: Column) -> Column:
+        comma, dot = _has(s, ","), _has(s, ".")
+        both = comma & dot
+        decimal_comma = r"^([^,]*),"
+        return (
+            F.when(both & _comma_last(s) & s.rlike("," + two), F.regexp_replace(_drop(s, r"\."), decimal_comma, "$1."))
+            .when(both & _comma_last(s), _drop(s, ","))
+            .when(both & s.rlike(r"\." + two), _drop(s, ","))
+            .when(both, _drop(s, r"\."))
+            .when(comma & _one_comma(s) & ~s.rlike("," + two) & (F.length(_after_comma(s)) > 2), _drop(s, ","))
+            .otherwise(F.regexp_replace(s, decimal_comma, "$1."))
+        )
+
+    def read(t: Column) -> Column:
+        s = let(F.trim(_drop(_drop(t, "^-"), PRICE_MARKS)), dotted)
+        lead = F.regexp_extract(s, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double")
+        return let(lead, lambda v: round_half_up(F.when(t.startswith("-"), -v).otherwise(v), places))
+
+    return let(F.trim(text), read)
 
 
 STYLES = {"unified": unified, "strict_eu": strict_eu, "price": price}
@@ -136,8 +152,8 @@ def amount_in_text(text: Column) -> Column:
 
 def fee_in_text(text: Column) -> Column:
     """First number of a cell (decimals optional) as a positive price, else null."""
-    value = price(F.regexp_extract(text, r"€?\s*(\d+(?:[.,]\d+)?)", 1))
-    return F.when(value > 0, value)
+    found = price(F.regexp_extract(text, r"€?\s*(\d+(?:[.,]\d+)?)", 1))
+    return let(found, lambda v: F.when(v > 0, v))
 
 
 def grouped_amount(text: Column) -> Column:
@@ -146,16 +162,18 @@ def grouped_amount(text: Column) -> Column:
     Anything else is read as a plain number with a decimal comma; unreadable
     text is 0.00.  The result is a two-place decimal.
     """
-    s = _drop(text, " ")
     grouped = r"^(\d{1,3}(?:[.,]\d{3})*)(?:[.,](\d{2}))?$"
-    whole = _drop(F.regexp_extract(s, grouped, 1), "[.,]")
-    cents = first_text(F.regexp_extract(s, grouped, 2), F.lit("00"))
-    amount = F.when(s.rlike(grouped), F.concat(whole, F.lit("."), cents)) \
-        .otherwise(_swap_comma(s))
-    return F.coalesce(amount.try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+
+    def read(s: Column) -> Column:
+        whole = _drop(F.regexp_extract(s, grouped, 1), "[.,]")
+        cents = first_text(F.regexp_extract(s, grouped, 2), F.lit("00"))
+        return F.when(s.rlike(grouped), F.concat(whole, F.lit("."), cents)).otherwise(_swap_comma(s))
+
+    amount = let(_drop(text, " "), read).try_cast("decimal(18,2)")
+    return F.coalesce(amount, F.lit(0).cast("decimal(18,2)"))
 
 
 def as_text(value: Column) -> Column:
     """A number the way extracted records carry it: integral values without point."""
-    return F.when(value == F.floor(value), value.cast("long").cast("string")) \
-        .otherwise(value.cast("string"))
+    return let(value, lambda v: F.when(v == F.floor(v), v.cast("long").cast("string"))
+               .otherwise(v.cast("string")))

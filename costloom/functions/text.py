@@ -146,3 +146,26 @@ def zip_lines(shortest: bool, **cells: Column) -> Column:
     n = F.least(*sizes) if shortest else F.greatest(*sizes)
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(*[
         F.coalesce(F.get(p, i), F.lit("")).alias(name) for name, p in parts.items()]))
+
+
+def split_sku(line: str, next_line: str, second_line: str) -> list[Column]:
+    """(sku, description) of a line with ``SKU:``, whose code may be broken.
+
+    Tried in order: the whole code on the line; a prefix on the line and the rest
+    below; the whole code below; a prefix below and the rest one line further.
+    """
+    text, n1, n2 = F.trim(line), F.trim(next_line), F.trim(second_line)
+    prefix = lambda c, p: F.regexp_replace(F.regexp_extract(c, p, 1), "-$", "")
+    rest = lambda c: F.regexp_extract(c, r"^([A-Z0-9.]{3,})", 1)
+
+    def joined(head: Column, tail: Column) -> Column:
+        return F.when((head != "") & (tail != ""), F.concat_ws("-", head, tail))
+
+    here = F.nullif(F.regexp_extract(text, r"SKU:\s*([A-Z]{2,4}-[A-Z0-9]+)", 1), F.lit(""))
+    broken = joined(prefix(text, r"SKU:\s*([A-Z]{2,4}-?)$"), rest(n1))
+    bare = text.endswith("SKU:")
+    below = F.nullif(F.regexp_extract(n1, r"^([A-Z]{2,4}-[A-Z0-9]+)$", 1), F.lit(""))
+    twice = joined(prefix(n1, r"^([A-Z]{2,4}-?)$"), rest(n2))
+    sku = F.coalesce(here, broken, F.when(bare, below), F.when(bare, twice))
+    description = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s*-?\s*SKU:.*$", "")), r"^[- ]+", "")
+    return [sku.alias("sku"), description.alias("description")]

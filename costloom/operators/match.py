@@ -182,17 +182,20 @@ def match_stored_files(invoices: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored file whose name contains the invoice's file name; the first by name.
 
     A name contained in a stored name is one of its substrings, so this is an
-    equi-join on substrings.  Only lengths that invoice names really have are cut
-    (a few dozen numbers), which keeps the cuts per stored name small.
+    equi-join on substrings.  Only lengths that invoice names really have are cut,
+    which file systems hold to a few hundred numbers at most.
     """
     names = invoices.select("file_name").distinct()
-    lengths = names.select(F.length("file_name").alias("n")).distinct()
+    lengths = names.agg(F.collect_set(F.length("file_name")).alias("n"))
     size = F.length("stored_name")
-    cuts = (
+    fitting = F.filter(F.col("lengths"), lambda n: (n > 0) & (n <= size))
+    cuts = F.flatten(F.transform(fitting, lambda n: F.transform(
+        F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("stored_name"), i, n))))
+    substrings = (
         stored.select("stored_name").distinct()
-        .join(F.broadcast(lengths.filter("n between 1 and 1024")), size >= F.col("n"))
-        .withColumn("at", F.explode(F.sequence(F.lit(1), size - F.col("n") + 1)))
-        .select("stored_name", F.expr("substring(stored_name, at, n)").alias("file_name"))
+        .withColumn("lengths", lengths.scalar())
+        .select("stored_name", F.explode(F.array_distinct(cuts)).alias("file_name"))
     )
-    first = cuts.join(names, "file_name").groupBy("file_name").agg(F.min("stored_name").alias("stored_name"))
+    first = substrings.join(names, "file_name").groupBy("file_name").agg(
+        F.min("stored_name").alias("stored_name"))
     return join_on_key(invoices, first, ["file_name"])

@@ -1,4 +1,4 @@
 """Imports every plan module so that its queries are registered."""
 
-from costloom.plans import costing, matching, money, reporting, scalars  # noqa: F401
+from costloom.plans import costing, extraction, matching, money, reporting, scalars  # noqa: F401
 from costloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -85,7 +85,7 @@ up AS (SELECT DISTINCT sku, substr(sku, i, n) AS piece FROM u, lens, spots WHERE
 fw AS (SELECT piece, count(*) AS n_known, min(known_sku) AS first_known FROM kp GROUP BY piece),
 bw AS (SELECT substr(known_sku, 1, 5) AS piece, count(*) AS n_known, min(known_sku) AS first_known FROM k GROUP BY 1)
 SELECT sku, piece, n_known, first_known, 'known contains it' AS link FROM u JOIN fw ON piece = substr(sku, 1, 5)
-UNION ALL SELECT sku, piece, n_known, first_known, 'contains known' FROM up JOIN bw USING (piece)""").replace("WITH \n", "WITH ", 1))
+UNION ALL SELECT sku, piece, n_known, first_known, 'contains known' FROM up JOIN bw USING (piece)"""))
 def _(r):
     part = F.col("l_partkey")
     sku = F.when(part % 2 == 0, F.concat(F.lit("P"), F.floor(part / 10))) \
@@ -302,7 +302,7 @@ stored AS (SELECT event_id || '_' || user_id || '_' || lower(event_type) || '_'
 wanted AS (SELECT o_orderkey AS invoice_id, lower('CLICK') || '_' || (o_orderkey % 500) || '.pdf' AS file_name FROM orders),
 firsts AS (SELECT w.file_name, min(s.stored_name) AS stored_name FROM (SELECT DISTINCT file_name FROM wanted) w
   JOIN stored s ON contains(s.stored_name, w.file_name) GROUP BY 1)
-SELECT invoice_id, w.file_name, f.stored_name FROM wanted w LEFT JOIN firsts f USING (file_name)""").replace("WITH \n", "WITH ", 1))
+SELECT invoice_id, w.file_name, f.stored_name FROM wanted w LEFT JOIN firsts f USING (file_name)"""))
 def _(r):
     """Invoices find the stored file whose name contains theirs; first by name."""
     stored = r.table("events").select(F.concat_ws(
