@@ -169,3 +169,24 @@ def split_sku(line: str, next_line: str, second_line: str) -> list[Column]:
     sku = F.coalesce(here, broken, F.when(bare, below), F.when(bare, twice))
     description = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s*-?\s*SKU:.*$", "")), r"^[- ]+", "")
     return [sku.alias("sku"), description.alias("description")]
+
+
+# What a manufacturer's name never contains.
+NOT_A_NAME = [
+    "€", r"\d{4}-\d{2}-\d{2}", r"^(page|total|invoice|date|kg|grams|ml|pieces)\b", r"^\d+$", r"^[^a-zA-Z]*$",
+    "chemin de", r"\b(street|avenue|road|boulevard|chemin|rue|place)\b",
+    r"\b(france|germany|usa|uk|netherlands|belgium)\b", r"\b\d{5}\b", r"\+\d{8,}", r"VAT\s*(EU|FR|DE|NL)",
+]
+
+
+def plausible_name(name: Column, also_not: list[str] = ()) -> Column:
+    """At least three characters with a letter, and none of the excluded patterns
+    (``also_not`` adds a house's own names and addresses)."""
+    pattern = "(?iU)" + "|".join([*NOT_A_NAME, *also_not])
+    return (F.length(name) >= 3) & name.rlike("[a-zA-Z]") & ~name.rlike(pattern)
+
+
+def valid_upload(name: Column, mime: Column, size: Column, limit: int = 10 * 1024 * 1024) -> Column:
+    """A PDF by type or extension, not larger than ``limit``, named ``*.pdf``."""
+    extension = F.lower(name).endswith(".pdf")
+    return (F.contains(mime, F.lit("pdf")) | extension) & (size <= limit) & extension

@@ -14,7 +14,7 @@ from costloom.functions.dates import normalize_date
 from costloom.functions.falsy import let
 from costloom.functions.numbers import as_text, unified
 from costloom.functions.text import tidy_lines, undouble
-from costloom.operators.ordered import Lag, LastValue, OrderedGroups, RunningMax, RunningSum
+from costloom.operators.ordered import RUN, LastValue, OrderedGroups, RunningMax, RunningSum
 
 # Words that mark shipping, footer and promotion rows.
 SHIPPING_SKUS = ["DELIVERY", "SHIPPING", "FREIGHT", "VERSAND"]
@@ -75,13 +75,24 @@ def table_lines(lines: DataFrame, max_rows: int | None = None) -> DataFrame:
     inside.  Without a start marker every line but the end markers is inside.
     Needs start_marker and end_marker as columns.
     """
+    seq = OrderedGroups(with_marks(lines), ["doc_id"], ["line_no"], max_rows)
+    return inside_table(seq.with_columns(_state=table_state()))
+
+
+def table_state() -> LastValue:
+    return LastValue(F.col("_mark"))
+
+
+def with_marks(lines: DataFrame) -> DataFrame:
     opens = F.col("start_marker").isNotNull() & _found("text", "start_marker")
     closes = ~opens & F.col("end_marker").isNotNull() & _found("text", "end_marker")
-    marked = lines.withColumn("_mark", F.when(opens, 1).when(closes, 0))
-    seq = OrderedGroups(marked, ["doc_id"], ["line_no"], max_rows)
+    return lines.withColumn("_mark", F.when(opens, 1).when(closes, 0))
+
+
+def inside_table(lines: DataFrame) -> DataFrame:
     state = F.coalesce(F.col("_state"), F.lit(0)) == 1
     inside = F.col("_mark").isNull() & (state | F.col("start_marker").isNull())
-    return seq.with_columns(_state=LastValue(F.col("_mark"))).filter(inside).drop("_mark", "_state")
+    return lines.filter(inside).drop("_mark", "_state")
 
 
 def _found(text: str, pattern: str) -> Column:
@@ -103,39 +114,53 @@ def typed_cell(raw: Column, kind: Column) -> Column:
     return F.when(kind == "number", as_text(unified(raw))).otherwise(tidy_lines(raw))
 
 
+ITEM_VALUES = ["sku", "description", "position", "quantity", "unit_price", "total",
+               "original_price", "discount_percent"]
+
+
 def item_columns(cells: Column) -> list[Column]:
-    get = lambda k: F.try_element_at(cells, F.lit(k)).alias(k)
-    return [get(k) for k in ("sku", "description", "position", "quantity", "unit_price", "total",
-                             "original_price", "discount_percent")]
+    return [F.try_element_at(cells, F.lit(k)).alias(k) for k in ITEM_VALUES]
+
+
+ITEM_FLAGS = ("doc_id", "vendor", "line_no", "merge_two_lines", "missing_total_is_zero", "_code", RUN)
+CODE_LINE = r"FID:\s*(\d+)"
 
 
 def row_items(lines: DataFrame) -> DataFrame:
-    """Lines that match the row pattern, as items (all values texts)."""
-    line = F.trim("text")
+    """Lines that match the row pattern, as items (all values texts).
+
+    Lines with ``_code`` set (a number belonging to an earlier item) pass through
+    without values.
+    """
+    if "_code" not in lines.columns:
+        lines = lines.withColumn("_code", F.lit(None).cast("string"))
     valid = F.col("row_validator").isNull() | _found("text", "row_validator")
-    hits = lines.withColumn("text", line).filter(F.expr("text rlike row_pattern") & valid)
-    cells = _cells(F.col("text"), F.col("row_pattern"), F.col("columns"))
-    keep = [c for c in ("doc_id", "vendor", "line_no", "merge_two_lines", "missing_total_is_zero") if c in lines.columns]
+    hits = lines.withColumn("text", F.trim("text")).filter(
+        F.col("_code").isNotNull() | (F.expr("text rlike row_pattern") & valid))
+    cells = F.when(F.col("_code").isNull(), _cells(F.col("text"), F.col("row_pattern"), F.col("columns")))
+    keep = [c for c in ITEM_FLAGS if c in lines.columns]
     return hits.select(*keep, _once(cells).alias("_cells")).select(*keep, *item_columns(F.col("_cells")))
 
 
-def merge_two_lines(items: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Vendors that print an item on two lines: code and text, then the amounts.
-
-    The amount line takes code and text from the last code line before it; an
-    amount line without one is dropped, and so is a code line without amounts.
-    """
+def line_kind() -> Column:
+    """head (code and text, no total), tail (total only), code, or whole."""
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     head = has("sku") & has("description") & ~has("total")
     tail = has("total") & ~has("sku") & ~has("description")
-    kind = F.when(head, "head").when(tail, "tail").otherwise("whole")
-    kinds = items.withColumn("_kind", kind)
-    split = kinds.filter("_kind <> 'whole'")
-    before = F.struct(F.col("_kind").alias("kind"), "sku", "description")
-    merged = OrderedGroups(split, ["doc_id"], ["line_no"], max_rows).with_columns(_before=Lag(before))
-    merged = merged.filter("_kind = 'tail' and _before.kind = 'head'").withColumns({
-        "sku": F.col("_before.sku"), "description": F.col("_before.description")})
-    return kinds.filter("_kind = 'whole'").select(*items.columns).unionByName(merged.select(*items.columns))
+    return (F.when(F.col("_code").isNotNull(), "code").when(~F.col("merge_two_lines"), "whole")
+            .when(head, "head").when(tail, "tail").otherwise("whole"))
+
+
+def merge_two_lines(items: DataFrame) -> DataFrame:
+    """Vendors that print an item on two lines: code and text, then the amounts.
+
+    The amount line takes code and text from the line ``_before`` it (the last
+    head or tail); an amount line without a head is dropped, and so is every head.
+    """
+    paired = (F.col("_kind") == "tail") & (F.col("_before.kind") == "head")
+    kept = items.filter(F.col("_kind").isin("whole", "code") | F.coalesce(paired, F.lit(False)))
+    take = lambda c: F.when(F.col("_kind") == "tail", F.col(f"_before.{c}")).otherwise(F.col(c))
+    return kept.withColumns({"sku": take("sku"), "description": take("description")}).drop("_before", "_kind")
 
 
 def classify(items: DataFrame) -> DataFrame:
@@ -179,37 +204,32 @@ def shipping_fee(classified: DataFrame) -> DataFrame:
         F.sum(F.when(total > 0, total)).cast("double").alias("shipping_fee"))
 
 
-def attach_codes(lines: DataFrame, items: DataFrame, pattern: str = r"FID:\s*(\d+)",
-                 max_rows: int | None = None) -> DataFrame:
-    """A later line ``FID: n`` gives its number to the last item before it.
-
-    The last such line before the next item wins.  ``items`` are the kept items.
-    """
-    code = F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
-    events = lines.select("doc_id", "line_no", code.alias("code")).filter("code is not null") \
-        .withColumn("is_item", F.lit(0)) \
-        .unionByName(items.select("doc_id", "line_no", F.lit(None).cast("string").alias("code"), F.lit(1).alias("is_item")))
-    seq = OrderedGroups(events, ["doc_id"], ["line_no", "is_item"], max_rows)
-    owned = seq.with_columns(owner=LastValue(F.when(F.col("is_item") == 1, F.col("line_no"))))
-    codes = owned.filter("is_item = 0 and owner is not null").groupBy("doc_id", "owner").agg(
-        F.max_by("code", "line_no").alias("code"))
-    out = items.join(codes.withColumnRenamed("owner", "line_no"), ["doc_id", "line_no"], "left")
-    return out.withColumn("sku", F.coalesce("code", "sku")).drop("code")
-
-
-def text_items(docs: DataFrame, rules: DataFrame, max_rows: int | None = None) -> DataFrame:
+def text_items(docs: DataFrame, rules: DataFrame, max_rows: int | None = None,
+               measure: DataFrame | None = None) -> DataFrame:
     """Items of documents whose rule reads the text line by line.
 
-    ``docs``: doc_id, vendor, line_no, text (one row per line).
+    ``docs``: doc_id, vendor, line_no, text (one row per line).  Table regions,
+    two-line items and codes on later lines all look along the same order, so the
+    lines are partitioned by document once and stay there to the end.
     """
     ruled = prepared(docs, rules.filter("strategy = 'text_regex'"))
-    lines = table_lines(ruled, max_rows)
-    code_line = F.col("text").rlike(r"FID:\s*(\d+)")
-    rows = row_items(lines.filter(~code_line))
-    two = merge_two_lines(rows.filter("merge_two_lines"), max_rows)
-    found = rows.filter("not merge_two_lines").unionByName(two)
-    kept = with_missing_total(classify(found).filter("row_kind = 'item'"))
-    return attach_codes(lines.filter(code_line), kept, max_rows=max_rows)
+    code = F.nullif(F.regexp_extract("text", CODE_LINE, 1), F.lit(""))
+    seq = OrderedGroups(with_marks(ruled), ["doc_id"], ["line_no"], max_rows, measure)
+    lines = inside_table(seq.with_columns(keep_run=True, _state=table_state())).withColumn("_code", code)
+    rows = row_items(lines).withColumn("_kind", line_kind())
+    half = F.when(F.col("_kind").isin("head", "tail"), F.struct(F.col("_kind").alias("kind"), "sku", "description"))
+    seq = seq.resume(rows)
+    merged = merge_two_lines(seq.with_columns(keep_run=True, _before=LastValue(half, inclusive=False)))
+    kept = classify(merged).filter(F.col("_code").isNotNull() | (F.col("row_kind") == "item"))
+    # A code line gives its number to the last item before it; the last one wins.
+    is_item = F.col("_code").isNull()
+    owned = seq.resume(kept).with_columns(_item=RunningSum(is_item.cast("long")))
+    values = ["vendor", "line_no", "missing_total_is_zero", *ITEM_VALUES]
+    items = owned.filter("_item > 0").groupBy("doc_id", "_item").agg(
+        F.min_by(F.struct(*values), F.when(is_item, F.col("line_no"))).alias("i"),
+        F.max_by("_code", F.when(~is_item, F.col("line_no"))).alias("code"))
+    items = items.select("doc_id", "i.*", "code").withColumn("sku", F.coalesce("code", "sku")).drop("code")
+    return with_missing_total(items)
 
 
 def region(text: Column, start: Column, end: Column) -> Column:

@@ -13,6 +13,7 @@ per run and is safe to broadcast.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -138,6 +139,25 @@ class LastValue:
         return local if carry is None else F.coalesce(local, carry)
 
 
+@dataclass(frozen=True)
+class NextValue:
+    """Nearest non-null value of the key after this row."""
+
+    value: Column
+
+    def local(self, w):
+        return F.first(self.value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+
+    def summary(self, order):
+        return F.min_by(self.value, F.when(self.value.isNotNull(), order))
+
+    def carry(self, summary, w):
+        return F.first(summary, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+
+    def merge(self, local, carry):
+        return local if carry is None else F.coalesce(local, carry)
+
+
 class OrderedGroups:
     """Rows grouped by ``keys`` and totally ordered by ``order`` inside a key.
 
@@ -166,6 +186,13 @@ class OrderedGroups:
             )
         self.df = df
 
+    def resume(self, df: DataFrame) -> "OrderedGroups":
+        """The same groups over ``df``: rows of an earlier ``with_columns(keep_run=True)``
+        that were only filtered or given more columns.  Nothing is partitioned anew."""
+        nxt = copy.copy(self)
+        nxt.df = df
+        return nxt
+
     @property
     def parts(self) -> list[str]:
         return self.keys + ([RUN] if self.split else [])

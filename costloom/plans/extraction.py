@@ -57,6 +57,11 @@ def numbered_items(r):
 NUMBERED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY line_no, supplier_id, part_id, quantity, total) AS pos FROM items)"""
 
 
+def doc_keys(r):
+    """The document of every item; a document has a few printed lines per item."""
+    return r.items.select(F.col("invoice_id").alias("doc_id"))
+
+
 def invoice_lines(r):
     """Invoices printed as text: even ones on one line per item with extra code
     lines, odd ones with two lines per item."""
@@ -89,7 +94,7 @@ SELECT invoice_id AS doc_id, pos * 4 + CASE WHEN invoice_id % 2 = 0 THEN 10 ELSE
 FROM numbered WHERE CASE WHEN invoice_id % 2 = 0 THEN part_id % 17 <> 0 ELSE part_id % 5 <> 0 END"""))
 def _(r):
     """Line-by-line rules: table region, row pattern, two-line merge, code lines."""
-    items = extract.text_items(invoice_lines(r), rules(r))
+    items = extract.text_items(invoice_lines(r), rules(r), measure=doc_keys(r))
     number = lambda c: F.col(c).try_cast("double").alias(c)
     return items.select("doc_id", "line_no", "sku", "description", number("quantity"), number("unit_price"), number("total"))
 
@@ -99,7 +104,7 @@ SELECT invoice_id AS doc_id, CASE WHEN part_id % 6 = 0 THEN '7' || part_id ELSE
 FROM numbered WHERE invoice_id % 2 = 0 AND part_id % 3 = 0 AND part_id % 17 <> 0"""))
 def _(r):
     """Items whose code came from a later line; the last such line wins."""
-    items = extract.text_items(invoice_lines(r).filter("vendor like 'LINE%'"), rules(r))
+    items = extract.text_items(invoice_lines(r).filter("vendor like 'LINE%'"), rules(r), measure=doc_keys(r))
     return items.filter("sku not like 'A%'").select("doc_id", "sku", F.col("quantity").cast("double").alias("quantity"))
 
 
@@ -107,7 +112,7 @@ def _(r):
 SELECT invoice_id AS doc_id, 'B' || part_id AS sku, quantity, total FROM numbered WHERE invoice_id % 2 = 1 AND part_id % 5 <> 0"""))
 def _(r):
     """Code line plus amount line; orphan amounts and bare code lines vanish."""
-    items = extract.text_items(invoice_lines(r).filter("vendor like 'pair%'"), rules(r))
+    items = extract.text_items(invoice_lines(r).filter("vendor like 'pair%'"), rules(r), measure=doc_keys(r))
     return items.select("doc_id", "sku", F.col("quantity").cast("double").alias("quantity"), F.col("total").cast("double").alias("total"))
 
 
