@@ -280,3 +280,12 @@ def first_source(items: DataFrame, rank: str = "rank") -> DataFrame:
     """Per document only the rows of its best ranked source ("use B if A is empty")."""
     best = items.groupBy("doc_id").agg(F.min(rank).alias("_best"))
     return join_on_key(items, best, ["doc_id"]).filter(F.col(rank) == F.col("_best")).drop("_best")
+
+
+def first_pair(quantity: Column, prices: Column, tolerance: float = 0.5) -> Column:
+    """(quantity, unit price, total) when no scored triple was found: of the first
+    two prices the smaller is the unit price; null when they are off by half."""
+    a, b = F.try_element_at(prices, F.lit(1)), F.try_element_at(prices, F.lit(2))
+    unit, total = F.least(a, b), F.greatest(a, b)
+    fits = b.isNotNull() & (F.abs(quantity * unit - total) < total * tolerance)
+    return F.when(fits, F.struct(quantity.alias("quantity"), unit.alias("unit_price"), total.alias("total")))
