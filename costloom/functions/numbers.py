@@ -76,7 +76,12 @@ def unified(text: Column) -> Column:
         return F.when(plain, s.try_cast("double")).otherwise(
             let(_drop(dotted(s), keep).try_cast("double"), checked))
 
-    return let(_drop(_strip(_drop(text, UNIFIED_MARKS)), INVISIBLE), read)
+    # The two commonest spellings need no cleaning.
+    return (
+        F.when(text.rlike(r"^-?\d+(\.\d+)?$"), text.try_cast("double"))
+        .when(text.rlike(r"^\d{1,5},(\d{1,2}|\d{4,9})$"), _swap_comma(text).try_cast("double"))
+        .otherwise(let(_drop(_strip(_drop(text, UNIFIED_MARKS)), INVISIBLE), read))
+    )
 
 
 def strict_eu(text: Column) -> Column:

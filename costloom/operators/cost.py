@@ -181,12 +181,32 @@ def average_with_sales(moves: DataFrame, key: str, order: list[str], max_rows=No
         "keep": F.when(bought, F.try_divide(held, after)).otherwise(F.lit(1.0)),
         "add": F.when(bought, F.try_divide(F.col("change") * F.col("price"), after)).otherwise(F.lit(0.0)),
     })
-    schema = T.StructType(steps.schema.fields + [
-        T.StructField("run_keep", T.DoubleType()), T.StructField("run_add", T.DoubleType())])
-    parts = seq.parts
+    # The window above left every (key, run) in one partition, already in order.
+    folded = _fold(steps.sortWithinPartitions(*seq.parts, *order), seq.parts, "run_keep", "run_add")
+    before = F.lit(0.0)
+    if seq.split:
+        ends = folded.groupBy(key, RUN).agg(F.max_by(F.struct("run_keep", "run_add"), F.struct(*order)).alias("e"))
+        ends = ends.select(key, RUN, F.col("e.run_keep").alias("keep"), F.col("e.run_add").alias("add"))
+        # One row per (key, run); a key meets at most every run, in order.
+        ended = _fold(ends.repartition(key).sortWithinPartitions(key, RUN), [key], "_keep", "_add")
+        before_run = F.lag("_add").over(Window.partitionBy(key).orderBy(RUN))
+        folded = join_on_key(folded, ended.select(key, RUN, before_run.alias("before")), [key, RUN])
+        before = F.coalesce("before", F.lit(0.0))
+    value = F.col("run_keep") * before + F.col("run_add")
+    return folded.select(*moves.columns, "stock_before",
+                         F.when(F.col("priced") == 1, value).alias("average_cost"))
+
+
+def _fold(sorted_steps: DataFrame, parts: list[str], keep_name: str, add_name: str) -> DataFrame:
+    """Running composition of the (keep, add) steps, started over for every group.
 
-    def fold(batches):
-        """Walks the sorted rows; the state starts over at every new (key, run)."""
+    The rows must be sorted by group and order inside their partitions; they
+    stream through in batches, so the size of a group does not matter.
+    """
+    schema = T.StructType(sorted_steps.schema.fields + [
+        T.StructField(keep_name, T.DoubleType()), T.StructField(add_name, T.DoubleType())])
+
+    def walk(batches):
         current, keep, add = None, 1.0, 0.0
         for pdf in batches:
             keeps, adds = np.empty(len(pdf)), np.empty(len(pdf))
@@ -196,25 +216,9 @@ def average_with_sales(moves: DataFrame, key: str, order: list[str], max_rows=No
                     current, keep, add = group, 1.0, 0.0
                 keep, add = keep * k, add * k + a
                 keeps[n], adds[n] = keep, add
-            yield pdf.assign(run_keep=keeps, run_add=adds)
+            yield pdf.assign(**{keep_name: keeps, add_name: adds})
 
-    # The window above left every (key, run) in one partition, already in order.
-    folded = steps.sortWithinPartitions(*parts, *order).mapInPandas(fold, schema)
-    before = F.lit(0.0)
-    if seq.split:
-        # (key, run) pairs: every run adds one pair per key it holds, and the
-        # window below sees one key's runs, at most as many as there are runs.
-        ends = folded.groupBy(key, RUN).agg(
-            F.max_by(F.struct("run_keep", "run_add"), F.struct(*order)).alias("e"))
-        earlier = Window.partitionBy(key).orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select(key, RUN, F.aggregate(
-            F.collect_list("e").over(earlier), F.lit(0.0),
-            lambda acc, e: e["run_keep"] * acc + e["run_add"]).alias("before"))
-        folded = join_on_key(folded, carried, [key, RUN])
-        before = F.coalesce("before", F.lit(0.0))
-    value = F.col("run_keep") * before + F.col("run_add")
-    return folded.select(*moves.columns, "stock_before",
-                         F.when(F.col("priced") == 1, value).alias("average_cost"))
+    return sorted_steps.mapInPandas(walk, schema)
 
 
 def cost_at_sale(sales: DataFrame, costs: DataFrame, key: str, time: str, max_rows=None) -> DataFrame:

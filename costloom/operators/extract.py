@@ -333,17 +333,18 @@ def grid_items(rows: DataFrame) -> DataFrame:
     return kept.select(*rest, _once(F.map_from_entries(values)).alias("_cells")).select(*rest, *item_columns(F.col("_cells")))
 
 
-def merge_negative(items: DataFrame, max_rows: int | None = None) -> DataFrame:
+def merge_negative(items: DataFrame, max_rows: int | None = None, measure: DataFrame | None = None) -> DataFrame:
     """An item followed by a negative total absorbs that one line: the totals add
     up, the unit price is new total over the item's own quantity (2 places).
 
     Needs doc_id, pos, sku, quantity, unit_price, total (numbers).  A run of
     negative lines pairs up from its start, so only every second line is absorbed.
     """
-    runs = OrderedGroups(items, ["doc_id"], ["pos"], max_rows).with_columns(
+    runs = OrderedGroups(items, ["doc_id"], ["pos"], max_rows, measure).with_columns(
         _run_start=LastValue(F.when(F.col("total") >= 0, F.col("pos"))))
     runs = runs.withColumn("_run_start", F.coalesce("_run_start", F.lit(-1)))
-    ranked = OrderedGroups(runs, ["doc_id", "_run_start"], ["pos"], max_rows).with_columns(
+    # A run is part of a document, so a document's size bounds it.
+    ranked = OrderedGroups(runs, ["doc_id", "_run_start"], ["pos"], max_rows, measure).with_columns(
         _n=RunningSum(F.lit(1).cast("long")))
     pair = F.floor((F.col("_n") - 1) / 2)
     first = F.min_by(F.struct("pos", "sku", "quantity", "unit_price"), "pos")

@@ -30,9 +30,10 @@ def text_lines(tokens: DataFrame, step: float = 0.5) -> DataFrame:
     return _joined(tokens.withColumn("line_y", y), [*PAGE, "line_y"], " ").filter("text <> ''")
 
 
-def rows_by_gap(tokens: DataFrame, gap: float = 5.0, max_rows: int | None = None) -> DataFrame:
+def rows_by_gap(tokens: DataFrame, gap: float = 5.0, max_rows: int | None = None,
+                measure: DataFrame | None = None) -> DataFrame:
     """Tokens with ``row``: a new row starts more than ``gap`` below the *previous* token."""
-    seq = OrderedGroups(tokens, PAGE, ["y", "x", "n"], max_rows)
+    seq = OrderedGroups(tokens, PAGE, ["y", "x", "n"], max_rows, measure)
     above = seq.with_columns(keep_run=True, _above=Lag(F.col("y")))
     new = F.when(F.col("_above").isNull() | (F.col("y") - F.col("_above") > gap), 1).otherwise(0)
     return seq.resume(above.withColumn("_new", new.cast("long"))).with_columns(
@@ -63,11 +64,12 @@ def row_cells(rows: DataFrame) -> DataFrame:
     return _joined(rows, [*PAGE, "row"], "|")
 
 
-def columns_of(tokens: DataFrame, gap: float = 10.0, max_rows: int | None = None) -> DataFrame:
+def columns_of(tokens: DataFrame, gap: float = 10.0, max_rows: int | None = None,
+               measure: DataFrame | None = None) -> DataFrame:
     """Columns of a document: distinct x values chained while closer than ``gap``;
     the centre is their mean and the place on the page tells what a column holds."""
     xs = tokens.select("doc_id", "x").distinct()
-    seq = OrderedGroups(xs, ["doc_id"], ["x"], max_rows)
+    seq = OrderedGroups(xs, ["doc_id"], ["x"], max_rows, measure)
     left = seq.with_columns(keep_run=True, _left=Lag(F.col("x")))
     new = F.when(F.col("_left").isNull() | (F.col("x") - F.col("_left") >= gap), 1).otherwise(0)
     numbered = seq.resume(left.withColumn("_new", new.cast("long"))).with_columns(col=RunningSum(F.col("_new")))
@@ -90,12 +92,13 @@ def nearest_column(tokens: DataFrame, columns: DataFrame, reach: float = 50.0) -
     return join_on_key(tokens, centres, ["doc_id"]).withColumn("col", best).drop("_centres")
 
 
-def fill_from_below(rows: DataFrame, values: list[str], reach: float = 30.0, max_rows: int | None = None) -> DataFrame:
+def fill_from_below(rows: DataFrame, values: list[str], reach: float = 30.0, max_rows: int | None = None,
+                    measure: DataFrame | None = None) -> DataFrame:
     """Missing values of a row taken from the next two rows, if within ``reach``.
 
     ``rows``: doc_id, page, y (one row per height) and the value columns.
     """
-    seq = OrderedGroups(rows, PAGE, ["y"], max_rows)
+    seq = OrderedGroups(rows, PAGE, ["y"], max_rows, measure)
     one = seq.with_columns(keep_run=True, _b1=Lead(F.struct("y", *values)))
     two = seq.resume(one).with_columns(_b2=Lead(F.col("_b1")))
     near = lambda b, v: F.when(F.col(f"{b}.y") - F.col("y") < reach, F.col(f"{b}.{v}"))
@@ -139,7 +142,8 @@ def nearest_code(lines: DataFrame, reach: int = 25, max_rows: int | None = None)
     return seen.filter("wanted").select("doc_id", "line_no", best["code"].alias("code"), best["dist"].cast("long").alias("dist"))
 
 
-def typed_runs(tokens: DataFrame, max_rows: int | None = None) -> DataFrame:
+def typed_runs(tokens: DataFrame, max_rows: int | None = None,
+               measure: DataFrame | None = None) -> DataFrame:
     """Rows out of a token stream "prices, then n integers, then n prices".
 
     ``tokens``: doc_id, n, text, is_price.  After n integers the next n prices are
@@ -147,14 +151,14 @@ def typed_runs(tokens: DataFrame, max_rows: int | None = None) -> DataFrame:
     counts only when it has as many unit prices and totals as integers; the j-th
     of each belong together.
     """
-    seq = OrderedGroups(tokens, ["doc_id"], ["n"], max_rows)
+    seq = OrderedGroups(tokens, ["doc_id"], ["n"], max_rows, measure)
     before = seq.with_columns(keep_run=True, _before=Lag(F.col("is_price")))
     new = F.when(F.col("_before").isNull() | (F.col("_before") != F.col("is_price")), 1).otherwise(0)
     runs = seq.resume(before.withColumn("_new", new.cast("long"))).with_columns(
         run=RunningSum(F.col("_new")), at=RunningSum(F.lit(1).cast("long")))
     sizes = runs.groupBy("doc_id", "run").agg(
         F.first("is_price").alias("is_price"), F.count(F.lit(1)).alias("size"), F.min("at").alias("first"))
-    order = OrderedGroups(sizes, ["doc_id"], ["run"], max_rows)
+    order = OrderedGroups(sizes, ["doc_id"], ["run"], max_rows, measure)
     around = order.with_columns(keep_run=True, _b=Lag(F.struct("size", "first")), _a=Lead(F.struct("size", "first")))
     earlier = order.resume(around).with_columns(_n0=LastValue(F.when(~F.col("is_price"), F.col("size")), inclusive=False))
     groups = earlier.filter("not is_price")
@@ -174,14 +178,15 @@ def typed_runs(tokens: DataFrame, max_rows: int | None = None) -> DataFrame:
         pick("unit").alias("unit_price"), pick("qty").alias("quantity"), pick("total").alias("total"))
 
 
-def promotions(lines: DataFrame, max_rows: int | None = None) -> DataFrame:
+def promotions(lines: DataFrame, max_rows: int | None = None,
+               measure: DataFrame | None = None) -> DataFrame:
     """Item lines reduced by promotion lines among the next three.
 
     ``lines``: doc_id, line_no, text, reference, quantity, total (nulls on other
     lines).  A promotion line names the same reference and " - Promoción"; its
     first amount, if negative, lowers the quantity and its last one the total.
     """
-    seq = OrderedGroups(lines, ["doc_id"], ["line_no"], max_rows)
+    seq = OrderedGroups(lines, ["doc_id"], ["line_no"], max_rows, measure)
     one = seq.with_columns(keep_run=True, _t1=Lead(F.col("text")))
     two = seq.resume(one).with_columns(keep_run=True, _t2=Lead(F.col("_t1")))
     three = seq.resume(two).with_columns(_t3=Lead(F.col("_t2")))
@@ -255,25 +260,28 @@ def _best(numbers: Column, fits, score, typed: bool = False) -> Column:
     places = F.sequence(F.lit(0), F.size(numbers) - 1)
     value = lambda n: n["value"] if typed else n
 
-    def combos(i: Column) -> Column:
-        return F.flatten(F.transform(places, lambda j: F.transform(places, lambda k: F.struct(
-            i.alias("i"), j.alias("j"), k.alias("k")))))
-
-    triples = F.filter(F.flatten(F.transform(places, lambda i: combos(i))),
-                       lambda p: (p["j"] != p["k"]) & (p["i"] != p["j"]) & (p["i"] != p["k"]))
+    def best_of(one) -> Column:
+        return F.array_max(F.transform(places, one))
 
-    def scored(p: Column) -> Column:
-        a, b, c = F.get(numbers, p["i"]), F.get(numbers, p["j"]), F.get(numbers, p["k"])
+    def scored(i: Column, j: Column, k: Column) -> Column:
+        a, b, c = F.get(numbers, i), F.get(numbers, j), F.get(numbers, k)
         q, u, t = value(a), value(b), value(c)
         err = F.abs(q * u - t)
-        usable = (q > 0) & (u > 0) & fits(q, u, t, err)
+        usable = (k != i) & (k != j) & fits(q, u, t, err)
         if typed:
-            usable &= (a["kind"] != "price") & (b["kind"] != "quantity") & (c["kind"] != "quantity")
+            usable &= c["kind"] != "quantity"
         return F.when(usable, F.struct(
-            score(q, u, t, err, a, b, c).alias("score"), (-p["i"]).alias("i"), (-p["j"]).alias("j"), (-p["k"]).alias("k"),
+            score(q, u, t, err, a, b, c).alias("score"), (-i).alias("i"), (-j).alias("j"), (-k).alias("k"),
             q.alias("quantity"), u.alias("unit_price"), t.alias("total")))
 
-    return F.array_max(F.array_compact(F.transform(triples, scored)))
+    def with_price(i: Column, j: Column) -> Column:
+        a, b = F.get(numbers, i), F.get(numbers, j)
+        possible = (i != j) & (value(a) > 0) & (value(b) > 0)
+        if typed:
+            possible &= (a["kind"] != "price") & (b["kind"] != "quantity")
+        return F.when(possible, best_of(lambda k: scored(i, j, k)))
+
+    return best_of(lambda i: best_of(lambda j: with_price(i, j)))
 
 
 def first_source(items: DataFrame, rank: str = "rank") -> DataFrame:

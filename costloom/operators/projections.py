@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costloom.functions.falsy import first_text, first_truthy, number_prefix
@@ -97,6 +97,13 @@ def column_roles(headers: Column) -> Column:
         role, F.array_max(F.transform(F.filter(pairs, lambda p: p["role"] == role), lambda p: p["place"])))))
 
 
+def first_rows(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of every group with their 0-based ``row_no``; each task
+    hands on at most ``n`` rows per group."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("row_no", place).filter(F.col("row_no") <= n).withColumn("row_no", F.col("row_no") - 1)
+
+
 def column_profiles(cells: DataFrame, sample_rows: int = 5) -> DataFrame:
     """Shares of code-like, numeric and price-like cells per table column.
 

@@ -1,6 +1,5 @@
 """Queries: freight, register shift, CMP, perpetual average, as-of cost, margins."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from costloom.operators import allocate, cost
@@ -315,11 +314,12 @@ def _(r):
     daily = margins(r).filter("cmp_at_sale is not null").groupBy("product_id", "moved_at").agg(
         (F.sum("turnover") - F.sum("cost")).alias("m"))
     running = OrderedGroups(daily, ["product_id"], ["moved_at"]).with_columns(running=RunningSum(F.col("m")))
-    # Ranking needs one global order; it runs over distinct totals, each counted once.
+    # One global order over the distinct totals: a group of everything, which is
+    # cut into runs like any other group that is too large for one task.
     totals = daily.groupBy("product_id").agg(cents(F.sum("m")).alias("total"))
-    places = totals.select("total").distinct().withColumn(
-        "place", F.dense_rank().over(Window.orderBy(F.col("total").desc())))
-    placed = totals.join(places, "total").select("product_id", "place")
+    ladder = totals.select("total").distinct().select("total", (-F.col("total")).alias("down"), F.lit(1).alias("all"))
+    places = OrderedGroups(ladder, ["all"], ["down"]).with_columns(place=RunningSum(F.lit(1).cast("long")))
+    placed = totals.join(places.select("total", "place"), "total").select("product_id", "place")
     return running.join(placed, "product_id").select(
         "product_id", "moved_at", cents(F.col("m")).alias("margin"),
         cents(F.col("running")).alias("running_margin"), "place")

@@ -366,8 +366,8 @@ def _(r):
     cells = F.when(even, F.array(code, words, q, price, price)).otherwise(
         F.array(words, q, F.concat(F.lit("ab-"), "l_partkey"), price, price))
     rows = r.table("lineitem").select(F.col("l_orderkey").alias("table_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", cells.alias("cells"))
-    numbered = row_numbers(rows, ["table_id"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
-    profiles = projections.column_profiles(numbered.select("table_id", (F.col("pos") - 1).alias("row_no"), "cells"))
+    first = projections.first_rows(rows, ["table_id"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], 5)
+    profiles = projections.column_profiles(first.select("table_id", F.col("row_no"), "cells"))
     return projections.infer_roles(profiles)
 
 
@@ -480,7 +480,7 @@ def _(r):
     items = numbered_items(r).select(
         F.col("invoice_id").alias("doc_id"), "pos", "sku", "quantity", "unit_price",
         F.when(F.col("part_id") % 3 == 0, -cents(F.col("total") / 10)).otherwise(F.col("total")).alias("total"))
-    merged = extract.merge_negative(items)
+    merged = extract.merge_negative(items, measure=doc_keys(r))
     return merged.select("doc_id", "pos", "sku", "quantity", "total", F.col("lines"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType
 
 from costloom.functions import numbers, text
 from costloom.operators import layout
-from costloom.plans.extraction import DOC_LINES, NUMBERED, doc_lines, numbered_items
+from costloom.plans.extraction import DOC_LINES, NUMBERED, doc_keys, doc_lines, numbered_items
 from costloom.plans.registry import query
 from costloom.plans.roles import ITEM_ORDER, ITEMS, LEDGER, SALES, with_roles
 from costloom.sources.documents import electronic_invoices, parse_ledger
@@ -94,7 +94,7 @@ def _(r):
         F.col("invoice_id").alias("doc_id"), F.lit(1).alias("page"), (pos * 14.0 + F.when(pos > 4, 20).otherwise(0)).alias("y"),
         F.when(pos % 3 == 0, F.col("quantity")).alias("quantity"), F.when(pos % 3 == 1, F.col("unit_price")).alias("unit_price"),
         F.when(pos % 3 == 2, F.col("total")).alias("total"))
-    return layout.fill_from_below(rows, ["quantity", "unit_price", "total"]).drop("page")
+    return layout.fill_from_below(rows, ["quantity", "unit_price", "total"], measure=doc_keys(r)).drop("page")
 
 
 @query("wn_15_anchor_spans", with_roles(DOC_LINES, body="""
@@ -139,7 +139,7 @@ def _(r):
     rows = numbered_items(r).select("invoice_id", "pos", F.inline(stream))
     toks = rows.select(F.col("invoice_id").alias("doc_id"), (F.col("pos") * 1000 + F.col("section") * 100 + F.col("i")).alias("n"),
                        "text", F.col("text").endswith("€").alias("is_price"))
-    return layout.typed_runs(toks).select("doc_id", "j", "unit_price", "quantity", "total")
+    return layout.typed_runs(toks, measure=doc_keys(r)).select("doc_id", "j", "unit_price", "quantity", "total")
 
 
 @query("wn_09_promotions", with_roles(ITEMS, NUMBERED, body="""
@@ -155,7 +155,7 @@ def _(r):
     lines = numbered_items(r).select("invoice_id", "pos", F.inline(F.array(
         row(pos * 3, F.concat(ref, F.lit(" bar")), ref, F.col("quantity") + 9, F.col("total")),
         row(pos * 3 + 1, F.lit("text"), nothing, nothing, nothing), row(pos * 3 + 2, promo, nothing, nothing, nothing))))
-    out = layout.promotions(lines.withColumnRenamed("invoice_id", "doc_id"))
+    out = layout.promotions(lines.withColumnRenamed("invoice_id", "doc_id"), measure=doc_keys(r))
     return out.select("doc_id", "pos", "quantity", (F.round(F.col("total") + 1e-7, 2)).alias("total"))
 
 
