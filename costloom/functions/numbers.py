@@ -51,7 +51,10 @@ def _comma_last(text: Column) -> Column:
 
 def unified(text: Column) -> Column:
     """Amount in the mixed style; unreadable or missing text is 0."""
+    return let(text, _unified)
 
+
+def _unified(text: Column) -> Column:
     def dotted(s: Column) -> Column:
         both = _has(s, ",") & _has(s, ".")
         comma_is_decimal = _one_comma(s) & (F.length(_after_comma(s)) != 3)
@@ -78,7 +81,8 @@ def unified(text: Column) -> Column:
 
     # The two commonest spellings need no cleaning.
     return (
-        F.when(text.rlike(r"^-?\d+(\.\d+)?$"), text.try_cast("double"))
+        F.when(text.isNull(), 0.0)
+        .when(text.rlike(r"^-?\d+(\.\d+)?$"), text.try_cast("double"))
         .when(text.rlike(r"^\d{1,5},(\d{1,2}|\d{4,9})$"), _swap_comma(text).try_cast("double"))
         .otherwise(let(_drop(_strip(_drop(text, UNIFIED_MARKS)), INVISIBLE), read))
     )

@@ -174,13 +174,13 @@ WHERE description NOT IN ('ups', 'zone') AND NOT regexp_matches(description, 'sh
 @query("sc_23_region_pattern_items", "WITH " + PROSE)
 def _(r):
     """Rows matched anywhere in the region; both patterns' rows are kept."""
-    docs = r.table("documents").select("doc_id", F.col("lang").alias("vendor"), "text")
+    docs = r.spread("documents").select("doc_id", F.col("lang").alias("vendor"), "text")
     return extract.region_items(docs, rules(r)).select("doc_id", "variant", "description", "sku")
 
 
 @query("st_02_primary_and_alternate", "WITH " + PROSE.replace("SELECT doc_id, variant, description, sku FROM found", "SELECT doc_id, count(*) FILTER (variant = 1) AS primary_rows, count(*) FILTER (variant = 2) AS alternate_rows FROM found") + " GROUP BY doc_id")
 def _(r):
-    docs = r.table("documents").select("doc_id", F.col("lang").alias("vendor"), "text")
+    docs = r.spread("documents").select("doc_id", F.col("lang").alias("vendor"), "text")
     return extract.region_items(docs, rules(r)).groupBy("doc_id").agg(
         F.count_if(F.col("variant") == 1).alias("primary_rows"), F.count_if(F.col("variant") == 2).alias("alternate_rows"))
 
@@ -285,7 +285,7 @@ def _(r):
     """Amounts and summary words in the code column are not items."""
     k = F.col("part_id") % 4
     sku = F.when(k == 0, "1.234,56").when(k == 1, "Gross amount").otherwise(F.concat(F.lit("C"), "part_id"))
-    rows = r.items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), sku.alias("sku"),
+    rows = r.spread_items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), sku.alias("sku"),
                           F.lit("1").alias("quantity"), F.lit("1,00").alias("unit_price"), F.lit("1,00").alias("total"))
     return extract.packed_items(rows).select("invoice_id", "line_no", "supplier_id", "part_id", F.col("line").alias("total"), "sku")
 
@@ -301,7 +301,7 @@ def tables(r):
     n = F.col("line_no")
     headers = (F.when(n % 3 == 1, arr("Pos", "Artikel Nr", "MENGE", "Preis", "Total")).when(n == 5, arr("x", "y"))
                .otherwise(arr("1", "Bar", "2", "3", "4")))
-    return r.items.groupBy(F.col("invoice_id").alias("doc_id"), "line_no").agg((F.count(F.lit(1)) + 1).alias("n_rows")).select(
+    return r.spread_items.groupBy(F.col("invoice_id").alias("doc_id"), "line_no").agg((F.count(F.lit(1)) + 1).alias("n_rows")).select(
         "doc_id", n.alias("table_no"), "n_rows", headers.alias("headers"), arr("artikel", "menge", "kuchen").alias("keywords"),
         F.lit(6).alias("n_columns"), F.lit(0).alias("min_columns"))
 
@@ -383,7 +383,7 @@ def grid_rows(r):
     column = lambda name, i, kind: F.struct(F.lit(name).alias("name"), F.lit(i).alias("index"), F.lit(kind).alias("type"))
     columns = F.array(column("position", 0, "string"), column("sku", 1, "string"), column("description", 2, "string"),
                       column("quantity", 3, "number"), column("unit_price", 4, "number"), column("total", 5, "number"))
-    return r.items.select(*["invoice_id", "line_no", "supplier_id", "part_id"], F.col("total").alias("line"), cells.alias("cells"), columns.alias("columns"))
+    return r.spread_items.select(*["invoice_id", "line_no", "supplier_id", "part_id"], F.col("total").alias("line"), cells.alias("cells"), columns.alias("columns"))
 
 
 @query("prj_08_grid_items", with_roles(ITEMS, body="""
@@ -449,7 +449,7 @@ def _(r):
     even = F.col("part_id") % 2 == 0
     totals = F.when(even, F.concat_ws("\n", amount(0, 0.0), F.lit(""), amount(1, 0.0), amount(2, 0.02))).otherwise(
         F.concat_ws("\n", amount(0, 0.0), amount(2, 0.0)))
-    rows = r.items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"),
+    rows = r.spread_items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"),
                           F.lit("K0\n\nK1\nK2 ").alias("sku"), F.concat_ws("\n", q, q + 1, q + 2).alias("quantity"),
                           F.lit("2,50\n2,50\n 2,50").alias("unit_price"), totals.alias("total"))
     return extract.packed_items(rows).select("invoice_id", "line_no", "supplier_id", "part_id", "line", "n", "sku", "quantity", "total")
@@ -460,7 +460,7 @@ SELECT invoice_id, count(*) * 3 AS items, sum(quantity) * 3 + count(*) * 3 AS un
 def _(r):
     """Packed rows unfold to three items each, blanks removed per column."""
     q = F.col("quantity").cast("int")
-    rows = r.items.select("invoice_id", F.lit("K0\n\nK1\nK2 ").alias("sku"), F.concat_ws("\n\n", q, q + 1, q + 2).alias("quantity"),
+    rows = r.spread_items.select("invoice_id", F.lit("K0\n\nK1\nK2 ").alias("sku"), F.concat_ws("\n\n", q, q + 1, q + 2).alias("quantity"),
                           F.lit("1\n1\n1").alias("unit_price"), F.lit("").alias("total"))
     return extract.packed_items(rows).groupBy("invoice_id").agg(F.count(F.lit(1)).alias("items"), F.sum("quantity").alias("units"))
 
@@ -563,7 +563,7 @@ def _(r):
         F.format_number(F.lit(1234.5) + i, 2), F.lit(" €"))
     region = F.array_join(F.transform(F.sequence(F.lit(1), n), record), "\n")
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    rows = r.table("lineitem").select(*keys, F.explode(extract.split_records(region, r"\d+\s+\[\d+\]")).alias("rec"))
+    rows = r.spread("lineitem").select(*keys, F.explode(extract.split_records(region, r"\d+\s+\[\d+\]")).alias("rec"))
     rec = F.replace("rec", F.lit("\n"), F.lit(" "))
     amounts = r"([\d.]+)\s+Units\s+\d+%\s+[\d.]+\s+[\d.]+\s+[\d,.]+\s+€\s+([\d,.]+)\s+€"
     fields = rows.withColumn("rec", rec).select(

@@ -22,7 +22,7 @@ tokens AS (SELECT doc_id, n, n // 200 AS page, CAST(n % 8 * 60 + length(text) %
 def tokens(r):
     """Every word of every document placed on pages of 25 lines with 8 words."""
     n = F.col("n")
-    words = r.table("documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "text")).filter("text <> ''")
+    words = r.spread("documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "text")).filter("text <> ''")
     return words.select(
         "doc_id", n.cast("long").alias("n"), F.floor(n / 200).alias("page"),
         (n % 8 * 60 + F.length("text") % 5).cast("double").alias("x"),
@@ -169,7 +169,7 @@ SELECT invoice_id, line_no, supplier_id, part_id, line, best[1] AS quantity, bes
 def _(r):
     price = F.col("part_id") % 40 + 0.75
     values = F.array(F.round(F.col("total") / 100, 0), F.col("quantity"), price, F.col("quantity") * price, F.lit(21.0))
-    rows = r.items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), values.alias("v"))
+    rows = r.spread_items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), values.alias("v"))
     best = rows.select("*", F.explode(F.array(layout.best_triple_by_error(F.col("v")))).alias("b"))
     return best.select("invoice_id", "line_no", "supplier_id", "part_id", "line", "b.quantity", "b.unit_price", "b.total")
 
@@ -206,7 +206,7 @@ def _(r):
     found = F.array(one(q, F.when(part % 2 == 0, "quantity").otherwise("number"), "12", 10),
                     one(price, F.when(part % 3 == 0, "price").otherwise("number"), "1.5", 20),
                     one(q * price, F.lit("price"), "3.5", 30), one(F.lit(5.0), F.lit("number"), "5", 5))
-    rows = r.items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), found.alias("v"))
+    rows = r.spread_items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), found.alias("v"))
     best = rows.select("*", F.explode(F.array(layout.best_triple_by_score(F.col("v")))).alias("b"))
     return best.select("invoice_id", "line_no", "supplier_id", "part_id", "line", "b.quantity", "b.unit_price", "b.total")
 
@@ -218,7 +218,7 @@ def cell_texts(r):
     cell = (F.when(part % 6 == 0, F.concat(F.lit("Shipping EUR "), (part % 90).cast("string"), F.lit(",75")))
             .when(part % 6 == 1, F.concat(F.lit("Invoice: F-"), part)).when(part % 6 == 2, F.concat(F.lit("dated "), part % 28 + 1, F.lit("/7/2024")))
             .otherwise(F.lit("Bar 99,99")))
-    return r.items.select("invoice_id", F.struct(*ITEM_ORDER).alias("place"), cell.alias("cell"))
+    return r.spread_items.select("invoice_id", F.struct(*ITEM_ORDER).alias("place"), cell.alias("cell"))
 
 
 @query("ag_15_largest_shipping_amount", with_roles(ITEMS, body="""
@@ -300,7 +300,7 @@ def _(r):
                   tag("ram:IssueDateTime", tag("udt:DateTimeString", F.date_format("shipped", "yyyyMMdd")))),
               tag("rsm:SupplyChainTradeTransaction", line(tag("ram:SellerAssignedID", c("part_id")), tag("ram:Name", F.lit("Bar"))),
                   line(tag("ram:Name", F.lit("no code")))))
-    docs = r.items.select(F.concat_ws("-", "invoice_id", "line_no", "supplier_id", "part_id").alias("doc_id"), xml.alias("xml"))
+    docs = r.spread_items.select(F.concat_ws("-", "invoice_id", "line_no", "supplier_id", "part_id").alias("doc_id"), xml.alias("xml"))
     return electronic_invoices(docs).select("doc_id", "invoice_number", "invoice_date", "sku", "quantity", "unit_price", "line_total")
 
 

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costloom.sources.scan import spread
+
 
 class Roles:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -19,11 +21,22 @@ class Roles:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for queries with much work per row."""
+        return spread(self.table(name))
+
     @cached_property
     def items(self) -> DataFrame:
         """Invoice lines; ``ITEM_ORDER`` orders them totally inside an invoice."""
+        return self.items_of(self.table("lineitem"))
+
+    @cached_property
+    def spread_items(self) -> DataFrame:
+        return self.items_of(self.spread("lineitem"))
+
+    def items_of(self, lineitem: DataFrame) -> DataFrame:
         part = F.col("l_partkey")
-        return self.table("lineitem").select(
+        return lineitem.select(
             F.col("l_orderkey").alias("invoice_id"),
             F.col("l_suppkey").alias("supplier_id"),
             part.alias("part_id"),

@@ -29,7 +29,7 @@ def number_texts(r):
     ]
     k = (F.col("l_partkey") + F.col("l_linenumber")) % 9
     spelling = F.coalesce(*[F.when(k == i, s) for i, s in enumerate(spelled)])
-    return r.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", spelling.alias("spelling"))
+    return r.spread("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", spelling.alias("spelling"))
 
 
 def _numbers(r, style):
@@ -220,7 +220,7 @@ def packed_rows(r):
     """Table rows whose cells hold one line per item; the amount cell may be short."""
     n, part = F.col("l_linenumber"), F.col("l_partkey")
     lines = lambda size, fn: F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(1), size), fn), "\n")).otherwise("")
-    return r.table("lineitem").select(
+    return r.spread("lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         lines(n, lambda i: F.concat(F.lit("IAF"), part, i)).alias("sku"),
         lines(n, lambda i: F.concat(F.lit("Item "), i)).alias("description"),
