@@ -31,15 +31,22 @@ def _match(text: Column, pattern: Column, group) -> Column:
     return F.call_function("regexp_extract", text, pattern, group)
 
 
-def prepared(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Documents with their vendor's rule; doubled text is repaired where asked.
+# A rule list has one row per vendor.  Up to this many it is broadcast, a longer
+# one is joined like any other table.
+MAX_BROADCAST_RULES = 10_000
 
-    The rule list is one row per vendor; Spark broadcasts it as long as its size
-    allows and shuffles by vendor otherwise.
-    """
-    both = docs.withColumn("vendor", F.lower(F.trim("vendor"))).join(rules, "vendor")
+
+def with_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Documents (or lines) with the columns of their vendor's rule."""
+    few = rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
+    return docs.withColumn("vendor", F.lower(F.trim("vendor"))).join(
+        F.broadcast(rules) if few else rules, "vendor")
+
+
+def prepared(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Documents with their rule; doubled text is repaired where it asks for it."""
     repaired = F.when(F.col("preprocess") == "deduplicate", undouble(F.col("text"))).otherwise(F.col("text"))
-    return both.withColumn("text", repaired)
+    return with_rules(docs, rules).withColumn("text", repaired)
 
 
 def _once(value: Column) -> Column:
@@ -86,17 +93,21 @@ def table_state() -> LastValue:
 def with_marks(lines: DataFrame) -> DataFrame:
     opens = F.col("start_marker").isNotNull() & _found("text", "start_marker")
     closes = ~opens & F.col("end_marker").isNotNull() & _found("text", "end_marker")
-    return lines.withColumn("_mark", F.when(opens, 1).when(closes, 0))
+    return lines.withColumns({"_mark": F.when(opens, 1).when(closes, 0), "_open": F.col("start_marker").isNull()})
 
 
 def inside_table(lines: DataFrame) -> DataFrame:
     state = F.coalesce(F.col("_state"), F.lit(0)) == 1
-    inside = F.col("_mark").isNull() & (state | F.col("start_marker").isNull())
-    return lines.filter(inside).drop("_mark", "_state")
+    return lines.filter(F.col("_mark").isNull() & (state | F.col("_open"))).drop("_mark", "_state", "_open")
 
 
 def _found(text: str, pattern: str) -> Column:
-    return F.coalesce(F.expr(f"{text} rlike concat('(?i)', {pattern})"), F.lit(False))
+    """The pattern of the row's rule occurs in the text, whatever the case.
+
+    ``regexp_instr`` keeps a compiled pattern as long as it does not change from
+    row to row; ``rlike`` would compile a pattern column for every row.
+    """
+    return F.coalesce(F.expr(f"regexp_instr({text}, concat('(?i)', {pattern})) > 0"), F.lit(False))
 
 
 def _cells(text: Column, pattern: Column, columns: Column) -> Column:
@@ -136,7 +147,7 @@ def row_items(lines: DataFrame) -> DataFrame:
         lines = lines.withColumn("_code", F.lit(None).cast("string"))
     valid = F.col("row_validator").isNull() | _found("text", "row_validator")
     hits = lines.withColumn("text", F.trim("text")).filter(
-        F.col("_code").isNotNull() | (F.expr("text rlike row_pattern") & valid))
+        F.col("_code").isNotNull() | (F.expr("regexp_instr(text, row_pattern) > 0") & valid))
     cells = F.when(F.col("_code").isNull(), _cells(F.col("text"), F.col("row_pattern"), F.col("columns")))
     keep = [c for c in ITEM_FLAGS if c in lines.columns]
     return hits.select(*keep, _once(cells).alias("_cells")).select(*keep, *item_columns(F.col("_cells")))
@@ -212,11 +223,13 @@ def text_items(docs: DataFrame, rules: DataFrame, max_rows: int | None = None,
     two-line items and codes on later lines all look along the same order, so the
     lines are partitioned by document once and stay there to the end.
     """
-    ruled = prepared(docs, rules.filter("strategy = 'text_regex'"))
+    rules = rules.filter("strategy = 'text_regex'")
     code = F.nullif(F.regexp_extract("text", CODE_LINE, 1), F.lit(""))
-    seq = OrderedGroups(with_marks(ruled), ["doc_id"], ["line_no"], max_rows, measure)
+    # Only the marks travel with the lines; the rest of the rule joins again later.
+    marked = with_marks(prepared(docs, rules)).select("doc_id", "vendor", "line_no", "text", "_mark", "_open")
+    seq = OrderedGroups(marked, ["doc_id"], ["line_no"], max_rows, measure)
     lines = inside_table(seq.with_columns(keep_run=True, _state=table_state())).withColumn("_code", code)
-    rows = row_items(lines).withColumn("_kind", line_kind())
+    rows = row_items(with_rules(lines, rules)).withColumn("_kind", line_kind())
     half = F.when(F.col("_kind").isin("head", "tail"), F.struct(F.col("_kind").alias("kind"), "sku", "description"))
     seq = seq.resume(rows)
     merged = merge_two_lines(seq.with_columns(keep_run=True, _before=LastValue(half, inclusive=False)))
