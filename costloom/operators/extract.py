@@ -14,6 +14,7 @@ from costloom.functions.dates import normalize_date
 from costloom.functions.falsy import let
 from costloom.functions.numbers import as_text, unified
 from costloom.functions.text import tidy_lines, undouble
+from costloom.operators.keyed import join_on_key
 from costloom.operators.ordered import RUN, LastValue, OrderedGroups, RunningMax, RunningSum
 
 # Words that mark shipping, footer and promotion rows.
@@ -32,15 +33,15 @@ def _match(text: Column, pattern: Column, group) -> Column:
 
 
 # A rule list has one row per vendor.  Up to this many it is broadcast, a longer
-# one is joined like any other table.
+# one is joined by key with vendors of very many documents spread.
 MAX_BROADCAST_RULES = 10_000
 
 
 def with_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """Documents (or lines) with the columns of their vendor's rule."""
     few = rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
-    return docs.withColumn("vendor", F.lower(F.trim("vendor"))).join(
-        F.broadcast(rules) if few else rules, "vendor")
+    docs = docs.withColumn("vendor", F.lower(F.trim("vendor")))
+    return docs.join(F.broadcast(rules), "vendor") if few else join_on_key(docs, rules, ["vendor"], "inner")
 
 
 def prepared(docs: DataFrame, rules: DataFrame) -> DataFrame:

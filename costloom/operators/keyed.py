@@ -67,3 +67,13 @@ def join_on_key(facts: DataFrame, per_key: DataFrame, keys: Sequence[str],
         per_key.join(hot, keys, "left").withColumn("_share", F.explode(shares)).drop("_copies")
     )
     return facts.join(copies, [*keys, "_share"], how).drop("_share")
+
+
+def rows_with_key(facts: DataFrame, wanted: DataFrame, keys: Sequence[str], present: bool = True,
+                  measure: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
+    """Facts whose key is (or with ``present=False`` is not) among ``wanted``."""
+    once = wanted.select(*keys).distinct().withColumn("_wanted", F.lit(True))
+    marked = join_on_key(facts, once, keys, "inner" if present else "left", measure, max_rows)
+    if not present:
+        marked = marked.filter(F.col("_wanted").isNull())
+    return marked.select(*facts.columns)

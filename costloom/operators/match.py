@@ -103,10 +103,13 @@ def validate_mappings(batch: DataFrame, products: DataFrame, aliases: DataFrame)
     later repeats of the pair are errors like pairs that existed before.
     """
     known = products.select("sku_internal", "product_id")
-    existing = aliases.select("sku", "product_id").distinct().withColumn("exists", F.lit(True))
+    existing = (
+        aliases.select("sku", "product_id").distinct().join(known, "product_id")
+        .select("sku", "sku_internal", F.lit(True).alias("exists"))
+    )
     first = batch.groupBy("sku_internal", "sku").agg(F.min("row").alias("first_row"))
     checked = join_on_key(batch, known, ["sku_internal"])
-    checked = checked.join(existing, ["sku", "product_id"], "left")
+    checked = join_on_key(checked, existing, ["sku_internal", "sku"], measure=batch)
     checked = join_on_key(checked, first, ["sku_internal", "sku"], measure=batch)
     repeat = F.col("exists").isNotNull() | (F.col("row") > F.col("first_row"))
     error = (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costloom.operators.allocate import adaptive_total, money
+from costloom.operators.keyed import join_on_key
 
 REQUIRED_KEYS = ["vendor", "customer", "order_items", "totals", "metadata"]
 
@@ -101,7 +102,7 @@ def reconcile(invoices: DataFrame, many_items: int = 50) -> DataFrame:
 def vendor_line_checks(items: DataFrame, rules: DataFrame) -> DataFrame:
     """Strict per-vendor checks: each vendor brings a tolerance and the checks it
     wants.  ``rules``: vendor, line_tolerance, needs_sku, needs_description."""
-    priced = items.join(rules, "vendor")
+    priced = join_on_key(items, rules, ["vendor"], "inner")
     off = F.abs(F.col("quantity") * F.col("unit_price") - F.col("total")) > F.col("line_tolerance")
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
     return priced.withColumn("issues", F.array_compact(F.array(

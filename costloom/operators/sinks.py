@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costloom.operators.keyed import rows_with_key
+
 
 def cell_updates(updates: DataFrame, tab: str = "Sheet1") -> DataFrame:
     """Register updates as single cell writes, in column order L, H, I, J, K, G.
@@ -33,7 +35,7 @@ def insert_invoices(invoices: DataFrame, items: DataFrame, at: Column) -> dict[s
     """New parents, their children and one upload log per parent."""
     logs = invoices.select("invoice_id", F.lit("UPLOAD").alias("type"), F.lit("SUCCESS").alias("status"),
                            F.lit("Invoice uploaded").alias("message"), at.alias("created_at"))
-    children = items.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
+    children = rows_with_key(items, invoices, ["invoice_id"])
     return {"invoices": invoices, "items": children, "logs": logs}
 
 
@@ -58,13 +60,12 @@ def update_invoices(invoices: DataFrame, changes: DataFrame) -> DataFrame:
 
 def replace_children(items: DataFrame, new_items: DataFrame) -> DataFrame:
     """All lines of every invoice in ``new_items`` replaced by the new ones."""
-    touched = new_items.select("invoice_id").distinct()
-    return items.join(touched, "invoice_id", "left_anti").select(*items.columns).unionByName(new_items)
+    return rows_with_key(items, new_items, ["invoice_id"], present=False).unionByName(new_items)
 
 
 def drop_children(items: DataFrame, invoices: DataFrame) -> DataFrame:
     """Lines without those of the given invoices (before they are parsed again)."""
-    return items.join(invoices.select("invoice_id").distinct(), "invoice_id", "left_anti").select(*items.columns)
+    return rows_with_key(items, invoices, ["invoice_id"], present=False)
 
 
 def append(df: DataFrame, path: str) -> None:

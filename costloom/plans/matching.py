@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from costloom.functions.text import normalize_sku
 from costloom.operators import cost, match, quality
-from costloom.operators.keyed import join_on_key
+from costloom.operators.keyed import join_on_key, rows_with_key
 from costloom.plans.costing import CHECKED, FREIGHT, KEYS, ROLES
 from costloom.plans.registry import query
 from costloom.plans.roles import (ALIASES, INVOICES, ITEM_ORDER, ITEMS, LEDGER, PRODUCTS, SUPPLIERS,
@@ -195,15 +195,13 @@ def _(r):
 @query("jn_17_unmapped_items", with_roles(ITEMS, ALIASES, body=f"""
 SELECT {LINE_SQL}, sku FROM items i WHERE NOT EXISTS (SELECT 1 FROM aliases a WHERE a.sku = i.sku AND trim(a.sku) <> '')"""))
 def _(r):
-    return r.items.select(*LINE, "sku").join(
-        r.aliases.filter(F.trim("sku") != "").select("sku"), "sku", "left_anti").select(*LINE, "sku")
+    return rows_with_key(r.items.select(*LINE, "sku"), r.aliases.filter(F.trim("sku") != ""), ["sku"], present=False)
 
 
 @query("jn_17_mapped_items", with_roles(ITEMS, ALIASES, body=f"""
 SELECT {LINE_SQL}, sku FROM items i WHERE EXISTS (SELECT 1 FROM aliases a WHERE a.sku = i.sku AND trim(a.sku) <> '')"""))
 def _(r):
-    return r.items.select(*LINE, "sku").join(
-        r.aliases.filter(F.trim("sku") != "").select("sku"), "sku", "left_semi").select(*LINE, "sku")
+    return rows_with_key(r.items.select(*LINE, "sku"), r.aliases.filter(F.trim("sku") != ""), ["sku"])
 
 
 @query("jn_19_alias_arrays", with_roles(PRODUCTS, ALIASES, body="""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costloom.operators.extract import region_items
+from costloom.operators.keyed import join_on_key
 from costloom.sources.documents import lines_of
 from costloom.streaming.tables import drain, write_batch
 
@@ -51,4 +52,5 @@ def upsert_invoices(docs: DataFrame, rules: DataFrame, folder: str) -> None:
 def current_items(spark: SparkSession, folder: str) -> DataFrame:
     """Items of the latest processing of every document."""
     newest = spark.read.parquet(f"{folder}/status").groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{folder}/items").join(newest, ["doc_id", "batch"]).drop("batch")
+    items = spark.read.parquet(f"{folder}/items")
+    return join_on_key(items, newest, ["doc_id", "batch"], "inner").drop("batch")

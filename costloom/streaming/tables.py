@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costloom.operators.keyed import join_on_key
 from costloom.session import ensure_checkpoint_dir
 
 
@@ -34,7 +35,7 @@ def latest_rows(spark: SparkSession, table: str, key: str) -> DataFrame:
     """Per key the rows its latest batch wrote."""
     rows = spark.read.parquet(table)
     newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [key, "batch"])
+    return join_on_key(rows, newest, [key, "batch"], "inner")
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], folder: str,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costloom.operators import cost, extract, layout
-from costloom.operators.keyed import hot_keys, join_on_key
+from costloom.operators.keyed import hot_keys, join_on_key, rows_with_key
 from costloom.operators.ordered import (Lag, LastValue, Lead, NextValue, OrderedGroups, RunningMax, RunningSum,
                                         row_numbers)
 from costloom.plans.costing import MOVE_ORDER, purchase_costs, stock_moves
@@ -81,6 +81,14 @@ def test_spread_join(spark, skewed, how):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("present", [True, False])
+def test_spread_filter(spark, skewed, present):
+    wanted = spark.createDataFrame([("hot",), ("k3",), ("k3",)], "k string")
+    got = rows_with_key(skewed, wanted, ["k"], present, max_rows=200)
+    assert sorted(map(str, got.collect())) == sorted(map(str, skewed.join(
+        wanted, "k", "left_semi" if present else "left_anti").collect()))
+
+
 def same(a, b):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
