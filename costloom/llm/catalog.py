@@ -1,4 +1,15 @@
 """Imports every operator module so that its query is registered."""
 
-from costloom.llm import simhash  # noqa: F401
+from costloom.llm import (  # noqa: F401
+    decontaminate,
+    langid,
+    linehash,
+    media,
+    mixing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+)
 from costloom.llm.registry import ORACLES, QUERIES  # noqa: F401
