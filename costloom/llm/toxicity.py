@@ -39,7 +39,7 @@ from costloom.llm.registry import query
 
 SAMPLE = 20_000       # labelled documents to learn from, at most
 PRIOR = 1000.0        # weight of the Dirichlet prior, in tokens
-LEAST_Z = 4.0
+LEAST_Z = 3.0
 REST = -0.3           # score of a token that tells nothing
 TERMS = 200_000       # tokens in the model, at most: those with the largest z
 SIGNIFICANT = 0.05
