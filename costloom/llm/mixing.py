@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costloom.llm.common import SPACE, staged, table
@@ -78,21 +78,25 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     return share_out(listed, [], "total", "weight", "source_size", most).select("source", "source_no", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, damping: float = DAMPING,
-        columns: Sequence[str] = ()) -> DataFrame:
+def draw(doc_id: Column, text: Column) -> Column:
+    """A uniform number in (0, 1) that a document's doc_id and text decide."""
+    name = F.concat_ws("|", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    return (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, damping: float = DAMPING) -> DataFrame:
     """Every row of ``docs`` with how often the mix takes it.
 
-    Returns ``doc_id``, ``size`` (words), ``source_size``, ``target`` (the source's
-    words, and those wanted), ``copies`` (0 to ``most``) and ``taken`` (words), and
-    ``columns`` of ``docs`` besides.  A null text has size 0 and, like every text
-    without a word, gets no copy.  A null source is a source of its own, the last.
-    Rows that repeat doc_id and text are ranked one after another; equal ranks go
-    by doc_id.  Names in ``columns`` may not be any of the columns above.
+    Returns ``doc_id``, ``source``, ``draw`` (the document's random number), ``size``
+    (words), ``source_size``, ``target`` (the source's words, and those wanted),
+    ``copies`` (0 to ``most``) and ``taken`` (words).  A null text has size 0 and, like
+    every text without a word, gets no copy.  A null source is a source of its own,
+    the last.  Equal ranks go by doc_id, then size; rows equal in doc_id, source and
+    text are taken alike.  Other columns aren't read.  No rows give no rows.
     """
     text = F.col("text").cast("string")
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))), 1, 13), 16, 10)
-    u = (draw.cast("double") + 0.5) / float(1 << 52)
-    sized = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), u.alias("u"), *columns))
+    sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+                               word_count(text).alias("size"), draw(F.col("doc_id"), text).alias("draw")))
     by_source = staged(source_targets(sized, weights, most))
     length_class = F.floor(F.log2(F.col("size") + 0.5)).cast("int")
 
@@ -110,16 +114,25 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     whole = F.floor(F.coalesce("expected", F.lit(0.0)) + 1e-9)
     rows = rows.withColumn("whole", F.when(F.col("size") > 0, F.least(whole, F.lit(most))).otherwise(0).cast("long"))
     p = F.greatest(F.coalesce("expected", F.lit(0.0)) - F.col("whole"), F.lit(0.0))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    odds = (F.col("draw") / (1 - F.col("draw"))) / (F.col("p") / (1 - F.col("p")))
     # odds / (1 + odds) keeps the order and lies between 0 and 1.
     rows = rows.withColumn("p", p).withColumn("rank", F.when((F.col("size") > 0) & (F.col("p") > 1e-9), odds / (1 + odds)))
-    rows = staged(rows.drop("u", "p", "expected"))
-
-    rows = rows.withColumn("more", F.lit(0).cast("long"))
+    rows = staged(rows.drop("p", "expected").withColumn("more", F.lit(0).cast("long")))
     for last, part in zip(range(FILLS, -1, -1), (1.0, *[0.5] * FILLS)):
         rows = staged(_take(rows, part, nearest=last == 0))
     copies = F.col("whole") + F.col("more")
-    return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *columns)
+    return rows.select("doc_id", "source", "draw", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, each as often as ``mixed`` (from ``mix``) says."""
+    names = ["_costloom_doc", "_costloom_source", "_costloom_draw"]
+    wanted = mixed.filter("copies > 0").select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "source", "draw"), names)], F.col("copies").alias("_costloom_copies"))
+    text = F.col("text").cast("string")
+    same = (F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & F.col("source").cast("string").eqNullSafe(F.col(names[1]))
+            & (draw(F.col("doc_id"), text) == F.col(names[2])))
+    taken = docs.join(wanted.distinct(), same)
+    return taken.withColumn("_costloom_copy", F.explode(F.sequence(F.lit(1), F.col("_costloom_copies").cast("int")))).select(*docs.columns)
 
 
 def _take(rows: DataFrame, part: float, nearest: bool) -> DataFrame:
@@ -147,8 +160,10 @@ def _take(rows: DataFrame, part: float, nearest: bool) -> DataFrame:
     below = F.col("bin").isNotNull() & F.coalesce((F.col("bin") < F.col("cut_bin")) | (in_bin & (F.col("fine") < F.col("cut_fine"))), F.col("cut_bin").isNull())
     marked = marked.withColumn("at_cut", at_cut).withColumn("below", below)
     order = Window.partitionBy("source_no").orderBy("rank", "doc_id", "size")
-    edge = marked.filter("at_cut").withColumn("through", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    counted = F.col("through") - (F.col("size") / 2.0 if nearest else 0.0)
+    # The sum takes in all rows of the same rank, doc_id and size: repeated rows come in together.
+    edge = marked.filter("at_cut").withColumn("through", F.sum("size").over(order))
+    peers = F.sum("size").over(Window.partitionBy("source_no", "rank", "doc_id", "size"))
+    counted = F.col("through") - (peers / 2.0 if nearest else 0.0)
     edge = edge.withColumn("more", (counted <= F.col("cut_need")).cast("long")).drop("through")
     rest = marked.filter("NOT at_cut").withColumn("more", F.when(F.col("below"), F.lit(1)).otherwise(F.col("more")).cast("long"))
     return edge.unionByName(rest).select(*rows.columns)
@@ -170,4 +185,4 @@ def _cut(bins: DataFrame, need: DataFrame, name: str) -> DataFrame:
 def op4_mix_sources(spark, sf_dir):
     """Words the mix takes of every document, with sources weighing 5, 2, 1 in turn."""
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")

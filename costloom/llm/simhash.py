@@ -66,16 +66,16 @@ def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row of ``docs``."""
+    """``doc_id``, ``text_hash`` and ``fp`` (the 64 bits as a signed long) of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, words_in_shingle) for t in utf8(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_texts(spread(plain), run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+    return map_texts(spread(plain), run, "doc_id long, text_hash long, fp long")
 
 
 # Golay code
@@ -262,6 +262,20 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _classes(docs: DataFrame, words_in_shingle: int = 3, block: int = BLOCK) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``fp``, ``class`` (its smallest fingerprint) and ``component_id`` of every row."""
+    prints = staged(fingerprints(docs, words_in_shingle))
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    stars = staged(components(links(distinct, block)))
+    linked = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    members = linked.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "first_doc")
+    smallest = members.groupBy("root").agg(F.min("first_doc").alias("smallest"))
+    named = members.join(smallest, "root").select(F.col("node").alias("fp"), "root", "smallest")
+    classes = staged(distinct.join(named, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("class"), F.coalesce("smallest", "first_doc").alias("component_id")))
+    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "class", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, block: int = BLOCK) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` for every row of ``docs``.
 
@@ -271,15 +285,28 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, block: int = BLO
     stays null and names no component unless all of its members have none (null).
     Other columns of ``docs`` are not read.  No rows give no rows.
     """
-    prints = staged(fingerprints(docs, words_in_shingle))
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    stars = staged(components(links(distinct, block)))
-    linked = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    members = linked.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "first_doc")
-    smallest = members.groupBy("root").agg(F.min("first_doc").alias("smallest"))
-    named = members.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
-    classes = staged(distinct.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first_doc").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return _classes(docs, words_in_shingle, block).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
+    """Rows of ``docs``, all columns, one of each class of near-duplicates.
+
+    The row with the smallest doc_id stays (null last), of equals that with the
+    smallest text hash, and of rows equal in both one.
+    """
+    found = staged(_classes(docs, words_in_shingle))
+    last = F.lit((1 << 63) - 1)
+    identity = found.groupBy("class", F.coalesce("doc_id", last).alias("id"), "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    identity = staged(identity)
+    smallest = identity.groupBy("class").agg(F.min("id").alias("id"))
+    first = identity.join(smallest, ["class", "id"]).groupBy("class", "id").agg(F.min("text_hash").alias("text_hash"))
+    first = first.withColumn("stays", F.lit(True))
+    judged = identity.join(first, ["class", "id", "text_hash"], "left")
+    judged = staged(judged.filter("stays IS NULL OR rows > 1").select(F.col("id").alias("_costloom_id"), F.col("text_hash").alias("_costloom_text"), "stays"))
+    same = (F.coalesce(F.col("doc_id").cast("long"), last) == F.col("_costloom_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_costloom_text"))
+    once = docs.join(judged.drop("stays"), same, "left_anti")
+    repeated = docs.join(judged.filter("stays"), same).select(*docs.columns, "_costloom_id", "_costloom_text")
+    return once.unionByName(repeated.dropDuplicates(["_costloom_id", "_costloom_text"]).select(*docs.columns))
 
 
 @query("op3_simhash_near_dedup")
