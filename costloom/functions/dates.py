@@ -15,7 +15,7 @@ MONTHS = {
     "06": ["june", "juni", "juin", "jun"],
     "07": ["july", "juli", "juillet", "jul"],
     "08": ["august", "augustus", "août", "aout", "aug"],
-    "09": ["september", "septembre", "sep"],
+    "09": ["september", "septembre", "sept", "sep"],
     "10": ["october", "oktober", "octobre", "oct", "okt"],
     "11": ["november", "novembre", "nov"],
     "12": ["december", "décembre", "decembre", "dec"],
@@ -26,11 +26,12 @@ def normalize_date(text: Column) -> Column:
     """ISO text from day-month-year, year-first or month-name dates.
 
     The four-digit side is the year; a two-digit year is put in this century.
-    The calendar is not checked, so "31-02-2024" passes through.
+    The calendar is not checked, so "31-02-2024" passes through.  Month names count
+    as whole words only, so a weekday ("mardi") is no month.
     """
     s = F.lower(F.trim(text))
     for number, names in MONTHS.items():
-        s = F.regexp_replace(s, "|".join(names), number)
+        s = F.regexp_replace(s, r"(?<!\p{L})(?:" + "|".join(names) + r")(?!\p{L})", number)
     s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\d\-/.]", " "), r"\s+", " "))
 
     def two(x: Column) -> Column:

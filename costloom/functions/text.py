@@ -190,3 +190,9 @@ def valid_upload(name: Column, mime: Column, size: Column, limit: int = 10 * 102
     """A PDF by type or extension, not larger than ``limit``, named ``*.pdf``."""
     extension = F.lower(name).endswith(".pdf")
     return (F.contains(mime, F.lit("pdf")) | extension) & (size <= limit) & extension
+
+
+def line_pairs(lines: Column) -> Column:
+    """Lines joined two by two with a blank; an odd last line stays alone."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(2))
+    return F.when(F.size(lines) > 0, F.transform(starts, lambda i: F.array_join(F.slice(lines, i + 1, 2), " ")))

@@ -156,9 +156,31 @@ def adaptive_total(items: Column, shipping: Column, discount: Column, tax: Colum
 
 
 def complete_two_of_three(quantity: Column, price: Column, total: Column):
-    """(quantity, price, total) with the missing one of price / total derived.
+    """(quantity, price, total) with the missing one of price / total derived from the
+    quantity as it is printed.
 
-    A quantity within 0.1 of an integer becomes that integer.
+    The quantity itself becomes whole: the nearest integer within 0.1, else cut.
     """
-    q = F.when(F.abs(quantity - F.round(quantity)) < 0.1, F.round(quantity)).otherwise(quantity)
-    return (q, F.coalesce(price, F.try_divide(total, q)), F.coalesce(total, q * price))
+    near = F.abs(quantity - F.round(quantity)) < 0.1
+    whole = F.when(near, F.round(quantity)).otherwise(F.floor(quantity)).cast("long")
+    return whole, F.coalesce(price, F.try_divide(total, quantity)), F.coalesce(total, quantity * price)
+
+
+def price_and_total(quantity: Column, amounts: Column) -> tuple[Column, Column]:
+    """(unit price, total) of the amounts a line prints: the last two, and a single
+    one is the unit price."""
+    n = F.size(amounts)
+    last = F.get(amounts, n - 1)
+    return F.when(n >= 2, F.get(amounts, n - 2)).otherwise(last), F.when(n >= 2, last).otherwise(quantity * last)
+
+
+def declared_total(candidates: list[Column], items: Column, shipping: Column) -> Column:
+    """The first candidate that is not below the lines; else lines and shipping."""
+    return F.coalesce(*[F.when(c >= items, c) for c in candidates], items + shipping)
+
+
+def totals_by_precedence(text_subtotal: Column, text_total: Column, vat: Column, items: Column) -> tuple[Column, Column]:
+    """(subtotal, total): amounts read from the text win when positive; else the lines,
+    and the subtotal plus VAT where that is known."""
+    subtotal = F.coalesce(F.when(text_subtotal > 0, text_subtotal), items)
+    return subtotal, F.when(text_total > 0, text_total).when(vat > 0, subtotal + vat).otherwise(subtotal)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +11,7 @@ from costloom.functions.falsy import finite, first_truthy
 from costloom.functions.text import normalize_sku
 from costloom.operators.allocate import PRECISE
 from costloom.operators.keyed import join_on_key
-from costloom.operators.match import match_ledger
+from costloom.operators.match import ledger_keys, match_ledger
 from costloom.operators.ordered import RUN, Lag, LastValue, OrderedGroups, RunningMax, RunningSum
 
 
@@ -119,11 +119,18 @@ def _register_columns(history: DataFrame) -> DataFrame:
         cmp_value(qty_prev, price_prev, F.col("qty_in"), F.col("price_new")).alias("cmp"))
 
 
+def ledger_rows(items: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``row_index`` of every item that the register names: one row may take the items
+    of many SKUs, so groups are measured by row and not by SKU."""
+    keys = ledger_keys(ledger.select("row_index", "supplier_skus")).filter("hits = 1").select("match_sku", F.col("row.row_index").alias("row_index"))
+    return items.select(normalize_sku(F.col("sku")).alias("match_sku")).join(keys, "match_sku").select("row_index")
+
+
 def cmp_history(items, invoices, ledger, item_order, max_rows=None) -> DataFrame:
     """Register row after every arrival.  One arrival only needs the one before
     it, so the history is a lag, not a recursion."""
     seq = OrderedGroups(arrivals(items, invoices, ledger, item_order), ["row_index"], ARRIVAL_ORDER,
-                        max_rows, measure=items.select(normalize_sku(F.col("sku")).alias("key")))
+                        max_rows, measure=lambda share: ledger_rows(items.sample(share, seed=11) if share < 1 else items, ledger))
     state = F.struct(F.col("qty_in").alias("qty"), F.col("price_new").alias("price"))
     return _register_columns(seq.with_columns(before=Lag(state)))
 
@@ -147,7 +154,7 @@ def current_cmp(items, invoices, ledger, item_order) -> DataFrame:
 
 
 def perpetual_average(purchases: DataFrame, key: str, order: list[str], max_rows=None,
-                      measure: DataFrame | None = None) -> DataFrame:
+                      measure=None) -> DataFrame:
     """Average cost after each purchase when nothing leaves stock: the running
     value over the running quantity.  Needs ``quantity`` and ``landed_price``."""
     value = (F.col("quantity") * F.col("landed_price")).cast(PRECISE)
@@ -158,7 +165,7 @@ def perpetual_average(purchases: DataFrame, key: str, order: list[str], max_rows
         "average_cost", F.col("stock_value").cast("double") / F.col("stock_qty"))
 
 
-def average_with_sales(moves: DataFrame, key: str, order: list[str], max_rows=None) -> DataFrame:
+def average_with_sales(moves: DataFrame, key: str, order: list[str], max_rows=None, measure=None) -> DataFrame:
     """Average cost after each move when sales take stock out.
 
     ``moves`` has ``change`` (quantity in, or negative out) and ``price`` (null
@@ -169,7 +176,7 @@ def average_with_sales(moves: DataFrame, key: str, order: list[str], max_rows=No
     a row's average is ``keep * (average before its run) + add``.
     """
     bought = F.col("price").isNotNull()
-    seq = OrderedGroups(moves, [key], order, max_rows)
+    seq = OrderedGroups(moves, [key], order, max_rows, measure)
     steps = seq.with_columns(
         keep_run=True,
         stock_before=RunningSum(F.col("change"), inclusive=False),
@@ -209,19 +216,24 @@ def _fold(sorted_steps: DataFrame, parts: list[str], keep_name: str, add_name: s
     def walk(batches):
         current, keep, add = None, 1.0, 0.0
         for pdf in batches:
-            keeps, adds = np.empty(len(pdf)), np.empty(len(pdf))
-            groups = zip(*[pdf[c].to_numpy() for c in parts])
-            for n, (group, k, a) in enumerate(zip(groups, pdf["keep"].to_numpy(), pdf["add"].to_numpy())):
-                if group != current:
-                    current, keep, add = group, 1.0, 0.0
-                keep, add = keep * k, add * k + a
-                keeps[n], adds[n] = keep, add
+            groups = pdf[parts]
+            # A row that begins a group differs from the one before it; null equals null.
+            begins = ~((groups == groups.shift()) | (groups.isna() & groups.shift().isna())).all(axis=1).to_numpy()
+            if len(pdf):
+                first, last = tuple(groups.iloc[0]), tuple(groups.iloc[-1])
+                begins[0] = current is None or any(a != b and not (pd.isna(a) and pd.isna(b)) for a, b in zip(first, current))
+                current = last
+            keeps, adds = [], []
+            for new, k, a in zip(begins.tolist(), pdf["keep"].tolist(), pdf["add"].tolist()):
+                keep, add = (k, a) if new else (keep * k, add * k + a)
+                keeps.append(keep)
+                adds.append(add)
             yield pdf.assign(**{keep_name: keeps, add_name: adds})
 
     return sorted_steps.mapInPandas(walk, schema)
 
 
-def cost_at_sale(sales: DataFrame, costs: DataFrame, key: str, time: str, max_rows=None) -> DataFrame:
+def cost_at_sale(sales: DataFrame, costs: DataFrame, key: str, time: str, max_rows=None, measure=None) -> DataFrame:
     """Each sale with the latest cost known at its time (as-of).
 
     ``costs`` has ``key``, ``time``, ``seq`` (orders costs of the same time) and
@@ -233,6 +245,6 @@ def cost_at_sale(sales: DataFrame, costs: DataFrame, key: str, time: str, max_ro
                         F.lit(None).cast("double").alias("known"), sale.alias("sale"))
     marks = costs.select(key, time, F.lit(0).alias("kind"), "seq", F.col("cmp").alias("known"))
     seq = OrderedGroups(rows.unionByName(marks, allowMissingColumns=True),
-                        [key], [time, "kind", "seq"], max_rows)
+                        [key], [time, "kind", "seq"], max_rows, measure)
     out = seq.with_columns(cmp_at_sale=LastValue(F.col("known")))
     return out.filter("kind = 1").select("sale.*", "cmp_at_sale")

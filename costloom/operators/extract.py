@@ -14,7 +14,7 @@ from costloom.functions.dates import normalize_date
 from costloom.functions.falsy import let
 from costloom.functions.numbers import as_text, unified
 from costloom.functions.text import tidy_lines, undouble
-from costloom.operators.keyed import join_on_key
+from costloom.operators.keyed import Keys, join_on_key
 from costloom.operators.ordered import RUN, LastValue, OrderedGroups, RunningMax, RunningSum
 
 # Words that mark shipping, footer and promotion rows.
@@ -75,7 +75,7 @@ def fields(text: Column, wanted: Column) -> Column:
         k, F.element_at(F.transform(F.filter(found, lambda p: p["key"] == k), lambda p: p["value"]), -1))))
 
 
-def table_lines(lines: DataFrame, max_rows: int | None = None) -> DataFrame:
+def table_lines(lines: DataFrame, max_rows: int | None = None, measure: Keys | None = None, bounded: bool = False) -> DataFrame:
     """Lines inside the item table.
 
     A start marker opens the table, an end marker closes it, the start is tested
@@ -83,7 +83,7 @@ def table_lines(lines: DataFrame, max_rows: int | None = None) -> DataFrame:
     inside.  Without a start marker every line but the end markers is inside.
     Needs start_marker and end_marker as columns.
     """
-    seq = OrderedGroups(with_marks(lines), ["doc_id"], ["line_no"], max_rows)
+    seq = OrderedGroups(with_marks(lines), ["doc_id"], ["line_no"], max_rows, measure, bounded)
     return inside_table(seq.with_columns(_state=table_state()))
 
 
@@ -111,15 +111,29 @@ def _found(text: str, pattern: str) -> Column:
     return F.coalesce(F.expr(f"regexp_instr({text}, concat('(?i)', {pattern})) > 0"), F.lit(False))
 
 
+# Separates the groups of a row match; no printed text holds it.
+_PART = "\u0001"
+
+
 def _cells(text: Column, pattern: Column, columns: Column) -> Column:
-    """Map column name -> text of one row match; a group that took no part is absent."""
-    def one(c: Column) -> Column:
-        value = let(_match(text, pattern, c["regex_group"]),
-                    lambda raw: F.when(raw != "", typed_cell(raw, c["type"])))
-        return F.struct(c["name"].alias("key"), value.alias("value"))
+    """Map column name -> text of one row match; a group that took no part is
+    absent, and so is the map where the pattern does not occur.
 
+    The pattern runs once per text: the match is replaced by its wanted groups,
+    one after another, and the rest of the text goes.
+    """
     wanted = F.filter(columns, lambda c: c["regex_group"].isNotNull())
-    return F.map_from_entries(F.filter(F.transform(wanted, one), lambda p: p["value"].isNotNull()))
+    whole = F.concat(F.lit(r"(?s:\A.*?)(?:"), pattern, F.lit(r")(?s:.*\z)"))
+    groups = F.array_join(F.transform(wanted, lambda c: F.concat(F.lit(_PART + "$"), c["regex_group"])), "")
+    packed = F.call_function("regexp_replace", text, whole, F.concat(groups, F.lit(_PART)))
+
+    def named(parts: Column) -> Column:
+        pairs = F.transform(wanted, lambda c, i: let(F.get(parts, i + 1), lambda raw: F.struct(
+            c["name"].alias("key"), F.when(raw != "", typed_cell(raw, c["type"])).alias("value"))))
+        return F.when(F.size(parts) > F.size(wanted) + 1, F.map_from_entries(
+            F.filter(pairs, lambda p: p["value"].isNotNull())))
+
+    return let(F.split(packed, _PART, -1), named)
 
 
 def typed_cell(raw: Column, kind: Column) -> Column:
@@ -138,6 +152,14 @@ ITEM_FLAGS = ("doc_id", "vendor", "line_no", "merge_two_lines", "missing_total_i
 CODE_LINE = r"FID:\s*(\d+)"
 
 
+def row_cells(lines: DataFrame) -> DataFrame:
+    """Lines with ``_cells``: what their rule's row pattern finds, null if nothing."""
+    valid = F.col("row_validator").isNull() | _found("trim(text)", "row_validator")
+    code = F.col("_code").isNotNull() if "_code" in lines.columns else F.lit(False)
+    cells = F.when(~code & valid, _cells(F.trim("text"), F.col("row_pattern"), F.col("columns")))
+    return lines.select("*", _once(cells).alias("_cells"))
+
+
 def row_items(lines: DataFrame) -> DataFrame:
     """Lines that match the row pattern, as items (all values texts).
 
@@ -146,12 +168,11 @@ def row_items(lines: DataFrame) -> DataFrame:
     """
     if "_code" not in lines.columns:
         lines = lines.withColumn("_code", F.lit(None).cast("string"))
-    valid = F.col("row_validator").isNull() | _found("text", "row_validator")
-    hits = lines.withColumn("text", F.trim("text")).filter(
-        F.col("_code").isNotNull() | (F.expr("regexp_instr(text, row_pattern) > 0") & valid))
-    cells = F.when(F.col("_code").isNull(), _cells(F.col("text"), F.col("row_pattern"), F.col("columns")))
+    if "_cells" not in lines.columns:
+        lines = row_cells(lines)
     keep = [c for c in ITEM_FLAGS if c in lines.columns]
-    return hits.select(*keep, _once(cells).alias("_cells")).select(*keep, *item_columns(F.col("_cells")))
+    hits = lines.filter(F.col("_code").isNotNull() | F.col("_cells").isNotNull())
+    return hits.select(*keep, *item_columns(F.col("_cells")))
 
 
 def line_kind() -> Column:
@@ -217,7 +238,7 @@ def shipping_fee(classified: DataFrame) -> DataFrame:
 
 
 def text_items(docs: DataFrame, rules: DataFrame, max_rows: int | None = None,
-               measure: DataFrame | None = None) -> DataFrame:
+               measure: Keys | None = None) -> DataFrame:
     """Items of documents whose rule reads the text line by line.
 
     ``docs``: doc_id, vendor, line_no, text (one row per line).  Table regions,
@@ -226,11 +247,13 @@ def text_items(docs: DataFrame, rules: DataFrame, max_rows: int | None = None,
     """
     rules = rules.filter("strategy = 'text_regex'")
     code = F.nullif(F.regexp_extract("text", CODE_LINE, 1), F.lit(""))
-    # Only the marks travel with the lines; the rest of the rule joins again later.
-    marked = with_marks(prepared(docs, rules)).select("doc_id", "vendor", "line_no", "text", "_mark", "_open")
-    seq = OrderedGroups(marked, ["doc_id"], ["line_no"], max_rows, measure)
-    lines = inside_table(seq.with_columns(keep_run=True, _state=table_state())).withColumn("_code", code)
-    rows = row_items(with_rules(lines, rules)).withColumn("_kind", line_kind())
+    # All that a line shows by itself is read before the lines are put in order, so
+    # the rules join once and only lines that mean something travel.
+    read = row_cells(with_marks(prepared(docs, rules)).withColumn("_code", code))
+    telling = read.filter("_mark is not null or _code is not null or _cells is not null").select(
+        *[c for c in ITEM_FLAGS if c in read.columns], "_mark", "_open", "_cells")
+    seq = OrderedGroups(telling, ["doc_id"], ["line_no"], max_rows, measure)
+    rows = row_items(inside_table(seq.with_columns(keep_run=True, _state=table_state()))).withColumn("_kind", line_kind())
     half = F.when(F.col("_kind").isin("head", "tail"), F.struct(F.col("_kind").alias("kind"), "sku", "description"))
     seq = seq.resume(rows)
     merged = merge_two_lines(seq.with_columns(keep_run=True, _before=LastValue(half, inclusive=False)))
@@ -285,7 +308,40 @@ def keyword_hits(headers: Column, keywords: Column) -> Column:
     return F.size(F.filter(keywords, lambda k: F.exists(low, lambda h: F.contains(h, F.lower(k)))))
 
 
-def target_tables(tables: DataFrame, max_rows: int | None = None) -> DataFrame:
+def table_items(rows: DataFrame, rules: DataFrame, max_rows: int | None = None, measure: Keys | None = None) -> DataFrame:
+    """Items of documents whose rule reads table grids (strategy ``pdfplumber_table``).
+
+    ``rows``: doc_id, vendor, table_no, row_no (0 is a table's first row), cells.  A
+    table is used if its first row has the rule's header words, if it goes on with
+    the items of an earlier one, or if the rule names no words; the header row is
+    skipped, packed rows unfold, rows are told apart by kind, totals are filled in.
+    """
+    ruled = with_rules(rows, rules.filter("strategy = 'pdfplumber_table'"))
+    first = F.col("row_no") == 0
+    tables = ruled.groupBy("doc_id", "table_no").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.when(first, F.col("cells"))).alias("headers"),
+        F.max(F.when(first, F.col("header_keywords"))).alias("keywords"), F.max(F.when(first, F.col("min_columns"))).alias("min_columns"),
+        F.max(F.when(first, F.size("columns"))).alias("n_columns")).filter("headers is not null")
+    used = target_tables(tables, max_rows, measure).select("doc_id", "table_no", "use")
+    data = join_on_key(ruled, used, ["doc_id", "table_no"], "inner").filter((F.col("use") != "header") | (F.col("row_no") > 0))
+    items = grid_items(data.select("doc_id", "vendor", "table_no", "row_no", "missing_total_is_zero", "cells", "columns"))
+    return with_missing_total(classify(items).filter("row_kind = 'item'"))
+
+
+def with_footer(found: Column, computed: Column) -> Column:
+    """Totals of a record: what the footer says replaces what was computed, by name."""
+    return F.map_concat(F.map_filter(computed, lambda k, v: ~F.map_contains_key(found, k)), found)
+
+
+def by_target(found: Column, wanted: Column) -> Column:
+    """Fields found, by the part of the record (``target``) they belong to."""
+    targets = F.array_distinct(F.transform(wanted, lambda f: f["target"]))
+    names = lambda t: F.transform(F.filter(wanted, lambda f: f["target"] == t), lambda f: f["name"])
+    return F.map_from_entries(F.transform(targets, lambda t: F.struct(
+        t, F.map_filter(found, lambda k, v: F.array_contains(names(t), k)))))
+
+
+def target_tables(tables: DataFrame, max_rows: int | None = None, measure: Keys | None = None) -> DataFrame:
     """Tables that hold items: ``use`` = header, continuation, or all (no keywords).
 
     ``tables``: doc_id, table_no, headers (first row), n_rows, keywords,
@@ -295,7 +351,7 @@ def target_tables(tables: DataFrame, max_rows: int | None = None) -> DataFrame:
     width = F.size("headers")
     hit = keyword_hits(F.col("headers"), F.col("keywords")) >= 2
     wide = tables.filter((F.col("min_columns") <= 0) | (width >= F.col("min_columns")))
-    seq = OrderedGroups(wide.withColumn("_hit", hit), ["doc_id"], ["table_no"], max_rows)
+    seq = OrderedGroups(wide.withColumn("_hit", hit), ["doc_id"], ["table_no"], max_rows, measure)
     rows_before = RunningMax(F.when(F.col("_hit") & (F.col("n_rows") > 1), 1), inclusive=False)
     out = seq.with_columns(_seen=rows_before)
     use = (F.when(F.size("keywords") == 0, "all").when(F.col("_hit"), "header")
@@ -303,9 +359,13 @@ def target_tables(tables: DataFrame, max_rows: int | None = None) -> DataFrame:
     return out.withColumn("use", use).filter("use is not null").drop("_hit", "_seen")
 
 
-def is_invoice_table(headers: Column, n_rows: Column, keywords: Column | None = None) -> Column:
-    """At least 3 columns, 1 to 100 rows and, with keywords, two of them in headers."""
-    shape = (F.size(headers) >= 3) & n_rows.between(1, 100)
+def is_invoice_table(headers: Column, n_rows: Column, keywords: Column | None = None,
+                     max_rows: int | None = None) -> Column:
+    """At least 3 columns, a row (with ``max_rows`` no more than that many) and, with
+    keywords, two of them in headers."""
+    shape = (F.size(headers) >= 3) & (n_rows >= 1)
+    if max_rows is not None:
+        shape &= n_rows <= max_rows
     return shape if keywords is None else shape & (keyword_hits(headers, keywords) >= 2)
 
 
@@ -340,14 +400,16 @@ def grid_items(rows: DataFrame) -> DataFrame:
     total_index = F.get(F.transform(F.filter(cols, lambda c: c["name"] == "total"), lambda c: c["index"]), F.lit(0))
     filled = F.exists("cells", lambda c: F.trim(c) != "")
     kept = one.filter(filled & has_total(F.col("cells"), total_index))
-    values = F.filter(F.transform(cols, lambda c: F.struct(
+    # A column beyond the end of a short row has no value at all.
+    present = F.filter(cols, lambda c: c["index"] < F.size("cells"))
+    values = F.filter(F.transform(present, lambda c: F.struct(
         c["name"].alias("key"), typed_cell(F.get(F.col("cells"), c["index"]), c["type"]).alias("value"))),
         lambda p: p["value"].isNotNull())
     rest = [c for c in kept.columns if c not in ("cells", "columns")]
     return kept.select(*rest, _once(F.map_from_entries(values)).alias("_cells")).select(*rest, *item_columns(F.col("_cells")))
 
 
-def merge_negative(items: DataFrame, max_rows: int | None = None, measure: DataFrame | None = None) -> DataFrame:
+def merge_negative(items: DataFrame, max_rows: int | None = None, measure: Keys | None = None) -> DataFrame:
     """An item followed by a negative total absorbs that one line: the totals add
     up, the unit price is new total over the item's own quantity (2 places).
 
@@ -364,11 +426,12 @@ def merge_negative(items: DataFrame, max_rows: int | None = None, measure: DataF
     first = F.min_by(F.struct("pos", "sku", "quantity", "unit_price"), "pos")
     merged = ranked.groupBy("doc_id", "_run_start", pair.alias("_pair")).agg(
         first.alias("f"), F.sum(F.col("total").cast("decimal(18,4)")).alias("total"), F.count(F.lit(1)).alias("n"))
-    total = F.round("total", 2).cast("double")
-    price = F.when((F.col("n") > 1) & (F.col("f.quantity") != 0), F.round(total / F.col("f.quantity"), 2)) \
-        .otherwise(F.col("f.unit_price"))
+    total = F.round("total", 2)
+    # Divided as decimals: an exact half cent is rounded up, never as its double happens to lie.
+    price = F.when((F.col("n") > 1) & (F.col("f.quantity") != 0), F.round(
+        total.cast("decimal(18,2)") / F.col("f.quantity").cast("decimal(12,4)"), 2).cast("double")).otherwise(F.col("f.unit_price"))
     return merged.select("doc_id", "f.pos", "f.sku", "f.quantity", price.alias("unit_price"),
-                         total.alias("total"), F.col("n").alias("lines"))
+                         total.cast("double").alias("total"), F.col("n").alias("lines"))
 
 
 def packed_items(rows: DataFrame) -> DataFrame:
@@ -414,6 +477,19 @@ def packed_items(rows: DataFrame) -> DataFrame:
         ~F.upper("sku").rlike(summary) & ~F.col("sku").rlike(amount_like))
 
 
-def split_records(text: Column, start: str) -> Column:
+def split_records(text: Column, start: Column) -> Column:
     """A text region cut into records, each beginning where ``start`` matches."""
-    return F.split(text, r"\n(?=" + start + ")")
+    return F.split(text, F.concat(F.lit(r"\n(?="), start, F.lit(")")))
+
+
+def record_items(regions: DataFrame) -> DataFrame:
+    """Fields of the records of text regions: one row per record, ``record`` counts from 0.
+
+    ``regions`` has ``region`` and, of its rule, ``record_start`` (a pattern), the
+    fields wanted (``record_fields``) and the names that must be there (``required``).
+    Records without one of these are left out.
+    """
+    rest = [c for c in regions.columns if c not in ("region", "record_start", "record_fields", "required")]
+    records = regions.select(*rest, "record_fields", "required", F.posexplode(split_records(F.col("region"), F.col("record_start"))).alias("record", "_text"))
+    found = records.select(*rest, "record", "required", _once(fields(F.replace("_text", F.lit("\n"), F.lit(" ")), F.col("record_fields"))).alias("found"))
+    return found.filter(F.forall("required", lambda k: F.try_element_at("found", k).isNotNull())).drop("required")

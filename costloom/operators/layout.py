@@ -2,7 +2,8 @@
 
 Tokens are rows (doc_id, page, n, x, y, text) with y growing downwards and ``n``
 numbering the tokens of a document.  Lists are only ever collected for one visual
-line or one page.
+line or the heights of one page.  ``bounded`` says that a document's tokens or
+lines come out of one row's text, so no hot documents need to be looked for.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costloom.functions.falsy import let
-from costloom.operators.keyed import join_on_key
+from costloom.operators.keyed import Keys, join_on_key
 from costloom.operators.ordered import Lag, LastValue, Lead, NextValue, OrderedGroups, RunningSum
 
 PAGE = ["doc_id", "page"]
@@ -31,16 +32,16 @@ def text_lines(tokens: DataFrame, step: float = 0.5) -> DataFrame:
 
 
 def rows_by_gap(tokens: DataFrame, gap: float = 5.0, max_rows: int | None = None,
-                measure: DataFrame | None = None) -> DataFrame:
+                measure: Keys | None = None, bounded: bool = False) -> DataFrame:
     """Tokens with ``row``: a new row starts more than ``gap`` below the *previous* token."""
-    seq = OrderedGroups(tokens, PAGE, ["y", "x", "n"], max_rows, measure)
+    seq = OrderedGroups(tokens, PAGE, ["y", "x", "n"], max_rows, measure, bounded)
     above = seq.with_columns(keep_run=True, _above=Lag(F.col("y")))
     new = F.when(F.col("_above").isNull() | (F.col("y") - F.col("_above") > gap), 1).otherwise(0)
     return seq.resume(above.withColumn("_new", new.cast("long"))).with_columns(
         row=RunningSum(F.col("_new"))).drop("_above", "_new")
 
 
-def rows_by_anchor(tokens: DataFrame, gap: float = 5.0) -> DataFrame:
+def rows_by_anchor(tokens: DataFrame, gap: float = 5.0, bounded: bool = False) -> DataFrame:
     """Tokens with ``row``: a new row starts more than ``gap`` below the *first*
     token of the current row.
 
@@ -49,15 +50,19 @@ def rows_by_anchor(tokens: DataFrame, gap: float = 5.0) -> DataFrame:
     starting heights at or above it.
     """
     heights = tokens.select(*PAGE, "y").distinct()
-    first = F.array(F.get("ys", F.lit(0)))
+    nothing = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).cast("long").alias("row"),
+                       F.array().cast("array<struct<y:double,row:bigint>>").alias("rows"))
 
     def step(acc: Column, y: Column) -> Column:
-        return F.when(y - F.element_at(acc, -1) > gap, F.concat(acc, F.array(y))).otherwise(acc)
+        new = acc["top"].isNull() | (y - acc["top"] > gap)
+        return let(F.struct(F.when(new, y).otherwise(acc["top"]).alias("top"), (acc["row"] + new.cast("long")).alias("row")), lambda now: F.struct(
+            now["top"].alias("top"), now["row"].alias("row"),
+            F.array_append(acc["rows"], F.struct(y.alias("y"), now["row"].alias("row"))).alias("rows")))
 
-    anchors = heights.groupBy(*PAGE).agg(F.sort_array(F.collect_list("y")).alias("ys")).select(
-        *PAGE, F.aggregate("ys", first, step).alias("_anchors"))
-    placed = join_on_key(tokens, anchors, PAGE)
-    return placed.withColumn("row", F.size(F.filter("_anchors", lambda a: a <= F.col("y"))).cast("long")).drop("_anchors")
+    # One row per height of a page; tokens find theirs by an equi-join on the height.
+    placed = heights.groupBy(*PAGE).agg(F.sort_array(F.collect_list("y")).alias("ys")).select(
+        *PAGE, F.inline(F.aggregate("ys", nothing, step)["rows"]))
+    return tokens.join(placed, [*PAGE, "y"]) if bounded else join_on_key(tokens, placed, [*PAGE, "y"], "inner")
 
 
 def row_cells(rows: DataFrame) -> DataFrame:
@@ -65,11 +70,11 @@ def row_cells(rows: DataFrame) -> DataFrame:
 
 
 def columns_of(tokens: DataFrame, gap: float = 10.0, max_rows: int | None = None,
-               measure: DataFrame | None = None) -> DataFrame:
+               measure: Keys | None = None, bounded: bool = False) -> DataFrame:
     """Columns of a document: distinct x values chained while closer than ``gap``;
     the centre is their mean and the place on the page tells what a column holds."""
     xs = tokens.select("doc_id", "x").distinct()
-    seq = OrderedGroups(xs, ["doc_id"], ["x"], max_rows, measure)
+    seq = OrderedGroups(xs, ["doc_id"], ["x"], max_rows, measure, bounded)
     left = seq.with_columns(keep_run=True, _left=Lag(F.col("x")))
     new = F.when(F.col("_left").isNull() | (F.col("x") - F.col("_left") >= gap), 1).otherwise(0)
     numbered = seq.resume(left.withColumn("_new", new.cast("long"))).with_columns(col=RunningSum(F.col("_new")))
@@ -80,7 +85,7 @@ def columns_of(tokens: DataFrame, gap: float = 10.0, max_rows: int | None = None
         F.avg("x").alias("centre")).withColumn("kind", kind)
 
 
-def nearest_column(tokens: DataFrame, columns: DataFrame, reach: float = 50.0) -> DataFrame:
+def nearest_column(tokens: DataFrame, columns: DataFrame, reach: float = 50.0, bounded: bool = False) -> DataFrame:
     """Tokens with the column whose centre is nearest (the first on a tie), null
     when none is closer than ``reach``.  A document's columns are at least a gap
     apart, so they are few and travel as one small array per document."""
@@ -89,11 +94,12 @@ def nearest_column(tokens: DataFrame, columns: DataFrame, reach: float = 50.0) -
     ranked = F.transform("_centres", lambda c: F.struct(
         F.abs(F.col("x") - c["centre"]).alias("dist"), c["col"].alias("col")))
     best = let(F.array_min(ranked), lambda b: F.when(b["dist"] < reach, b["col"]))
-    return join_on_key(tokens, centres, ["doc_id"]).withColumn("col", best).drop("_centres")
+    joined = tokens.join(centres, ["doc_id"], "left") if bounded else join_on_key(tokens, centres, ["doc_id"])
+    return joined.withColumn("col", best).drop("_centres")
 
 
 def fill_from_below(rows: DataFrame, values: list[str], reach: float = 30.0, max_rows: int | None = None,
-                    measure: DataFrame | None = None) -> DataFrame:
+                    measure: Keys | None = None) -> DataFrame:
     """Missing values of a row taken from the next two rows, if within ``reach``.
 
     ``rows``: doc_id, page, y (one row per height) and the value columns.
@@ -105,18 +111,19 @@ def fill_from_below(rows: DataFrame, values: list[str], reach: float = 30.0, max
     return two.withColumns({v: F.coalesce(F.col(v), near("_b1", v), near("_b2", v)) for v in values}).drop("_b1", "_b2")
 
 
-def spans(lines: DataFrame, is_anchor: Column, reach: int = 50, max_rows: int | None = None) -> DataFrame:
+def spans(lines: DataFrame, is_anchor: Column, reach: int = 50, max_rows: int | None = None, bounded: bool = False) -> DataFrame:
     """Anchors with the lines they own: up to the next anchor, and ``reach`` lines
     (or the end of the document) after the last one."""
     marked = lines.select("doc_id", "line_no", F.when(is_anchor, F.col("line_no")).alias("_anchor"))
-    seq = OrderedGroups(marked, ["doc_id"], ["line_no"], max_rows)
+    seq = OrderedGroups(marked, ["doc_id"], ["line_no"], max_rows, bounded=bounded)
     found = seq.with_columns(_next=NextValue(F.col("_anchor"))).filter("_anchor is not null")
     length = lines.groupBy("doc_id").agg((F.max("line_no") + 1).alias("_n"))
     end = F.coalesce("_next", F.least(F.col("line_no") + reach, F.col("_n")))
-    return join_on_key(found, length, ["doc_id"]).select("doc_id", F.col("line_no").alias("start"), end.alias("end"))
+    joined = found.join(length, ["doc_id"], "left") if bounded else join_on_key(found, length, ["doc_id"])
+    return joined.select("doc_id", F.col("line_no").alias("start"), end.alias("end"))
 
 
-def nearest_code(lines: DataFrame, reach: int = 25, max_rows: int | None = None) -> DataFrame:
+def nearest_code(lines: DataFrame, reach: int = 25, max_rows: int | None = None, bounded: bool = False) -> DataFrame:
     """Lines that need a code (``wanted``) with the best candidate near them.
 
     ``code`` / ``complete`` are the candidate of a line and whether it is whole.
@@ -126,7 +133,7 @@ def nearest_code(lines: DataFrame, reach: int = 25, max_rows: int | None = None)
     """
     whole = F.when(F.col("code").isNotNull() & F.col("complete"), F.struct("line_no", "code"))
     part = F.when(F.col("code").isNotNull() & ~F.col("complete"), F.struct("line_no", "code"))
-    seq = OrderedGroups(lines, ["doc_id"], ["line_no"], max_rows)
+    seq = OrderedGroups(lines, ["doc_id"], ["line_no"], max_rows, bounded=bounded)
     seen = seq.with_columns(
         _w0=LastValue(whole, inclusive=False), _w1=NextValue(whole),
         _p0=LastValue(part, inclusive=False), _p1=NextValue(part))
@@ -143,7 +150,7 @@ def nearest_code(lines: DataFrame, reach: int = 25, max_rows: int | None = None)
 
 
 def typed_runs(tokens: DataFrame, max_rows: int | None = None,
-               measure: DataFrame | None = None) -> DataFrame:
+               measure: Keys | None = None) -> DataFrame:
     """Rows out of a token stream "prices, then n integers, then n prices".
 
     ``tokens``: doc_id, n, text, is_price.  After n integers the next n prices are
@@ -179,7 +186,7 @@ def typed_runs(tokens: DataFrame, max_rows: int | None = None,
 
 
 def promotions(lines: DataFrame, max_rows: int | None = None,
-               measure: DataFrame | None = None) -> DataFrame:
+               measure: Keys | None = None) -> DataFrame:
     """Item lines reduced by promotion lines among the next three.
 
     ``lines``: doc_id, line_no, text, reference, quantity, total (nulls on other
@@ -205,27 +212,43 @@ def best_triple_by_error(numbers: Column, max_quantity: float = 10_000.0) -> Col
     """(quantity, unit price, total) among the numbers of one item whose product
     error is smallest; the first combination wins a tie.
 
-    Quantity at least 1, unit price 0.5 to 50, relative error below 20 %.  An
-    item's numbers are a handful, so they are combined inside the row.
+    Quantity at least 1, unit price 0.5 to 50, relative error below 20 %.  Without
+    such a combination the first rising three of the sorted numbers that are off by
+    less than 30 %.  An item's numbers are a handful, so they are combined inside the row.
     """
-    return _best(numbers, lambda q, u, t, err: (
-        q.between(1, max_quantity) & u.between(0.5, 50) & (err / F.greatest(t, F.lit(1.0)) < 0.2)), lambda q, u, t, err, a, b, c: -err)
+    best = _best(numbers, lambda i, j, k: (k != i) & (k != j) & (i != j), lambda q, u, t, err, a, b, c: (
+        q.between(1, max_quantity) & u.between(0.5, 50) & (q > 0) & (u > 0) & (err / F.greatest(t, F.lit(1.0)) < 0.2)),
+        lambda q, u, t, err, a, b, c: -err)
+    rising = _best(F.array_sort(numbers), lambda i, j, k: (i < j) & (j < k), lambda q, u, t, err, a, b, c: (
+        (q > 0) & (u > 0) & (err / F.greatest(t, F.lit(1.0)) < 0.3)), lambda q, u, t, err, a, b, c: F.lit(0.0))
+    return F.coalesce(_triple(best), _triple(rising))
 
 
 def best_triple_by_score(numbers: Column) -> Column:
     """The same choice by plausibility points; combinations off by more than 30 %
     do not compete.  ``numbers``: array of (value, kind, original, position) with
-    kind quantity, price or number."""
+    kind quantity, price or number.
 
-    def fits(q, u, t, err):
-        return err / F.greatest(t, F.lit(1.0)) <= 0.3
+    A number may serve as quantity and as price; only unit price and total differ.
+    Without any combination the first quantity and the first two prices are tried
+    (``first_pair``).
+    """
+    def kinds(a, b, c):
+        return (a["kind"] != "price") & (b["kind"] != "quantity") & (c["kind"] != "quantity")
+
+    best = _best(numbers, lambda i, j, k: k != j, lambda q, u, t, err, a, b, c: (
+        kinds(a, b, c) & (err / F.greatest(t, F.lit(1.0)) <= 0.3)), _points, typed=True)
+    values = lambda kind: F.transform(F.filter(numbers, lambda n: n["kind"] == kind), lambda n: n["value"])
+    return F.coalesce(_triple(best), first_pair(F.get(values("quantity"), 0), values("price")))
 
-    return _best(numbers, fits, _points, typed=True)
+
+def _triple(best: Column) -> Column:
+    return F.when(best.isNotNull(), F.struct(*[best[c].alias(c) for c in ("quantity", "unit_price", "total")]))
 
 
 def _points(q, u, t, err, a, b, c) -> Column:
     """Plausibility of a combination: fixed points for each sign that speaks for
-    or against it."""
+    or against it.  A price is never tried as a quantity, so no points say so."""
     dotted = lambda n: F.contains(n["original"], F.lit("."))
     is_number = lambda n: n["kind"] == "number"
     is_price = lambda n: n["kind"] == "price"
@@ -255,8 +278,9 @@ def _points(q, u, t, err, a, b, c) -> Column:
     return total
 
 
-def _best(numbers: Column, fits, score, typed: bool = False) -> Column:
-    """Highest score over ordered choices of three different numbers."""
+def _best(numbers: Column, allowed, fits, score, typed: bool = False) -> Column:
+    """Highest score over the ``allowed`` choices (i, j, k) of three numbers, the
+    first of equals."""
     places = F.sequence(F.lit(0), F.size(numbers) - 1)
     value = lambda n: n["value"] if typed else n
 
@@ -267,21 +291,11 @@ def _best(numbers: Column, fits, score, typed: bool = False) -> Column:
         a, b, c = F.get(numbers, i), F.get(numbers, j), F.get(numbers, k)
         q, u, t = value(a), value(b), value(c)
         err = F.abs(q * u - t)
-        usable = (k != i) & (k != j) & fits(q, u, t, err)
-        if typed:
-            usable &= c["kind"] != "quantity"
-        return F.when(usable, F.struct(
+        return F.when(allowed(i, j, k) & fits(q, u, t, err, a, b, c), F.struct(
             score(q, u, t, err, a, b, c).alias("score"), (-i).alias("i"), (-j).alias("j"), (-k).alias("k"),
             q.alias("quantity"), u.alias("unit_price"), t.alias("total")))
 
-    def with_price(i: Column, j: Column) -> Column:
-        a, b = F.get(numbers, i), F.get(numbers, j)
-        possible = (i != j) & (value(a) > 0) & (value(b) > 0)
-        if typed:
-            possible &= (a["kind"] != "price") & (b["kind"] != "quantity")
-        return F.when(possible, best_of(lambda k: scored(i, j, k)))
-
-    return best_of(lambda i: best_of(lambda j: with_price(i, j)))
+    return F.when(F.size(numbers) > 0, best_of(lambda i: best_of(lambda j: best_of(lambda k: scored(i, j, k)))))
 
 
 def first_source(items: DataFrame, rank: str = "rank") -> DataFrame:

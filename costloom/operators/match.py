@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costloom.functions.text import normalize_sku, split_skus
-from costloom.operators.keyed import join_on_key
+from costloom.operators.keyed import join_on_key, rows_with_key
 
 
 def first_alias(aliases: DataFrame) -> DataFrame:
@@ -121,15 +121,10 @@ def validate_mappings(batch: DataFrame, products: DataFrame, aliases: DataFrame)
                           error.isNull().alias("created"), error.alias("error"))
 
 
-def export_mapping(ledger: DataFrame, last_row: int = 1000) -> DataFrame:
-    """Whole-cell SKU (trimmed, upper case) -> internal SKU; the last row wins.
-
-    Only rows 2 .. ``last_row`` of the register are read, which is the extent of
-    the exported range, not a sample; pass ``None`` for the whole register.
-    """
+def export_mapping(ledger: DataFrame) -> DataFrame:
+    """Whole-cell SKU (trimmed, upper case) -> internal SKU over the whole register;
+    the last row wins."""
     rows = ledger.filter((F.col("supplier_skus") != "") & (F.col("sku_internal") != ""))
-    if last_row is not None:
-        rows = rows.filter(F.col("row_index").between(2, last_row))
     return rows.groupBy(F.upper(F.trim("supplier_skus")).alias("match_sku")).agg(
         F.max_by("sku_internal", "row_index").alias("sku_internal"))
 
@@ -141,23 +136,32 @@ def export_items(items: DataFrame, mapping: DataFrame) -> DataFrame:
         *items.columns, F.coalesce("sku_internal", "sku").alias("export_sku"))
 
 
+def lengths_of(df: DataFrame, name: str) -> Column:
+    """The different lengths of a text column, as an array for use in any row: a few
+    hundred numbers at most, whatever the number of rows."""
+    return df.agg(F.collect_set(F.length(name))).scalar()
+
+
+def cuts(text: Column, lengths: Column) -> Column:
+    """All different substrings of a text that have one of the ``lengths``."""
+    size = F.length(text)
+    fitting = F.filter(lengths, lambda n: (n > 0) & (n <= size))
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
+        F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, n)))))
+
+
 def assign_rules(suppliers: DataFrame, rules: DataFrame) -> DataFrame:
     """Rule of each supplier: exact name first, else the first rule (by ``ord``)
     whose key is contained in the name, else none.
 
-    ``rules`` (key, ord, rule) is the vendors' rule list.  A contained key starts
-    somewhere in the name, so the join is on the key itself against the name's
-    substrings of the key's length; nothing is compared pairwise.
+    ``rules`` (key, ord, rule) is the vendors' rule list.  A contained key is one of
+    the name's substrings of a length that some key has, so the join is on the key
+    itself; nothing is compared pairwise.
     """
     names = suppliers.select("supplier_name").distinct().withColumn(
-        "norm", F.lower(F.trim("supplier_name")))
-    size = F.length("norm")
-    spots = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-    cut = F.flatten(F.transform(spots, lambda i: F.transform(
-        F.sequence(F.lit(1), F.greatest(size - i + 1, F.lit(1))),
-        lambda n: F.substring(F.col("norm"), i, n))))
-    pieces = names.select("supplier_name", "norm", F.explode(F.array_distinct(cut)).alias("key"))
-    hits = pieces.join(rules, "key").withColumn(
+        "norm", F.lower(F.trim("supplier_name"))).withColumn("_lengths", lengths_of(rules, "key"))
+    pieces = names.select("supplier_name", "norm", F.explode(cuts(F.col("norm"), F.col("_lengths"))).alias("key"))
+    hits = join_on_key(pieces, rules, ["key"], "inner").withColumn(
         "rank", F.struct((F.col("key") != F.col("norm")).alias("partial"), "ord"))
     best = hits.groupBy("supplier_name").agg(
         F.min_by(F.struct("rule", "key"), "rank").alias("b"))
@@ -168,15 +172,14 @@ def assign_rules(suppliers: DataFrame, rules: DataFrame) -> DataFrame:
 def map_by_sku_and_brand(items: DataFrame, aliases: DataFrame) -> DataFrame:
     """First mapping with the item's SKU whose brand contains the supplier's name.
 
-    Both sides are reduced before they meet: one row per (SKU, supplier name) and
-    the smallest mapping per (SKU, brand), so a SKU with many items or many
-    mappings does not multiply.
+    A name that a brand contains is one of the brand's substrings, so mappings are
+    keyed by (SKU, substring) and reduced to the smallest one before the items look
+    theirs up: no item meets all mappings of its SKU.
     """
-    asked = items.select("sku", "supplier_name").distinct()
-    offered = aliases.groupBy(F.col("sku").alias("alias_sku"), "brand").agg(
-        F.min_by(F.struct("alias_id", "product_id"), "alias_id").alias("m"))
-    same = (F.col("sku") == F.col("alias_sku")) & F.contains("brand", F.col("supplier_name"))
-    best = asked.join(offered, same).groupBy("sku", "supplier_name").agg(F.min("m").alias("m"))
+    offered = aliases.groupBy("sku", "brand").agg(F.min_by(F.struct("alias_id", "product_id"), "alias_id").alias("m"))
+    offered = offered.withColumn("_lengths", lengths_of(items, "supplier_name"))
+    named = offered.select("sku", "m", F.explode(cuts(F.col("brand"), F.col("_lengths"))).alias("supplier_name"))
+    best = named.groupBy("sku", "supplier_name").agg(F.min("m").alias("m"))
     return join_on_key(items, best, ["sku", "supplier_name"]).select(
         *items.columns, F.col("m.product_id").alias("product_id"), F.col("m.alias_id").alias("alias_id"))
 
@@ -185,20 +188,28 @@ def match_stored_files(invoices: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored file whose name contains the invoice's file name; the first by name.
 
     A name contained in a stored name is one of its substrings, so this is an
-    equi-join on substrings.  Only lengths that invoice names really have are cut,
-    which file systems hold to a few hundred numbers at most.
+    equi-join on substrings of the lengths that invoice names really have.
     """
     names = invoices.select("file_name").distinct()
-    lengths = names.agg(F.collect_set(F.length("file_name")).alias("n"))
-    size = F.length("stored_name")
-    fitting = F.filter(F.col("lengths"), lambda n: (n > 0) & (n <= size))
-    cuts = F.flatten(F.transform(fitting, lambda n: F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("stored_name"), i, n))))
-    substrings = (
-        stored.select("stored_name").distinct()
-        .withColumn("lengths", lengths.scalar())
-        .select("stored_name", F.explode(F.array_distinct(cuts)).alias("file_name"))
-    )
-    first = substrings.join(names, "file_name").groupBy("file_name").agg(
-        F.min("stored_name").alias("stored_name"))
+    cut = stored.select("stored_name").distinct().withColumn("_lengths", lengths_of(names, "file_name"))
+    substrings = cut.select("stored_name", F.explode(cuts(F.col("stored_name"), F.col("_lengths"))).alias("file_name"))
+    # Reduced before it meets the invoices: one row per substring.
+    first = substrings.groupBy("file_name").agg(F.min("stored_name").alias("stored_name"))
     return join_on_key(invoices, first, ["file_name"])
+
+
+def unmapped_items(items: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Items whose SKU no mapping has."""
+    return rows_with_key(items, aliases.filter(F.trim("sku") != ""), ["sku"], present=False)
+
+
+def mapped_items(items: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Items whose SKU some mapping has."""
+    return rows_with_key(items, aliases.filter(F.trim("sku") != ""), ["sku"])
+
+
+def product_aliases(products: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Every product with its supplier SKUs and brands, one row for each different
+    pair; a product without any keeps one row."""
+    pairs = aliases.select("product_id", F.col("sku").alias("supplier_sku"), "brand").distinct()
+    return products.join(pairs, "product_id", "left")

@@ -1,14 +1,14 @@
 """Order-dependent columns that survive a key holding most of the rows.
 
 ``Window.partitionBy(key)`` sends every row of a key to one task.  That is the
-right plan while groups are small, and it is what is used then: large groups are
-looked for first in a sample of the keys.  When a group is too
-large the rows are range-partitioned by (key, order), which cuts even a single
-key into even runs; the run number is fixed by a checkpoint so that every later
-use sees the same cut.  Each column is then computed inside (key, run) and
-corrected with what the earlier runs of the same key carry over.  A run
-boundary can lie inside at most one key, so the carry table has at most two rows
-per run and is safe to broadcast.
+right plan for all keys but the hot ones, which are looked for first in a sample
+of the keys.  Only the rows of hot keys are treated apart: they are
+range-partitioned by (key, order), which cuts even a single key into even runs,
+and the run number is fixed by a checkpoint so that every later use sees the same
+cut; all other rows go the plain way.  Each column is computed inside (key, run)
+and, for hot keys, corrected with what the earlier runs of the same key carry
+over.  A run boundary lies inside at most one key, so the carry table has at most
+two rows per run.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costloom.operators.keyed import hot_keys
+from costloom.operators.keyed import Keys, hot_list
 from costloom.session import ensure_checkpoint_dir, max_group_rows
 
 RUN = "_run"
@@ -165,25 +165,35 @@ class OrderedGroups:
     order-dependent column would depend on how rows happen to arrive.
 
     ``measure`` holds just the key of every row of a source that has at least the
-    rows of ``df``; large groups are looked for there when ``df`` itself is the
-    outcome of joins that would have to run twice.
+    rows of ``df`` (or makes such keys from a share of it); large groups are looked
+    for there when ``df`` itself is the outcome of joins that would have to run twice.
+    ``bounded`` says that no look is needed: a group is made of one row of a source,
+    such as the lines of a document's text.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 max_rows: int | None = None, measure: DataFrame | None = None):
+                 max_rows: int | None = None, measure: Keys | None = None, bounded: bool = False):
         spark = df.sparkSession
         self.keys, self.order = list(keys), list(order)
         limit = max_rows or max_group_rows(spark)
         groups = df.select(*self.keys) if measure is None else measure
-        self.split = not hot_keys(groups, limit).isEmpty()
+        hot = None if bounded else hot_list(groups, limit)
+        self.split = hot is not None
         if self.split:
             ensure_checkpoint_dir(spark)
-            runs = math.ceil(groups.count() / limit) + 1
-            df = (
-                df.repartitionByRange(runs, *self.keys, *self.order)
+            # A measure may know the first keys only; then all groups below these are split.
+            known = self.keys[:len(hot.columns) - 1]
+            hot = hot.toDF(*[f"_hot_{k}" for k in known], "_hot_rows")
+            is_hot = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in known]
+            runs = math.ceil(hot.agg(F.sum("_hot_rows")).first()[0] / limit) + 1
+            runs_of_hot = (
+                df.join(hot, is_hot, "left_semi")
+                .repartitionByRange(runs, *self.keys, *self.order)
                 .withColumn(RUN, F.spark_partition_id())
                 .checkpoint()
             )
+            # Rows of all other keys form one run of their key, number -1.
+            df = df.join(hot, is_hot, "left_anti").withColumn(RUN, F.lit(-1)).unionByName(runs_of_hot)
         self.df = df
 
     def resume(self, df: DataFrame) -> "OrderedGroups":
@@ -209,7 +219,7 @@ class OrderedGroups:
         )
         if self.split:
             out = out.join(
-                F.broadcast(self._carry(ops)),
+                self._carry(ops),
                 [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in self.keys]
                 + [F.col(RUN) == F.col(f"_c_{RUN}")],
                 "left",
@@ -224,18 +234,16 @@ class OrderedGroups:
         return out.select(*kept, *merged)
 
     def _carry(self, ops) -> DataFrame:
+        """What the earlier runs of a hot key hand to each of its runs."""
+        hot = self.df.filter(F.col(RUN) >= 0)
         straddling = (
-            self.df.groupBy(*self.keys)
+            hot.groupBy(*self.keys)
             .agg(F.min(RUN).alias("_first"), F.max(RUN).alias("_last"))
             .filter("_first < _last")
             .drop("_first", "_last")
         )
         edges = straddling.select(*[F.col(k).alias(f"_e_{k}") for k in self.keys])
-        rows = self.df.join(
-            F.broadcast(edges),
-            [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in self.keys],
-            "left_semi",
-        )
+        rows = hot.join(edges, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in self.keys], "left_semi")
         order = F.struct(*self.order)
         summary = rows.groupBy(*self.keys, RUN).agg(
             *[op.summary(order).alias(f"_sum_{name}") for name, op in ops.items()]
@@ -251,8 +259,8 @@ class OrderedGroups:
         )
 
 
-def row_numbers(df: DataFrame, keys, order, name: str = "pos",
-                max_rows: int | None = None, measure: DataFrame | None = None) -> DataFrame:
+def row_numbers(df: DataFrame, keys, order, name: str = "pos", max_rows: int | None = None,
+                measure: Keys | None = None, bounded: bool = False) -> DataFrame:
     """1-based position inside the key."""
-    groups = OrderedGroups(df, keys, order, max_rows, measure)
+    groups = OrderedGroups(df, keys, order, max_rows, measure, bounded)
     return groups.with_columns(**{name: RunningSum(F.lit(1).cast("long"))})

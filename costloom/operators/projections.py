@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costloom.functions.falsy import first_text, first_truthy, number_prefix
+from costloom.operators.keyed import join_on_key
 
 
 def canonical_totals(totals: Column) -> list[Column]:
@@ -52,6 +53,16 @@ def display_name(description: Column, product: Column, sku: Column) -> Column:
     return F.coalesce(first_text(description, product), sku)
 
 
+def field_defaults(items: DataFrame, document: str = "invoice_id") -> DataFrame:
+    """Lines with what is missing filled in: the reference is named after the number of
+    lines of the document, quantity and unit price are 0."""
+    counts = items.groupBy(document).agg(F.count(F.lit(1)).alias("_lines"))
+    rows = join_on_key(items, counts, [document])
+    return rows.withColumns({
+        "reference": F.coalesce("reference", F.concat(F.lit("ITEM_"), "_lines")),
+        "quantity": F.coalesce("quantity", F.lit(0.0)), "unit_price": F.coalesce("unit_price", F.lit(0.0))}).drop("_lines")
+
+
 # Header words of a column, by column, several languages.
 HEADER_WORDS = {
     "sku": ["reference", "referencia", "ref"],
@@ -97,25 +108,17 @@ def column_roles(headers: Column) -> Column:
         role, F.array_max(F.transform(F.filter(pairs, lambda p: p["role"] == role), lambda p: p["place"])))))
 
 
-def first_rows(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of every group with their 0-based ``row_no``; each task
-    hands on at most ``n`` rows per group."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("row_no", place).filter(F.col("row_no") <= n).withColumn("row_no", F.col("row_no") - 1)
-
-
-def column_profiles(cells: DataFrame, sample_rows: int = 5) -> DataFrame:
+def column_profiles(cells: DataFrame, known_code: str | None = None) -> DataFrame:
     """Shares of code-like, numeric and price-like cells per table column.
 
-    ``cells``: table_id, row_no, cells.  Only the first rows of a table are
-    profiled; that is how the inference is defined.
+    ``cells``: table_id, cells.  All rows of a table count; they are added up before
+    the shuffle.  ``known_code`` is the pattern of codes that are surely codes.
     """
-    values = cells.filter(F.col("row_no") < sample_rows).select(
-        "table_id", F.posexplode("cells").alias("col", "value")).filter("value is not null")
+    values = cells.select("table_id", F.posexplode("cells").alias("col", "value")).filter("value is not null")
     v = F.trim("value")
     share = lambda cond: F.avg(cond.cast("double"))
     return values.groupBy("table_id", "col").agg(
-        share(v.rlike(r"^(IAF|FITT|YAM|SW)[A-Z0-9]*\d+")).alias("known_sku"),
+        share(v.rlike(known_code) if known_code else F.lit(False)).alias("known_sku"),
         share(v.rlike(r"^[A-Za-z0-9\-_.]{3,}$") & ~v.rlike(r"^\d+$")).alias("code"),
         share(v.rlike(r"^\d+(?:[.,]\d+)?$")).alias("numeric"),
         share(v.rlike(r"^-?\d+[.,]\d{2,}$") | v.rlike(r"^€?\s*-?\d+[.,]?\d*$")).alias("price"))

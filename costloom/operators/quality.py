@@ -75,6 +75,11 @@ def required_fields(vendor: Column, number: Column, date: Column) -> Column:
         absent(date, "Invoice date is missing")))
 
 
+def item_warnings(n_items: Column) -> Column:
+    """Warnings about the lines of a record as a whole."""
+    return F.array_compact(F.array(F.when(F.coalesce(n_items, F.lit(0)) == 0, F.lit("No order items found"))))
+
+
 def subtotal_mismatch(items_sum: Column, shipping: Column, subtotal: Column, total: Column,
                       tolerance: float = 0.5) -> Column:
     """Neither the lines nor lines and shipping meet the declared subtotal (or,
@@ -84,15 +89,16 @@ def subtotal_mismatch(items_sum: Column, shipping: Column, subtotal: Column, tot
                       & (F.abs(items_sum + shipping - declared) > tolerance), F.lit(False))
 
 
-def reconcile(invoices: DataFrame, many_items: int = 50) -> DataFrame:
+def reconcile(invoices: DataFrame) -> DataFrame:
     """Passed / failed / passed with warning against an optional expected total.
 
-    Needs items_total, n_items, shipping_fee, discount, tax, declared, expected
-    and ``relaxed`` (vendor whose long invoices may be 0.1 off instead of 0.05).
+    Needs items_total, n_items, shipping_fee, discount, tax, declared, expected and
+    the vendor rule's ``relaxed_above``: with more items than that an invoice may be
+    0.1 off instead of 0.05 (null: never).
     """
     total = adaptive_total(*[F.col(c) for c in (
         "items_total", "shipping_fee", "discount", "tax", "declared", "expected")])
-    tolerance = F.when(F.col("relaxed") & (F.col("n_items") > many_items), 0.1).otherwise(0.05)
+    tolerance = F.when(F.col("n_items") > F.col("relaxed_above"), 0.1).otherwise(0.05)
     out = invoices.withColumn("total", total)
     failed = F.col("expected").isNotNull() & (F.abs(F.col("total") - F.col("expected")) > tolerance)
     return out.withColumn("status", F.when(failed, "failed").when(F.col("n_items") == 0, "warning")

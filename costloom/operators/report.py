@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from costloom.functions.text import escape_html
 from costloom.operators.keyed import join_on_key
+from costloom.operators.ordered import row_numbers
 
 
 def latest_log(logs: DataFrame) -> DataFrame:
@@ -78,25 +79,61 @@ def expired(jobs: DataFrame, as_of: Column, days: int = 30) -> Column:
     return (F.col("status") == "COMPLETED") & (F.col("completed_at") < age)
 
 
-def unmapped_skus(unmapped: DataFrame, limit: int = 50, full: bool = False) -> DataFrame:
+def unmapped_counts(unmapped: DataFrame) -> DataFrame:
+    """Per unmapped SKU: count, last seen, supplier of the latest item."""
+    return unmapped.groupBy("sku").agg(
+        F.count(F.lit(1)).alias("n"), F.max("seen_at").alias("last_seen"),
+        F.max_by("supplier_name", F.struct("seen_at", "pos")).alias("supplier_name"))
+
+
+def mapping_counts(aliases: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Mappings per brand (``supplier``) and, in the row with a null, in total; ``recent``
+    counts those of the last ``days`` days.  Needs brand and created_at."""
+    recent = F.count_if(F.col("created_at") >= F.date_sub(as_of, days))
+    return aliases.withColumn("supplier", F.coalesce("brand", F.lit("Unknown"))).rollup("supplier").agg(
+        F.count(F.lit(1)).alias("mappings"), recent.alias("recent"))
+
+
+def invoice_logs(invoices: DataFrame, logs: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Logs with their invoice's status and ``place`` (1 is the newest of its invoice)."""
+    own = logs.select("invoice_id", "log_id", F.col("status").alias("log_status"), "message", "created_at")
+    rows = join_on_key(own, invoices.select("invoice_id", "status"), ["invoice_id"], "inner")
+    down = rows.withColumns({"_at": -F.unix_micros(F.col("created_at").cast("timestamp")), "_id": -F.col("log_id")})
+    return row_numbers(down, ["invoice_id"], ["_at", "_id"], "place", max_rows, logs.select("invoice_id"))
+
+
+def unmapped_skus(unmapped: DataFrame, limit: int = 50) -> DataFrame:
     """Most frequent unmapped SKUs: count, last seen, supplier of the latest.
 
-    As defined, only the ``3 * limit`` newest items are grouped; ``full`` counts
-    all of them.  Needs sku, seen_at, supplier_name and ``pos`` (a total order).
+    All unmapped items are counted.  Needs sku, seen_at, supplier_name and ``pos``
+    (a total order).
     """
-    if not full:
-        unmapped = unmapped.orderBy(F.col("seen_at").desc(), "pos").limit(3 * limit)
-    grouped = unmapped.groupBy("sku").agg(
-        F.count(F.lit(1)).alias("n"), F.max("seen_at").alias("last_seen"),
-        F.max_by("supplier_name", F.struct("seen_at", "pos")).alias("supplier_name"))
-    return grouped.orderBy(F.col("n").desc(), "sku").limit(limit)
+    return unmapped_counts(unmapped).orderBy(F.col("n").desc(), "sku").limit(limit)
 
 
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    """One page (1-based) of an ordered result."""
+    """One page (1-based) of an ordered result, for the first few pages: every page
+    before it is sorted along.  ``page_after`` leads to late ones."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], size: int, after: dict | None = None) -> DataFrame:
+    """One page of an ordered result: the first ``size`` rows behind the row ``after``.
+
+    ``order`` lists (column, descending); together the columns identify a row.
+    ``after`` has the columns of the last row of the page before (none: the first
+    page), so a late page costs as much as an early one.
+    """
+    if after:
+        behind, equal = F.lit(False), F.lit(True)
+        for name, down in order:
+            value = F.lit(after[name])
+            behind |= equal & ((F.col(name) < value) if down else (F.col(name) > value))
+            equal &= F.col(name) == value
+        df = df.filter(behind)
+    return df.orderBy(*[F.col(c).desc() if down else F.col(c).asc() for c, down in order]).limit(size)
+
+
 def outcome_message(supplier: Column, success: Column, total: Column, items: Column,
                     warnings: Column, error: Column) -> dict[str, Column]:
     """Subject, text and HTML of a parsing outcome; absent parts are left out."""
@@ -110,7 +147,8 @@ def outcome_message(supplier: Column, success: Column, total: Column, items: Col
         "\n", F.lit("Parsing failed"), F.concat(F.lit("Supplier: "), supplier),
         F.concat(F.lit("Total: "), F.when(total.isNotNull(), amount), F.lit(" EUR")),
         F.concat(F.lit("Error: "), F.nullif(error, F.lit("")))))
-    entries = F.transform(F.slice(F.split(body, "\n"), 2, 1000), lambda line: F.concat(
+    lines = F.split(body, "\n")
+    entries = F.transform(F.slice(lines, 2, F.size(lines)), lambda line: F.concat(
         F.lit("<li>"), escape_html(line), F.lit("</li>")))
     head = F.when(success, "Parsing succeeded").otherwise("Parsing failed")
     return {

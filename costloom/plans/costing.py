@@ -173,26 +173,22 @@ def stock_moves(r):
 MOVE_ORDER = ["moved_at", "kind", "a", "b", "c", "d", "e"]
 
 
-@query("wn_03_average_with_sales", with_roles(ITEMS, SALES, MOVES, body="""
+@query("wn_03_average_with_sales", with_roles(ITEMS, SALES, MOVES, recursive=True, body="""
 , stocked AS (SELECT *, coalesce(sum(change) OVER (PARTITION BY product_id ORDER BY moved_at, kind, a, b, c, d, e
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stock_before,
     row_number() OVER (PARTITION BY product_id ORDER BY moved_at, kind, a, b, c, d, e) AS n FROM moves),
-folded AS (
-  SELECT product_id, list_reduce(
-    list_prepend({'n': 0::BIGINT, 'change': 0.0::DOUBLE, 'price': 0.0::DOUBLE, 'before': 0.0::DOUBLE},
-      list({'n': n, 'change': change, 'price': price, 'before': stock_before} ORDER BY n)),
-    lambda acc, x: {'n': x.n, 'change': x.change,
-      'price': CASE WHEN x.price IS NULL THEN acc.price
-        ELSE (greatest(x.before, 0) * acc.price + x.change * x.price) / (greatest(x.before, 0) + x.change) END,
-      'before': x.before}) AS final, sum(change) AS stock, max(price) AS any_price
-  FROM stocked GROUP BY product_id)
-SELECT product_id, stock, CASE WHEN any_price IS NOT NULL THEN round(final.price + 1e-7, 3) END AS average_cost FROM folded"""))
+walk AS (
+  SELECT product_id, n, moved_at, kind, a, b, c, d, e, price IS NOT NULL AS priced, CASE WHEN price IS NULL THEN 0 ELSE
+      (greatest(stock_before, 0) * 0 + change * price) / (greatest(stock_before, 0) + change) END AS average FROM stocked WHERE n = 1
+  UNION ALL
+  SELECT s.product_id, s.n, s.moved_at, s.kind, s.a, s.b, s.c, s.d, s.e, w.priced OR s.price IS NOT NULL, CASE WHEN s.price IS NULL THEN w.average ELSE
+      (greatest(s.stock_before, 0) * w.average + s.change * s.price) / (greatest(s.stock_before, 0) + s.change) END
+  FROM walk w JOIN stocked s ON s.product_id = w.product_id AND s.n = w.n + 1)
+SELECT product_id, moved_at, kind, a, b, c, d, e, CASE WHEN priced THEN round(average + 1e-7, 3) END AS average_cost FROM walk"""))
 def _(r):
     """Average cost of what is on stock after every purchase and sale."""
-    out = cost.average_with_sales(stock_moves(r), "product_id", MOVE_ORDER)
-    return out.groupBy("product_id").agg(
-        F.sum("change").alias("stock"),
-        cents(F.max_by("average_cost", F.struct(*MOVE_ORDER)), 3).alias("average_cost"))
+    out = cost.average_with_sales(stock_moves(r), "product_id", MOVE_ORDER, measure=moved_products(r))
+    return out.select("product_id", *MOVE_ORDER, cents(F.col("average_cost"), 3).alias("average_cost"))
 
 
 COSTS = """costs AS (SELECT part_id AS product_id, shipped AS moved_at, invoice_id * 1000000 + line_no * 100000 + supplier_id AS seq,
@@ -205,6 +201,11 @@ def purchase_costs(r):
                            seq.alias("seq")).agg(F.max("unit_price").alias("cmp"))
 
 
+def moved_products(r):
+    """The product of every purchase and sale, straight from the scans."""
+    return r.items.select(F.col("part_id").alias("product_id")).unionByName(r.sales.select("product_id"))
+
+
 ASOF = """sale_cost AS (
   SELECT s.sale_id, s.product_id, s.sold_at AS moved_at, s.quantity, s.unit_price,
     (SELECT arg_max(c.cmp, (c.moved_at, c.seq)) FROM costs c WHERE c.product_id = s.product_id AND c.moved_at <= s.sold_at) AS cmp_at_sale
@@ -213,7 +214,7 @@ ASOF = """sale_cost AS (
 
 def sales_with_cost(r, max_rows=None):
     sales = r.sales.withColumnRenamed("sold_at", "moved_at")
-    return cost.cost_at_sale(sales, purchase_costs(r), "product_id", "moved_at", max_rows)
+    return cost.cost_at_sale(sales, purchase_costs(r), "product_id", "moved_at", max_rows, moved_products(r))
 
 
 @query("jn_18_cost_at_sale", with_roles(ITEMS, SALES, COSTS, ASOF, body="SELECT * FROM sale_cost"))
@@ -245,7 +246,7 @@ def _(r):
 
 KPI_SQL = f"""count(*) AS sales, sum(quantity) AS volume, {cents_sql('sum(turnover)')} AS turnover,
   {cents_sql('sum(cost)')} AS cost, {cents_sql('sum(turnover) - sum(cost)')} AS margin,
-  {cents_sql('(sum(turnover) - sum(cost)) / sum(turnover) * 100', 3)} AS profitability_pct"""
+  {cents_sql('(sum(turnover) - sum(cost)) / sum(turnover) * 100', 3)} AS profitability_pct, {cents_sql('avg(margin_pct)', 3)} AS average_margin_pct"""
 
 
 def kpis():
@@ -253,7 +254,7 @@ def kpis():
     share = F.try_divide(turnover - spent, turnover) * 100
     return [F.count(F.lit(1)).alias("sales"), F.sum("quantity").alias("volume"), cents(turnover).alias("turnover"),
             cents(spent).alias("cost"), cents(turnover - spent).alias("margin"),
-            cents(share, 3).alias("profitability_pct")]
+            cents(share, 3).alias("profitability_pct"), cents(F.avg("margin_pct"), 3).alias("average_margin_pct")]
 
 
 @query("ag_21_profitability_rollup", with_roles(*MARGIN_ROLES, body=f"""

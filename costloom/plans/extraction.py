@@ -2,37 +2,36 @@
 
 from pyspark.sql import functions as F
 
-from costloom.functions import text as txt
-from costloom.functions.numbers import unified
 from costloom.operators import extract, projections
-from costloom.operators.ordered import Lead, OrderedGroups, RunningMax, RunningSum, row_numbers
+from costloom.operators import lines as below
+from costloom.operators import rows as rows_of
+from costloom.operators.keyed import join_on_key
+from costloom.operators.ordered import row_numbers
 from costloom.plans.registry import query
 from costloom.plans.roles import ITEM_ORDER, ITEMS, with_roles
 from costloom.sources.documents import join_pages, lines_of
 from costloom.sources.rules import RULE_SCHEMA, with_defaults
 
+NUMBERS = [{"name": n, "regex_group": g, "type": "number"} for n, g in (("quantity", 3), ("unit_price", 4), ("total", 5))]
+ITEM_COLUMNS = [{"name": "sku", "regex_group": 1}, {"name": "description", "regex_group": 2}, *NUMBERS]
 PROSE_COLUMNS = [{"name": "description", "regex_group": 1}, {"name": "sku", "regex_group": 3}]
+
+
+def prose_rule(lang, words, **more):
+    return {"vendor": {"name": lang, **more.pop("vendor", {})}, "table": {
+        "strategy": "text_regex_multiline", "row_pattern": f"([a-z]+) ({words}) ([a-z]+)", "columns": PROSE_COLUMNS, **more}}
+
+
 RULES = [
     {"vendor": {"name": "Line Vendor"}, "table": {
-        "strategy": "text_regex", "start_marker": r"Brand\s+Product\s+Price", "end_marker": "Subtotal",
-        "row_pattern": r"^(?:([A-Z]\d+)\s+)?(.+?)\s+(\d+)\s+pcs\s+([\d.,]+)\s+([\d.,]+)$",
-        "columns": [{"name": "sku", "regex_group": 1}, {"name": "description", "regex_group": 2},
-                    {"name": "quantity", "regex_group": 3, "type": "number"},
-                    {"name": "unit_price", "regex_group": 4, "type": "number"},
-                    {"name": "total", "regex_group": 5, "type": "number"}]}},
+        "strategy": "text_regex", "start_marker": r"Code\s+::\s+Text", "end_marker": "Sum of lines",
+        "row_pattern": r"^([A-Z]\d+) (.+?) :: (\d+) u\. :: ([\d.,]+) :: ([\d.,]+)$", "columns": ITEM_COLUMNS}},
     {"vendor": {"name": "Pair Vendor"}, "flags": {"merge_two_lines": True}, "table": {
         "strategy": "text_regex",
-        "row_pattern": r"(?:^\s*\d+\s+([A-Z0-9]+)\s+(.+)$)|(?:^([\d,.]+)pcs/\s*([\d,.]+)\s+([\d,.]+)$)",
-        "columns": [{"name": "sku", "regex_group": 1}, {"name": "description", "regex_group": 2},
-                    {"name": "quantity", "regex_group": 3, "type": "number"},
-                    {"name": "unit_price", "regex_group": 4, "type": "number"},
-                    {"name": "total", "regex_group": 5, "type": "number"}]}},
-    {"vendor": {"name": "en", "currency": "GBP"}, "table": {
-        "strategy": "text_regex_multiline", "start_marker": " and ", "end_marker": " that ",
-        "row_pattern": "([a-z]+) (the|of) ([a-z]+)", "columns": PROSE_COLUMNS,
-        "row_pattern_alt": "of ([a-z]+) (the) ([a-z]+)", "columns_alt": PROSE_COLUMNS}},
-    {"vendor": {"name": "fr"}, "table": {
-        "strategy": "text_regex_multiline", "row_pattern": "([a-z]+) (de|la) ([a-z]+)", "columns": PROSE_COLUMNS}},
+        "row_pattern": r"^> ([A-Z]\d+) ~ (.+)$|^= ([\d.,]+) x ([\d.,]+) -> ([\d.,]+)$", "columns": ITEM_COLUMNS}},
+    prose_rule("en", "the|of", vendor={"currency": "GBP"}, start_marker=" and ", end_marker=" that ",
+               row_pattern_alt="of ([a-z]+) (the) ([a-z]+)", columns_alt=PROSE_COLUMNS),
+    prose_rule("fr", "de|la"), prose_rule("de", "der|die"), prose_rule("es", "de|que"),
 ]
 FIELDS = [
     {"name": "mail", "regex": "([a-z0-9._]+@[a-z0-9.]+)"}, {"name": "token", "regex": r'token = "(\w+)"'},
@@ -57,9 +56,10 @@ def numbered_items(r):
 NUMBERED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY line_no, supplier_id, part_id, quantity, total) AS pos FROM items)"""
 
 
-def doc_keys(r):
-    """The document of every item; a document has a few printed lines per item."""
-    return r.items.select(F.col("invoice_id").alias("doc_id"))
+def doc_keys(r, rows_per_item=3):
+    """The document of every row a query makes of the items, at most so many each."""
+    copies = F.explode(F.sequence(F.lit(1), F.lit(rows_per_item)))
+    return r.items.select(F.col("invoice_id").alias("doc_id"), copies.alias("_copy")).drop("_copy")
 
 
 def invoice_lines(r):
@@ -70,19 +70,19 @@ def invoice_lines(r):
     qty, total = F.col("quantity").cast("int"), cents_text(F.col("total"))
     even = F.array(
         line(base, F.concat(F.lit("A"), part, F.when(part % 17 == 0, " Shipping fee ").otherwise(" Item "), part,
-                            F.lit(" "), qty, F.lit(" pcs "), part, F.lit(",50 "), total)),
+                            F.lit(" :: "), qty, F.lit(" u. :: "), part, F.lit(",50 :: "), total)),
         line(base + 1, F.concat(F.lit("FID: 6"), part), (part % 3 == 0) & (part % 17 != 0)),
         line(base + 2, F.concat(F.lit("FID: 7"), part), (part % 6 == 0) & (part % 17 != 0)))
     odd = F.array(
-        line(base, F.concat(F.lit(" 1 B"), part, F.lit(" Item "), part)),
-        line(base + 1, F.concat(qty, F.lit("pcs/ "), part, F.lit(",50 "), total), part % 5 != 0),
-        line(base + 2, F.lit("9pcs/ 1,00 9,00"), (part % 11 == 0) & (part % 5 != 0)))
+        line(base, F.concat(F.lit("> B"), part, F.lit(" ~ Item "), part)),
+        line(base + 1, F.concat(F.lit("= "), qty, F.lit(" x "), part, F.lit(",50 -> "), total), part % 5 != 0),
+        line(base + 2, F.lit("= 9 x 1,00 -> 9,00"), (part % 11 == 0) & (part % 5 != 0)))
     is_even = F.col("invoice_id") % 2 == 0
     body = numbered_items(r).select("invoice_id", F.inline(F.when(is_even, even).otherwise(odd))).filter("text is not null")
     frame = r.items.select("invoice_id").distinct().filter(is_even).select("invoice_id", F.inline(F.array(
-        line(F.lit(1).cast("long"), F.lit("Invoice")), line(F.lit(2).cast("long"), F.lit("A9 outside 1 pcs 1,00 1,00")),
-        line(F.lit(3).cast("long"), F.lit("Brand  Product  Price")),
-        line(F.lit(10**9), F.lit("Subtotal 1,00")), line(F.lit(10**9 + 1), F.lit("A9 after 1 pcs 1,00 1,00")))))
+        line(F.lit(1).cast("long"), F.lit("Invoice")), line(F.lit(2).cast("long"), F.lit("A9 outside :: 1 u. :: 1,00 :: 1,00")),
+        line(F.lit(3).cast("long"), F.lit("Code  ::  Text")),
+        line(F.lit(10**9), F.lit("Sum of lines 1,00")), line(F.lit(10**9 + 1), F.lit("A9 after :: 1 u. :: 1,00 :: 1,00")))))
     vendor = F.when(is_even, "LINE vendor ").otherwise("pair vendor")
     return body.unionByName(frame).select(F.col("invoice_id").alias("doc_id"), vendor.alias("vendor"), "line_no", "text")
 
@@ -100,20 +100,22 @@ def _(r):
 
 
 @query("wn_06_trailing_code_lines", with_roles(ITEMS, NUMBERED, body="""
-SELECT invoice_id AS doc_id, CASE WHEN part_id % 6 = 0 THEN '7' || part_id ELSE '6' || part_id END AS sku, quantity
+SELECT invoice_id AS doc_id, pos * 4 + 10 AS line_no, CASE WHEN part_id % 6 = 0 THEN '7' || part_id ELSE '6' || part_id END AS sku, quantity
 FROM numbered WHERE invoice_id % 2 = 0 AND part_id % 3 = 0 AND part_id % 17 <> 0"""))
 def _(r):
     """Items whose code came from a later line; the last such line wins."""
-    items = extract.text_items(invoice_lines(r).filter("vendor like 'LINE%'"), rules(r), measure=doc_keys(r))
-    return items.filter("sku not like 'A%'").select("doc_id", "sku", F.col("quantity").cast("double").alias("quantity"))
+    items = extract.text_items(invoice_lines(r), rules(r), measure=doc_keys(r))
+    return items.filter("sku rlike '^[0-9]'").select("doc_id", "line_no", "sku", F.col("quantity").cast("double").alias("quantity"))
 
 
 @query("wn_07_two_line_merge", with_roles(ITEMS, NUMBERED, body="""
-SELECT invoice_id AS doc_id, 'B' || part_id AS sku, quantity, total FROM numbered WHERE invoice_id % 2 = 1 AND part_id % 5 <> 0"""))
+SELECT invoice_id AS doc_id, pos * 4 + 11 AS line_no, 'B' || part_id AS sku, 'Item ' || part_id AS description, quantity, part_id + 0.5::DOUBLE AS unit_price, total
+FROM numbered WHERE invoice_id % 2 = 1 AND part_id % 5 <> 0"""))
 def _(r):
     """Code line plus amount line; orphan amounts and bare code lines vanish."""
-    items = extract.text_items(invoice_lines(r).filter("vendor like 'pair%'"), rules(r), measure=doc_keys(r))
-    return items.select("doc_id", "sku", F.col("quantity").cast("double").alias("quantity"), F.col("total").cast("double").alias("total"))
+    items = extract.text_items(invoice_lines(r), rules(r), measure=doc_keys(r))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return items.filter("sku like 'B%'").select("doc_id", "line_no", "sku", "description", number("quantity"), number("unit_price"), number("total"))
 
 
 @query("ag_14_shipping_from_rows", with_roles(ITEMS, body="""
@@ -121,8 +123,8 @@ SELECT invoice_id AS doc_id, CAST(sum(CAST(total AS DECIMAL(18,4))) AS DOUBLE) A
 WHERE invoice_id % 2 = 0 AND part_id % 17 = 0 GROUP BY 1"""))
 def _(r):
     """Freight read from the shipping rows of the printed invoices."""
-    ruled = extract.prepared(invoice_lines(r).filter("vendor like 'LINE%'"), rules(r))
-    found = extract.row_items(extract.table_lines(ruled))
+    ruled = extract.prepared(invoice_lines(r), rules(r).filter("strategy = 'text_regex'"))
+    found = extract.row_items(extract.table_lines(ruled, measure=doc_keys(r)))
     return extract.shipping_fee(extract.classify(found))
 
 
@@ -154,15 +156,16 @@ SELECT doc_id, line_no, text FROM s WHERE mark IS NULL AND state = 1"""))
 def _(r):
     """Lines between opening and closing lines; regions may open again."""
     lines = doc_lines(r).withColumns({"start_marker": F.lit("^(the|de|die) "), "end_marker": F.lit("^(to|la|das|in) ")})
-    return extract.table_lines(lines).select("doc_id", "line_no", "text")
+    return extract.table_lines(lines, bounded=True).select("doc_id", "line_no", "text")
 
 
+WORDS = {"en": "the|of", "fr": "de|la", "de": "der|die", "es": "de|que"}
 PROSE = """area AS (SELECT doc_id, lang, CASE WHEN lang = 'en' THEN regexp_replace(regexp_replace(text, '(?is)\\A.*?(?: and )', ''), '(?is)(?: that ).*\\z', '') ELSE text END AS t
-  FROM documents WHERE lang IN ('en', 'fr')),
+  FROM documents),
 hits AS (
-  SELECT doc_id, 1 AS variant, CASE WHEN lang = 'en' THEN '([a-z]+) (the|of) ([a-z]+)' ELSE '([a-z]+) (de|la) ([a-z]+)' END AS p,
-    unnest(CASE WHEN lang = 'en' THEN regexp_extract_all(t, '([a-z]+) (the|of) ([a-z]+)') ELSE regexp_extract_all(t, '([a-z]+) (de|la) ([a-z]+)') END) AS hit FROM area
-  UNION ALL SELECT doc_id, 2, 'of ([a-z]+) (the) ([a-z]+)', unnest(regexp_extract_all(t, 'of ([a-z]+) (the) ([a-z]+)')) FROM area WHERE lang = 'en'),
+  """ + "\n  UNION ALL ".join(
+    f"SELECT doc_id, 1 AS variant, unnest(regexp_extract_all(t, '([a-z]+) ({w}) ([a-z]+)')) AS hit FROM area WHERE lang = '{lang}'" for lang, w in WORDS.items()) + """
+  UNION ALL SELECT doc_id, 2, unnest(regexp_extract_all(t, 'of ([a-z]+) (the) ([a-z]+)')) FROM area WHERE lang = 'en'),
 found AS (SELECT doc_id, variant, CASE variant WHEN 2 THEN regexp_extract(hit, 'of ([a-z]+) (the) ([a-z]+)', 1) ELSE regexp_extract(hit, '([a-z]+) ([a-z]+) ([a-z]+)', 1) END AS description,
   CASE variant WHEN 2 THEN regexp_extract(hit, 'of ([a-z]+) (the) ([a-z]+)', 3) ELSE regexp_extract(hit, '([a-z]+) ([a-z]+) ([a-z]+)', 3) END AS sku FROM hits)
 SELECT doc_id, variant, description, sku FROM found
@@ -199,19 +202,19 @@ def _(r):
 
 
 @query("src_09_rule_defaults", """
-SELECT doc_id, CASE lang WHEN 'en' THEN 'GBP' WHEN 'fr' THEN 'EUR' END AS currency,
-  CASE WHEN lang IN ('en', 'fr') THEN 'text_regex_multiline' END AS strategy FROM documents""")
+SELECT doc_id, CASE lang WHEN 'en' THEN 'GBP' ELSE 'EUR' END AS currency, 'text_regex_multiline' AS strategy FROM documents""")
 def _(r):
     """Documents with their rule; missing settings take their defaults."""
     docs = r.table("documents").select("doc_id", F.col("lang").alias("vendor"))
-    return docs.join(rules(r).select("vendor", "currency", "strategy"), "vendor", "left").select("doc_id", "currency", "strategy")
+    return join_on_key(docs, rules(r).select("vendor", "currency", "strategy"), ["vendor"]).select("doc_id", "currency", "strategy")
 
 
 @query("ag_20_rule_coverage", """
-SELECT CASE WHEN lang IN ('en', 'fr') THEN 'text_regex_multiline' ELSE 'no rule' END AS strategy, count(*) AS documents FROM documents GROUP BY 1""")
+SELECT CASE WHEN doc_id % 9 <> 0 THEN 'text_regex_multiline' ELSE 'no rule' END AS strategy, count(*) AS documents FROM documents GROUP BY 1""")
 def _(r):
-    docs = r.table("documents").select(F.col("lang").alias("vendor"))
-    ruled = docs.join(rules(r).select("vendor", "strategy"), "vendor", "left")
+    """Documents by the strategy of their rule; some have a vendor without one."""
+    docs = r.table("documents").select(F.when(F.col("doc_id") % 9 != 0, F.col("lang")).otherwise("unknown").alias("vendor"))
+    ruled = join_on_key(docs, rules(r).select("vendor", "strategy"), ["vendor"])
     return ruled.groupBy(F.coalesce("strategy", F.lit("no rule")).alias("strategy")).agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -262,8 +265,8 @@ def _(r):
 SELECT invoice_id, line_no, supplier_id, part_id FROM items WHERE unit_price > 0 AND quantity > 0 AND total >= 0 AND quantity < 1000
   AND unit_price < 10000 AND total < 100000 AND length(sku) >= 3 AND NOT regexp_matches(sku, '^[0-9]+$')"""))
 def _(r):
-    return r.items.filter("""unit_price > 0 and quantity > 0 and total >= 0 and quantity < 1000 and unit_price < 10000
-        and total < 100000 and length(sku) >= 3 and not sku rlike '^[0-9]+$'""").select("invoice_id", "line_no", "supplier_id", "part_id")
+    return r.items.filter(rows_of.is_plausible(F.col("sku"), F.col("quantity"), F.col("unit_price"), F.col("total"))).select(
+        "invoice_id", "line_no", "supplier_id", "part_id")
 
 
 @query("flt_17_zero_and_transport_rows", with_roles(ITEMS, body="""
@@ -275,8 +278,8 @@ def _(r):
                                 "unit_price": F.when(k == 0, 0.0).otherwise(F.col("unit_price")),
                                 "total": F.when(k == 0, 0.0).otherwise(F.col("total")),
                                 "description": F.when(k == 1, "Transport DE").otherwise("Bar")})
-    zeros = (F.col("quantity") == 0) & (F.col("unit_price") == 0) & (F.col("total") == 0)
-    return rows.filter(~zeros & ~F.lower("description").contains("transport")).select("invoice_id", "line_no", "supplier_id", "part_id")
+    charged = rows_of.is_charged(*map(F.col, ("description", "quantity", "unit_price", "total")))
+    return rows.filter(charged).select("invoice_id", "line_no", "supplier_id", "part_id")
 
 
 @query("flt_12_summary_codes", with_roles(ITEMS, body="""
@@ -323,7 +326,7 @@ def _(r):
 
 
 @query("flt_10_invoice_tables", with_roles(ITEMS, TABLES, body="""
-SELECT doc_id, table_no, table_no % 3 = 1 AND n_rows <= 100 AS with_keywords, len(headers) >= 3 AND n_rows <= 100 AS by_shape FROM tables"""))
+SELECT doc_id, table_no, table_no % 3 = 1 AS with_keywords, len(headers) >= 3 AS by_shape FROM tables"""))
 def _(r):
     return tables(r).select(
         "doc_id", "table_no", extract.is_invoice_table(F.col("headers"), F.col("n_rows"), F.col("keywords")).alias("with_keywords"),
@@ -359,15 +362,14 @@ def _(r):
 SELECT DISTINCT l_orderkey AS table_id, CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE 2 END AS sku, CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 1 END AS quantity,
   CASE WHEN l_orderkey % 2 = 0 THEN 3 ELSE 3 END AS unit_price, 4 AS total FROM lineitem""")
 def _(r):
-    """Column roles from the first five rows of every table."""
+    """Column roles from the cells of all rows of every table."""
     even, q = F.col("l_orderkey") % 2 == 0, F.col("l_quantity").cast("int").cast("string")
     code, words = F.concat(F.lit("YAM"), "l_partkey"), F.lit("a bar, sweet")
     price = F.concat(F.lit("€ "), q, F.lit(",50"))
     cells = F.when(even, F.array(code, words, q, price, price)).otherwise(
         F.array(words, q, F.concat(F.lit("ab-"), "l_partkey"), price, price))
     rows = r.table("lineitem").select(F.col("l_orderkey").alias("table_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", cells.alias("cells"))
-    first = projections.first_rows(rows, ["table_id"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], 5)
-    profiles = projections.column_profiles(first.select("table_id", F.col("row_no"), "cells"))
+    profiles = projections.column_profiles(rows.select("table_id", "cells"), known_code=r"^(ITM|YAM)[A-Z0-9]*\d+")
     return projections.infer_roles(profiles)
 
 
@@ -419,13 +421,10 @@ SELECT invoice_id, line_no, supplier_id, part_id, quantity, CASE WHEN part_id %
 def _(r):
     """Total from price and quantity, else the price from total and quantity; rows
     without code and text, or without quantity, are not items (FLT-09)."""
-    from costloom.functions.falsy import round_half_up
-
     part = F.col("part_id")
     p = F.when(part % 2 == 0, part % 100 + 0.25)
-    valid = (F.when(part % 9 == 0, "").otherwise(F.col("sku")) != "") & (F.col("quantity") > 0)
-    price = F.coalesce(p, round_half_up(F.try_divide(F.col("total"), F.col("quantity")), 4))
-    total = F.coalesce(round_half_up(p * F.col("quantity"), 2), F.col("total"))
+    valid = rows_of.is_valid(F.when(part % 9 == 0, "").otherwise(F.col("sku")), F.lit(""), F.col("quantity"))
+    price, total = rows_of.row_totals(F.col("quantity"), p, F.col("total"))
     return r.items.filter(valid).select("invoice_id", "line_no", "supplier_id", "part_id", "quantity", price.alias("unit_price"), total.alias("total"))
 
 
@@ -435,8 +434,8 @@ def _(r):
     part = F.col("part_id")
     sku = F.when(part % 5 == 0, "").otherwise(F.col("sku"))
     description = F.when(part % 2 == 0, "text").otherwise("")
-    return r.items.withColumn("q", F.when(part % 9 == 0, 0.0).otherwise(F.col("quantity"))).filter(
-        ((sku != "") | (description != "")) & (F.col("q") > 0)).select("invoice_id", "line_no", "supplier_id", "part_id")
+    quantity = F.when(part % 9 == 0, 0.0).otherwise(F.col("quantity"))
+    return r.items.filter(rows_of.is_valid(sku, description, quantity)).select("invoice_id", "line_no", "supplier_id", "part_id")
 
 
 @query("wn_16_greedy_totals", with_roles(ITEMS, body="""
@@ -471,7 +470,9 @@ ranked AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY pos)
 
 
 @query("wn_08_negative_merge", with_roles(ITEMS, NUMBERED, NEGATIVE, body="""
-SELECT doc_id, min(pos) AS pos, arg_min(sku, pos) AS sku, arg_min(quantity, pos) AS quantity, CAST(sum(CAST(total AS DECIMAL(18,4))) AS DOUBLE) AS total, count(*) AS lines
+SELECT doc_id, min(pos) AS pos, arg_min(sku, pos) AS sku, arg_min(quantity, pos) AS quantity, CAST(sum(CAST(total AS DECIMAL(18,4))) AS DOUBLE) AS total, count(*) AS lines,
+  CASE WHEN count(*) > 1 THEN sign(sum(CAST(total AS DECIMAL(18,4)))) * ((2 * CAST(abs(sum(CAST(total AS DECIMAL(18,4)))) * 100 AS BIGINT) + CAST(arg_min(quantity, pos) AS BIGINT))
+    // (2 * CAST(arg_min(quantity, pos) AS BIGINT))) / 100.0 ELSE arg_min(unit_price, pos) END AS unit_price
 FROM ranked GROUP BY doc_id, run, pair"""))
 def _(r):
     """A negative line is taken into the line before it, one line each."""
@@ -481,7 +482,7 @@ def _(r):
         F.col("invoice_id").alias("doc_id"), "pos", "sku", "quantity", "unit_price",
         F.when(F.col("part_id") % 3 == 0, -cents(F.col("total") / 10)).otherwise(F.col("total")).alias("total"))
     merged = extract.merge_negative(items, measure=doc_keys(r))
-    return merged.select("doc_id", "pos", "sku", "quantity", "total", F.col("lines"))
+    return merged.select("doc_id", "pos", "sku", "quantity", "unit_price", "total", "lines")
 
 
 @query("wn_17_positions", with_roles(ITEMS, NUMBERED, body="SELECT invoice_id, line_no, supplier_id, part_id, quantity, total, pos FROM numbered"))
@@ -494,11 +495,8 @@ def _(r):
 SELECT doc_id, line_no, regexp_extract(text, '^([A-Z][a-z]+)', 1) AS code, trim(second) AS description FROM n WHERE regexp_matches(text, '^[A-Z][a-z]+ ') AND second IS NOT NULL"""))
 def _(r):
     """A code line, its description two lines below."""
-    lines = doc_lines(r)
-    once = OrderedGroups(lines, ["doc_id"], ["line_no"]).with_columns(below=Lead(F.col("text")))
-    twice = OrderedGroups(once, ["doc_id"], ["line_no"]).with_columns(second=Lead(F.col("below")))
-    return twice.filter(F.col("text").rlike("^[A-Z][a-z]+ ") & F.col("second").isNotNull()).select(
-        "doc_id", "line_no", F.regexp_extract("text", "^([A-Z][a-z]+)", 1).alias("code"), F.trim("second").alias("description"))
+    return below.with_lines_below(doc_lines(r), 2).filter(F.col("text").rlike("^[A-Z][a-z]+ ") & F.col("below_2").isNotNull()).select(
+        "doc_id", "line_no", F.regexp_extract("text", "^([A-Z][a-z]+)", 1).alias("code"), F.trim("below_2").alias("description"))
 
 
 @query("wn_19_description_append", with_roles(DOC_LINES, body="""
@@ -506,9 +504,8 @@ def _(r):
 SELECT doc_id, line_no, CASE WHEN contains(nxt, 'the') OR contains(nxt, 'que') THEN text || ' ' || nxt ELSE text END AS description FROM n"""))
 def _(r):
     """The next line is appended where it carries one of the marker words."""
-    nxt = OrderedGroups(doc_lines(r), ["doc_id"], ["line_no"]).with_columns(nxt=Lead(F.col("text")))
-    marked = F.contains("nxt", F.lit("the")) | F.contains("nxt", F.lit("que"))
-    return nxt.select("doc_id", "line_no", F.when(marked, F.concat_ws(" ", "text", "nxt")).otherwise(F.col("text")).alias("description"))
+    marked = F.contains("below_1", F.lit("the")) | F.contains("below_1", F.lit("que"))
+    return below.with_next_appended(doc_lines(r), marked).select("doc_id", "line_no", "description")
 
 
 @query("sc_30_next_qualifying_lines", with_roles(DOC_LINES, body="""
@@ -516,17 +513,9 @@ def _(r):
 SELECT doc_id, line_no, array_to_string(list_filter(coalesce(nxt, []), lambda x: regexp_matches(x, '[A-Za-z]') AND length(x) < 120)[1:2], ' ') AS description
 FROM n WHERE regexp_matches(text, '^[A-Z]')"""))
 def _(r):
-    """Up to two short lines with letters among the nine below a code line.
-
-    The frame is nine lines of one document, so each row carries a small list.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(1, 9)
-    ahead = doc_lines(r).withColumn("ahead", F.collect_list("text").over(w))
-    good = F.filter("ahead", lambda t: t.rlike("[A-Za-z]") & (F.length(t) < 120))
-    return ahead.filter(F.col("text").rlike("^[A-Z]")).select(
-        "doc_id", "line_no", F.array_join(F.slice(good, 1, 2), " ").alias("description"))
+    """Up to two short lines with letters among the nine below a code line."""
+    good = F.col("text").rlike("[A-Za-z]") & (F.length("text") < 120)
+    return below.with_qualifying_below(doc_lines(r), good).filter(F.col("text").rlike("^[A-Z]")).select("doc_id", "line_no", "description")
 
 
 @query("wn_22_continuation_lines", with_roles(DOC_LINES, body="""
@@ -540,38 +529,34 @@ def _(r):
     lines = doc_lines(r).withColumns({
         "starts": F.col("text").rlike("^(The|De|Die|El) "), "stops": F.col("text").rlike("(?i)total|^is "),
         "words": F.trim(F.regexp_extract("text", "^[^0-9%]*", 0))})
-    rows = OrderedGroups(lines, ["doc_id"], ["line_no"]).with_columns(item=RunningSum(F.col("starts").cast("long")))
-    stop = F.when(F.col("stops") & ~F.col("starts"), 1)
-    inside = OrderedGroups(rows.filter("item > 0"), ["doc_id", "item"], ["line_no"]).with_columns(stopped=RunningMax(stop))
-    # The lines of one item of one document: a handful.
-    parts = F.sort_array(F.collect_list(F.when(F.col("words") != "", F.struct("line_no", "words"))))
-    return inside.filter("stopped is null").groupBy("doc_id", "item").agg(
-        F.nullif(F.array_join(F.transform(parts, lambda p: p["words"]), " "), F.lit("")).alias("description"),
-        F.count(F.lit(1)).alias("lines"))
+    return below.continued_items(lines)
+
+
+RECORDS = {"start": r"Pos\. \d+ <", "required": ["sku", "description", "quantity"], "fields": [
+    {"name": "sku", "regex": r"^Pos\. \d+ <(\w+)>"}, {"name": "description", "regex": r"> (.+?) ;"},
+    {"name": "quantity", "regex": r"; (\d+) pieces ;"}, {"name": "total", "regex": r"; EUR ([\d,.]+)$", "type": "number"}]}
 
 
 @query("sc_28_records_by_start", """
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_partkey * 10 + i AS VARCHAR) AS sku, 'Bar ' || i AS description, CAST(l_quantity AS BIGINT) + i AS quantity,
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'K' || CAST(l_partkey * 10 + i AS VARCHAR) AS sku, 'Bar ' || i AS description, CAST(l_quantity AS BIGINT) + i AS quantity,
   1234.5::DOUBLE + i AS total FROM (SELECT *, unnest(range(1, l_linenumber + 1)) AS i FROM lineitem) x WHERE i % 3 <> 0""")
 def _(r):
-    """A region cut into records where the next one starts, then fields by pattern;
-    records that miss a part are skipped."""
-    n = F.col("l_linenumber")
+    """A region cut into records where the next one starts, then fields by pattern,
+    all given by a rule; records that miss a required field are skipped."""
     record = lambda i: F.concat(
-        i, F.lit(" ["), F.col("l_partkey") * 10 + i, F.lit("] Bar "), i, F.lit("\n20079939 4601234567890 "),
-        F.col("l_quantity").cast("int") + i, F.when(i % 3 == 0, " Boxes").otherwise(" Units"), F.lit(" 21% 2.50 0.0 1,0 € "),
-        F.format_number(F.lit(1234.5) + i, 2), F.lit(" €"))
-    region = F.array_join(F.transform(F.sequence(F.lit(1), n), record), "\n")
+        F.lit("Pos. "), i, F.lit(" <K"), F.col("l_partkey") * 10 + i, F.lit("> Bar "), i, F.lit(" ;\n"),
+        F.col("l_quantity").cast("int") + i, F.when(i % 3 == 0, " boxes").otherwise(" pieces"), F.lit(" ; EUR "),
+        F.format_number(F.lit(1234.5) + i, 2))
+    region = F.array_join(F.transform(F.sequence(F.lit(1), F.col("l_linenumber")), record), "\n")
+    field = lambda f: F.struct(F.lit(f["name"]).alias("name"), F.lit(f["regex"]).alias("regex"), F.lit(1).alias("group"),
+                               F.lit(f.get("type", "string")).alias("type"))
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    rows = r.spread("lineitem").select(*keys, F.explode(extract.split_records(region, r"\d+\s+\[\d+\]")).alias("rec"))
-    rec = F.replace("rec", F.lit("\n"), F.lit(" "))
-    amounts = r"([\d.]+)\s+Units\s+\d+%\s+[\d.]+\s+[\d.]+\s+[\d,.]+\s+€\s+([\d,.]+)\s+€"
-    fields = rows.withColumn("rec", rec).select(
-        *keys, F.regexp_extract("rec", r"^\d+\s+\[(\d+)\]", 1).alias("sku"),
-        F.regexp_extract("rec", r"^\d+\s+\[\d+\]\s*(.*?)\s+\d{8,}\s+\d{10,}", 1).alias("description"),
-        F.regexp_extract("rec", amounts, 1).try_cast("long").alias("quantity"),
-        unified(F.nullif(F.regexp_extract("rec", amounts, 2), F.lit(""))).alias("total"))
-    return fields.filter("sku <> '' and description <> '' and quantity is not null")
+    regions = r.spread("lineitem").select(
+        *keys, region.alias("region"), F.lit(RECORDS["start"]).alias("record_start"),
+        F.array(*map(field, RECORDS["fields"])).alias("record_fields"), F.array(*map(F.lit, RECORDS["required"])).alias("required"))
+    get = lambda k, kind: F.try_element_at("found", F.lit(k)).cast(kind).alias(k)
+    return extract.record_items(regions).select(
+        *keys, get("sku", "string"), get("description", "string"), get("quantity", "long"), get("total", "double"))
 
 
 def split_code_lines(r):
@@ -590,7 +575,4 @@ def split_code_lines(r):
 SELECT p_partkey AS doc_id, 'CS-COR' || p_partkey AS sku, p_name AS description FROM part""")
 def _(r):
     """Codes put together from the end of a line and the start of the next ones."""
-    lines = split_code_lines(r)
-    ahead = OrderedGroups(lines, ["doc_id"], ["line_no"]).with_columns(n1=Lead(F.col("text")))
-    ahead = OrderedGroups(ahead, ["doc_id"], ["line_no"]).with_columns(n2=Lead(F.col("n1")))
-    return ahead.filter(F.contains("text", F.lit("SKU:"))).select("doc_id", *txt.split_sku("text", "n1", "n2"))
+    return below.split_codes(split_code_lines(r))

@@ -1,17 +1,16 @@
 """Queries: positioned tokens, neighbour searches, number triples, odd sources."""
 
-import unicodedata
-
-import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from costloom.functions import numbers, text
-from costloom.operators import layout
+from costloom.functions import text
+from costloom.functions.unicode import nfc
+from costloom.operators import extract, layout, rows
 from costloom.plans.extraction import DOC_LINES, NUMBERED, doc_keys, doc_lines, numbered_items
 from costloom.plans.registry import query
 from costloom.plans.roles import ITEM_ORDER, ITEMS, LEDGER, SALES, with_roles
-from costloom.sources.documents import electronic_invoices, parse_ledger
+from costloom.sources.documents import electronic_invoices, ledger_cells, parse_ledger
+from costloom.sources.rules import RULE_SCHEMA, with_defaults
 
 TOKENS = """words AS (SELECT doc_id, i - 1 AS n, w[i] AS text FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i
     FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS w FROM documents) a) b),
@@ -45,7 +44,7 @@ def _(r):
 r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id, page ORDER BY y, x, n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "row" FROM g)
 SELECT doc_id, page, "row", trim(string_agg(text, '|' ORDER BY x, n)) AS text FROM r GROUP BY 1, 2, 3"""))
 def _(r):
-    return layout.row_cells(layout.rows_by_gap(tokens(r), 2.0))
+    return layout.row_cells(layout.rows_by_gap(tokens(r), 2.0, bounded=True))
 
 
 @query("wn_10_rows_by_anchor", with_roles(TOKENS, body="""
@@ -54,7 +53,7 @@ a AS (SELECT doc_id, page, list_reduce(list_transform(ys, lambda v: [v]), lambda
 r AS (SELECT t.*, CAST(len(list_filter(anchors, lambda v: v <= y)) AS BIGINT) AS "row" FROM tokens t JOIN a USING (doc_id, page))
 SELECT doc_id, page, "row", trim(string_agg(text, '|' ORDER BY x, n)) AS text FROM r GROUP BY 1, 2, 3"""))
 def _(r):
-    return layout.row_cells(layout.rows_by_anchor(tokens(r)))
+    return layout.row_cells(layout.rows_by_anchor(tokens(r), bounded=True))
 
 
 COLS = """xs AS (SELECT DISTINCT doc_id, x FROM tokens),
@@ -67,7 +66,7 @@ cols AS (SELECT doc_id, CAST(col AS INT) AS col, avg(x) AS centre FROM cx GROUP
 SELECT doc_id, col, centre, CASE WHEN centre < 100 THEN 'description' WHEN centre > 250 AND centre < 330 THEN 'quantity'
   WHEN centre > 330 AND centre < 400 THEN 'unit_price' WHEN centre > 450 THEN 'total' END AS kind FROM cols"""))
 def _(r):
-    return layout.columns_of(tokens(r))
+    return layout.columns_of(tokens(r), bounded=True)
 
 
 @query("jn_12_nearest_column", with_roles(TOKENS, COLS, body="""
@@ -77,7 +76,7 @@ def _(r):
     """Shifted tokens find the nearest column; far ones find none."""
     t = tokens(r)
     moved = t.withColumn("x", F.col("x") + F.when(F.col("n") % 11 == 0, 200).otherwise(17))
-    return layout.nearest_column(moved, layout.columns_of(t)).select("doc_id", "n", "col")
+    return layout.nearest_column(moved, layout.columns_of(t, bounded=True), bounded=True).select("doc_id", "n", "col")
 
 
 @query("jn_16_fill_from_below", with_roles(ITEMS, NUMBERED, body="""
@@ -102,7 +101,7 @@ def _(r):
 SELECT doc_id, line_no AS start, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), least(line_no + 50, n)) AS "end" FROM b"""))
 def _(r):
     lines = doc_lines(r)
-    return layout.spans(lines.withColumn("line_no", F.col("line_no").cast("long")), F.col("text").rlike("^(The|De|Die|El|Is) "))
+    return layout.spans(lines.withColumn("line_no", F.col("line_no").cast("long")), F.col("text").rlike("^(The|De|Die|El|Is) "), bounded=True)
 
 
 @query("jn_15_nearest_code", with_roles(DOC_LINES, body="""
@@ -117,7 +116,7 @@ def _(r):
         "doc_id", F.col("line_no").cast("long").alias("line_no"),
         F.nullif(F.regexp_extract("text", "^([A-Z][a-z]{5,})", 1), F.lit("")).alias("code"),
         F.col("text").rlike("^[A-Z][a-z]{8,}").alias("complete"), F.col("text").rlike("^[A-Z][a-z]{0,3} ").alias("wanted"))
-    return layout.nearest_code(lines)
+    return layout.nearest_code(lines, bounded=True)
 
 
 @query("wn_21_typed_token_runs", with_roles(ITEMS, NUMBERED, body="""
@@ -139,7 +138,7 @@ def _(r):
     rows = numbered_items(r).select("invoice_id", "pos", F.inline(stream))
     toks = rows.select(F.col("invoice_id").alias("doc_id"), (F.col("pos") * 1000 + F.col("section") * 100 + F.col("i")).alias("n"),
                        "text", F.col("text").endswith("€").alias("is_price"))
-    return layout.typed_runs(toks, measure=doc_keys(r)).select("doc_id", "j", "unit_price", "quantity", "total")
+    return layout.typed_runs(toks, measure=doc_keys(r, 24)).select("doc_id", "j", "unit_price", "quantity", "total")
 
 
 @query("wn_09_promotions", with_roles(ITEMS, NUMBERED, body="""
@@ -162,26 +161,34 @@ def _(r):
 # --- number triples -----------------------------------------------------------------
 
 @query("jn_14_best_triple_by_error", with_roles(ITEMS, body="""
-, n AS (SELECT row_number() OVER () AS id, invoice_id, line_no, supplier_id, part_id, total AS line, [round(total / 100, 0), quantity, part_id % 40 + 0.75, quantity * (part_id % 40 + 0.75), 21.0]::DOUBLE[] AS v FROM items),
+, n AS (SELECT row_number() OVER () AS id, invoice_id, line_no, supplier_id, part_id, total AS line, price,
+    [round(total / 100, 0), quantity, price, CASE WHEN part_id % 13 = 0 THEN quantity * price * 1.25 ELSE quantity * price END, 21.0]::DOUBLE[] AS v
+  FROM (SELECT *, part_id % 40 + CASE WHEN part_id % 13 = 0 THEN 60.75 ELSE 0.75 END::DOUBLE AS price FROM items) x),
 p AS (SELECT id, i, j, k, v[i] AS q, v[j] AS u, v[k] AS t FROM n, range(1, 6) a(i), range(1, 6) b(j), range(1, 6) c(k) WHERE i <> j AND j <> k AND i <> k),
-b AS (SELECT id, arg_min((q, u, t), (abs(q * u - t), i, j, k)) AS best FROM p WHERE q BETWEEN 1 AND 10000 AND u BETWEEN 0.5 AND 50 AND abs(q * u - t) / greatest(t, 1) < 0.2 GROUP BY id)
-SELECT invoice_id, line_no, supplier_id, part_id, line, best[1] AS quantity, best[2] AS unit_price, best[3] AS total FROM n LEFT JOIN b USING (id)"""))
+b AS (SELECT id, arg_min((q, u, t), (abs(q * u - t), i, j, k)) AS best FROM p WHERE q BETWEEN 1 AND 10000 AND u BETWEEN 0.5 AND 50 AND abs(q * u - t) / greatest(t, 1) < 0.2 GROUP BY id),
+f AS (SELECT id, arg_min((s[i], s[j], s[k]), (i, j, k)) AS best FROM (SELECT id, list_sort(v) AS s FROM n) y, range(1, 6) a(i), range(1, 6) b(j), range(1, 6) c(k)
+  WHERE i < j AND j < k AND s[i] > 0 AND s[j] > 0 AND abs(s[i] * s[j] - s[k]) / greatest(s[k], 1) < 0.3 GROUP BY id),
+w AS (SELECT n.*, coalesce(b.best, f.best) AS best FROM n LEFT JOIN b USING (id) LEFT JOIN f USING (id))
+SELECT invoice_id, line_no, supplier_id, part_id, line, best[1] AS quantity, best[2] AS unit_price, best[3] AS total FROM w"""))
 def _(r):
-    price = F.col("part_id") % 40 + 0.75
-    values = F.array(F.round(F.col("total") / 100, 0), F.col("quantity"), price, F.col("quantity") * price, F.lit(21.0))
+    """Some lines have no combination in the usual ranges and fall back to sorted numbers."""
+    odd = F.col("part_id") % 13 == 0
+    price = F.col("part_id") % 40 + F.when(odd, 60.75).otherwise(0.75)
+    amount = F.when(odd, F.col("quantity") * price * 1.25).otherwise(F.col("quantity") * price)
+    values = F.array(F.round(F.col("total") / 100, 0), F.col("quantity"), price, amount, F.lit(21.0))
     rows = r.spread_items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), values.alias("v"))
     best = rows.select("*", F.explode(F.array(layout.best_triple_by_error(F.col("v")))).alias("b"))
     return best.select("invoice_id", "line_no", "supplier_id", "part_id", "line", "b.quantity", "b.unit_price", "b.total")
 
 
 @query("jn_13_best_triple_by_score", with_roles(ITEMS, body="""
-, n AS (SELECT row_number() OVER () AS id, invoice_id, line_no, supplier_id, part_id, total AS line, quantity * (part_id % 30 + 0.5) AS amount, quantity, part_id % 30 + 0.5 AS price FROM items),
+, n AS (SELECT row_number() OVER () AS id, invoice_id, line_no, supplier_id, part_id, total AS line, quantity * (part_id % 30 + 0.5) * CASE WHEN part_id % 9 = 0 THEN 1.45 ELSE 1 END::DOUBLE AS amount, quantity, part_id % 30 + 0.5 AS price FROM items),
 m AS (SELECT id, unnest([
     {'i': 0, 'v': quantity::DOUBLE, 'kind': CASE WHEN part_id % 2 = 0 THEN 'quantity' ELSE 'number' END, 'dot': false, 'p': 10},
     {'i': 1, 'v': price::DOUBLE, 'kind': CASE WHEN part_id % 3 = 0 THEN 'price' ELSE 'number' END, 'dot': true, 'p': 20},
     {'i': 2, 'v': amount::DOUBLE, 'kind': 'price', 'dot': true, 'p': 30},
     {'i': 3, 'v': 5.0::DOUBLE, 'kind': 'number', 'dot': false, 'p': 5}]) AS x FROM n),
-c AS (SELECT a.id, a.x AS a, b.x AS b, c.x AS c, abs(a.x.v * b.x.v - c.x.v) AS err FROM m a JOIN m b ON a.id = b.id AND b.x.i <> a.x.i JOIN m c ON c.id = a.id AND c.x.i <> a.x.i AND c.x.i <> b.x.i
+c AS (SELECT a.id, a.x AS a, b.x AS b, c.x AS c, abs(a.x.v * b.x.v - c.x.v) AS err FROM m a JOIN m b ON a.id = b.id JOIN m c ON c.id = a.id AND c.x.i <> b.x.i
   WHERE a.x.kind <> 'price' AND b.x.kind <> 'quantity' AND c.x.kind <> 'quantity'),
 s AS (SELECT id, a.i AS ai, b.i AS bi, c.i AS ci, a.v AS q, b.v AS u, c.v AS t,
   CASE WHEN err < 0.01 THEN 1000 WHEN err < 0.1 THEN 500 WHEN err < 1 THEN 200 ELSE err * -100 END
@@ -196,16 +203,21 @@ s AS (SELECT id, a.i AS ai, b.i AS bi, c.i AS ci, a.v AS q, b.v AS u, c.v AS t,
   + CASE WHEN a.p < b.p THEN 50 ELSE 0 END + CASE WHEN a.p < c.p THEN 50 ELSE 0 END
   + CASE WHEN b.v >= c.v AND a.v > 1 THEN -1000 ELSE 0 END + CASE WHEN a.v <= b.v AND b.v <= c.v THEN 100 ELSE 0 END AS score
   FROM c WHERE err / greatest(c.v, 1) <= 0.3),
-w AS (SELECT id, arg_max((q, u, t), (score, -ai, -bi, -ci)) AS best FROM s GROUP BY id)
-SELECT invoice_id, line_no, supplier_id, part_id, line, best[1] AS quantity, best[2] AS unit_price, best[3] AS total FROM n LEFT JOIN w USING (id)"""))
+w AS (SELECT id, arg_max((q, u, t), (score, -ai, -bi, -ci)) AS best FROM s GROUP BY id),
+pair AS (SELECT id, (quantity::DOUBLE, least(price, amount)::DOUBLE, greatest(price, amount)::DOUBLE) AS best FROM n
+  WHERE part_id % 2 = 0 AND part_id % 3 = 0 AND abs(quantity * least(price, amount) - greatest(price, amount)) < greatest(price, amount) * 0.5),
+z AS (SELECT n.*, coalesce(w.best, pair.best) AS best FROM n LEFT JOIN w USING (id) LEFT JOIN pair USING (id))
+SELECT invoice_id, line_no, supplier_id, part_id, line, best[1] AS quantity, best[2] AS unit_price, best[3] AS total FROM z"""))
 def _(r):
+    """The best combination by points; a number may serve as quantity and as price,
+    and without any combination the first quantity and the first two prices do."""
     part, q = F.col("part_id"), F.col("quantity")
     price = part % 30 + 0.5
     one = lambda v, kind, original, position: F.struct(
         v.cast("double").alias("value"), kind.alias("kind"), F.lit(original).alias("original"), F.lit(position).alias("position"))
     found = F.array(one(q, F.when(part % 2 == 0, "quantity").otherwise("number"), "12", 10),
                     one(price, F.when(part % 3 == 0, "price").otherwise("number"), "1.5", 20),
-                    one(q * price, F.lit("price"), "3.5", 30), one(F.lit(5.0), F.lit("number"), "5", 5))
+                    one(q * price * F.when(part % 9 == 0, 1.45).otherwise(1.0), F.lit("price"), "3.5", 30), one(F.lit(5.0), F.lit("number"), "5", 5))
     rows = r.spread_items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), found.alias("v"))
     best = rows.select("*", F.explode(F.array(layout.best_triple_by_score(F.col("v")))).alias("b"))
     return best.select("invoice_id", "line_no", "supplier_id", "part_id", "line", "b.quantity", "b.unit_price", "b.total")
@@ -221,25 +233,25 @@ def cell_texts(r):
     return r.spread_items.select("invoice_id", F.struct(*ITEM_ORDER).alias("place"), cell.alias("cell"))
 
 
-@query("ag_15_largest_shipping_amount", with_roles(ITEMS, body="""
-SELECT invoice_id, max(part_id % 90 + 0.75::DOUBLE) FILTER (part_id % 6 = 0) AS shipping_fee FROM items GROUP BY 1"""))
+PLACE = "(line_no, supplier_id, part_id, quantity, total)"
+
+
+@query("ag_15_shipping_amounts", with_roles(ITEMS, body=f"""
+SELECT invoice_id, max(part_id % 90 + 0.75::DOUBLE) FILTER (part_id % 6 = 0) AS largest,
+  arg_max(part_id % 90 + 0.75::DOUBLE, {PLACE}) FILTER (part_id % 6 = 0) AS last FROM items GROUP BY 1"""))
 def _(r):
-    words = "shipping|spedizione|envío|livraison|transport|fracht|frais"
-    amount = F.when(F.lower("cell").rlike(words), numbers.amount_in_text(F.col("cell")))
-    return cell_texts(r).groupBy("invoice_id").agg(F.max(amount).alias("shipping_fee"))
+    """The largest and the last shipping amount among a document's cells."""
+    return rows.shipping_amounts(cell_texts(r))
 
 
-@query("ag_17_first_date_and_number", with_roles(ITEMS, body="""
-SELECT invoice_id, 'F-' || arg_min(part_id, (line_no, supplier_id, part_id, quantity, total)) FILTER (part_id % 6 = 1) AS invoice_number,
-  make_date(2024, 7, CAST(arg_min(part_id, (line_no, supplier_id, part_id, quantity, total)) FILTER (part_id % 6 = 2) % 28 + 1 AS INT)) AS invoice_date FROM items GROUP BY 1"""))
+@query("ag_17_first_date_and_number", with_roles(ITEMS, body=f"""
+SELECT invoice_id, 'F-' || arg_min(part_id, {PLACE}) FILTER (part_id % 6 = 1) AS invoice_number,
+  make_date(2024, 7, CAST(arg_min(part_id, {PLACE}) FILTER (part_id % 6 = 2) % 28 + 1 AS INT)) AS invoice_date,
+  'F-' || arg_max(part_id, {PLACE}) FILTER (part_id % 6 = 1) AS last_number,
+  make_date(2024, 7, CAST(arg_max(part_id, {PLACE}) FILTER (part_id % 6 = 2) % 28 + 1 AS INT)) AS last_date FROM items GROUP BY 1"""))
 def _(r):
-    """First number and first date of a document in reading order."""
-    number = F.nullif(F.regexp_extract("cell", r"(?i)(?:invoice|no\.?|n\.?|number)[\s:]*([A-Z0-9\-_]+)", 1), F.lit(""))
-    number = F.when(F.col("cell").startswith("Invoice"), number)
-    parts = [F.regexp_extract("cell", r"(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})", g).try_cast("int") for g in (3, 2, 1)]
-    day = F.try_to_date(F.concat_ws("-", *[F.when(p.isNotNull(), p.cast("string")) for p in parts]), "yyyy-M-d")
-    first = lambda v: F.min_by(v, F.when(v.isNotNull(), F.col("place")))
-    return cell_texts(r).groupBy("invoice_id").agg(first(number).alias("invoice_number"), first(day).alias("invoice_date"))
+    """First and last number and date of a document in reading order."""
+    return rows.number_and_date(cell_texts(r))
 
 
 BRAND_SQL = ("€|\\d{4}-\\d{2}-\\d{2}|^(page|total|invoice|date|kg|grams|ml|pieces)($|[^\\p{L}\\p{N}_])|^\\d+$|^[^a-zA-Z]*$|chemin de"
@@ -304,12 +316,6 @@ def _(r):
     return electronic_invoices(docs).select("doc_id", "invoice_number", "invoice_date", "sku", "quantity", "unit_price", "line_total")
 
 
-@F.pandas_udf(StringType())
-def nfc(names: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no normalising function of its own."""
-    return names.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
-
-
 @query("src_10_expected_totals", """
 SELECT event_id, nfc_normalize('re' || chr(769) || 'f ' || event_type) AS name, CAST(json_extract(props, '$.k') AS DOUBLE) AS expected FROM events""")
 def _(r):
@@ -364,3 +370,78 @@ def _(r):
     page = lambda odd: r.items.filter(F.col("line_no") % 2 == odd).select(
         F.col("invoice_id").alias("doc_id"), F.col("line_no").alias("page"), "part_id", "quantity")
     return page(1).unionByName(page(0))
+
+
+@query("src_04_register_export", """
+SELECT p_partkey + 2 AS row_index, 'P' || p_partkey AS sku_internal, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'p' || p_partkey || ', "x"' END AS supplier_skus,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size + 0.5::DOUBLE END AS cmp, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE CAST(p_size AS DOUBLE) END AS qty_prev,
+  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 2.0::DOUBLE END AS qty_in FROM part""")
+def _(r):
+    """Register rows out of exported CSV lines, ragged and partly unreadable."""
+    part, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    line = F.concat_ws(
+        ",", (part + 2).cast("string"), F.concat(F.lit("P"), part), F.lit("name"), F.lit(""),
+        F.when(part % 4 == 0, "").otherwise(F.concat(F.lit('"p'), part, F.lit(', ""x"""'))), F.lit("unit"),
+        F.when(part % 5 == 0, "n/a").otherwise(F.concat(size, F.lit(".5"))), F.when(part % 3 == 0, "-").otherwise(size))
+    # Lines may end before the last cells.
+    line = F.when(part % 7 == 0, line).otherwise(F.concat(line, F.lit(",2,,")))
+    ledger = parse_ledger(ledger_cells(r.table("part").select(line.alias("value"))))
+    return ledger.select("row_index", "sku_internal", "supplier_skus", "cmp", "qty_prev", "qty_in")
+
+
+GRID_RULE = {"vendor": {"name": "grid"}, "table": {
+    "strategy": "pdfplumber_table", "header_keywords": ["artikel", "menge", "summe"], "min_columns": 4,
+    "columns": [{"name": "sku", "index": 0}, {"name": "description", "index": 1}, {"name": "quantity", "index": 2, "type": "number"},
+                {"name": "unit_price", "index": 3, "type": "number"}, {"name": "total", "index": 4, "type": "number"}]}}
+
+
+@query("sc_18_table_strategy", with_roles(ITEMS, NUMBERED, body="""
+SELECT invoice_id AS doc_id, CAST(CASE WHEN pos <= 3 THEN 1 ELSE pos // 3 + 2 END AS INT) AS table_no,
+  CAST(CASE WHEN pos <= 3 THEN pos ELSE pos - greatest(4, 3 * (pos // 3)) END AS INT) AS row_no, 'T' || part_id AS sku, 'Bar ' || part_id AS description,
+  CAST(quantity AS DOUBLE) AS quantity, part_id % 50 + 0.5::DOUBLE AS unit_price,
+  CASE WHEN part_id % 4 = 0 THEN round(quantity * (part_id % 50 + 0.5::DOUBLE), 2) ELSE 7.25 END AS total FROM numbered WHERE part_id % 6 <> 0"""))
+def _(r):
+    """Items of table grids: a table with the rule's header words, then tables that go
+    on without one; summary rows and tables of another shape are left out."""
+    part, pos = F.col("part_id"), F.col("pos")
+    text_of = lambda v: v.cast("string")
+    cells = F.array(F.when(part % 6 == 0, "").otherwise(F.concat(F.lit("T"), part)), F.when(part % 6 == 0, "Total net").otherwise(F.concat(F.lit("Bar "), part)),
+                    text_of(F.col("quantity").cast("int")), F.concat(text_of(part % 50), F.lit(",50")), F.when(part % 4 != 0, "7,25"))
+    # A row without a total has no total column at all.
+    cells = F.when(part % 4 == 0, F.slice(cells, 1, 4)).otherwise(cells)
+    numbered = numbered_items(r)
+    body = numbered.select("invoice_id", F.when(pos <= 3, 1).otherwise(F.floor(pos / 3) + 2).cast("int").alias("table_no"), pos.cast("int").alias("row_no"), cells.alias("cells"))
+    arr = lambda *w: F.array(*[F.lit(x) for x in w])
+    heads = numbered.filter("pos = 1").select("invoice_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), arr("Kunde", "Nr").alias("cells")),
+        F.struct(F.lit(1).alias("table_no"), F.lit(0).alias("row_no"), arr("Artikel", "Text", "MENGE", "Preis", "Summe").alias("cells")))))
+    first = F.min("row_no").over(Window.partitionBy("invoice_id", "table_no"))
+    grid = body.unionByName(heads).withColumn("row_no", F.col("row_no") - first)
+    rule = with_defaults(r.spark.createDataFrame([GRID_RULE], RULE_SCHEMA))
+    items = extract.table_items(grid.select(F.col("invoice_id").alias("doc_id"), F.lit("grid").alias("vendor"), "table_no", "row_no", "cells"), rule, measure=doc_keys(r))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return items.select("doc_id", "table_no", "row_no", "sku", "description", number("quantity"), number("unit_price"), number("total"))
+
+
+FOOTER_RULE = {"vendor": {"name": "foot"}, "footer": {"fields": [
+    {"name": "subtotal", "regex": r"^Net ([\d.,]+)$"}, {"name": "total", "regex": r"^Gross ([\d.,]+)$"},
+    {"name": "order", "regex": r"^Order (\w+)$", "type": "string", "target": "metadata"},
+    {"name": "terms", "regex": r"^Terms (.+)$", "type": "string", "target": "vendor"}]}}
+
+
+@query("sc_21_footer_fields", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1.5 ELSE round(o_totalprice, 2) END AS subtotal, CASE WHEN o_orderkey % 5 = 0 THEN 2.5 ELSE 1234.5 END::DOUBLE AS total,
+  'K' || o_orderkey AS order_no, CASE WHEN o_orderkey % 2 = 0 THEN '30 days net' END AS terms FROM orders""")
+def _(r):
+    """Footer fields by a rule: totals replace computed ones, others go to their part."""
+    key = F.col("o_orderkey")
+    body = F.concat_ws("\n", F.when(key % 3 != 0, F.concat(F.lit("Net "), F.format_number(F.round("o_totalprice", 2), 2))),
+                       F.when(key % 5 != 0, "Gross 1.234,50"), F.concat(F.lit("Order K"), key), F.when(key % 2 == 0, "Terms 30 days net"))
+    rule = with_defaults(r.spark.createDataFrame([FOOTER_RULE], RULE_SCHEMA))
+    docs = extract.prepared(r.table("orders").select(key, F.lit("foot").alias("vendor"), body.alias("text")), rule)
+    found = docs.select("o_orderkey", "footer", F.explode(F.array(extract.fields(F.col("text"), F.col("footer")))).alias("found"))
+    computed = F.create_map(F.lit("subtotal"), F.lit("1.5"), F.lit("total"), F.lit("2.5"))
+    parts = found.select("o_orderkey", extract.with_footer(F.col("found"), computed).alias("totals"), extract.by_target(F.col("found"), F.col("footer")).alias("parts"))
+    get = lambda m, k: F.try_element_at(m, F.lit(k))
+    return parts.select("o_orderkey", get("totals", "subtotal").cast("double").alias("subtotal"), get("totals", "total").cast("double").alias("total"),
+                        get(get("parts", "metadata"), "order").alias("order_no"), get(get("parts", "vendor"), "terms").alias("terms"))

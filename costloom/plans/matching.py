@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from costloom.functions.text import normalize_sku
 from costloom.operators import cost, match, quality
-from costloom.operators.keyed import join_on_key, rows_with_key
+from costloom.operators.keyed import join_on_key
 from costloom.plans.costing import CHECKED, FREIGHT, KEYS, ROLES
 from costloom.plans.registry import query
 from costloom.plans.roles import (ALIASES, INVOICES, ITEM_ORDER, ITEMS, LEDGER, PRODUCTS, SUPPLIERS,
@@ -48,7 +48,7 @@ def _(r):
     branded = r.table("part").select(
         (part * 2).alias("alias_id"), part.alias("product_id"), F.lower("p_brand").alias("sku"),
         F.concat(F.lit("by Supplier#"), F.lpad((part % 13).cast("string"), 9, "0")).alias("brand"))
-    items = r.items.join(r.suppliers.select("supplier_id", "supplier_name"), "supplier_id").select(
+    items = join_on_key(r.items, r.suppliers.select("supplier_id", "supplier_name"), ["supplier_id"], "inner").select(
         *LINE, "sku", "supplier_name")
     return match.map_by_sku_and_brand(items, branded)
 
@@ -75,10 +75,9 @@ def _(r):
     return match.ledger_keys(cells).select("match_sku", "hits", F.col("row.row_index").alias("first_row"))
 
 
-@query("jn_04_near_match_hints", with_roles(body="""
-u AS (SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN 'P' || (l_partkey // 10) ELSE 'NEW-P' || l_partkey || '-X' END AS sku
-  FROM lineitem WHERE l_partkey % 7 = 0),
-k AS (SELECT DISTINCT 'P' || p_partkey AS known_sku FROM part),
+@query("jn_04_near_match_hints", with_roles(*ROLES, body="""
+, u AS (SELECT DISTINCT upper(trim(sku)) AS sku FROM checked WHERE outcome = 'not_found'),
+k AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'AX' || p_partkey ELSE 'X' || (p_partkey // 10) END AS known_sku FROM part),
 lens AS (SELECT unnest(range(1, 6)) AS n), spots AS (SELECT unnest(range(1, 40)) AS i),
 kp AS (SELECT DISTINCT known_sku, substr(known_sku, i, n) AS piece FROM k, lens, spots WHERE i <= length(known_sku)),
 up AS (SELECT DISTINCT sku, substr(sku, i, n) AS piece FROM u, lens, spots WHERE i <= length(sku)),
@@ -87,12 +86,11 @@ bw AS (SELECT substr(known_sku, 1, 5) AS piece, count(*) AS n_known, min(known_s
 SELECT sku, piece, n_known, first_known, 'known contains it' AS link FROM u JOIN fw ON piece = substr(sku, 1, 5)
 UNION ALL SELECT sku, piece, n_known, first_known, 'contains known' FROM up JOIN bw USING (piece)"""))
 def _(r):
-    part = F.col("l_partkey")
-    sku = F.when(part % 2 == 0, F.concat(F.lit("P"), F.floor(part / 10))) \
-        .otherwise(F.concat(F.lit("NEW-P"), part, F.lit("-X")))
-    unmatched = r.table("lineitem").filter(part % 7 == 0).select(sku.alias("sku"))
-    known = r.products.select(F.col("sku_internal").alias("sku"))
-    return match.near_keys(unmatched, known)
+    """Hints for the codes the register lacks, against a catalogue of codes."""
+    part = F.col("p_partkey")
+    unmatched = match.match_ledger(r.items, r.ledger).filter("match = 'not_found'").select(F.col("match_sku").alias("sku"))
+    code = F.when(part % 2 == 0, F.concat(F.lit("AX"), part)).otherwise(F.concat(F.lit("X"), F.floor(part / 10)))
+    return match.near_keys(unmatched, r.table("part").select(code.alias("sku")))
 
 
 @query("jn_05_bulk_mapping_check", with_roles(ITEMS, ALIASES, PRODUCTS, body="""
@@ -121,7 +119,7 @@ def _(r):
 
 @query("jn_06_export_mapping", with_roles(ITEMS, LEDGER, body=f"""
 , m AS (SELECT upper(trim(split_part(supplier_skus, ';', 1))) AS k, arg_max(sku_internal, row_index) AS s
-  FROM ledger WHERE row_index BETWEEN 2 AND 1000 GROUP BY 1)
+  FROM ledger GROUP BY 1)
 SELECT {LINE_SQL}, sku, coalesce(m.s, sku) AS export_sku FROM items LEFT JOIN m ON m.k = upper(trim(sku))"""))
 def _(r):
     ledger = r.ledger.withColumn("supplier_skus", F.split("supplier_skus", ";")[0])
@@ -136,7 +134,7 @@ SELECT invoice_id, '' AS blank, coalesce(m.s, sku) AS sku, quantity FROM items L
 def _(r):
     """The export rows: an empty column, the SKU, the quantity."""
     ledger = r.ledger.withColumn("supplier_skus", F.split("supplier_skus", ";")[0])
-    out = match.export_items(r.items, match.export_mapping(ledger, last_row=None))
+    out = match.export_items(r.items, match.export_mapping(ledger))
     return out.select("invoice_id", F.lit("").alias("blank"), F.col("export_sku").alias("sku"), "quantity")
 
 
@@ -195,25 +193,19 @@ def _(r):
 @query("jn_17_unmapped_items", with_roles(ITEMS, ALIASES, body=f"""
 SELECT {LINE_SQL}, sku FROM items i WHERE NOT EXISTS (SELECT 1 FROM aliases a WHERE a.sku = i.sku AND trim(a.sku) <> '')"""))
 def _(r):
-    return rows_with_key(r.items.select(*LINE, "sku"), r.aliases.filter(F.trim("sku") != ""), ["sku"], present=False)
+    return match.unmapped_items(r.items.select(*LINE, "sku"), r.aliases)
 
 
 @query("jn_17_mapped_items", with_roles(ITEMS, ALIASES, body=f"""
 SELECT {LINE_SQL}, sku FROM items i WHERE EXISTS (SELECT 1 FROM aliases a WHERE a.sku = i.sku AND trim(a.sku) <> '')"""))
 def _(r):
-    return rows_with_key(r.items.select(*LINE, "sku"), r.aliases.filter(F.trim("sku") != ""), ["sku"])
+    return match.mapped_items(r.items.select(*LINE, "sku"), r.aliases)
 
 
-@query("jn_19_alias_arrays", with_roles(PRODUCTS, ALIASES, body="""
-SELECT p.product_id, p.sku_internal, array_to_string(list_sort(list(DISTINCT a.sku)), ',') AS supplier_skus,
-  array_to_string(list_sort(list(DISTINCT a.brand) FILTER (a.brand IS NOT NULL)), ',') AS brands
-FROM products p LEFT JOIN aliases a USING (product_id) GROUP BY ALL"""))
+@query("jn_19_product_aliases", with_roles(PRODUCTS, ALIASES, body="""
+SELECT DISTINCT p.product_id, p.sku_internal, a.sku AS supplier_sku, a.brand FROM products p LEFT JOIN aliases a USING (product_id)"""))
 def _(r):
-    """Per product its supplier SKUs and brands (a product has few of either)."""
-    arrays = r.aliases.groupBy("product_id").agg(
-        F.array_join(F.sort_array(F.collect_set("sku")), ",").alias("supplier_skus"),
-        F.array_join(F.sort_array(F.collect_set("brand")), ",").alias("brands"))
-    return r.products.select("product_id", "sku_internal").join(arrays, "product_id", "left")
+    return match.product_aliases(r.products.select("product_id", "sku_internal"), r.aliases)
 
 
 @query("ag_09_parsing_stats", with_roles(*MAPPED_ROLES, body="""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from costloom.functions.numbers import as_text
 from costloom.operators import allocate, quality
+from costloom.operators import rows as rows_of
 from costloom.operators.allocate import money
 from costloom.operators.keyed import join_on_key
 from costloom.operators.projections import canonical_totals
@@ -88,13 +89,14 @@ def _(r):
 
 
 @query("mn_04_global_discount", with_roles(ITEMS, INVOICES, GROSS, body=f"""
-SELECT {LINE_SQL}, round(total * (1 - 250 / gross) + 1e-7, 2) AS net_total FROM gross"""))
+SELECT {LINE_SQL}, round(total * (1 - 250 / gross) + 1e-7, 2) AS net_total, round(unit_price * (1 - 250 / gross) + 1e-7, 2) AS net_price FROM gross"""))
 def _(r):
-    """Gross minus discount over gross, applied to every line total."""
+    """Gross minus discount over gross, applied to every line's total and unit price."""
     gross = r.items.groupBy("invoice_id").agg(F.sum(money(F.col("total"))).cast("double").alias("gross"))
     lines = join_on_key(r.items, gross, ["invoice_id"])
     net = allocate.after_global_discount(F.col("total") + 1e-7, F.col("gross"), F.lit(250.0))
-    return lines.select(*LINE, net.alias("net_total"))
+    price = allocate.after_global_discount(F.col("unit_price") + 1e-7, F.col("gross"), F.lit(250.0))
+    return lines.select(*LINE, net.alias("net_total"), price.alias("net_price"))
 
 
 @query("mn_06_vat_uplift", with_roles(ITEMS, INVOICES, body="""
@@ -116,7 +118,7 @@ declared AS (
   SELECT *, CASE invoice_id % 6 WHEN 0 THEN items_total WHEN 1 THEN items_total + shipping_fee
       WHEN 2 THEN items_total + shipping_fee + discount + tax WHEN 3 THEN items_total * 2 WHEN 4 THEN 0 ELSE items_total * 3 END AS declared,
     CASE invoice_id % 6 WHEN 3 THEN items_total * 2 WHEN 4 THEN NULL WHEN 5 THEN items_total + shipping_fee + discount ELSE items_total END AS expected,
-    invoice_id % 2 = 0 AS relaxed FROM books),
+    CASE WHEN invoice_id % 2 = 0 THEN 3 WHEN invoice_id % 7 = 0 THEN 50 END AS relaxed_above FROM books),
 settled AS (
   SELECT *, CASE WHEN abs(items_total + shipping_fee + discount - expected) < 0.1 THEN items_total + shipping_fee + discount
     WHEN declared IS NULL OR declared = 0 THEN items_total + shipping_fee + discount + tax
@@ -141,7 +143,7 @@ def books(r):
     expected = (F.when(k == 3, items * 2).when(k == 4, None).when(k == 5, items + ship + disc).otherwise(items))
     return b.select("invoice_id", "items_total", "n_items", "shipping_fee", "discount", "tax",
                     declared.alias("declared"), expected.alias("expected"),
-                    (F.col("invoice_id") % 2 == 0).alias("relaxed"))
+                    F.when(F.col("invoice_id") % 2 == 0, 3).when(F.col("invoice_id") % 7 == 0, 50).alias("relaxed_above"))
 
 
 @query("mn_07_adaptive_total", with_roles(*BOOK_ROLES, body="""
@@ -150,7 +152,7 @@ def _(r):
     return quality.reconcile(books(r)).select("invoice_id", "declared", "expected", "total")
 
 
-STATUS = """CASE WHEN expected IS NOT NULL AND abs(total - expected) > CASE WHEN relaxed AND n_items > 50 THEN 0.1 ELSE 0.05 END
+STATUS = """CASE WHEN expected IS NOT NULL AND abs(total - expected) > CASE WHEN n_items > relaxed_above THEN 0.1 ELSE 0.05 END
   THEN 'failed' WHEN n_items = 0 THEN 'warning' ELSE 'passed' END AS status"""
 
 
@@ -205,13 +207,23 @@ def _(r):
 
 
 @query("mn_13_two_of_three", with_roles(ITEMS, body="""
-SELECT invoice_id, line_no, supplier_id, part_id, quantity, CASE part_id % 3 WHEN 0 THEN total / quantity ELSE unit_price END AS price,
-  CASE part_id % 3 WHEN 1 THEN quantity * unit_price ELSE total END AS total FROM items"""))
+SELECT invoice_id, line_no, supplier_id, part_id, total AS line, CAST(CASE part_id % 4 WHEN 0 THEN quantity + 1 WHEN 1 THEN quantity ELSE quantity END AS BIGINT) AS quantity,
+  CASE part_id % 3 WHEN 0 THEN total / q ELSE unit_price END AS price, CASE part_id % 3 WHEN 1 THEN q * unit_price ELSE total END AS total
+FROM (SELECT *, quantity + CASE part_id % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.04 WHEN 2 THEN 0.6 ELSE 0 END::DOUBLE AS q FROM items) x"""))
 def _(r):
-    k = F.col("part_id") % 3
-    q, p, t = allocate.complete_two_of_three(F.col("quantity") + 0.04, F.when(k != 0, F.col("unit_price")),
-                                             F.when(k != 1, F.col("total")))
-    return r.items.select("invoice_id", "line_no", "supplier_id", "part_id", q.alias("quantity"), p.alias("price"), t.alias("total"))
+    """What is missing comes from the raw quantity; then the quantity becomes whole."""
+    k, part = F.col("part_id") % 3, F.col("part_id") % 4
+    raw = F.col("quantity") + F.when(part == 0, 0.95).when(part == 1, 0.04).when(part == 2, 0.6).otherwise(0.0)
+    q, p, t = allocate.complete_two_of_three(raw, F.when(k != 0, F.col("unit_price")), F.when(k != 1, F.col("total")))
+    return r.items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), q.alias("quantity"), p.alias("price"), t.alias("total"))
+
+
+@query("mn_13_single_amount", with_roles(ITEMS, body="""
+SELECT invoice_id, line_no, supplier_id, part_id, total AS line, unit_price AS price, quantity * unit_price AS total FROM items"""))
+def _(r):
+    """A line that prints one amount only prints its unit price."""
+    price, total = allocate.price_and_total(F.col("quantity"), F.array(F.col("unit_price")))
+    return r.items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), price.alias("price"), total.alias("total"))
 
 
 @query("ag_24_declared_total_pattern", with_roles(*BOOK_ROLES, body="""
@@ -221,8 +233,7 @@ def _(r):
     """First candidate, in order, that is not below the lines; else lines and shipping."""
     b, items = books(r), F.col("items_total")
     first, second = items * 0.9, items + (F.col("invoice_id") % 3 - 1)
-    return b.select("invoice_id", F.coalesce(F.when(first >= items, first), F.when(second >= items, second),
-                                             items + F.col("shipping_fee")).alias("total"))
+    return b.select("invoice_id", allocate.declared_total([first, second], items, F.col("shipping_fee")).alias("total"))
 
 
 @query("ag_26_totals_precedence", with_roles(*BOOK_ROLES, body="""
@@ -232,10 +243,8 @@ def _(r):
     """Text amounts win when positive; else the lines, plus VAT where known."""
     text_subtotal = F.when(F.col("invoice_id") % 5 == 0, F.col("items_total") * 1.5)
     vat = F.when(F.col("invoice_id") % 4 != 0, F.col("tax"))
-    b = books(r).withColumn("subtotal", F.coalesce(F.when(text_subtotal > 0, text_subtotal), F.col("items_total")))
-    total = (F.when(F.col("declared") > 0, F.col("declared")).when(vat > 0, F.col("subtotal") + vat)
-             .otherwise(F.col("subtotal")))
-    return b.select("invoice_id", "subtotal", total.alias("total"))
+    subtotal, total = allocate.totals_by_precedence(text_subtotal, F.col("declared"), vat, F.col("items_total"))
+    return books(r).select("invoice_id", subtotal.alias("subtotal"), total.alias("total"))
 
 
 @query("prj_04_canonical_invoice", with_roles(*BOOK_ROLES, body="""
@@ -324,13 +333,15 @@ def _(r):
 
 @query("dq_02_required_fields", with_roles(*BOOK_ROLES, body="""
 SELECT invoice_id, CASE WHEN invoice_id % 3 = 0 THEN 'Vendor name is missing' ELSE '' END AS vendor_errors,
-  (CASE WHEN invoice_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN invoice_id % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN invoice_id % 5 = 0 THEN 1 ELSE 0 END) AS n_errors FROM books"""))
+  (CASE WHEN invoice_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN invoice_id % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN invoice_id % 5 = 0 THEN 1 ELSE 0 END) AS n_errors,
+  CASE WHEN n_items < 3 THEN 'No order items found' ELSE '' END AS warnings FROM books"""))
 def _(r):
     k = F.col("invoice_id")
     errors = quality.required_fields(F.when(k % 3 == 0, "").otherwise("vendor"), F.when(k % 4 != 0, k.cast("string")),
                                      F.when(k % 5 != 0, "2024-01-31"))
     only_vendor = F.filter(errors, lambda m: m.startswith("Vendor"))
-    return books(r).select("invoice_id", F.array_join(only_vendor, ",").alias("vendor_errors"), F.size(errors).alias("n_errors"))
+    return books(r).select("invoice_id", F.array_join(only_vendor, ",").alias("vendor_errors"), F.size(errors).alias("n_errors"),
+                           F.array_join(quality.item_warnings(F.greatest(F.col("n_items") - 2, F.lit(0))), ",").alias("warnings"))
 
 
 @query("dq_10_base_check", with_roles(INVOICES, body="""
@@ -384,30 +395,39 @@ SELECT invoice_id, part_id % 5 AS reference, sum(quantity) AS quantity, CAST(sum
   arg_min(unit_price, (line_no, supplier_id, part_id, quantity, total)) AS unit_price FROM items GROUP BY 1, 2"""))
 def _(r):
     """Repeated references of a document become one line; the first price stays."""
-    return r.items.groupBy("invoice_id", (F.col("part_id") % 5).alias("reference")).agg(
-        F.sum("quantity").alias("quantity"), F.sum(money(F.col("total"))).cast("double").alias("total"),
-        F.min_by("unit_price", F.struct(*ITEM_ORDER)).alias("unit_price"))
-
-
-def first_of(r, *key):
-    return r.items.groupBy("invoice_id", *key).agg(F.min(F.struct(*ITEM_ORDER)).alias("first")).select(
-        "invoice_id", *[c for c in key if isinstance(c, str)], F.col("first.line_no").alias("line_no"),
-        F.col("first.supplier_id").alias("supplier_id"), F.col("first.part_id").alias("part_id"))
+    rows = r.items.withColumn("reference", F.col("part_id") % 5)
+    return rows_of.merged_references(rows, "reference", ITEM_ORDER).select("invoice_id", "reference", "quantity", "total", "unit_price")
 
 
 @query("ag_13_first_of_equal_rows", with_roles(ITEMS, body="""
-SELECT invoice_id, sku, quantity, total, unit_price, min(line_no) AS line_no FROM items GROUP BY invoice_id, sku, quantity, total, unit_price"""))
+, d AS (SELECT *, 'Item ' || (supplier_id % 3) AS description FROM items),
+f AS (SELECT *, row_number() OVER (PARTITION BY invoice_id, sku, quantity, total, unit_price, description ORDER BY line_no, supplier_id, part_id) AS n FROM d)
+SELECT invoice_id, line_no, supplier_id, part_id, sku, description, quantity, unit_price, total FROM f WHERE n = 1"""))
 def _(r):
-    """Rows of a document equal in five columns count once, the first one stays."""
-    key = ["invoice_id", "sku", "quantity", "total", "unit_price"]
-    return r.items.groupBy(*key).agg(F.min("line_no").alias("line_no"))
+    """Rows of a document equal in code, quantity, amounts and description count
+    once, the first one stays whole.  Every line is printed twice here."""
+    rows = r.items.withColumn("description", F.concat(F.lit("Item "), F.col("supplier_id") % 3))
+    twice = rows.withColumn("line_no", F.explode(F.array(F.col("line_no"), F.col("line_no") + 1000)))
+    key = ["invoice_id", "sku", "quantity", "total", "unit_price", "description"]
+    return rows_of.first_of_equal(twice, key, ITEM_ORDER).select(
+        "invoice_id", "line_no", "supplier_id", "part_id", "sku", "description", "quantity", "unit_price", "total")
 
 
 @query("ag_25_first_by_reference", with_roles(ITEMS, body="""
 SELECT invoice_id, sku, f.line_no, f.supplier_id, f.part_id FROM (SELECT invoice_id, sku,
   min(struct_pack(line_no := line_no, supplier_id := supplier_id, part_id := part_id, quantity := quantity, total := total)) AS f FROM items GROUP BY 1, 2) x"""))
 def _(r):
-    return first_of(r, "sku")
+    return rows_of.first_of_equal(r.items, ["invoice_id", "sku"], ITEM_ORDER).select("invoice_id", "sku", "line_no", "supplier_id", "part_id")
+
+
+@query("ag_25_first_by_reference_and_amounts", with_roles(ITEMS, body="""
+SELECT invoice_id, sku, quantity, total, count(*) AS printed FROM items GROUP BY ALL"""))
+def _(r):
+    """First line of equal reference, quantity and total; lines are printed twice."""
+    twice = r.items.withColumn("line_no", F.explode(F.array(F.col("line_no"), F.col("line_no") + 1000)))
+    once = rows_of.first_of_equal(twice, ["invoice_id", "sku", "quantity", "total"], ITEM_ORDER)
+    counted = r.items.groupBy("invoice_id", "sku", "quantity", "total").agg(F.count(F.lit(1)).alias("printed"))
+    return once.select("invoice_id", "sku", "quantity", "total").join(counted, ["invoice_id", "sku", "quantity", "total"])
 
 
 @query("ag_14_shipping_rows", with_roles(ITEMS, body="""
@@ -415,12 +435,10 @@ SELECT invoice_id, coalesce(CASE WHEN invoice_id % 4 = 0 THEN 9.5 END, CAST(sum(
 FROM items GROUP BY invoice_id"""))
 def _(r):
     """Positive totals of shipping rows are summed; a footer amount replaces the sum."""
-    is_shipping = F.col("part_id") % 6 == 0
-    total = F.when(F.col("part_id") % 12 == 0, F.col("total")).otherwise(-F.col("total"))
-    rows = F.sum(F.when(is_shipping & (total > 0), money(total))).cast("double")
-    footer = F.when(F.col("invoice_id") % 4 == 0, 9.5)
-    return r.items.groupBy("invoice_id").agg(rows.alias("rows")).select(
-        "invoice_id", F.coalesce(footer, F.col("rows")).alias("shipping_fee"))
+    rows = r.items.select("invoice_id", (F.col("part_id") % 6 == 0).alias("is_shipping"),
+                          F.when(F.col("part_id") % 12 == 0, F.col("total")).otherwise(-F.col("total")).alias("total"))
+    footers = r.invoices.filter("invoice_id % 4 = 0").select("invoice_id", F.lit(9.5).alias("footer_fee"))
+    return rows_of.shipping_fees(rows, footers)
 
 
 @query("ag_18_first_vat_rate", with_roles(ITEMS, body="""
@@ -428,16 +446,12 @@ SELECT invoice_id, coalesce(arg_min(r, (line_no, supplier_id, part_id, quantity,
 FROM (SELECT *, CASE WHEN tax_rate > 0.02 THEN round(tax_rate * 100, 0) END AS r FROM items) x GROUP BY invoice_id"""))
 def _(r):
     rate = F.when(F.col("tax_rate") > 0.02, F.round(F.col("tax_rate") * 100, 0))
-    place = F.when(rate.isNotNull(), F.struct(*ITEM_ORDER))
-    return r.items.groupBy("invoice_id").agg(
-        F.coalesce(F.min_by(rate, place), F.lit(5.5)).alias("vat_rate"), F.count_distinct(rate).alias("rates"))
+    return rows_of.first_rate(r.items.withColumn("rate", rate), ITEM_ORDER, 5.5)
 
 
 @query("ag_19_field_completeness", with_roles(ITEMS, body="""
 SELECT supplier_id, count(*) AS items, count(*) FILTER (part_id % 8 = 0) AS no_price, CAST(count(*) FILTER (part_id % 8 <> 0) AS DOUBLE) / count(*) AS complete
 FROM items GROUP BY supplier_id"""))
 def _(r):
-    price = F.when(F.col("part_id") % 8 != 0, F.col("unit_price"))
-    return r.items.groupBy("supplier_id").agg(
-        F.count(F.lit(1)).alias("items"), F.count_if(price.isNull()).alias("no_price"),
-        (F.count(price) / F.count(F.lit(1))).alias("complete"))
+    rows = r.items.withColumn("price", F.when(F.col("part_id") % 8 != 0, F.col("unit_price")))
+    return rows_of.completeness(rows, "supplier_id", "price").withColumnRenamed("missing", "no_price")

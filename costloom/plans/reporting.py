@@ -41,6 +41,14 @@ def _(r):
         "invoice_id", "invoice_date", "status", "line_no", "supplier_id", "supplier_name", "part_id", "product_name", "quantity", "total")
 
 
+@query("src_03_invoice_logs", with_roles(INVOICES, LOGS, body="""
+SELECT v.invoice_id, v.status, l.log_id, l.status AS log_status, l.message, l.created_at,
+  row_number() OVER (PARTITION BY v.invoice_id ORDER BY l.created_at DESC, l.log_id DESC) AS place FROM invoices v JOIN logs l USING (invoice_id)"""))
+def _(r):
+    """The logs of every invoice, the newest first."""
+    return report.invoice_logs(r.invoices, r.logs).select("invoice_id", "status", "log_id", "log_status", "message", "created_at", "place")
+
+
 LATEST = """latest AS (SELECT invoice_id, arg_max(status, (created_at, log_id)) AS log_status, arg_max(message, (created_at, log_id)) AS message,
     max(created_at) AS logged_at FROM logs GROUP BY invoice_id)"""
 
@@ -127,7 +135,10 @@ SELECT invoice_id, invoice_date, (SELECT CAST(ceil(count(*) / 25.0) AS BIGINT) F
 def _(r):
     """Third page of 25 and the number of pages."""
     pages = r.invoices.agg(F.ceil(F.count(F.lit(1)) / 25).alias("pages"))
-    rows = report.page(r.invoices, [F.col("invoice_date").desc(), "invoice_id"], 3, 25)
+    order, last = [("invoice_date", True), ("invoice_id", False)], None
+    for _ in range(2):  # the last row of each page leads to the next
+        last = report.page_after(r.invoices.select("invoice_date", "invoice_id"), order, 25, last).orderBy("invoice_date", F.desc("invoice_id")).first().asDict()
+    rows = report.page_after(r.invoices, order, 25, last)
     return rows.select("invoice_id", "invoice_date", pages.scalar().alias("pages"))
 
 
@@ -164,23 +175,25 @@ def unmapped(r):
 GROUPED = "SELECT sku, count(*) AS n, max(seen_at) AS last_seen, arg_max(supplier_name, (seen_at, pos)) AS supplier_name FROM {} GROUP BY sku ORDER BY n DESC, sku LIMIT 50"
 
 
-@query("ag_05_unmapped_skus_recent", with_roles(*UNMAPPED_ROLES, body=f"""
-, recent AS (SELECT * FROM unmapped ORDER BY seen_at DESC, pos LIMIT 150) {GROUPED.format("recent")}"""))
+@query("ag_05_unmapped_skus_recent", with_roles(*UNMAPPED_ROLES, body="""
+SELECT sku, count(*) AS n, max(seen_at) AS last_seen, arg_max(supplier_name, (seen_at, pos)) AS supplier_name FROM unmapped GROUP BY sku"""))
 def _(r):
-    """As defined: the newest 150 unmapped items, then grouped."""
-    return report.unmapped_skus(unmapped(r))
+    """Every unmapped SKU with its count and latest sight, over all unmapped items."""
+    return report.unmapped_counts(unmapped(r))
 
 
 @query("tk_04_unmapped_skus_all", with_roles(*UNMAPPED_ROLES, body=GROUPED.format("unmapped")))
 def _(r):
-    return report.unmapped_skus(unmapped(r), full=True)
+    return report.unmapped_skus(unmapped(r))
 
 
 @query("ag_06_mappings_by_brand", with_roles(ALIASES, body="""
-SELECT coalesce(brand, 'Unknown') AS supplier, count(*) AS mappings FROM aliases GROUP BY 1"""))
+, dated AS (SELECT coalesce(brand, 'Unknown') AS supplier, DATE '2024-01-31' - CAST(alias_id % 90 AS INT) AS created FROM aliases)
+SELECT supplier, count(*) AS mappings, count(*) FILTER (created >= DATE '2024-01-31' - 30) AS recent FROM dated GROUP BY ROLLUP (supplier)"""))
 def _(r):
-    return r.aliases.groupBy(F.coalesce("brand", F.lit("Unknown")).alias("supplier")).agg(
-        F.count(F.lit(1)).alias("mappings")).orderBy(F.col("mappings").desc(), "supplier")
+    """Mappings per brand and in total (null), and those of the last 30 days."""
+    dated = r.aliases.withColumn("created_at", F.date_sub(F.lit(AS_OF).cast("date"), (F.col("alias_id") % 90).cast("int")))
+    return report.mapping_counts(dated, F.lit(AS_OF).cast("date"))
 
 
 @query("flt_15_recent_unmapped", with_roles(*UNMAPPED_ROLES, body="""
@@ -336,13 +349,10 @@ def _(r):
 @query("prj_12_field_defaults", with_roles(ITEMS, body="""
 , n AS (SELECT invoice_id, count(*) AS c FROM items GROUP BY 1)
 SELECT i.invoice_id, line_no, supplier_id, part_id, CASE WHEN part_id % 7 = 0 THEN 'ITEM_' || c ELSE sku END AS reference,
-  CASE WHEN part_id % 5 = 0 THEN 0 ELSE quantity END AS quantity FROM items i JOIN n USING (invoice_id)"""))
+  CASE WHEN part_id % 5 = 0 THEN 0 ELSE quantity END AS quantity, CASE WHEN part_id % 3 = 0 THEN 0 ELSE unit_price END AS unit_price FROM items i JOIN n USING (invoice_id)"""))
 def _(r):
     """A missing reference is named after the number of lines of its document."""
-    counts = r.items.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("c"))
-    rows = join_on_key(r.items, counts, ["invoice_id"])
-    reference = F.when(F.col("part_id") % 7 != 0, F.col("sku"))
-    quantity = F.when(F.col("part_id") % 5 != 0, F.col("quantity"))
-    return rows.select("invoice_id", "line_no", "supplier_id", "part_id",
-                       F.coalesce(reference, F.concat(F.lit("ITEM_"), "c")).alias("reference"),
-                       F.coalesce(quantity, F.lit(0.0)).alias("quantity"))
+    part = F.col("part_id")
+    rows = r.items.withColumns({"reference": F.when(part % 7 != 0, F.col("sku")), "quantity": F.when(part % 5 != 0, F.col("quantity")),
+                                "unit_price": F.when(part % 3 != 0, F.col("unit_price"))})
+    return projections.field_defaults(rows).select("invoice_id", "line_no", "supplier_id", "part_id", "reference", "quantity", "unit_price")

@@ -229,5 +229,5 @@ SALES = """sales AS (
   FROM events WHERE event_type = 'purchase')"""
 
 
-def with_roles(*roles: str, body: str) -> str:
-    return "WITH " + ",\n".join(roles) + "\n" + body
+def with_roles(*roles: str, body: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(roles) + "\n" + body

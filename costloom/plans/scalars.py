@@ -169,16 +169,18 @@ FR = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août",
 
 
 @query("sc_13_date_normalise", """
-SELECT o_orderkey, CASE o_orderkey % 7 WHEN 6 THEN NULL WHEN 5 THEN '20' || strftime(o_orderdate, '%y-%m-%d')
+SELECT o_orderkey, CASE o_orderkey % 8 WHEN 6 THEN NULL WHEN 5 THEN '20' || strftime(o_orderdate, '%y-%m-%d')
   ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders""")
 def _(r):
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    """Also with a weekday before it, whose name holds a month's (mardi, samedi)."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 8
     year, month, day = F.year(d), F.month(d), F.dayofmonth(d)
     name = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), month)
     spelled = (F.when(k == 0, F.concat_ws(" ", day, name(EN), year)).when(k == 1, F.concat_ws(" ", day, name(FR), year))
                .when(k == 2, F.concat_ws("-", year, month, day)).when(k == 3, F.concat_ws("/", day, month, year))
                .when(k == 4, F.concat_ws(".", day, month, year))
-               .when(k == 5, F.concat_ws(".", day, month, F.date_format(d, "yy"))).otherwise(F.concat_ws("-", month, year)))
+               .when(k == 5, F.concat_ws(".", day, month, F.date_format(d, "yy"))).when(k == 7, F.concat_ws(" ", F.lit("Mardi"), day, name(FR), year))
+               .otherwise(F.concat_ws("-", month, year)))
     return r.table("orders").select("o_orderkey", dates.normalize_date(spelled).alias("iso"))
 
 
@@ -292,6 +294,15 @@ def _(r):
         "vec_id", "n", "t.*")
 
 
+@query("sc_27_line_pairs", """
+SELECT doc_id, CAST((i - 1) // 2 AS INT) AS n, CASE WHEN i < len(l) THEN l[i] || ' ' || l[i + 1] ELSE l[i] END AS description
+FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1, 2)) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[A-Za-z]')) AS l FROM documents) y) x""")
+def _(r):
+    """Description lines taken two by two; an odd last one stays alone."""
+    lines = F.filter(F.split("text", "\n"), lambda t: t.rlike("[A-Za-z]"))
+    return r.table("documents").select("doc_id", F.posexplode(text.line_pairs(lines)).alias("n", "description"))
+
+
 @query("sc_31_last_two_amounts", """
 SELECT doc_id, CASE WHEN len(a) >= 2 THEN a[-2] ELSE '' END AS unit_price, CASE WHEN len(a) >= 2 THEN a[-1] ELSE '' END AS total
 FROM (SELECT doc_id, regexp_extract_all(text, '(\\d+[.,]\\d{2})', 1) AS a FROM documents) x""")

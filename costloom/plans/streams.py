@@ -9,7 +9,7 @@ from costloom.streaming import arrivals, costs, tables
 
 
 def stream_of(r, name):
-    return arrivals.arriving(r.spark, r.dir, r.table(name).schema, f"{name}.parquet")
+    return arrivals.arriving(r.spark, f"{r.dir}/{name}.parquet", r.table(name).schema)
 
 
 @query("ss_01_document_pickup", with_roles(DOC_LINES, body="SELECT doc_id, line_no, text FROM dl"))
@@ -17,7 +17,7 @@ def _(r):
     """Documents picked up as they arrive, stored line by line."""
     folder = tables.work_folder(r.spark)
     arrivals.store_lines(stream_of(r, "documents").select("doc_id", "text"), folder)
-    return tables.all_rows(r.spark, f"{folder}/lines").select("doc_id", "line_no", "text")
+    return tables.all_rows(r.spark, f"{folder}/lines", "doc_id long, line_no int, text string").select("doc_id", "line_no", "text")
 
 
 ITEMS_OF_PROSE = "WITH " + PROSE.replace("SELECT doc_id, variant, description, sku FROM found", ", kept AS (SELECT doc_id, variant, description, sku FROM found")
@@ -31,11 +31,19 @@ def _(r):
     folder = tables.work_folder(r.spark)
     docs = stream_of(r, "documents").select("doc_id", F.col("lang").alias("vendor"), "text")
     arrivals.upsert_invoices(docs, rules(r), folder)
-    status = tables.latest_rows(r.spark, f"{folder}/status", "doc_id").select("doc_id", "status", "n_items")
-    logs = tables.latest_rows(r.spark, f"{folder}/logs", "doc_id").select("doc_id", "message")
+    status = tables.latest_rows(r.spark, f"{folder}/status", "doc_id", "doc_id long, n_items long, status string").select("doc_id", "status", "n_items")
+    logs = tables.latest_rows(r.spark, f"{folder}/logs", "doc_id", "doc_id long, type string, status string, message string").select("doc_id", "message")
     return status.join(logs, "doc_id")
 
 
+@query("ss_02_stored_items", "WITH " + PROSE)
+def _(r):
+    """The items that the stream has stored for every document."""
+    folder = tables.work_folder(r.spark)
+    arrivals.upsert_invoices(stream_of(r, "documents").select("doc_id", F.col("lang").alias("vendor"), "text"), rules(r), folder)
+    return arrivals.current_items(r.spark, folder).select("doc_id", "variant", "description", "sku")
+
+
 LOSSES = """loss AS (SELECT ts AS sold_at, user_id AS product_id FROM events WHERE event_type = 'purchase' AND value < 25),
 starts AS (SELECT DISTINCT date_trunc('hour', ts) - to_hours(CAST(h AS INT)) AS window_start FROM events, range(0, 24) h(h)),
 w AS (SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(DISTINCT product_id) AS products, count(*) AS sales
@@ -51,7 +59,7 @@ def _(r):
         F.col("ts").cast("timestamp").alias("sold_at"), F.col("user_id").alias("product_id"), (F.col("value") - 25).alias("margin_pct"))
     costs.store_alerts(sold, folder)
     naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return tables.all_rows(r.spark, f"{folder}/alerts").select(naive("window_start"), naive("window_end"), "products", "sales")
+    return tables.all_rows(r.spark, f"{folder}/alerts", "window_start timestamp, window_end timestamp, products long, sales long").select(naive("window_start"), naive("window_end"), "products", "sales")
 
 
 @query("ss_04_sales_with_snapshot", with_roles(SALES, body="""
@@ -64,8 +72,9 @@ def _(r):
     snapshot = r.items.groupBy(F.col("part_id").alias("product_id")).agg(F.max_by("unit_price", order).alias("cmp"))
     sales = stream_of(r, "events").filter("event_type = 'purchase'").select(
         F.col("event_id").alias("sale_id"), F.col("user_id").alias("product_id"), (F.col("value") * 50).alias("unit_price"))
-    costs.store_sales(sales, snapshot, folder)
-    return tables.all_rows(r.spark, f"{folder}/sales").select("sale_id", "product_id", "unit_price", "cmp_at_sale", "margin_pct")
+    snapshot.write.parquet(f"{folder}/snapshot")
+    costs.store_sales(sales, f"{folder}/snapshot", folder)
+    return tables.all_rows(r.spark, f"{folder}/sales", "sale_id long, product_id long, unit_price double, cmp_at_sale double, margin_pct double").select("sale_id", "product_id", "unit_price", "cmp_at_sale", "margin_pct")
 
 
 @query("ss_06_running_cost", """
@@ -76,5 +85,5 @@ def _(r):
     bought = stream_of(r, "lineitem").select(
         F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"))
     costs.store_running_cost(bought, folder)
-    return tables.latest_rows(r.spark, f"{folder}/costs", "product_id").select(
+    return tables.latest_rows(r.spark, f"{folder}/costs", "product_id", costs.COST_SCHEMA).select(
         "product_id", "stock_qty", cents(F.col("average_cost"), 3).alias("average_cost"))

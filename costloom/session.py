@@ -20,9 +20,17 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    master = spark.sparkContext.master
+    if not checkpoint_folder(spark) and master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder that the cluster names."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+
+
 def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("costloom.maxGroupRows", str(MAX_GROUP_ROWS)))
 
@@ -35,14 +43,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     this machine anyway.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    named = checkpoint_folder(spark)
     if sc.getCheckpointDir() is not None:
         return
     if named:
         sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
+    else:  # a local session, as ``tune`` has made sure
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="costloom-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")

@@ -24,15 +24,20 @@ def join_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
 
 
-def read_ledger_cells(spark: SparkSession, path: str, columns: int = 10) -> DataFrame:
-    """A register exported as headerless CSV (columns B, C, ...), as cells per row.
+def ledger_cells(lines: DataFrame, columns: int = 10) -> DataFrame:
+    """Cells (columns B, C, ...) of a register exported as headerless CSV lines.
 
-    The row number is the first column of the export, so it does not depend on
-    how the file is split for reading.
+    The row number is the first cell of a line, so it does not depend on how the
+    export is split for reading.  Short lines have null in the cells they lack.
     """
     schema = ", ".join(["row_index int"] + [f"c{i} string" for i in range(columns)])
-    raw = spark.read.schema(schema).csv(path)
-    return raw.select("row_index", F.array(*[f"c{i}" for i in range(columns)]).alias("cells"))
+    raw = lines.select(F.from_csv("value", schema, {"escape": '"', "mode": "PERMISSIVE"}).alias("r"))
+    return raw.select("r.row_index", F.array(*[f"r.c{i}" for i in range(columns)]).alias("cells"))
+
+
+def read_ledger_cells(spark: SparkSession, path: str, columns: int = 10) -> DataFrame:
+    """``ledger_cells`` of an exported file or folder."""
+    return ledger_cells(spark.read.text(path), columns)
 
 
 def parse_ledger(cells: DataFrame) -> DataFrame:

@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costloom.operators.extract import region_items
+from costloom.operators.extract import ITEM_VALUES, region_items
 from costloom.operators.keyed import join_on_key
 from costloom.sources.documents import lines_of
-from costloom.streaming.tables import drain, write_batch
+from costloom.streaming.tables import all_rows, drain, latest_rows, write_batch
 
 
-def arriving(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
-    """Files that appear in a folder, each read once."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+def arriving(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files that appear at a path, each read once.
+
+    The path is a folder or, for a table that is one file, that file: it is given as a
+    pattern of itself, which the reader resolves to either.
+    """
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+ITEM_SCHEMA = ", ".join(["doc_id long", "vendor string", "missing_total_is_zero boolean", "variant int", "pos int",
+                         *(f"{c} string" for c in ITEM_VALUES), "row_kind string"])
 
 
 def store_lines(docs: DataFrame, folder: str) -> None:
@@ -37,7 +45,7 @@ def upsert_invoices(docs: DataFrame, rules: DataFrame, folder: str) -> None:
         # Read back what was stored, so the extraction runs once per batch.
         items = batch.sparkSession.read.parquet(f"{folder}/items/batch={n}")
         counts = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
-        status = batch.select("doc_id").distinct().join(counts, "doc_id", "left").select(
+        status = join_on_key(batch.select("doc_id").distinct(), counts, ["doc_id"]).select(
             "doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"),
             F.when(F.col("n_items") > 0, "PENDING_REVIEW").otherwise("ERROR").alias("status"))
         write_batch(status, f"{folder}/status", n)
@@ -51,6 +59,6 @@ def upsert_invoices(docs: DataFrame, rules: DataFrame, folder: str) -> None:
 
 def current_items(spark: SparkSession, folder: str) -> DataFrame:
     """Items of the latest processing of every document."""
-    newest = spark.read.parquet(f"{folder}/status").groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    items = spark.read.parquet(f"{folder}/items")
+    newest = latest_rows(spark, f"{folder}/status", "doc_id", "doc_id long, n_items long, status string").select("doc_id", "batch")
+    items = all_rows(spark, f"{folder}/items", ITEM_SCHEMA)
     return join_on_key(items, newest, ["doc_id", "batch"], "inner").drop("batch")

@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costloom.operators.allocate import PRECISE, margin_percent
-from costloom.streaming.tables import drain, write_batch
+from costloom.operators.keyed import join_on_key
+from costloom.streaming.tables import COMPACT_EVERY, compact, drain, write_batch
 
 
 def sales_with_snapshot(sales: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Sales with the cost of a snapshot and the margin.
-
-    ``snapshot`` has one row per product (product_id, cmp); it is read again by
-    every micro-batch, so a new snapshot is picked up by the next one.
-    """
-    joined = sales.join(snapshot.select("product_id", F.col("cmp").alias("cmp_at_sale")), "product_id", "left")
+    """Sales with the cost of a snapshot (one row per product: product_id, cmp) and the margin."""
+    costs = snapshot.select("product_id", F.col("cmp").alias("cmp_at_sale"))
+    joined = join_on_key(sales, costs, ["product_id"])
     return joined.withColumn("margin_pct", margin_percent(F.col("unit_price"), F.col("cmp_at_sale")))
 
 
-def store_sales(sales: DataFrame, snapshot: DataFrame, folder: str) -> None:
-    drain(sales_with_snapshot(sales, snapshot), lambda batch, n: write_batch(batch, f"{folder}/sales", n), folder)
+def store_sales(sales: DataFrame, snapshot: str, folder: str) -> None:
+    """Sales with the stored snapshot table at a path, which every micro-batch reads
+    anew: a new snapshot is picked up by the next one."""
+
+    def handle(batch: DataFrame, n: int) -> None:
+        stored = batch.sparkSession.read.parquet(snapshot)
+        write_batch(sales_with_snapshot(batch, stored), f"{folder}/sales", n)
+
+    drain(sales, handle, folder)
 
 
 def running_cost(purchases: DataFrame) -> DataFrame:
@@ -35,9 +40,18 @@ def running_cost(purchases: DataFrame) -> DataFrame:
         "average_cost", F.col("stock_value").cast("double") / F.col("stock_qty"))
 
 
+COST_SCHEMA = "product_id long, stock_qty double, stock_value decimal(38,8), average_cost double"
+
+
 def store_running_cost(purchases: DataFrame, folder: str) -> None:
     """Products whose cost changed, batch by batch (``tables.latest_rows``)."""
-    drain(running_cost(purchases), lambda batch, n: write_batch(batch, f"{folder}/costs", n), folder, "update")
+
+    def handle(batch: DataFrame, n: int) -> None:
+        write_batch(batch, f"{folder}/costs", n)
+        if n and n % COMPACT_EVERY == 0:
+            compact(batch.sparkSession, f"{folder}/costs", "product_id", n, COST_SCHEMA)
+
+    drain(running_cost(purchases), handle, folder, "update")
 
 
 def margin_alerts(sales: DataFrame, threshold: int = 3, length: str = "24 hours", slide: str = "1 hour",

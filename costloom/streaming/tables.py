@@ -2,7 +2,8 @@
 
 A batch that is run again after a failure overwrites its own folder, so results
 never double.  Readers take, per key, the rows of the latest batch that has the
-key; nothing is rewritten in place.
+key.  Every ``COMPACT_EVERY`` batches the latest rows are written as a version of
+their own, so that readers need not open all batches; nothing is rewritten in place.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from costloom.operators.keyed import join_on_key
 from costloom.session import ensure_checkpoint_dir
 
 
+COMPACT_EVERY = 20
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder of the session."""
     ensure_checkpoint_dir(spark)
@@ -27,15 +32,54 @@ def write_batch(df: DataFrame, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
 
-def all_rows(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(table)
+def all_rows(spark: SparkSession, table: str, schema: str | None = None) -> DataFrame:
+    """Rows of every batch with their ``batch``.
 
-
-def latest_rows(spark: SparkSession, table: str, key: str) -> DataFrame:
-    """Per key the rows its latest batch wrote."""
-    rows = spark.read.parquet(table)
+    Given the table's schema, a table of which no batch was written yet has no rows.
+    """
+    if schema is None:
+        return spark.read.parquet(table)
+    try:
+        return spark.read.schema(f"{schema}, batch int").parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{schema}, batch int")
+
+
+def latest_rows(spark: SparkSession, table: str, key: str, schema: str | None = None) -> DataFrame:
+    """Per key the rows its latest batch wrote, of the newest compacted version and
+    the batches after it."""
+    upto = _compacted(spark, table)
+    rows = all_rows(spark, table, schema)
+    if upto is not None:
+        rows = rows.filter(F.col("batch") > upto).unionByName(spark.read.schema(rows.schema).parquet(f"{table}-compact/upto={upto}"))
     newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return join_on_key(rows, newest, [key, "batch"], "inner")
+    return join_on_key(rows, newest, [key, "batch"], "inner", measure=rows.select(key, "batch"))
+
+
+def compact(spark: SparkSession, table: str, key: str, upto: int, schema: str | None = None) -> None:
+    """Write the latest rows of the batches up to ``upto`` as one version beside the table.
+
+    Readers then leave these batches out (whole folders, by the batch in their name).
+    A version that is written again is the same, so a repeated batch does no harm.
+    """
+    done = _compacted(spark, table)
+    if done is not None and done >= upto:
+        return
+    rows = latest_rows(spark, table, key, schema).filter(F.col("batch") <= upto)
+    rows.write.mode("overwrite").parquet(f"{table}-compact/upto={upto}")
+
+
+def _compacted(spark: SparkSession, table: str) -> int | None:
+    """The newest whole version: folders of versions are few, one per ``COMPACT_EVERY`` batches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}-compact")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return None
+    names = [f.getPath() for f in store.listStatus(path)]
+    whole = [int(n.getName().removeprefix("upto=")) for n in names if store.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+    return max(whole, default=None)
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], folder: str,
