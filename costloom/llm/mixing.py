@@ -181,7 +181,48 @@ def _cut(bins: DataFrame, need: DataFrame, name: str) -> DataFrame:
     return over.select("source_no", F.col(name).alias("at"), (F.col("need") - (F.col("through") - F.col("words"))).alias("need"))
 
 
-@query("op4_mix_sources")
+def _shared_sql(name: str, rows: str, group: str, total: str, weight: str, have: str, tie: str) -> str:
+    """``share_out`` as SQL: a relation ``name`` of ``rows`` with ``target``."""
+    over = f"PARTITION BY {group}" if group else ""
+    order = f"{over} ORDER BY {have} / {weight}, {tie}"
+    return f"""{name}_level AS (SELECT *, ({total} - coalesce(sum({MOST} * {have}) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum({weight}) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {rows}),
+{name}_common AS (SELECT *, max(CASE WHEN level * {weight} <= {MOST} * {have} THEN level END) OVER ({over}) AS common FROM {name}_level),
+{name} AS (SELECT *, CASE WHEN common IS NULL OR {weight} * common > {MOST} * {have} THEN {MOST} * {have} ELSE {weight} * common END AS wanted FROM {name}_common)"""
+
+
+def _taken_sql(name: str, rows: str, part: float, nearest: bool) -> str:
+    """``_take`` as SQL, in one order per source."""
+    asked = "rank IS NOT NULL AND more = 0" + ("" if part == 1.0 else f" AND size <= {part} * need")
+    half = " - sum(size) OVER (PARTITION BY source_no, asked, rank, doc_id, size) / 2.0" if nearest else ""
+    return f"""{name}_need AS (SELECT *, target - sum((whole + more) * size) OVER (PARTITION BY source_no) AS need FROM {rows}),
+{name}_asked AS (SELECT *, {asked} AS asked FROM {name}_need),
+{name}_through AS (SELECT *, sum(size) OVER (PARTITION BY source_no, asked ORDER BY rank, doc_id, size){half} AS through FROM {name}_asked),
+{name} AS (SELECT doc_id, size, source_size, target, source_no, whole, rank, CASE WHEN asked AND through <= need THEN 1 ELSE more END AS more FROM {name}_through)"""
+
+
+MIX_SQL = f"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+  (CAST('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5) / {1 << 52}.0 AS draw FROM documents),
+listed AS (SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no,
+  sum(sum(size)::DOUBLE) OVER () AS total FROM sized GROUP BY source),
+weighed AS (SELECT *, list_extract([{', '.join(map(str, WEIGHTS))}], source_no % {len(WEIGHTS)} + 1)::DOUBLE AS weight FROM listed),
+{_shared_sql('by_source', 'weighed', '', 'total', 'weight', 'source_size', 'source_no')},
+docs AS (SELECT s.*, b.source_no, b.source_size, b.wanted AS goal, CASE WHEN s.size > 0 THEN CAST(floor(log2(s.size + 0.5)) AS INT) END AS class
+  FROM sized s JOIN by_source b ON s.source IS NOT DISTINCT FROM b.source),
+classes AS (SELECT source_no, class, goal, sum(size)::DOUBLE AS have, sum(size)::DOUBLE * pow(2.0, {-DAMPING} * class) AS pull FROM docs WHERE size > 0 GROUP BY source_no, class, goal),
+{_shared_sql('by_class', 'classes', 'source_no', 'goal', 'pull', 'have', 'class')},
+expected AS (SELECT d.*, d.goal AS target, coalesce(c.wanted / c.have, 0) AS e FROM docs d LEFT JOIN by_class c ON c.source_no = d.source_no AND c.class = d.class),
+parts AS (SELECT *, CASE WHEN size > 0 THEN least(floor(e + 1e-9), {MOST}) ELSE 0 END AS whole FROM expected),
+odds AS (SELECT *, greatest(e - whole, 0) AS p FROM parts),
+ranked AS (SELECT *, CASE WHEN size > 0 AND p > 1e-9 THEN (draw / (1 - draw)) / (p / (1 - p)) END AS o FROM odds),
+mixed AS (SELECT doc_id, size, source_size, target, source_no, whole, o / (1 + o) AS rank, 0 AS more FROM ranked),
+{_taken_sql('mixed1', 'mixed', 1.0, False)},
+{_taken_sql('mixed2', 'mixed1', 0.5, False)},
+{_taken_sql('mixed3', 'mixed2', 0.5, True)}
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST((whole + more) * size AS BIGINT) AS taken, CAST(whole + more AS BIGINT) AS copies FROM mixed3"""
+
+
+@query("op4_mix_sources", MIX_SQL)
 def op4_mix_sources(spark, sf_dir):
     """Words the mix takes of every document, with sources weighing 5, 2, 1 in turn."""
     mixed = mix(table(spark, sf_dir, "documents"))
