@@ -23,6 +23,7 @@ come from alternating star contraction.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -45,37 +46,67 @@ PAIRWISE = 12
 
 # Fingerprints
 
+def shingles(words: list[bytes], n: int) -> list[bytes]:
+    """Runs of ``n`` words, repeats included; fewer words are one run, none is none."""
+    if len(words) <= n:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(n)))))
+
+
+def majority(digests: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the digests (one per row, as bytes), as unsigned 64-bit words."""
+    ones = np.zeros(digests.shape[1] * 8, dtype=np.int64)
+    for at in range(0, len(digests), 32768):
+        ones += np.unpackbits(digests[at:at + 32768], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(digests), bitorder="little").view("<u8")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()  # of bytes: A-Z and ASCII white space only
+
+
 def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
     """SimHash of a text given in UTF-8; zero if it has no word."""
-    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    n = words_in_shingle
-    if len(words) <= n:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(n))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at:at + 65536].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+    hashes = np.array([digest(s, 42) for s in shingles(words_of(text), words_in_shingle)], dtype="<u8")
+    return int(majority(hashes.view(np.uint8).reshape(-1, 8))[0])
+
+
+def signature(text: bytes) -> list[int]:
+    """Fingerprints of the different words (three of 64 bits), then one of 256 bits of
+    the different five-word shingles, whose differing bits tell their similarity."""
+    words = words_of(text)
+
+    def of(features: set[bytes], size: int) -> list[int]:
+        digest = xxhash.xxh3_128_digest
+        parts = b"".join(digest(f, seed) for f in features for seed in range(-(-size // 16)))
+        return majority(np.frombuffer(parts, dtype=np.uint8).reshape(len(features), -1)[:, :size]).tolist() if features else [0] * (size // 8)
+
+    return of(set(words), 24) + of(set(shingles(words, 5)), 32)
+
 
+WORD_PRINTS = ["w0", "w1", "w2"]
+MARKS = ["s0", "s1", "s2", "s3"]
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
-    """``doc_id``, ``text_hash`` and ``fp`` (the 64 bits as a signed long) of every row of ``docs``."""
+
+def fingerprints(docs: DataFrame, words_in_shingle: int = 3, similar: bool = False) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``fp`` (the 64 bits as a signed long) of every row of ``docs``,
+    with ``similar`` also its signature."""
+    more = [*WORD_PRINTS, *MARKS] if similar else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words_in_shingle) for t in utf8(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+            texts = utf8(batch.column(1))
+            fps = np.array([fingerprint(t, words_in_shingle) for t in texts], dtype=np.uint64)
+            columns = [batch.column(0), batch.column(2), pa.array(fps.view(np.int64))]
+            if similar:
+                marks = np.array([signature(t) for t in texts], dtype=np.uint64).reshape(-1, len(more))
+                columns += [pa.array(np.ascontiguousarray(marks[:, i]).view(np.int64)) for i in range(len(more))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", *more])
 
     text = F.col("text").cast("string")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
-    return map_texts(spread(plain), run, "doc_id long, text_hash long, fp long")
+    return map_texts(spread(plain), run, "doc_id long, text_hash long, fp long" + "".join(f", {c} long" for c in more))
 
 
 # Golay code
@@ -134,101 +165,123 @@ def keys_of(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def golay_keys(distinct: DataFrame) -> DataFrame:
-    """``key`` and ``fp``: about 30 rows for each fingerprint of ``distinct``."""
+def golay_keys(nodes: DataFrame, prints: list[str], carried: list[str]) -> DataFrame:
+    """``key``, ``id`` and ``carried``: about 30 rows per node for each of its fingerprints ``prints``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         golay = Golay()
         for batch in batches:
             for at in range(0, len(batch), 2048):
-                fps = batch["fp"].to_numpy()[at:at + 2048]
-                rows, keys = keys_of(fps.view(np.uint64), golay)
-                yield pd.DataFrame({"key": keys, "fp": fps[rows]})
+                part = batch.iloc[at:at + 2048]
+                for number, name in enumerate(prints):
+                    rows, keys = keys_of(part[name].to_numpy().view(np.uint64), golay)
+                    yield pd.DataFrame({"key": keys | (number << 26), **{c: part[c].to_numpy()[rows] for c in ["id", *carried]}})
 
-    return distinct.select("fp").mapInPandas(run, "key long, fp long")
+    columns = list(dict.fromkeys(["id", *prints, *carried]))
+    schema = ", ".join(f"{c} long" for c in ["key", "id", *carried])
+    return nodes.select(*columns).mapInPandas(run, schema)
 
 
 # Links inside a key
 
-def forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links among different fingerprints."""
-    out, rest = [], fps
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of signatures, row by row."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def forest(ids: np.ndarray, marks: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of the links among signatures ``marks`` (one row each)."""
+    out, rest = [], np.arange(len(ids))
     while len(rest):
         open_, rest = [rest[0]], rest[1:]
         while open_ and len(rest):
             x = open_.pop()
-            hit = np.bitwise_count(rest ^ x) <= MAX_BITS
+            hit = apart(marks[rest], marks[x]) <= limit
             if hit.any():
                 new = rest[hit]
-                out.append((np.full(len(new), x), new))
+                out.append((np.full(len(new), ids[x]), ids[new]))
                 open_.extend(new)
                 rest = rest[~hit]
     return out
 
 
-def _pairwise(keys: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _pairwise(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
-    for step in range(1, most):
-        hit = (keys[step:] == keys[:-step]) & (np.bitwise_count(fps[step:] ^ fps[:-step]) <= MAX_BITS)
+    for step in range(1, min(PAIRWISE, len(keys))):
+        hit = keys[step:] == keys[:-step]
         if hit.any():
-            out.append((fps[:-step][hit], fps[step:][hit]))
+            at = np.flatnonzero(hit)
+            at = at[apart(marks[at + step], marks[at]) <= limit]
+            out.append((ids[at], ids[at + step]))
     return out
 
 
-def _linked(keys: np.ndarray, fps: np.ndarray, block: int | None) -> Iterator[pd.DataFrame]:
+def _linked(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray, limit: int, block: int | None, carried: list[str]) -> Iterator[pd.DataFrame]:
     """Links of whole keys (``task`` null), and the rows of keys too large for one task."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     of = np.repeat(sizes, sizes)
     few = (of > 1) & (of <= PAIRWISE)
-    found = _pairwise(keys[few], fps[few], PAIRWISE)
-    for start, size in zip(starts[sizes > PAIRWISE], sizes[sizes > PAIRWISE]):
-        members = fps[start:start + size]
+    found = _pairwise(keys[few], ids[few], marks[few], limit)
+    for start, size in zip(starts[sizes > PAIRWISE].tolist(), sizes[sizes > PAIRWISE].tolist()):
+        own, mark = ids[start:start + size], marks[start:start + size]
         if block is None or size <= block:
-            found += forest(np.unique(members))
+            _, once = np.unique(own, return_index=True)  # a block meets itself in its own task
+            found += forest(own[once], mark[once], limit)
             continue
-        blocks = -(-int(size) // block)
+        blocks = -(-size // block)
         for i in range(blocks):
-            part = members[i * block:(i + 1) * block].view(np.int64)
+            part = slice(i * block, (i + 1) * block)
+            rows = {"a": own[part], "b": own[part], **{c: mark[part, n].view(np.int64) for n, c in enumerate(carried)}}
             for j in range(blocks):
-                low, high = min(i, j), max(i, j)
-                yield pd.DataFrame({"task": (int(keys[start]) << 36) | (low << 18) | high, "a": part, "b": part})
+                yield pd.DataFrame({"task": (int(keys[start]) << 34) | (min(i, j) << 17) | max(i, j), **rows})
     if found:
-        a, b = (np.concatenate([x[k] for x in found]).view(np.int64) for k in (0, 1))
+        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
         once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        yield pd.DataFrame({"task": pd.array([pd.NA] * len(once), dtype="Int64"), "a": once[:, 0], "b": once[:, 1]})
+        nothing = pd.array([pd.NA] * len(once), dtype="Int64")
+        yield pd.DataFrame({"task": nothing, "a": once[:, 0], "b": once[:, 1], **{c: nothing for c in carried}})
 
 
-def _links_of_sorted(block: int | None):
-    """Reads (key, fp) sorted by key; a key may go on in the next batch."""
+def _links_of_sorted(limit: int, block: int | None, carried: list[str]):
+    """Reads (key, id, carried) sorted by key; a key may go on in the next batch.
 
+    Without ``carried`` the id itself is the signature.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def whole(parts):
+            return _linked(*(np.concatenate(x) for x in zip(*parts)), limit, block, carried)
+
         for batch in batches:
             if not len(batch):
                 continue
-            keys, fps = batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
+            keys, ids = batch["key"].to_numpy(), batch["id"].to_numpy()
+            marks = batch[carried or ["id"]].to_numpy(dtype=np.int64).view(np.uint64)
             if held and keys[-1] == held[0][0][0]:
-                held.append((keys, fps))
+                held.append((keys, ids, marks))
                 continue
             cut = int(np.searchsorted(keys, keys[-1]))
-            whole = [*held, (keys[:cut], fps[:cut])]
-            yield from _linked(np.concatenate([x[0] for x in whole]), np.concatenate([x[1] for x in whole]), block)
-            held = [(keys[cut:], fps[cut:])]
+            yield from whole([*held, (keys[:cut], ids[:cut], marks[:cut])])
+            held = [(keys[cut:], ids[cut:], marks[cut:])]
         if held:
-            yield from _linked(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), block)
+            yield from whole(held)
 
     return run
 
 
-def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``a``, ``b``: links that connect every two fingerprints a path of links connects."""
-    distinct.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    schema = "task long, a long, b long"
-    by_key = golay_keys(distinct).repartition("key").sortWithinPartitions("key")
-    first = staged(by_key.mapInPandas(_links_of_sorted(block), schema))
-    tasks = first.filter(F.col("task").isNotNull()).select(F.col("task").alias("key"), F.col("a").alias("fp"))
-    across = tasks.repartition("key").sortWithinPartitions("key").mapInPandas(_links_of_sorted(None), schema)
+def links(nodes: DataFrame, prints: list[str], carried: list[str], limit: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """``a``, ``b``: links that connect every two nodes a path of links connects.
+
+    Nodes (``id``) meet if they share a key of a fingerprint in ``prints``; they are
+    linked if their signatures differ in at most ``limit`` bits.
+    """
+    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    schema = ", ".join(f"{c} long" for c in ["task", "a", "b", *carried])
+    by_key = golay_keys(nodes, prints, carried).repartition("key").sortWithinPartitions("key")
+    first = staged(by_key.mapInPandas(_links_of_sorted(limit, block, carried), schema))
+    tasks = first.filter(F.col("task").isNotNull()).select(F.col("task").alias("key"), F.col("a").alias("id"), *carried)
+    across = tasks.repartition("key").sortWithinPartitions("key").mapInPandas(_links_of_sorted(limit, None, carried), schema)
     return first.filter(F.col("task").isNull()).unionByName(across).select("a", "b").distinct()
 
 
@@ -263,17 +316,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, words_in_shingle: int = 3, block: int = BLOCK) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``fp``, ``class`` (its smallest fingerprint) and ``component_id`` of every row."""
+    """``doc_id``, ``fp`` and ``component_id`` of every row."""
     prints = staged(fingerprints(docs, words_in_shingle))
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    stars = staged(components(links(distinct, block)))
+    stars = staged(components(links(distinct.select(F.col("fp").alias("id")), ["id"], [], MAX_BITS, block)))
     linked = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     members = linked.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "first_doc")
     smallest = members.groupBy("root").agg(F.min("first_doc").alias("smallest"))
-    named = members.join(smallest, "root").select(F.col("node").alias("fp"), "root", "smallest")
-    classes = staged(distinct.join(named, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("class"), F.coalesce("smallest", "first_doc").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "class", "component_id")
+    named = members.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
+    classes = staged(distinct.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first_doc").alias("component_id")))
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def _similar_classes(docs: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``class`` of every row: classes of ``near_duplicates``,
+    joined where five-word shingles are similar.
+
+    Sets with Jaccard similarity J have cosine 2 J / (1 + J), and two random
+    projections differ in sign with the angle's share of a half turn: signatures
+    within that share of their 256 bits are linked.  Texts that similar share most
+    words, so candidates share a Golay key of one of three fingerprints of their words.
+    """
+    limit = int(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    prints = fingerprints(docs, similar=True)
+    prints = staged(prints.withColumn("id", F.xxhash64("fp", *WORD_PRINTS, *MARKS)))
+    nodes = staged(prints.groupBy("id").agg(*[F.first(c).alias(c) for c in ["fp", *WORD_PRINTS, *MARKS]]))
+    # All texts of a fingerprint are one class; its first node stands for it.
+    firsts = staged(nodes.groupBy("fp").agg(F.min("id").alias("first")))
+    same = nodes.join(firsts, "fp").filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    by_print = links(firsts.select(F.col("fp").alias("id")), ["id"], [], MAX_BITS, block)
+    for end in ("a", "b"):
+        by_print = by_print.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end)
+    by_print = by_print.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    edges = same.unionByName(by_print).unionByName(links(nodes, WORD_PRINTS, MARKS, limit, block))
+    roots = staged(components(edges))
+    classes = staged(nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("class")))
+    return prints.join(classes, "id").select("doc_id", "text_hash", "class")
 
 
 def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, block: int = BLOCK) -> DataFrame:
@@ -288,13 +366,15 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, block: int = BLO
     return _classes(docs, words_in_shingle, block).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, one of each class of near-duplicates.
 
-    The row with the smallest doc_id stays (null last), of equals that with the
+    Classes are those of ``near_duplicates``, joined where two texts' five-word
+    shingles have a Jaccard similarity of about ``similarity`` or more (by their
+    signatures, so near the limit either may happen).  The row with the smallest doc_id stays (null last), of equals that with the
     smallest text hash, and of rows equal in both one.
     """
-    found = staged(_classes(docs, words_in_shingle))
+    found = staged(_similar_classes(docs, similarity))
     last = F.lit((1 << 63) - 1)
     identity = found.groupBy("class", F.coalesce("doc_id", last).alias("id"), "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     identity = staged(identity)

@@ -196,7 +196,7 @@ def test_linked_fingerprints_share_a_key():
 def test_classes_against_all_pairs(spark, block):
     fps = clustered(random.Random(block), 12, 40)
     rows = [(int(np.uint64(x).view(np.int64)),) for x in fps]
-    edges = simhash.links(spark.createDataFrame(rows, "fp long"), block)
+    edges = simhash.links(spark.createDataFrame(rows, "id long"), ["id"], [], 3, block)
     roots = {r.node: r.root for r in simhash.components(edges).collect()}
     found = {}
     for (x,) in rows:
@@ -204,6 +204,28 @@ def test_classes_against_all_pairs(spark, block):
     assert {frozenset(v) for v in found.values()} == classes(fps)
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 20])
+def test_similar_texts_keep_one(spark, plain_docs, monkeypatch, block):
+    """Near copies go whatever their number; texts that share a part stay."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd = random.Random(9)
+    vocabulary = ["w%04d" % i for i in range(3000)]
+
+    def prose(n):
+        return [rnd.choice(vocabulary) for _ in range(n)]
+
+    def edited(words, n):
+        words = list(words)
+        for i in rnd.sample(range(len(words)), n):
+            words[i] = rnd.choice(vocabulary)
+        return words
+
+    original, other = prose(300), prose(200)
+    texts = [" ".join(x) for x in [original, *[edited(original, rnd.randrange(0, 4)) for _ in range(60)], other, other[:100] + prose(100), prose(250)]]
+    kept = [r.doc_id for r in simhash.keep_one(plain_docs(texts)).collect()]
+    assert sorted(kept) == [0, 61, 62, 63]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 400)] + [(1000, 1001)], "a long, b long").repartition(5)
     found = {r.node: r.root for r in simhash.components(edges).collect()}
