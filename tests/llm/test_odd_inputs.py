@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from costloom.llm import decontaminate, langid, linehash, media, mixing, pii, quality, sharding, simhash, toxicity
 
-ALL = F.lit(True)
+
 
 
 def rows(df):
@@ -61,9 +61,9 @@ def test_sharding(odd_docs, no_docs):
 
 
 def test_toxicity(odd_docs, no_docs, odd_labels):
-    empty = toxicity.learn(no_docs, odd_labels, "toxic", ALL)
+    empty = toxicity.learn(no_docs, odd_labels, "toxic", F.lit(True))
     assert rows(toxicity.passages(no_docs, empty)) == []
-    model = toxicity.learn(odd_docs, odd_labels, "toxic", ALL)
+    model = toxicity.learn(odd_docs, odd_labels, "toxic", F.lit(True))
     assert all(0 <= r.score <= 1 for r in toxicity.passages(odd_docs, model).collect())
     assert all(0 <= r.score <= 1 for r in toxicity.passages(odd_docs, empty).collect())
 
@@ -78,9 +78,9 @@ def test_decontaminate(odd_docs, no_docs, odd_items):
 
 
 def test_quality(odd_docs, no_docs, odd_labels):
-    machine = quality.learn(odd_docs, odd_labels, "quality", ALL)
+    machine = quality.learn(odd_docs, odd_labels, "quality", F.lit(True))
     assert all(0 <= r.score <= 1 for r in quality.score(odd_docs, machine).collect())
-    none = quality.learn(no_docs, odd_labels, "quality", ALL)
+    none = quality.learn(no_docs, odd_labels, "quality", F.lit(True))
     assert rows(quality.score(no_docs, none)) == []
     assert {r.score for r in quality.score(odd_docs.drop("n_chars"), none).collect()} == {0.5}
 
@@ -97,8 +97,8 @@ def test_media(spark, odd_docs, no_docs, tmp_path):
 
 
 def test_langid(odd_docs, no_docs):
-    assert langid.learn_profiles(no_docs, ALL) == {}
-    profiles = langid.learn_profiles(odd_docs, ALL)
+    assert langid.learn_profiles(no_docs, F.lit(True)) == {}
+    profiles = langid.learn_profiles(odd_docs, F.lit(True))
     assert set(profiles) == {"en", "de"}
     found = langid.identify(odd_docs, profiles).collect()
     assert len(found) == 13 and all(0 <= r.score <= 1 for r in found)
