@@ -54,6 +54,11 @@ def unified(text: Column) -> Column:
     return let(text, _unified)
 
 
+def unified_column(text: Column) -> Column:
+    """``unified`` of a plain column, whose common spellings need no array function."""
+    return _unified(text)
+
+
 def _unified(text: Column) -> Column:
     def dotted(s: Column) -> Column:
         both = _has(s, ",") & _has(s, ".")

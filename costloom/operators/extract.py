@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from costloom.functions.dates import normalize_date
 from costloom.functions.falsy import let
-from costloom.functions.numbers import as_text, unified
+from costloom.functions.numbers import as_text, unified, unified_column
 from costloom.functions.text import tidy_lines, undouble
 from costloom.operators.keyed import Keys, join_on_key
 from costloom.operators.ordered import RUN, LastValue, OrderedGroups, RunningMax, RunningSum
@@ -40,6 +40,7 @@ MAX_BROADCAST_RULES = 10_000
 def with_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """Documents (or lines) with the columns of their vendor's rule."""
     few = rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
+    rules = _readable(rules)
     docs = docs.withColumn("vendor", F.lower(F.trim("vendor")))
     return docs.join(F.broadcast(rules), "vendor") if few else join_on_key(docs, rules, ["vendor"], "inner")
 
@@ -115,6 +116,17 @@ def _found(text: str, pattern: str) -> Column:
 _PART = "\u0001"
 
 
+def _whole(pattern: Column) -> Column:
+    """A pattern that takes the whole text around the first place where ``pattern`` fits."""
+    return F.concat(F.lit(r"(?s:\A.*?)(?:"), pattern, F.lit(r")(?s:.*\z)"))
+
+
+def _template(wanted: Column) -> Column:
+    """Replaces such a text by the groups that columns name, each after a ``_PART``."""
+    groups = F.transform(wanted, lambda c: F.concat(F.lit(_PART + "$"), c["regex_group"]))
+    return F.concat(F.array_join(groups, ""), F.lit(_PART))
+
+
 def _cells(text: Column, pattern: Column, columns: Column) -> Column:
     """Map column name -> text of one row match; a group that took no part is
     absent, and so is the map where the pattern does not occur.
@@ -123,9 +135,7 @@ def _cells(text: Column, pattern: Column, columns: Column) -> Column:
     one after another, and the rest of the text goes.
     """
     wanted = F.filter(columns, lambda c: c["regex_group"].isNotNull())
-    whole = F.concat(F.lit(r"(?s:\A.*?)(?:"), pattern, F.lit(r")(?s:.*\z)"))
-    groups = F.array_join(F.transform(wanted, lambda c: F.concat(F.lit(_PART + "$"), c["regex_group"])), "")
-    packed = F.call_function("regexp_replace", text, whole, F.concat(groups, F.lit(_PART)))
+    packed = F.call_function("regexp_replace", text, _whole(pattern), _template(wanted))
 
     def named(parts: Column) -> Column:
         pairs = F.transform(wanted, lambda c, i: let(F.get(parts, i + 1), lambda raw: F.struct(
@@ -152,12 +162,24 @@ ITEM_FLAGS = ("doc_id", "vendor", "line_no", "merge_two_lines", "missing_total_i
 CODE_LINE = r"FID:\s*(\d+)"
 
 
+def _readable(rules: DataFrame) -> DataFrame:
+    """Rules with what reading a line needs, worked out once per rule: the pattern that
+    takes a whole line, what replaces it, and where each item value is found."""
+    wanted = F.filter("columns", lambda c: c["regex_group"].isNotNull())
+    at = F.array(*[F.array_position(F.transform(wanted, lambda c: c["name"]), k).cast("int") for k in ITEM_VALUES])
+    kinds = F.array(*[F.exists(wanted, lambda c: (c["name"] == k) & (c["type"] == "number")) for k in ITEM_VALUES])
+    return rules.withColumns({
+        "_pattern": _whole(F.col("row_pattern")), "_template": _template(wanted), "_at": at, "_number": kinds})
+
+
 def row_cells(lines: DataFrame) -> DataFrame:
-    """Lines with ``_cells``: what their rule's row pattern finds, null if nothing."""
+    """Lines with ``_cells``: the texts of the groups that their rule's row pattern
+    finds, in one run of it, null if it finds nothing."""
     valid = F.col("row_validator").isNull() | _found("trim(text)", "row_validator")
     code = F.col("_code").isNotNull() if "_code" in lines.columns else F.lit(False)
-    cells = F.when(~code & valid, _cells(F.trim("text"), F.col("row_pattern"), F.col("columns")))
-    return lines.select("*", _once(cells).alias("_cells"))
+    packed = F.call_function("regexp_replace", F.trim("text"), F.col("_pattern"), F.col("_template"))
+    read = lines.select("*", _once(F.when(~code & valid, F.split(packed, _PART, -1))).alias("_cells"))
+    return read.withColumn("_cells", F.when(F.size("_cells") > 1, F.col("_cells")))
 
 
 def row_items(lines: DataFrame) -> DataFrame:
@@ -172,7 +194,19 @@ def row_items(lines: DataFrame) -> DataFrame:
         lines = row_cells(lines)
     keep = [c for c in ITEM_FLAGS if c in lines.columns]
     hits = lines.filter(F.col("_code").isNotNull() | F.col("_cells").isNotNull())
-    return hits.select(*keep, *item_columns(F.col("_cells")))
+    raw = {k: F.nullif(F.get("_cells", F.get("_at", F.lit(n))), F.lit("")) for n, k in enumerate(ITEM_VALUES)}
+    texts = hits.select(*keep, "_number", *[v.alias(f"_raw_{k}") for k, v in raw.items()])
+    # The numbers are columns of their own, so that plain spellings are read in generated code.
+    number = F.struct(*[F.when(F.get("_number", F.lit(n)) & F.col(f"_raw_{k}").isNotNull(), unified_column(F.col(f"_raw_{k}"))).alias(k)
+                        for n, k in enumerate(ITEM_VALUES)])
+    read = texts.select("*", _once(number).alias("_n"))
+    values = []
+    for n, k in enumerate(ITEM_VALUES):
+        v = F.col(f"_n.{k}")
+        spelled = F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))
+        values.append(F.when(F.get("_number", F.lit(n)), spelled).otherwise(
+            F.when(F.col(f"_raw_{k}").isNotNull(), tidy_lines(F.col(f"_raw_{k}")))).alias(k))
+    return read.select(*keep, *values)
 
 
 def line_kind() -> Column:
@@ -251,7 +285,7 @@ def text_items(docs: DataFrame, rules: DataFrame, max_rows: int | None = None,
     # the rules join once and only lines that mean something travel.
     read = row_cells(with_marks(prepared(docs, rules)).withColumn("_code", code))
     telling = read.filter("_mark is not null or _code is not null or _cells is not null").select(
-        *[c for c in ITEM_FLAGS if c in read.columns], "_mark", "_open", "_cells")
+        *[c for c in ITEM_FLAGS if c in read.columns], "_mark", "_open", "_cells", "_at", "_number")
     seq = OrderedGroups(telling, ["doc_id"], ["line_no"], max_rows, measure)
     rows = row_items(inside_table(seq.with_columns(keep_run=True, _state=table_state()))).withColumn("_kind", line_kind())
     half = F.when(F.col("_kind").isin("head", "tail"), F.struct(F.col("_kind").alias("kind"), "sku", "description"))
