@@ -465,24 +465,43 @@ def test_a_damaged_member_costs_no_other(spark, plain_docs, tmp_path):
 
 # op10
 
+def grams(word):
+    marked = f"_{word}_"
+    return list(word) + [marked[i:i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
+
+
+def counted_grams(texts):
+    return Counter(g for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()) for g in grams(w))
+
+
+def test_grams_against_words(docs, monkeypatch):
+    texts = [t for t, *_ in list(docs.values())[:60]] + ["", "a", "x1y_z", "  ", "é2 İ ß", "ab" * 500]
+    for piece in (langid.PIECE, 7):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        letters = langid.Letters()
+        for text in texts:
+            codes, n = langid.counted(letters.of(text)[0])
+            assert dict(zip(map(langid.spell, codes.tolist()), n.tolist())) == counted_grams([text])
+            assert [langid.number(langid.spell(c)) for c in codes.tolist()] == codes.tolist()
+
+
 def test_out_of_place_distance():
     profiles = {"x": ["a", "b", "_a", "ab"], "y": ["b", "a"]}
     ranker = langid.Ranker(profiles, size=4)
-    text = "ab ab b"
-    counted = Counter(g for w in text.split() for g in langid.grams(w))
-    order = sorted(counted, key=lambda g: (-counted[g], zlib.crc32(g.encode())))[:4]
+    counted = counted_grams(["ab ab b"])
+    order = sorted(counted, key=lambda g: (-counted[g], langid.number(g)))[:4]
     far = {lang: sum(abs(p.index(g) - i) if g in p else 4 for i, g in enumerate(order)) / len(order) for lang, p in profiles.items()}
-    lang, score = ranker.predict(text)
+    lang, score = ranker.predict("ab ab b")
     weights = {k: np.exp(-v / langid.SHARPNESS) for k, v in far.items()}
     assert lang == min(far, key=far.get) and score == pytest.approx(weights[lang] / sum(weights.values()))
 
 
-def test_profiles_count_every_text(spark, plain_docs, monkeypatch):
+def test_profiles_count_every_text(spark, plain_docs):
     texts, langs = ["aa ab ba", "ab ab", "zz", None, "zy zz"], ["x", "x", "y", "y", "y"]
     profiles = langid.learn_profiles(plain_docs(texts, langs), F.lit(True), size=5)
     for lang in ("x", "y"):
-        counted = Counter(g for t, l in zip(texts, langs) if l == lang and t for w in t.split() for g in langid.grams(w))
-        assert profiles[lang] == sorted(counted, key=lambda g: (-counted[g], g))[:5]
+        counted = counted_grams([t for t, l in zip(texts, langs) if l == lang and t])
+        assert profiles[lang] == sorted(counted, key=lambda g: (-counted[g], langid.number(g)))[:5]
 
 
 def test_language_held_out(spark):
