@@ -13,6 +13,7 @@ from costloom.operators.allocate import PRECISE
 from costloom.operators.keyed import join_on_key
 from costloom.operators.match import ledger_keys, match_ledger
 from costloom.operators.ordered import RUN, Lag, LastValue, OrderedGroups, RunningMax, RunningSum
+from costloom.session import ensure_checkpoint_dir
 
 
 def cmp_value(qty_prev: Column, price_prev: Column, qty_in: Column, price_new: Column) -> Column:
@@ -248,3 +249,20 @@ def cost_at_sale(sales: DataFrame, costs: DataFrame, key: str, time: str, max_ro
                         [key], [time, "kind", "seq"], max_rows, measure)
     out = seq.with_columns(cmp_at_sale=LastValue(F.col("known")))
     return out.filter("kind = 1").select("sale.*", "cmp_at_sale")
+
+
+def margin_ranking(daily: DataFrame, max_rows=None) -> DataFrame:
+    """Running margin of every product over time, and its place by total margin.
+
+    ``daily``: product_id, moved_at, ``m`` (the day's margin).  Places are given over
+    the distinct totals, one global order that is cut into runs when it is large.
+    The days are used several times, so they are fixed first.
+    """
+    ensure_checkpoint_dir(daily.sparkSession)
+    daily = daily.checkpoint()
+    running = OrderedGroups(daily, ["product_id"], ["moved_at"], max_rows).with_columns(running=RunningSum(F.col("m")))
+    totals = daily.groupBy("product_id").agg(F.round(F.sum("m").cast("double") + 1e-7, 2).alias("total"))
+    ladder = totals.select("total").distinct().select("total", (-F.col("total")).alias("down"), F.lit(1).alias("all"))
+    places = OrderedGroups(ladder, ["all"], ["down"], max_rows).with_columns(place=RunningSum(F.lit(1).cast("long")))
+    placed = totals.join(places.select("total", "place"), "total").select("product_id", "place")
+    return join_on_key(running, placed, ["product_id"], "inner", measure=daily.select("product_id"))

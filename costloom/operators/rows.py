@@ -92,6 +92,11 @@ def is_plausible(sku: Column, quantity: Column, price: Column, total: Column) ->
             & (F.length(sku) >= 3) & ~sku.rlike("^[0-9]+$"))
 
 
+def is_known_code(sku: Column, pattern: str) -> Column:
+    """A code of the kinds a vendor is known to use."""
+    return F.coalesce(sku.rlike(pattern), F.lit(False))
+
+
 def is_charged(description: Column, quantity: Column, price: Column, total: Column) -> Column:
     """False for rows of zeros and for transport rows."""
     zeros = (quantity == 0) & (price == 0) & (total == 0)

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from costloom.operators import allocate, cost
 from costloom.operators.keyed import join_on_key
-from costloom.operators.ordered import OrderedGroups, RunningSum
 from costloom.plans.registry import query
 from costloom.plans.roles import (INVOICES, ITEM_ORDER, ITEMS, LEDGER, SALES, cents, cents_sql, with_roles)
 
@@ -314,13 +313,6 @@ def _(r):
     """Running margin of every product over time and its place by total margin."""
     daily = margins(r).filter("cmp_at_sale is not null").groupBy("product_id", "moved_at").agg(
         (F.sum("turnover") - F.sum("cost")).alias("m"))
-    running = OrderedGroups(daily, ["product_id"], ["moved_at"]).with_columns(running=RunningSum(F.col("m")))
-    # One global order over the distinct totals: a group of everything, which is
-    # cut into runs like any other group that is too large for one task.
-    totals = daily.groupBy("product_id").agg(cents(F.sum("m")).alias("total"))
-    ladder = totals.select("total").distinct().select("total", (-F.col("total")).alias("down"), F.lit(1).alias("all"))
-    places = OrderedGroups(ladder, ["all"], ["down"]).with_columns(place=RunningSum(F.lit(1).cast("long")))
-    placed = totals.join(places.select("total", "place"), "total").select("product_id", "place")
-    return running.join(placed, "product_id").select(
+    return cost.margin_ranking(daily).select(
         "product_id", "moved_at", cents(F.col("m")).alias("margin"),
         cents(F.col("running")).alias("running_margin"), "place")

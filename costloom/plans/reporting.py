@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from costloom.operators import cost, projections, report, sinks
+from costloom.operators import rows as rows_of
 from costloom.operators.keyed import join_on_key
 from costloom.plans.costing import ARRIVALS, CMP, HISTORY_ROLES, ROLES
 from costloom.plans.matching import MAPPED_ROLES, mapped_items
@@ -334,10 +335,7 @@ SELECT invoice_id, line_no, supplier_id, part_id, CASE WHEN part_id % 10 = 0 THE
 def _(r):
     """Edited quantities replace the original ones and give a new total."""
     edits = r.items.select("part_id").distinct().filter("part_id % 10 = 0").withColumn("edited", F.lit(7.0))
-    rows = join_on_key(r.items, edits, ["part_id"])
-    quantity = F.coalesce("edited", "quantity")
-    total = F.when(F.col("edited").isNotNull(), F.col("edited") * F.col("unit_price")).otherwise(F.col("total"))
-    return rows.select("invoice_id", "line_no", "supplier_id", "part_id", quantity.alias("quantity"), total.alias("total"))
+    return rows_of.with_edits(r.items, edits, ["part_id"]).select("invoice_id", "line_no", "supplier_id", "part_id", "quantity", "total")
 
 
 @query("prj_11_cost_engine_rows", with_roles(ITEMS, body="""
