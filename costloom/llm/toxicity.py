@@ -4,8 +4,10 @@ Model.  Counts of the toxic and other labelled documents that use a token give e
 log-odds with an informative Dirichlet prior (the prior's shape is the token's
 share of all counts), and a z-score from its variance.  The beginnings of longer
 tokens are counted like tokens, so that a stem speaks for endings not yet seen.
-Tokens that pass ``LEAST_Z`` keep their log-odds, others take that of their longest
-beginning that passes; every other token costs ``REST``.
+Tokens that pass ``LEAST_Z`` score their log-odds less ``SHIFT`` (a passage must be more
+than the language or topic that toxic texts lean to), others what their longest
+beginning that passes does; every other token costs ``REST``.  The n-th time a text
+uses a toxic token it scores an n-th, so that no text is toxic by repetition.
 
 Passages.  One linear scan (Ruzzo and Tompa) finds all maximal scoring segments of
 a document's token scores.
@@ -38,7 +40,8 @@ from costloom.llm.common import learnable, map_texts, spread, staged, strings, t
 from costloom.llm.registry import query
 
 SAMPLE = 20_000       # labelled documents to learn from, at most
-PRIOR = 1000.0        # weight of the Dirichlet prior, in tokens
+PRIOR = 20_000.0      # weight of the Dirichlet prior, in tokens
+SHIFT = 1.5
 LEAST_Z = 3.0
 REST = -0.3           # score of a token that tells nothing
 TERMS = 200_000       # tokens in the model, at most: those with the largest z
@@ -94,7 +97,12 @@ class Model:
         scores = self.scores
         found = [scores[t] for t in tokens]
         at = [i for i, s in enumerate(found) if s is not None]
-        return at, [found[i] for i in at]
+        uses: dict[str, int] = {}
+        out = []
+        for i in at:
+            uses[tokens[i]] = n = uses.get(tokens[i], 0) + 1
+            out.append(found[i] / n if found[i] > 0 else found[i])
+        return at, out
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of tokens, and (first token, one past the last, score) of every maximal segment."""
@@ -189,7 +197,8 @@ def count_tokens(sample: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, wanted: Column, sample_rows: int = SAMPLE,
-          prior: float = PRIOR, least_z: float = LEAST_Z, rest: float = REST, terms: int = TERMS) -> Model:
+          prior: float = PRIOR, least_z: float = LEAST_Z, shift: float = SHIFT,
+          rest: float = REST, terms: int = TERMS) -> Model:
     texts = spread(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")))
     sample = staged(labelled(texts, labels, label, wanted, sample_rows).select("text", "_label"))
     counts = staged(count_tokens(sample))
@@ -203,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, wanted: Column, sample
     spread_ = F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("other") + alpha))
     telling = counts.withColumn("log_odds", log_odds).withColumn("z", F.col("log_odds") / spread_).filter(F.abs("z") >= least_z)
     kept = telling.orderBy(F.desc(F.abs("z")), "token").limit(terms).collect()
-    model = Model({r.token: r.log_odds for r in kept}, rest)
+    model = Model({r.token: r.log_odds - shift for r in kept}, rest)
     shares = counts.filter(~F.col("token").endswith("*") & (F.col("other") > 0))
     model.decay = decay_of(score_shares(shares, model, other), rest)
     rows = evidence_of(sample, model)
