@@ -350,7 +350,7 @@ def toxicity_rows(spark, sf_dir, name, label):
 
 
 def test_passages_are_where_the_words_are(spark):
-    model = toxicity.Model({"vile": 6.0, "awful": 5.0}, -0.3, decay=1.0, scale=0.1, weights=(-2.0, 2.0))
+    model = toxicity.Model({"vile": 12.0, "awful": 5.0}, -0.3, decay=1.0, scale=0.1, weights=(-2.0, 2.0))
     docs = spark.createDataFrame([(1, "İ good text here, then VILE awful words. " + "fine " * 40 + "vile!")], "doc_id long, text string")
     r = toxicity.passages(docs, model).first()
     text = docs.first().text
