@@ -62,38 +62,38 @@ def _doc(doc_id: Column) -> Column:
 
 
 def unit_rows(docs: DataFrame) -> DataFrame:
-    """One row per unit: ``doc``, ``text_hash``, ``no``, ``start``, ``end``, ``words``, digest ``h`` and ``g``, ``again``.
+    """One row per unit: ``doc``, ``text_hash``, ``no``, digest ``h`` and ``g``, ``again``.
 
-    ``again``: the same text has it before.
+    ``again``: the same text has it before.  Where a unit lies is found again in the
+    text when it is needed, so it isn't sent along.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "text_hash", "no", "start", "end", "words", "h", "g", "again"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+        names, kinds = ["doc", "text_hash", "no", "h", "g", "again"], [pa.int64(), pa.int64(), pa.int32()]
         for batch in batches:
             rows, digests, again = [], [], []
             for doc, text_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
                 seen = set()
-                for no, (start, end, n, norm) in enumerate(units(text)):
+                for no, (_, _, _, norm) in enumerate(units(text)):
                     digest = xxhash.xxh3_128_digest(norm.encode())
                     again.append(digest in seen)
                     seen.add(digest)
                     digests.append(digest)
-                    rows.append((doc, text_hash, no, start, end, n))
+                    rows.append((doc, text_hash, no))
             both = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             columns = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(both[:, 0]), pa.array(both[:, 1].astype(np.int32)), pa.array(again, pa.bool_())], names=names)
 
-    return map_texts(docs, run, "doc long, text_hash long, no int, start int, end int, words int, h long, g int, again boolean")
+    return map_texts(docs, run, "doc long, text_hash long, no int, h long, g int, again boolean")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Units that occur earlier: ``doc``, ``text_hash``, ``no``, ``start``, ``end``, ``words``, ``first_doc``."""
+    """Units that occur earlier: ``doc``, ``text_hash``, ``no`` and ``first_doc``."""
     text = F.col("text").cast("string")
     plain = spread(docs.select(_doc(F.col("doc_id")).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text")).filter("text IS NOT NULL"))
     found = staged(unit_rows(plain))
     shared = found.filter(~F.col("again")).groupBy("h", "g").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last"))
     shared = staged(shared.filter(F.col("first_doc") < F.col("_last")).drop("_last"))
-    columns = ["doc", "text_hash", "no", "start", "end", "words"]
+    columns = ["doc", "text_hash", "no"]
     others = found.join(shared, ["h", "g"]).filter((F.col("doc") != F.col("first_doc")) | F.col("again")).select(*columns, "first_doc")
     # What recurs in one document alone has no shared digest.
     own = found.filter("again").join(shared, ["h", "g"], "left_anti").select(*columns, F.col("doc").alias("first_doc"))
@@ -112,7 +112,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     rank alike: what they share is no repeat; a null doc_id ranks last.  Null and
     empty texts have no units.  Other columns aren't read.
     """
-    hits = repeats(docs).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("no", "start", "end", "words", "first_doc")).alias("units"))
+    hits = repeats(docs).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("no", "first_doc")).alias("units"))
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _doc(F.col("doc_id")).alias("doc"), F.xxhash64(text).alias("text_hash"))
 
@@ -121,7 +121,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
         for batch in batches:
             rows = []
             for doc_id, text, found in zip(*(c.to_pylist() for c in batch.columns)):
-                removed = [r for r in runs(found) if r["words"] >= least_words]
+                removed = [r for r in runs(text, found) if r["words"] >= least_words]
                 if removed:
                     rows.append((doc_id, removed, sum(r["words"] for r in removed), without(text, removed)))
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), kind, pa.int64(), pa.string()))]
@@ -131,18 +131,19 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     return map_texts(joined, run, f"doc_id long, removed {REMOVED}, words_removed long, text string")
 
 
-def runs(found: list[dict]) -> list[dict]:
-    """Units that follow each other, joined."""
-    out, last = [], None
+def runs(text: str, found: list[dict]) -> list[dict]:
+    """Units of a text that follow each other, joined."""
+    out, last, places = [], None, list(units(text))
     for unit in sorted(found, key=lambda u: u["no"]):
+        start, end, words, _ = places[unit["no"]]
         first = None if unit["first_doc"] == LAST else unit["first_doc"]
         if last is not None and unit["no"] == last + 1:
-            out[-1]["end"] = unit["end"]
-            out[-1]["words"] += unit["words"]
+            out[-1]["end"] = end
+            out[-1]["words"] += words
             if first not in out[-1]["first_docs"]:
                 out[-1]["first_docs"].append(first)
         else:
-            out.append({"start": unit["start"], "end": unit["end"], "words": unit["words"], "first_docs": [first]})
+            out.append({"start": start, "end": end, "words": words, "first_docs": [first]})
         last = unit["no"]
     return out
 
