@@ -380,13 +380,15 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     identity = staged(identity)
     smallest = identity.groupBy("class").agg(F.min("id").alias("id"))
     first = identity.join(smallest, ["class", "id"]).groupBy("class", "id").agg(F.min("text_hash").alias("text_hash"))
-    first = first.withColumn("stays", F.lit(True))
-    judged = identity.join(first, ["class", "id", "text_hash"], "left")
-    judged = staged(judged.filter("stays IS NULL OR rows > 1").select(F.col("id").alias("_costloom_id"), F.col("text_hash").alias("_costloom_text"), "stays"))
-    same = (F.coalesce(F.col("doc_id").cast("long"), last) == F.col("_costloom_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_costloom_text"))
-    once = docs.join(judged.drop("stays"), same, "left_anti")
-    repeated = docs.join(judged.filter("stays"), same).select(*docs.columns, "_costloom_id", "_costloom_text")
-    return once.unionByName(repeated.dropDuplicates(["_costloom_id", "_costloom_text"]).select(*docs.columns))
+    stay = staged(identity.join(first, ["class", "id", "text_hash"], "left_semi").select(
+        F.col("id").alias("_costloom_id"), F.col("text_hash").alias("_costloom_text"), "rows"))
+    same = ((F.coalesce(F.col("doc_id").cast("long"), last) == F.col("_costloom_id"))
+            & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_costloom_text")))
+    once = docs.join(stay.filter("rows = 1"), same, "left_semi")
+    # Repeated rows are few as a rule; they are a table of their own, which Spark can send to the texts.
+    again = staged(stay.filter("rows > 1").drop("rows"))
+    repeated = docs.join(again, same).dropDuplicates(["_costloom_id", "_costloom_text"]).select(*docs.columns)
+    return once.unionByName(repeated)
 
 
 @query("op3_simhash_near_dedup")
