@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costloom.llm.common import map_texts, spread, staged, table, utf8
@@ -42,6 +42,12 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the Golay code
 BLOCK = 4096
 PAIRWISE = 12
+NEAR = 38           # of 256 bits that differ on the average at a similarity of 0.8
+LOOSE = 80          # over five deviations above that, also for sets of a few shingles
+SAMPLE = 4096       # texts in which common shingles are looked for
+OFTEN = 8
+COMMON = 200_000
+LAST = (1 << 63) - 1
 
 
 # Fingerprints
@@ -72,41 +78,90 @@ def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
     return int(majority(hashes.view(np.uint8).reshape(-1, 8))[0])
 
 
-def signature(text: bytes) -> list[int]:
-    """Fingerprints of the different words (three of 64 bits), then one of 256 bits of
-    the different five-word shingles, whose differing bits tell their similarity."""
-    words = words_of(text)
+def five_word_set(text: bytes) -> np.ndarray:
+    """Digests of the different five-word shingles, a row of 32 bytes each."""
+    digest = xxhash.xxh3_128_digest
+    parts = b"".join(digest(f, seed) for f in set(shingles(words_of(text), 5)) for seed in (0, 1))
+    return np.frombuffer(parts, dtype=np.uint8).reshape(-1, 32)
 
-    def of(features: set[bytes], size: int) -> list[int]:
-        digest = xxhash.xxh3_128_digest
-        parts = b"".join(digest(f, seed) for f in features for seed in range(-(-size // 16)))
-        return majority(np.frombuffer(parts, dtype=np.uint8).reshape(len(features), -1)[:, :size]).tolist() if features else [0] * (size // 8)
 
-    return of(set(words), 24) + of(set(shingles(words, 5)), 32)
+def hashes_of(digests: np.ndarray) -> np.ndarray:
+    """The set as sorted 64-bit numbers."""
+    return np.unique(np.ascontiguousarray(digests[:, :8]).view("<i8").ravel())
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all shingles: two sets of that similarity share one.
+
+    At least ``similarity`` of a set is in the other one, so not all of the rest and
+    one more can be missing.  Any order will do that is the same for all sets; here
+    ``common`` ones come last, those with the largest ``counts`` at the end.
+    """
+    wanted = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+    if not len(common):
+        return hashes[:wanted]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    rank = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.argsort(rank, kind="stable")[:wanted]]
 
 
-WORD_PRINTS = ["w0", "w1", "w2"]
 MARKS = ["s0", "s1", "s2", "s3"]
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = 3, similar: bool = False) -> DataFrame:
-    """``doc_id``, ``text_hash`` and ``fp`` (the 64 bits as a signed long) of every row of ``docs``,
-    with ``similar`` also its signature."""
-    more = [*WORD_PRINTS, *MARKS] if similar else []
+def _plain(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+
 
+def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``fp`` (the 64 bits as a signed long) of every row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
-            fps = np.array([fingerprint(t, words_in_shingle) for t in texts], dtype=np.uint64)
-            columns = [batch.column(0), batch.column(2), pa.array(fps.view(np.int64))]
-            if similar:
-                marks = np.array([signature(t) for t in texts], dtype=np.uint64).reshape(-1, len(more))
-                columns += [pa.array(np.ascontiguousarray(marks[:, i]).view(np.int64)) for i in range(len(more))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", *more])
+            fps = np.array([fingerprint(t, words_in_shingle) for t in utf8(batch.column(1))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+
+    return map_texts(spread(_plain(docs)), run, "doc_id long, text_hash long, fp long")
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Five-word shingles that ``OFTEN`` texts of a sample have, by number, and their counts.
+
+    They only order ``prefix``, so what a sample misses costs time, no link.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashes_of(five_word_set(t)) for t in utf8(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["h"])
+
+    one_in = max(1, docs.count() // SAMPLE)
+    texts = _plain(docs).filter(F.pmod("text_hash", F.lit(one_in)) == 0).dropDuplicates(["text_hash"])
+    often = map_texts(texts.select("text"), run, "h long").groupBy("h").count().filter(F.col("count") >= OFTEN)
+    rows = sorted((r.h, r["count"]) for r in often.orderBy(F.desc("count"), "h").limit(COMMON).collect())
+    return np.array([h for h, _ in rows], dtype=np.int64), np.array([n for _, n in rows], dtype=np.int64)
 
-    text = F.col("text").cast("string")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
-    return map_texts(spread(plain), run, "doc_id long, text_hash long, fp long" + "".join(f", {c} long" for c in more))
+
+def similar_prints(docs: DataFrame, similarity: float) -> DataFrame:
+    """``fingerprints`` with ``set_id`` (the set of five-word shingles), its ``MARKS`` (256 bits whose
+    differing ones tell the similarity) and its ``prefix``."""
+    common, counts = common_shingles(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, set_ids, marks, prefixes = [], [], [], []
+            for text in utf8(batch.column(1)):
+                digests = five_word_set(text)
+                hashes = hashes_of(digests)
+                fps.append(fingerprint(text))
+                set_ids.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+                marks.append(majority(digests) if len(digests) else np.zeros(4, dtype="<u8"))
+                prefixes.append(prefix(hashes, similarity, common, counts))
+            fps, set_ids = (np.array(x, dtype=np.uint64).view(np.int64) for x in (fps, set_ids))
+            marks = np.array(marks, dtype=np.uint64).reshape(-1, 4)
+            columns = [batch.column(0), batch.column(2), pa.array(fps), pa.array(set_ids), *(pa.array(np.ascontiguousarray(marks[:, i]).view(np.int64)) for i in range(4))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "set_id", *MARKS, "prefix"])
+
+    schema = "doc_id long, text_hash long, fp long, set_id long" + "".join(f", {c} long" for c in MARKS) + ", prefix array<long>"
+    return map_texts(spread(_plain(docs)), run, schema)
 
 
 # Golay code
@@ -205,6 +260,23 @@ def forest(ids: np.ndarray, marks: np.ndarray, limit: int) -> list[tuple[np.ndar
     return out
 
 
+def forests(ids: np.ndarray, marks: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Spanning forests at ``NEAR`` and at ``limit``: every signature that is near any other is in one."""
+    return forest(ids, marks, NEAR) + forest(ids, marks, limit)
+
+
+def across(ids: np.ndarray, marks: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within ``limit`` whose classes, the last column of ``marks``, differ."""
+    out, classes = [], marks[:, -1]
+    if (classes == classes[0]).all():
+        return out
+    for i in range(len(ids) - 1):
+        hit = np.flatnonzero(classes[i + 1:] != classes[i]) + i + 1
+        hit = hit[apart(marks[hit, :-1], marks[i, :-1]) <= limit]
+        out.append((np.full(len(hit), ids[i]), ids[hit]))
+    return out
+
+
 def _pairwise(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for step in range(1, min(PAIRWISE, len(keys))):
@@ -216,18 +288,23 @@ def _pairwise(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray, limit: int)
     return out
 
 
-def _linked(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray, limit: int, block: int | None, carried: list[str]) -> Iterator[pd.DataFrame]:
+def _linked(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray, limit: int, block: int | None, carried: list[str], link=forest) -> Iterator[pd.DataFrame]:
     """Links of whole keys (``task`` null), and the rows of keys too large for one task."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     of = np.repeat(sizes, sizes)
     few = (of > 1) & (of <= PAIRWISE)
-    found = _pairwise(keys[few], ids[few], marks[few], limit)
+    if link is not across:
+        found = _pairwise(keys[few], ids[few], marks[few], limit)
+    elif block is None:
+        found = _pairwise(keys[few], ids[few], marks[few, :-1], limit)
+    else:
+        found = []  # all pairs of small keys were found by the round before
     for start, size in zip(starts[sizes > PAIRWISE].tolist(), sizes[sizes > PAIRWISE].tolist()):
         own, mark = ids[start:start + size], marks[start:start + size]
         if block is None or size <= block:
             _, once = np.unique(own, return_index=True)  # a block meets itself in its own task
-            found += forest(own[once], mark[once], limit)
+            found += link(own[once], mark[once], limit)
             continue
         blocks = -(-size // block)
         for i in range(blocks):
@@ -242,7 +319,7 @@ def _linked(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray, limit: int, bl
         yield pd.DataFrame({"task": nothing, "a": once[:, 0], "b": once[:, 1], **{c: nothing for c in carried}})
 
 
-def _links_of_sorted(limit: int, block: int | None, carried: list[str]):
+def _links_of_sorted(limit: int, block: int | None, carried: list[str], link=forest):
     """Reads (key, id, carried) sorted by key; a key may go on in the next batch.
 
     Without ``carried`` the id itself is the signature.
@@ -251,7 +328,7 @@ def _links_of_sorted(limit: int, block: int | None, carried: list[str]):
         held: list[tuple[np.ndarray, ...]] = []
 
         def whole(parts):
-            return _linked(*(np.concatenate(x) for x in zip(*parts)), limit, block, carried)
+            return _linked(*(np.concatenate(x) for x in zip(*parts)), limit, block, carried, link)
 
         for batch in batches:
             if not len(batch):
@@ -276,13 +353,60 @@ def links(nodes: DataFrame, prints: list[str], carried: list[str], limit: int =
     Nodes (``id``) meet if they share a key of a fingerprint in ``prints``; they are
     linked if their signatures differ in at most ``limit`` bits.
     """
-    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    return links_by_key(golay_keys(nodes, prints, carried), carried, limit, block)
+
+
+def links_by_key(keyed: DataFrame, carried: list[str], limit: int, block: int, link=forest) -> DataFrame:
+    """``a``, ``b``: what ``link`` finds among the rows (``key``, ``id``, ``carried``) of every key."""
+    keyed.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     schema = ", ".join(f"{c} long" for c in ["task", "a", "b", *carried])
-    by_key = golay_keys(nodes, prints, carried).repartition("key").sortWithinPartitions("key")
-    first = staged(by_key.mapInPandas(_links_of_sorted(limit, block, carried), schema))
+    by_key = keyed.repartition("key").sortWithinPartitions("key", "id")
+    first = staged(by_key.mapInPandas(_links_of_sorted(limit, block, carried, link), schema))
     tasks = first.filter(F.col("task").isNotNull()).select(F.col("task").alias("key"), F.col("a").alias("id"), *carried)
-    across = tasks.repartition("key").sortWithinPartitions("key").mapInPandas(_links_of_sorted(limit, None, carried), schema)
-    return first.filter(F.col("task").isNull()).unionByName(across).select("a", "b").distinct()
+    found = tasks.repartition("key").sortWithinPartitions("key", "id").mapInPandas(_links_of_sorted(limit, None, carried, link), schema)
+    return first.filter(F.col("task").isNull()).unionByName(found).filter("a != b").select("a", "b").distinct()
+
+
+def shared_keys(prints: DataFrame) -> DataFrame:
+    """``key`` and ``id``: shingles in the prefixes of two or more ``id``s."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of one task: copies bring their keys once
+        for batch in batches:
+            ids, keys = batch.column(0).to_numpy(), batch.column(1)
+            new = []
+            for i in ids.tolist():
+                new.append(i not in seen)
+                seen.add(i)
+            keys, ids = keys.filter(pa.array(new)), ids[np.array(new, dtype=bool)]
+            sizes = np.diff(keys.offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([keys.flatten(), pa.array(np.repeat(ids, sizes))], names=["key", "id"])
+
+    by_key = Window.partitionBy("key").orderBy("id")
+    keyed = map_texts(prints.select("id", "prefix"), run, "key long, id long")
+    beside = keyed.select("key", "id", F.lag("id").over(by_key).alias("before"), F.lead("id").over(by_key).alias("after"))
+    return beside.filter("before != id OR after != id").select("key", "id")
+
+
+def sets_of(docs: DataFrame, prints: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id`` and its ``shingles`` (numbers), read again from one text of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashes_of(five_word_set(t)) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    doc = F.coalesce("doc_id", F.lit(LAST))
+    place = prints.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct(doc.alias("doc"), F.col("text_hash"))).alias("at"))
+    place = staged(place.select("id", "at.*"))
+    texts = _plain(docs).select(doc.alias("doc"), "text_hash", "text").join(place, ["doc", "text_hash"]).select("id", "text")
+    return map_texts(texts, run, "id long, shingles array<long>").groupBy("id").agg(F.first("shingles").alias("shingles"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` whose shingles have a Jaccard similarity of at least ``similarity``."""
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("shingles").alias(f"of_{end}")), end)
+    both = pairs.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
+    return both.filter(F.col("both") >= similarity * (F.col("sizes") - F.col("both")) - 1e-9).select("a", "b")
 
 
 # Components
@@ -330,28 +454,40 @@ def _classes(docs: DataFrame, words_in_shingle: int = 3, block: int = BLOCK) ->
 
 def _similar_classes(docs: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """``doc_id``, ``text_hash`` and ``class`` of every row: classes of ``near_duplicates``,
-    joined where five-word shingles are similar.
-
-    Sets with Jaccard similarity J have cosine 2 J / (1 + J), and two random
-    projections differ in sign with the angle's share of a half turn: signatures
-    within that share of their 256 bits are linked.  Texts that similar share most
-    words, so candidates share a Golay key of one of three fingerprints of their words.
+    joined where the sets of five-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates share a shingle of their prefixes, which every similar pair does.  Of
+    these, pairs are compared whose 256-bit signatures differ in at most ``LOOSE``
+    bits (sets of similarity J have cosine 2 J / (1 + J), and two random projections
+    differ in sign with the angle's share of a half turn: 38 at 0.8).  Sets decide.
+    Spanning forests come first; then all pairs that these have left in different
+    classes, so that a large class costs no pairs.
     """
-    limit = int(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    prints = fingerprints(docs, similar=True)
-    prints = staged(prints.withColumn("id", F.xxhash64("fp", *WORD_PRINTS, *MARKS)))
-    nodes = staged(prints.groupBy("id").agg(*[F.first(c).alias(c) for c in ["fp", *WORD_PRINTS, *MARKS]]))
+    prints = similar_prints(docs, similarity).withColumn("id", F.xxhash64("fp", "set_id"))
+    prints = staged(prints)
+    nodes = staged(prints.groupBy("id").agg(*[F.first(c).alias(c) for c in ["fp", *MARKS]]))
     # All texts of a fingerprint are one class; its first node stands for it.
     firsts = staged(nodes.groupBy("fp").agg(F.min("id").alias("first")))
     same = nodes.join(firsts, "fp").filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     by_print = links(firsts.select(F.col("fp").alias("id")), ["id"], [], MAX_BITS, block)
     for end in ("a", "b"):
         by_print = by_print.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end)
-    by_print = by_print.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    edges = same.unionByName(by_print).unionByName(links(nodes, WORD_PRINTS, MARKS, limit, block))
-    roots = staged(components(edges))
-    classes = staged(nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("class")))
-    return prints.join(classes, "id").select("doc_id", "text_hash", "class")
+    by_print = staged(by_print.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+    keyed = staged(staged(shared_keys(prints)).join(nodes.select("id", *MARKS), "id").select("key", "id", *MARKS))
+    near = staged(links_by_key(keyed, MARKS, LOOSE, block, forests))
+    sets = staged(sets_of(docs, prints, near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()))
+    roots = staged(components(same.unionByName(by_print).unionByName(verified(near, sets, similarity))))
+
+    def named(ids):
+        return ids.join(roots, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("root", "id")).drop("node", "root")
+
+    left = staged(links_by_key(named(keyed), [*MARKS, "class"], LOOSE, block, across))
+    joins = verified(left, sets, similarity)
+    for end in ("a", "b"):
+        joins = named(joins.withColumnRenamed(end, "id")).drop("id").withColumnRenamed("class", end)
+    joined = staged(components(joins)).select(F.col("node").alias("class"), F.col("root").alias("wider"))
+    classes = named(nodes.select("id")).join(joined, "class", "left").select("id", F.coalesce("wider", "class").alias("class"))
+    return prints.join(staged(classes), "id").select("doc_id", "text_hash", "class")
 
 
 def near_duplicates(docs: DataFrame, words_in_shingle: int = 3, block: int = BLOCK) -> DataFrame:
@@ -370,12 +506,12 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, one of each class of near-duplicates.
 
     Classes are those of ``near_duplicates``, joined where two texts' five-word
-    shingles have a Jaccard similarity of about ``similarity`` or more (by their
-    signatures, so near the limit either may happen).  The row with the smallest doc_id stays (null last), of equals that with the
-    smallest text hash, and of rows equal in both one.
+    shingles have a Jaccard similarity of ``similarity`` or more.  The row with the
+    smallest doc_id stays (null last), of equals that with the smallest text hash,
+    and of rows equal in both one.
     """
     found = staged(_similar_classes(docs, similarity))
-    last = F.lit((1 << 63) - 1)
+    last = F.lit(LAST)
     identity = found.groupBy("class", F.coalesce("doc_id", last).alias("id"), "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     identity = staged(identity)
     smallest = identity.groupBy("class").agg(F.min("id").alias("id"))

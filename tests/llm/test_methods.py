@@ -226,6 +226,49 @@ def test_similar_texts_keep_one(spark, plain_docs, monkeypatch, block):
     assert sorted(kept) == [0, 61, 62, 63]
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 20])
+def test_similar_classes_against_all_pairs(spark, plain_docs, block):
+    """Texts on either side of a similarity of 0.8, from five words to hundreds, some in a family
+    whose members are linked through others only."""
+    rnd = random.Random(12)
+    vocabulary = ["w%04d" % i for i in range(3000)]
+    texts = []
+    for size in (5, 8, 9, 14, 30, 60, 120, 120, 250, 250):
+        original = [rnd.choice(vocabulary) for _ in range(size)]
+        for edits in [0, *range(1, 14)]:
+            words = list(original)
+            at = rnd.randrange(size)
+            for i in range(max(1, size * edits // 90)):  # neighbours, so that the similarity falls in small steps
+                words[(at + i) % size] = rnd.choice(vocabulary)
+            texts.append(" ".join(words))
+    boilerplate = " ".join(rnd.choice(vocabulary) for _ in range(60))
+    texts += [boilerplate + " " + " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(5, 60))) for _ in range(60)]
+    sets = [set(simhash.shingles(simhash.words_of(t.encode()), 5)) for t in texts]
+    fps = [simhash.fingerprint(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            jaccard = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            near += 0.7 < jaccard < 0.9
+            if jaccard >= 0.8 or (fps[i] ^ fps[j]).bit_count() <= 3:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    assert near > 100
+    found = {}
+    for r in simhash._similar_classes(plain_docs(texts), 0.8, block).collect():
+        found.setdefault(r["class"], set()).add(r.doc_id)
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(top(i), set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 400)] + [(1000, 1001)], "a long, b long").repartition(5)
     found = {r.node: r.root for r in simhash.components(edges).collect()}
