@@ -6,8 +6,11 @@ share of all counts), and a z-score from its variance.  The beginnings of longer
 tokens are counted like tokens, so that a stem speaks for endings not yet seen.
 Tokens that pass ``LEAST_Z`` score their log-odds less ``SHIFT`` (a passage must be more
 than the language or topic that toxic texts lean to), others what their longest
-beginning that passes does; every other token costs ``REST``.  The n-th time a text
-uses a toxic token it scores an n-th, so that no text is toxic by repetition.
+beginning that passes does; every other token costs ``REST``.  The n-th time a stretch
+uses a toxic token it scores an n-th, so that no text is toxic by repetition.  A new
+stretch begins where the sum of scores has fallen back to where the stretch began:
+repeats alone gain nothing by that, and a passage scores the same however much text
+comes before it.
 
 Passages.  One linear scan (Ruzzo and Tompa) finds all maximal scoring segments of
 a document's token scores.
@@ -98,10 +101,18 @@ class Model:
         found = [scores[t] for t in tokens]
         at = [i for i, s in enumerate(found) if s is not None]
         uses: dict[str, int] = {}
-        out = []
+        out, last, total = [], -1, 0.0
         for i in at:
-            uses[tokens[i]] = n = uses.get(tokens[i], 0) + 1
-            out.append(found[i] / n if found[i] > 0 else found[i])
+            score = found[i]
+            total += self.rest * (i - last - 1) + min(score, 0.0)
+            last = i
+            if score > 0:
+                if total <= 0:
+                    uses, total = {}, 0.0
+                uses[tokens[i]] = n = uses.get(tokens[i], 0) + 1
+                score /= n
+                total += score
+            out.append(score)
         return at, out
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:

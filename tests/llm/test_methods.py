@@ -1,6 +1,7 @@
 """The operators' results against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -400,6 +401,19 @@ def test_passages_are_where_the_words_are(spark):
     assert [text[p.start:p.end] for p in r.passages] == ["VILE awful", "vile"]
 
 
+def test_a_late_passage_scores_like_an_early_one():
+    model = toxicity.Model({"vile": 4.0, "awful": 4.0, "nasty": 4.0}, -0.3, decay=1.0, scale=0.1, weights=(-2.0, 2.0))
+    passage, fine = "vile awful nasty ", "fine " * 40
+    scattered = ("vile " + fine + "awful " + fine + "nasty " + fine) * 30
+    for text, n in ((passage + fine + scattered, 1), (scattered + passage, 1), (passage + fine * 10 + passage, 2), (scattered, 0)):
+        tokens, segments = model.segments(text)
+        sure = [s for _, _, s in segments if model.minus_log_e(s, tokens) > -math.log(toxicity.SIGNIFICANT)]
+        assert sure == pytest.approx([12.0] * n)
+    # Repeats alone never add up, however they are spaced.
+    for gap in range(30):
+        assert max(s for _, _, s in model.segments(("vile " + "fine " * gap) * 200)[1]) < 4.0 * 6
+
+
 # op7
 
 def edit_places(pattern, text, k):
