@@ -91,10 +91,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     plain = spread(docs.select(_doc(F.col("doc_id")).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text")).filter("text IS NOT NULL"))
     found = staged(unit_rows(plain))
-    shared = found.filter(~F.col("again")).groupBy("h", "g").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last"))
-    shared = staged(shared.filter(F.col("first_doc") < F.col("_last")).drop("_last"))
+    # Texts without a doc_id are documents of their own, which rank by text_hash after all others.
+    nameless = F.when(F.col("doc") == LAST, F.col("text_hash"))
+    shared = found.filter(~F.col("again")).groupBy("h", "g").agg(
+        F.min("doc").alias("first_doc"), F.max("doc").alias("_last"), F.min(nameless).alias("first_text"), F.max(nameless).alias("_last_text"))
+    several = (F.col("first_doc") < F.col("_last")) | ((F.col("first_doc") == LAST) & (F.col("first_text") < F.col("_last_text")))
+    shared = staged(shared.filter(several).drop("_last", "_last_text"))
     columns = ["doc", "text_hash", "no"]
-    others = found.join(shared, ["h", "g"]).filter((F.col("doc") != F.col("first_doc")) | F.col("again")).select(*columns, "first_doc")
+    later = (F.col("doc") != F.col("first_doc")) | ((F.col("first_doc") == LAST) & (F.col("text_hash") != F.col("first_text")))
+    others = found.join(shared, ["h", "g"]).filter(later | F.col("again")).select(*columns, "first_doc")
     # What recurs in one document alone has no shared digest.
     own = found.filter("again").join(shared, ["h", "g"], "left_anti").select(*columns, F.col("doc").alias("first_doc"))
     return others.unionByName(own)
@@ -109,10 +114,12 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     ``removed`` has, in order, code-point offsets of the original text (end
     exclusive), the words removed and the documents that keep them.  A document
     that isn't listed stays as it is.  Rows that share a doc_id are one document and
-    rank alike: what they share is no repeat; a null doc_id ranks last.  Null and
-    empty texts have no units.  Other columns aren't read.
+    rank alike: what they share is no repeat.  Rows without a doc_id rank last; they
+    are one document only if their texts are equal.  Equal rows lose the same.  Null
+    and empty texts have no units.  Other columns aren't read.
     """
-    hits = repeats(docs).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("no", "first_doc")).alias("units"))
+    # A set, put together map-side: equal rows bring the same units.
+    hits = repeats(docs).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("no", "first_doc")).alias("units"))
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _doc(F.col("doc_id")).alias("doc"), F.xxhash64(text).alias("text_hash"))
 

@@ -54,6 +54,20 @@ def test_linehash_keeps_first_and_catches_passages(spark, plain_docs):
         assert r.text == "".join([*left, texts[doc][done:]])
 
 
+def test_linehash_of_equal_rows_and_rows_without_id(spark):
+    """Equal rows lose what one row would; texts without a doc_id are documents that differ."""
+    short = "One two three. Four five six. Seven eight nine."
+    passage = "here are ten words that two nameless documents share alone."
+    rows = [(1, "Own words first. " + short)] + [(2, short + " Other words come here.")] * 3 + \
+        [(None, "The first text of its kind. " + passage)] + [(None, "Another one of a kind. " + passage)] * 2
+    found = linehash.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = [r for r in found if r.doc_id == 2]
+    assert len(named) == 3 and all((r.words_removed, len(r.removed), r.text.strip()) == (9, 1, "Other words come here.") for r in named)
+    nameless = [r for r in found if r.doc_id is None]
+    assert len(nameless) in (1, 2) and len({r.text for r in nameless}) == 1 and all(r.words_removed == 10 and len(r.removed) == 1 for r in nameless)
+    assert len(found) == len(named) + len(nameless)
+
+
 def test_linehash_against_brute_force(spark, sf_dir, docs):
     first, want = {}, {}
     for doc, (text, *_) in docs.items():
