@@ -6,7 +6,9 @@ from costloom.llm import (  # noqa: F401
     linehash,
     media,
     mixing,
+    onebit,
     pii,
+    prefixes,
     quality,
     sharding,
     simhash,
