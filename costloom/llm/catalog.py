@@ -1,6 +1,7 @@
 """Imports every operator module so that its query is registered."""
 
 from costloom.llm import (  # noqa: F401
+    collocations,
     decontaminate,
     langid,
     linehash,
