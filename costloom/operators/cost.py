@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from costloom.functions.falsy import finite, first_truthy
 from costloom.functions.text import normalize_sku
@@ -13,7 +13,7 @@ from costloom.operators.allocate import PRECISE
 from costloom.operators.keyed import join_on_key
 from costloom.operators.match import ledger_keys, match_ledger
 from costloom.operators.ordered import RUN, Lag, LastValue, OrderedGroups, RunningMax, RunningSum
-from costloom.session import ensure_checkpoint_dir
+from costloom.session import ensure_checkpoint_dir, max_group_rows
 
 
 def cmp_value(qty_prev: Column, price_prev: Column, qty_in: Column, price_new: Column) -> Column:
@@ -186,17 +186,18 @@ def average_with_sales(moves: DataFrame, key: str, order: list[str], max_rows=No
     held = F.greatest(F.col("stock_before").cast("double"), F.lit(0.0))
     after = held + F.col("change")
     steps = steps.withColumns({
-        "keep": F.when(bought, F.try_divide(held, after)).otherwise(F.lit(1.0)),
-        "add": F.when(bought, F.try_divide(F.col("change") * F.col("price"), after)).otherwise(F.lit(0.0)),
+        # A purchase that leaves nothing held changes nothing.
+        "keep": F.when(bought & (after != 0), held / F.nullif(after, F.lit(0.0))).otherwise(F.lit(1.0)),
+        "add": F.when(bought & (after != 0), F.col("change") * F.col("price") / F.nullif(after, F.lit(0.0))).otherwise(F.lit(0.0)),
     })
-    # The window above left every (key, run) in one partition, already in order.
-    folded = _fold(steps.sortWithinPartitions(*seq.parts, *order), seq.parts, "run_keep", "run_add")
+    longest = max(max_rows or max_group_rows(moves.sparkSession), 1024)
+    folded = _fold(steps, seq.parts, order, "run_keep", "run_add", longest)
     before = F.lit(0.0)
     if seq.split:
         ends = folded.groupBy(key, RUN).agg(F.max_by(F.struct("run_keep", "run_add"), F.struct(*order)).alias("e"))
         ends = ends.select(key, RUN, F.col("e.run_keep").alias("keep"), F.col("e.run_add").alias("add"))
         # One row per (key, run); a key meets at most every run, in order.
-        ended = _fold(ends.repartition(key).sortWithinPartitions(key, RUN), [key], "_keep", "_add")
+        ended = _fold(ends, [key], [RUN], "_keep", "_add", longest)
         before_run = F.lag("_add").over(Window.partitionBy(key).orderBy(RUN))
         folded = join_on_key(folded, ended.select(key, RUN, before_run.alias("before")), [key, RUN])
         before = F.coalesce("before", F.lit(0.0))
@@ -205,33 +206,28 @@ def average_with_sales(moves: DataFrame, key: str, order: list[str], max_rows=No
                          F.when(F.col("priced") == 1, value).alias("average_cost"))
 
 
-def _fold(sorted_steps: DataFrame, parts: list[str], keep_name: str, add_name: str) -> DataFrame:
+def _fold(steps: DataFrame, parts: list[str], order: list[str], keep_name: str, add_name: str, longest: int) -> DataFrame:
     """Running composition of the (keep, add) steps, started over for every group.
 
-    The rows must be sorted by group and order inside their partitions; they
-    stream through in batches, so the size of a group does not matter.
+    A parallel prefix: composing linear maps is associative, so after round r every
+    row holds the composition of the last 4 ** r steps, made of its own and three
+    others, 4 ** (r - 1) rows apart.  All rounds go over one sorting.  They reach four
+    times over ``longest`` rows, the size at which groups are split; a group beyond
+    their reach ends the query.
     """
-    schema = T.StructType(sorted_steps.schema.fields + [
-        T.StructField(keep_name, T.DoubleType()), T.StructField(add_name, T.DoubleType())])
-
-    def walk(batches):
-        current, keep, add = None, 1.0, 0.0
-        for pdf in batches:
-            groups = pdf[parts]
-            # A row that begins a group differs from the one before it; null equals null.
-            begins = ~((groups == groups.shift()) | (groups.isna() & groups.shift().isna())).all(axis=1).to_numpy()
-            if len(pdf):
-                first, last = tuple(groups.iloc[0]), tuple(groups.iloc[-1])
-                begins[0] = current is None or any(a != b and not (pd.isna(a) and pd.isna(b)) for a, b in zip(first, current))
-                current = last
-            keeps, adds = [], []
-            for new, k, a in zip(begins.tolist(), pdf["keep"].tolist(), pdf["add"].tolist()):
-                keep, add = (k, a) if new else (keep * k, add * k + a)
-                keeps.append(keep)
-                adds.append(add)
-            yield pdf.assign(**{keep_name: keeps, add_name: adds})
-
-    return sorted_steps.mapInPandas(walk, schema)
+    w = Window.partitionBy(*parts).orderBy(*order)
+    rounds = math.ceil(math.log(4 * longest, 4))
+    rows = steps.withColumns({keep_name: F.col("keep"), add_name: F.col("add")})
+    for r in range(rounds):
+        lags = [(F.lag(keep_name, i * 4 ** r, 1.0).over(w), F.lag(add_name, i * 4 ** r, 0.0).over(w)) for i in (1, 2, 3)]
+        rows = rows.select("*", *[x.alias(f"_{name}{i}") for i, pair in enumerate(lags, 1) for name, x in zip(("k", "a"), pair)])
+        k, a = ([F.col(own), *(F.col(f"_{name}{i}") for i in (1, 2, 3))] for own, name in ((keep_name, "k"), (add_name, "a")))
+        rows = rows.withColumns({add_name: a[0] + k[0] * (a[1] + k[1] * (a[2] + k[2] * a[3])), keep_name: k[0] * k[1] * k[2] * k[3]})
+        rows = rows.select(*steps.columns, keep_name, add_name)
+    too_long = F.lag(F.lit(True), 4 ** rounds).over(w)
+    rows = rows.withColumn("_far", too_long)
+    checked = F.when(F.col("_far"), F.raise_error(F.lit("a group is longer than the rounds reach; set costloom.maxGroupRows higher"))).otherwise(F.col(add_name))
+    return rows.withColumn(add_name, checked.cast("double")).drop("_far")
 
 
 def cost_at_sale(sales: DataFrame, costs: DataFrame, key: str, time: str, max_rows=None, measure=None) -> DataFrame:

@@ -172,8 +172,7 @@ def stock_moves(r):
 MOVE_ORDER = ["moved_at", "kind", "a", "b", "c", "d", "e"]
 
 
-@query("wn_03_average_with_sales", with_roles(ITEMS, SALES, MOVES, recursive=True, body="""
-, stocked AS (SELECT *, coalesce(sum(change) OVER (PARTITION BY product_id ORDER BY moved_at, kind, a, b, c, d, e
+WALK = """stocked AS (SELECT *, coalesce(sum(change) OVER (PARTITION BY product_id ORDER BY moved_at, kind, a, b, c, d, e
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stock_before,
     row_number() OVER (PARTITION BY product_id ORDER BY moved_at, kind, a, b, c, d, e) AS n FROM moves),
 walk AS (
@@ -182,7 +181,10 @@ walk AS (
   UNION ALL
   SELECT s.product_id, s.n, s.moved_at, s.kind, s.a, s.b, s.c, s.d, s.e, w.priced OR s.price IS NOT NULL, CASE WHEN s.price IS NULL THEN w.average ELSE
       (greatest(s.stock_before, 0) * w.average + s.change * s.price) / (greatest(s.stock_before, 0) + s.change) END
-  FROM walk w JOIN stocked s ON s.product_id = w.product_id AND s.n = w.n + 1)
+  FROM walk w JOIN stocked s ON s.product_id = w.product_id AND s.n = w.n + 1)"""
+
+
+@query("wn_03_average_with_sales", with_roles(ITEMS, SALES, MOVES, WALK, recursive=True, body="""
 SELECT product_id, moved_at, kind, a, b, c, d, e, CASE WHEN priced THEN round(average + 1e-7, 3) END AS average_cost FROM walk"""))
 def _(r):
     """Average cost of what is on stock after every purchase and sale."""

@@ -150,8 +150,11 @@ class Roles:
 
     @cached_property
     def sales(self) -> DataFrame:
+        return self.sales_of(self.table("events"))
+
+    def sales_of(self, events: DataFrame) -> DataFrame:
         """Purchases of shoppers, moved onto the years the invoices cover."""
-        return self.table("events").filter("event_type = 'purchase'").select(
+        return events.filter("event_type = 'purchase'").select(
             F.col("event_id").alias("sale_id"),
             F.col("user_id").alias("product_id"),
             F.expr("timestamp_ntz'1995-01-01' + make_dt_interval(cast(event_id % 2500 as int))").alias("sold_at"),
@@ -160,8 +163,6 @@ class Roles:
         )
 
 
-
-
 def cents(value, places: int = 2):
     """Result column in cents.  The tiny nudge puts exact half cents on the same
     side whichever way an engine rounds; ``cents_sql`` says the same in SQL."""

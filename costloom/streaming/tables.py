@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from costloom.operators.keyed import join_on_key
 from costloom.session import ensure_checkpoint_dir
+from costloom.sources.stored import versions
 
 
 COMPACT_EVERY = 20
@@ -47,19 +48,26 @@ def all_rows(spark: SparkSession, table: str, schema: str | None = None) -> Data
         return spark.createDataFrame([], f"{schema}, batch int")
 
 
+def rows_since(spark: SparkSession, table: str, schema: str | None = None) -> DataFrame:
+    """Rows of the newest compacted version and of the batches after it, with their ``batch``."""
+    upto = _compacted(spark, table)
+    rows = all_rows(spark, table, schema)
+    if upto is None:
+        return rows
+    return rows.filter(F.col("batch") > upto).unionByName(spark.read.schema(rows.schema).parquet(f"{table}-compact/upto={upto}"))
+
+
 def latest_rows(spark: SparkSession, table: str, key: str, schema: str | None = None) -> DataFrame:
     """Per key the rows its latest batch wrote, of the newest compacted version and
     the batches after it."""
-    upto = _compacted(spark, table)
-    rows = all_rows(spark, table, schema)
-    if upto is not None:
-        rows = rows.filter(F.col("batch") > upto).unionByName(spark.read.schema(rows.schema).parquet(f"{table}-compact/upto={upto}"))
+    rows = rows_since(spark, table, schema)
     newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
     return join_on_key(rows, newest, [key, "batch"], "inner", measure=rows.select(key, "batch"))
 
 
-def compact(spark: SparkSession, table: str, key: str, upto: int, schema: str | None = None) -> None:
-    """Write the latest rows of the batches up to ``upto`` as one version beside the table.
+def compact(spark: SparkSession, table: str, key: str, upto: int, schema: str | None = None, rows: DataFrame | None = None) -> None:
+    """Write the latest rows (or ``rows``, with their batch) of the batches up to ``upto``
+    as one version beside the table.
 
     Readers then leave these batches out (whole folders, by the batch in their name).
     A version that is written again is the same, so a repeated batch does no harm.
@@ -67,19 +75,13 @@ def compact(spark: SparkSession, table: str, key: str, upto: int, schema: str |
     done = _compacted(spark, table)
     if done is not None and done >= upto:
         return
-    rows = latest_rows(spark, table, key, schema).filter(F.col("batch") <= upto)
-    rows.write.mode("overwrite").parquet(f"{table}-compact/upto={upto}")
+    rows = latest_rows(spark, table, key, schema) if rows is None else rows
+    rows.filter(F.col("batch") <= upto).write.mode("overwrite").parquet(f"{table}-compact/upto={upto}")
 
 
 def _compacted(spark: SparkSession, table: str) -> int | None:
     """The newest whole version: folders of versions are few, one per ``COMPACT_EVERY`` batches."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}-compact")
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return None
-    names = [f.getPath() for f in store.listStatus(path)]
-    whole = [int(n.getName().removeprefix("upto=")) for n in names if store.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
-    return max(whole, default=None)
+    return max(versions(spark, f"{table}-compact", "upto"), default=None)
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], folder: str,
