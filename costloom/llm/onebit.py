@@ -37,6 +37,8 @@ EPSILON = 4.0         # deviations of the estimate that the bound allows for
 ROWS = 1 << 16        # vectors in a block of rows
 QUERIES = 1 << 15     # vectors in a block of queries
 SEED = 42
+FIRST = 4             # times the answer's rows that are scored first, to bound the rest
+CLOSE = 1e-12         # of the lengths' product, by which sums in another order may differ
 
 
 # Codes
@@ -58,12 +60,32 @@ class Codes:
     def __init__(self, vectors: np.ndarray, turn: np.ndarray):
         self.length = lengths(vectors)
         turned = (vectors / self.length[:, None]) @ turn.T
-        width = turned.shape[1]
+        self.width = width = turned.shape[1]
         bits = turned >= 0
-        self.bits = np.packbits(np.pad(bits, ((0, 0), (0, -width % 64))), axis=1, bitorder="little").view("<u8")
-        self.ones = bits.sum(axis=1)
-        self.fit = np.abs(turned).sum(axis=1) / np.sqrt(width)
-        self.error = np.sqrt(np.maximum(1 - self.fit ** 2, 0) / (width - 1 if width > 1 else 1)) / self.fit
+        fit = np.abs(turned).sum(axis=1) / np.sqrt(width)
+        # One array per 64 bits of the code, so that every step runs along all rows.
+        self.words = np.ascontiguousarray(_packed(bits).T)
+        self.ones = bits.sum(axis=1).astype(np.float64)
+        # <o, q> is estimated with, and its error bounded by, one factor per row.
+        self.scale = self.length / (fit * np.sqrt(width))
+        self.error = (EPSILON * self.length / fit) ** 2 * np.maximum(1 - fit ** 2, 0) / max(width - 1, 1)
+        self.rounding = (EPSILON * self.length / fit) ** 2
+
+    def inside(self, planes: np.ndarray) -> np.ndarray:
+        """Per row the sum of the query's numbers at the code's one bits."""
+        out = np.zeros(self.words.shape[1], dtype=np.uint32)
+        both, count = np.empty_like(self.words[0]), np.empty(len(out), dtype=np.uint8)
+        for plane in planes[::-1]:
+            out <<= 1
+            for word, mask in zip(self.words, plane):
+                np.bitwise_count(np.bitwise_and(word, mask, out=both), out=count)
+                out += count
+        return out
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1, bitorder="little").view("<u8")
 
 
 class Query:
@@ -76,19 +98,13 @@ class Query:
         self.step = max((turned.max() - self.least) / ((1 << PLANES) - 1), 1e-300)
         levels = np.floor((turned - self.least) / self.step + chance).clip(0, (1 << PLANES) - 1).astype(np.int64)
         self.total = levels.sum()
-        planes = levels[None, :] >> np.arange(PLANES)[:, None] & 1
-        self.planes = np.packbits(np.pad(planes.astype(bool), ((0, 0), (0, -self.width % 64))), axis=1, bitorder="little").view("<u8")
-        # Rounding adds a random error of its own, of at most half a step's worth on the average.
-        self.rounding = self.step / 2
+        self.planes = _packed((levels[None, :] >> np.arange(PLANES)[:, None] & 1).astype(bool))
 
     def estimates(self, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated cosines of all ``codes`` and their error bounds, both without lengths."""
-        inside = np.zeros(len(codes.bits), dtype=np.int64)
-        for plane in range(PLANES):
-            inside += np.bitwise_count(codes.bits & self.planes[plane]).sum(axis=1, dtype=np.int64) << plane
-        root = np.sqrt(self.width)
-        corner = (2 * (self.step * inside + self.least * codes.ones) - self.step * self.total - self.least * self.width) / root
-        return corner / codes.fit, EPSILON * np.hypot(codes.error, self.rounding / codes.fit)
+        """Estimated inner products with all rows of ``codes``, and their error bounds."""
+        corner = 2 * self.step * codes.inside(self.planes) + 2 * self.least * codes.ones - (self.step * self.total + self.least * self.width)
+        # Rounding adds a random error of its own, of at most half a step's worth on the average.
+        return corner * (codes.scale * self.length), self.length * np.sqrt(codes.error + (self.step / 2) ** 2 * codes.rounding)
 
 
 def inner(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
@@ -101,15 +117,17 @@ def inner(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
 
 def nearest(codes: Codes, vectors: np.ndarray, vector: np.ndarray, ids: np.ndarray, asked: Query, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and scores of the ``k`` nearest, best first, ties to smaller ``ids``."""
-    cosine, error = asked.estimates(codes)
-    scale = codes.length * asked.length
-    if len(scale) > k:
-        first = np.argpartition(-cosine * scale, k - 1)[:k]
-        least = inner(vectors[first], vector).min()
-        hit = np.flatnonzero((cosine + error) * scale >= least - 1e-9 * abs(least))
-        hit = np.union1d(hit, first)
-    else:
-        hit = np.arange(len(scale))
+    hit = np.arange(len(vectors))
+    if len(vectors) > FIRST * k:
+        found, error = asked.estimates(codes)
+        first = np.argpartition(-found, FIRST * k - 1)[:FIRST * k]
+        least = np.partition(vectors[first] @ vector, -k)[-k]
+        near = found + error >= least
+        near[first] = True
+        hit = np.flatnonzero(near)
+    if len(hit) > k:  # the sums' order matters only among those that are near enough
+        rough, error = vectors[hit] @ vector, CLOSE * asked.length * codes.length[hit]
+        hit = hit[rough >= np.partition(rough, -k)[-k] - 2 * error.max()]
     scores = inner(vectors[hit], vector)
     best = np.lexsort((ids[hit], -scores))[:k]
     return hit[best], scores[best]
