@@ -2,7 +2,7 @@
 
 The relation R1 holds every word occurrence: which piece, which place, which word.
 It is persisted in chunks, each a run of whole texts, as arrays in the order of
-(piece, place); a word is a number within its chunk.  One round per length:
+(piece, place); words and phrases are numbers within their chunk.  One round per length:
 
 * group-count: every chunk sends its different phrases of the length with their
   counts, as arrays, to the tasks that the phrases' hashes name; these add up;
@@ -13,8 +13,8 @@ It is persisted in chunks, each a run of whole texts, as arrays in the order of
 
 A chunk names a phrase once however often it holds it, so common phrases send no
 more than rare ones, and nothing of unbounded size meets in a task or the driver.
-Words are exact: their 64-bit codes are checked for collisions, phrases are compared
-by all of their codes.
+Words are exact: their 64-bit codes are checked for collisions where they are counted;
+frequent ones get numbers of their own there, and phrases are compared by all numbers.
 """
 
 from __future__ import annotations
@@ -75,6 +75,50 @@ def unpacked(data: bytes, kind, count: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), dtype=kind) if count else np.empty(0, dtype=kind)
 
 
+def packed_codes(codes: np.ndarray) -> bytes:
+    """Rows of codes, column by column, in four bytes each where they all fit."""
+    kind = np.uint32 if not codes.size or codes.max() < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + packed(codes.T.astype(kind).ravel())
+
+
+def unpacked_codes(data: bytes, count: int, width: int) -> np.ndarray:
+    kind = np.uint32 if data[0] == 4 else np.uint64
+    return unpacked(data[1:], kind, count * width).reshape(width, count).T.astype(np.uint64)
+
+
+# What chunks and tasks exchange: a chunk's phrases for one task (task not null), or its relation.
+SENT = [("task", pa.int32()), ("chunk", pa.int64()), ("start", pa.int64()), ("n_codes", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary()),
+        ("words", pa.binary()), ("langs", pa.binary()), ("names", pa.list_(pa.string()))]
+RELATION = [("n_at", pa.int64()), ("steps", pa.binary()), ("phrase", pa.binary()), ("n_phrases", pa.int64())]
+MADE = pa.schema(SENT + RELATION)
+MADE_DDL = ("task int, chunk long, start long, n_codes long, codes binary, counts binary, words binary, langs binary, names array<string>, "
+            "n_at long, steps binary, phrase binary, n_phrases long")
+BACK_DDL = "chunk long, start long, n_codes long, bits binary, kept binary, codes binary, f binary, words binary, langs binary, names array<string>, totals binary, clash boolean"
+BACK = pa.schema([("chunk", pa.int64()), ("start", pa.int64()), ("n_codes", pa.int64()), ("bits", pa.binary()), ("kept", pa.binary()), ("codes", pa.binary()), ("f", pa.binary()),
+                  ("words", pa.binary()), ("langs", pa.binary()), ("names", pa.list_(pa.string())), ("totals", pa.binary()), ("clash", pa.bool_())])
+
+
+def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema)
+
+
+def _order(codes: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by the task that adds them up, and that task of each."""
+    to = (mixed(codes) % np.uint64(tasks)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    return order, to[order]
+
+
+def _parts(to: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Task, first row and end of every run of ``to``."""
+    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][:len(to)])
+    yield from zip(to[cuts].tolist(), cuts.tolist(), np.r_[cuts[1:], len(to)].tolist())
+
+
+def _relation(chunk: int, at: np.ndarray, phrase: np.ndarray, phrases: int) -> dict:
+    return {"chunk": chunk, "n_at": len(at), "steps": packed(np.diff(at, prepend=np.int32(0)).astype(np.int32)), "phrase": packed(phrase.astype(np.int32)), "n_phrases": phrases}
+
+
 # R1
 
 class Words(dict):
@@ -93,7 +137,7 @@ class Chunk:
     """Word numbers of whole texts in order, -1 after every piece."""
 
     def __init__(self):
-        self.places, self.found, self.by_lang, self.langs = array("i"), [], {}, []
+        self.places, self.found, self.by_lang = array("i"), [], {}
 
     def add(self, lang: str, text: bytes) -> None:
         words = self.by_lang.get(lang)
@@ -106,230 +150,212 @@ class Chunk:
                 places.extend(map(number, own))
                 places.append(-1)
 
-    def rows(self, chunk: int, salt: int) -> pa.RecordBatch:
+    def rows(self, chunk: int, salt: int, tasks: int) -> pa.RecordBatch:
+        """The relation, and the words with their counts for the tasks that add them up."""
         places = np.frombuffer(self.places, dtype=np.int32)
-        counts = np.bincount(places[places >= 0], minlength=len(self.found))
-        langs = np.empty(len(self.found), dtype=object)
-        for lang, words in self.by_lang.items():
-            langs[list(words.values())] = lang
-        codes = np.array([xxhash.xxh64_intdigest(w, xxhash.xxh64_intdigest(l, salt)) for l, w in zip(langs, self.found)], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([chunk]), pa.array([len(places)]), pa.array([packed(places)], pa.binary()), pa.array([codes.tobytes()], pa.binary()),
-             pa.array([counts.astype(np.int64).tobytes()], pa.binary()), pa.array([langs.tolist()], pa.list_(pa.string())),
-             pa.array([[w.decode("utf-8", "surrogatepass") for w in self.found]], pa.list_(pa.string()))],
-            names=["chunk", "n_places", "places", "codes", "counts", "langs", "words"])
-
-
-def occurrences(docs: DataFrame, salt: int = 0) -> DataFrame:
-    """R1 of ``docs``, one row per chunk, with the chunk's words, their codes and counts."""
+        at = np.flatnonzero(places >= 0)
+        words, names = np.array([*self.found, b""], dtype=object)[:-1], sorted(self.by_lang)
+        langs = np.empty(len(words), dtype=np.uint32)
+        for number, lang in enumerate(names):
+            langs[list(self.by_lang[lang].values())] = number
+        seeds = [xxhash.xxh64_intdigest(n, salt) for n in names]
+        codes = np.array([xxhash.xxh64_intdigest(w, seeds[l]) for l, w in zip(langs.tolist(), words)], dtype=np.uint64)[:, None]
+        order, to = _order(codes, tasks)
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        counts = np.bincount(places[at], minlength=len(words))[order]
+        codes, words, langs = codes[order], words[order], langs[order]
+        sent = [{"task": t, "chunk": chunk, "start": a, "n_codes": b - a, "codes": packed_codes(codes[a:b]), "counts": packed(counts[a:b].astype(np.int64)),
+                 "words": _joined(words[a:b]), "langs": packed(langs[a:b]), "names": names} for t, a, b in _parts(to)]
+        return _rows(MADE, [*sent, _relation(chunk, at, place[places[at]], len(words))])
+
+
+def _joined(words: np.ndarray) -> bytes:
+    """Words in one text; none of them holds a space."""
+    text = b" ".join(words)
+    return len(text).to_bytes(8, "little") + packed(np.frombuffer(text, dtype=np.uint8))
+
+
+def _split(data: bytes) -> list[bytes]:
+    size = int.from_bytes(data[:8], "little")
+    return unpacked(data[8:], np.uint8, size).tobytes().split(b" ")
+
+
+def occurrences(docs: DataFrame, salt: int, tasks: int) -> DataFrame:
+    """R1 of ``docs``, a relation per chunk, and what the chunks send."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, chunk = TaskContext.get().partitionId(), 0, Chunk()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 chunk.add(lang, text)
                 if len(chunk.places) >= CHUNK:
-                    yield chunk.rows(task << 24 | number, salt)
+                    yield chunk.rows(task << 24 | number, salt, tasks)
                     number, chunk = number + 1, Chunk()
         if len(chunk.places):
-            yield chunk.rows(task << 24 | number, salt)
+            yield chunk.rows(task << 24 | number, salt, tasks)
 
-    plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UND)).alias("lang"), F.col("text").cast("string").alias("text"))
-    return map_texts(spread(plain), run, "chunk long, n_places long, places binary, codes binary, counts binary, langs array<string>, words array<string>")
-
-
-def vocabulary(chunks: DataFrame) -> DataFrame:
-    """``lang``, ``word``, ``c1`` (code), ``f``: every word of the corpus with its occurrences."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                codes, counts = (np.frombuffer(batch.column(n)[i].as_py(), dtype=np.int64) for n in ("codes", "counts"))
-                yield pa.RecordBatch.from_arrays([batch.column("langs")[i].values, batch.column("words")[i].values, pa.array(codes), pa.array(counts)], names=["lang", "word", "c1", "f"])
-
-    words = chunks.select("codes", "counts", "langs", "words").mapInArrow(run, "lang string, word string, c1 long, f long")
-    return words.groupBy("lang", "word", "c1").agg(F.sum("f").alias("f"))
+    return map_texts(docs, run, MADE_DDL)
 
 
 # Rounds
 
-def _sent(chunk: int, codes: np.ndarray, counts: np.ndarray, tasks: int) -> pa.RecordBatch:
-    """The chunk's phrases by the task that adds them up; they come in that order."""
-    to = (mixed(codes) % np.uint64(tasks)).astype(np.int64)
-    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.empty(0, dtype=np.int64)
-    ends = np.r_[cuts[1:], len(to)]
-    parts = list(zip(cuts.tolist(), ends.tolist()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([int(to[a]) for a, _ in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([a for a, _ in parts], pa.int64()),
-         pa.array([codes[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([packed(counts[a:b].astype(np.int32)) for a, b in parts], pa.binary())],
-        names=["task", "chunk", "start", "codes", "counts"])
+def _added(length: int, least: int, tasks: int):
+    """Adds up the counts of one task's phrases.
 
-
-SENT = "task int, chunk long, start long, codes binary, counts binary"
-
-
-def _added(length: int, least: int):
-    """Adds up the counts of one task's phrases: frequent ones (``chunk`` null), and each chunk's bits."""
+    Gives a row with the frequent ones (``chunk`` null) and, for every chunk, the bits of
+    those it sent and the numbers of those it keeps.  Words (``length`` 1) get a number
+    here: their place among the task's frequent ones, times the tasks, plus the task.
+    """
     def run(rows: pa.Table) -> pa.Table:
-        out = {n: [] for n in ("chunk", "start", "bits", "n_bits", "codes", "f")}
-        parts = [np.frombuffer(x, dtype=np.uint64).reshape(-1, length) for x in rows["codes"].to_pylist()]
-        codes = np.concatenate([np.empty((0, length), dtype=np.uint64), *parts])
-        counts = np.concatenate([np.empty(0, dtype=np.int64), *(unpacked(x, np.int32, len(p)) for x, p in zip(rows["counts"].to_pylist(), parts))])
+        rows = rows.sort_by([("chunk", "ascending"), ("start", "ascending")])
+        sizes = rows["n_codes"].to_pylist()
+        codes = np.concatenate([np.empty((0, length), dtype=np.uint64), *(unpacked_codes(x, n, length) for x, n in zip(rows["codes"].to_pylist(), sizes))])
+        counts = np.concatenate([np.empty(0, dtype=np.int64), *(unpacked(x, np.int64, n) for x, n in zip(rows["counts"].to_pylist(), sizes))])
         order, starts = grouped(codes)
-        if len(codes):
-            sums = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(starts))
-            often = sums >= least
-            keep = np.empty(len(codes), dtype=bool)
-            keep[order] = often[np.cumsum(starts) - 1]
-            out["chunk"].append(None)
-            out["start"].append(None)
-            out["bits"].append(None)
-            out["n_bits"].append(int(often.sum()))
-            out["codes"].append(codes[order][starts][often].tobytes())
-            out["f"].append(sums[often].tobytes())
-            at = 0
-            for chunk, start, part in zip(rows["chunk"].to_pylist(), rows["start"].to_pylist(), parts):
-                for n, x in (("chunk", chunk), ("start", start), ("bits", np.packbits(keep[at:at + len(part)]).tobytes()), ("n_bits", len(part)), ("codes", None), ("f", None)):
-                    out[n].append(x)
-                at += len(part)
-        return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("start", pa.int64()), ("bits", pa.binary()), ("n_bits", pa.int64()), ("codes", pa.binary()), ("f", pa.binary())]))
+        first = np.flatnonzero(starts)
+        sums = np.add.reduceat(counts[order], first) if len(first) else np.empty(0, dtype=np.int64)
+        often, group = sums >= least, np.empty(len(codes), dtype=np.int64)
+        group[order] = np.cumsum(starts) - 1
+        frequent, whole = codes[order][starts][often], {}
+        if length == 1:
+            numbers = np.cumsum(often) - 1
+            frequent = (np.arange(int(often.sum()), dtype=np.uint64) * np.uint64(tasks) + np.uint64(rows["task"][0].as_py()))[:, None]
+            whole = _words_of(rows, sizes, order, starts, group, sums, often)
+            kept_codes = lambda keep, groups: frequent[numbers[groups[keep]]]
+        out = [{"codes": packed_codes(frequent), "f": packed(sums[often]), "n_codes": len(frequent), **whole}]
+        at = 0
+        for chunk, start, n in zip(rows["chunk"].to_pylist(), rows["start"].to_pylist(), sizes):
+            groups = group[at:at + n]
+            keep = often[groups]
+            kept = kept_codes(keep, groups) if length == 1 else codes[at:at + n][keep]
+            out.append({"chunk": chunk, "start": start, "n_codes": n, "bits": np.packbits(keep).tobytes(), "kept": packed_codes(kept)})
+            at += n
+        return pa.Table.from_batches([_rows(BACK, out)])
 
     return run
 
 
-def group_count(sent: DataFrame, length: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Frequent phrases (``c1`` .. and ``f``), and per chunk the bits of its phrases."""
-    counted = staged(sent.groupBy("task").applyInArrow(_added(length, least), "chunk long, start long, bits binary, n_bits long, codes binary, f binary"))
-    names = [f"c{i + 1}" for i in range(length)]
+def _words_of(rows: pa.Table, sizes: list[int], order: np.ndarray, starts: np.ndarray, group: np.ndarray, sums: np.ndarray, often: np.ndarray) -> dict:
+    """Texts and languages of the frequent words, all words' occurrences by language, and
+    whether one code stands for two words."""
+    names = sorted({n for own in rows["names"].to_pylist() for n in own})
+    words = [w for x in rows["words"].to_pylist() for w in _split(x)]
+    at = {n: i for i, n in enumerate(names)}
+    langs = np.concatenate([np.array([at[n] for n in own], dtype=np.int64)[unpacked(x, np.uint32, size)] for own, x, size in zip(rows["names"].to_pylist(), rows["langs"].to_pylist(), sizes)])
+    first = order[starts]
+    texts = np.array([*words, b""], dtype=object)[:-1]
+    clash = bool((texts[first][group] != texts).any() or (langs[first][group] != langs).any())
+    totals = np.zeros(len(names), dtype=np.int64)
+    np.add.at(totals, langs[first], sums)
+    return {"words": _joined(texts[first][often]), "langs": packed(langs[first][often].astype(np.uint32)), "names": names, "totals": packed(totals.astype(np.int64)), "clash": clash}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for codes, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes = np.frombuffer(codes, dtype=np.int64).reshape(-1, length)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(codes[:, i])) for i in range(length)), pa.array(np.frombuffer(f, dtype=np.int64))], names=[*names, "f"])
 
-    frequent = counted.filter("chunk IS NULL").select("codes", "f").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "f"]))
-    bits = counted.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("start", "n_bits", "bits"))).alias("bits"))
-    return frequent, bits
+def group_count(sent: DataFrame, length: int, least: int, tasks: int) -> DataFrame:
+    """What the tasks found of the chunks' phrases (``BACK``)."""
+    return staged(sent.filter("task IS NOT NULL").groupBy("task").applyInArrow(_added(length, least, tasks), BACK_DDL), "uncompressed")
 
 
-def _kept(bits: list | None, total: int) -> np.ndarray:
-    """The chunk's phrases that are frequent."""
-    out = np.zeros(total, dtype=bool)
-    for x in bits or []:
-        out[x["start"]:x["start"] + x["n_bits"]] = np.unpackbits(np.frombuffer(x["bits"], dtype=np.uint8), count=x["n_bits"]).astype(bool)
-    return out
-
-
-def _extended(at: np.ndarray, phrase: np.ndarray, codes: np.ndarray, tail: np.ndarray, tasks: int):
-    """R(k+1) from R(k): places, phrase numbers, all codes and counts of the phrases, in the order they are sent.
-
-    ``at`` and ``phrase``: R(k) in order.  ``codes``: of its phrases.  ``tail``: last code
-    of a phrase.  Places of different pieces are never next to each other.
-    """
-    next_to = np.flatnonzero(at[1:] == at[:-1] + 1)
-    pairs = phrase[next_to].astype(np.int64) << 32 | phrase[next_to + 1]
-    different, number, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-    longer = np.concatenate([codes[different >> 32], tail[different & 0xFFFFFFFF][:, None]], axis=1)
-    order = np.argsort(mixed(longer) % np.uint64(tasks), kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return at[next_to], place[number].astype(np.int32), longer[order], counts[order]
+def _frequent(back: DataFrame, length: int) -> DataFrame:
+    """``c1`` .. and ``f`` of the frequent phrases; words have ``lang`` and ``word`` too."""
+    names = [f"c{i + 1}" for i in range(length)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = row["n_codes"]
+                codes, f = unpacked_codes(row["codes"], n, length).astype(np.int64), unpacked(row["f"], np.int64, n)
+                columns = [*(pa.array(np.ascontiguousarray(codes[:, i])) for i in range(length)), pa.array(f)]
+                if length == 1:
+                    langs = unpacked(row["langs"], np.uint32, n).tolist()
+                    columns += [pa.array([row["names"][x] for x in langs], pa.string()),
+                                pa.array([w.decode("utf-8", "surrogatepass") for w in _split(row["words"])] if n else [], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "f", *(["lang", "word"] if length == 1 else [])])
+
+    ddl = ", ".join(f"{c} long" for c in [*names, "f"]) + (", lang string, word string" if length == 1 else "")
+    used = ["n_codes", "codes", "f", *(["langs", "names", "words"] if length == 1 else [])]
+    return back.filter("chunk IS NULL").select(*used).mapInArrow(run, ddl)
+
+
+def _totals(back: DataFrame) -> DataFrame:
+    """``lang`` and ``n``, the number of its words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names, totals in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(unpacked(totals, np.int64, len(names)))], names=["lang", "n"])
 
-RELATION = "chunk long, n_at long, at binary, phrase binary, n_phrases long, known binary"
+    return back.filter("chunk IS NULL").select("names", "totals").mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def extend(relation: DataFrame, length: int, tasks: int) -> DataFrame:
+def extend(made: DataFrame, back: DataFrame, length: int, tasks: int, more: bool) -> DataFrame:
     """Semi-joins R(length) with its frequent phrases and merge-joins it with itself.
 
-    ``relation``: ``RELATION`` with the chunk's ``bits``.  The rows that come back are
-    R(length + 1) (``task`` null) and the phrases to count.
+    Gives the phrases of R(length + 1) to count and, if ``more`` rounds follow, that relation.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
-                codes = np.frombuffer(row["known"], dtype=np.uint64).reshape(-1, length)
-                keep = _kept(row["bits"], len(codes))
-                at, phrase = unpacked(row["at"], np.int32, row["n_at"]), unpacked(row["phrase"], np.int32, row["n_at"])
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                keep, codes = _kept(row["bits"] or [], row["n_phrases"], length)
+                at = np.cumsum(unpacked(row["steps"], np.int32, row["n_at"]), dtype=np.int32)
+                phrase = unpacked(row["phrase"], np.int32, row["n_at"])
                 stay = keep[phrase]
-                at, phrase, codes, counts = _extended(at[stay], phrase[stay], codes, codes[:, -1], tasks)
-                yield _with(_sent(row["chunk"], codes, counts, tasks), None)
-                yield _with(None, [row["chunk"], len(at), packed(at), packed(phrase), len(codes), codes.tobytes()])
+                at, phrase, codes, counts, to = _extended(at[stay], (np.cumsum(keep) - 1)[phrase[stay]], codes, tasks)
+                rows = [{"task": t, "chunk": row["chunk"], "start": a, "n_codes": b - a, "codes": packed_codes(codes[a:b]), "counts": packed(counts[a:b])} for t, a, b in _parts(to)]
+                yield _rows(MADE, rows + ([_relation(row["chunk"], at, phrase, len(codes))] if more else []))
 
-    relation_fields = RELATION.replace("chunk long, ", "")
-    return relation.mapInArrow(run, f"{SENT}, {relation_fields}")
+    relation = made.filter("task IS NULL").select("chunk", *[n for n, _ in RELATION])
+    bits = back.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("start", "n_codes", "bits", "kept"))).alias("bits"))
+    return relation.join(bits, "chunk", "left").select("chunk", *[n for n, _ in RELATION], "bits").mapInArrow(run, MADE_DDL)
 
 
-def _with(sent: pa.RecordBatch | None, relation: list | None) -> pa.RecordBatch:
-    kinds = [("task", pa.int32()), ("chunk", pa.int64()), ("start", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary()),
-             ("n_at", pa.int64()), ("at", pa.binary()), ("phrase", pa.binary()), ("n_phrases", pa.int64()), ("known", pa.binary())]
-    if sent is not None:
-        columns = [*sent.columns, *(pa.nulls(len(sent), k) for _, k in kinds[5:])]
-    else:
-        chunk, *rest = relation
-        columns = [pa.nulls(1, pa.int32()), pa.array([chunk]), *(pa.nulls(1, k) for _, k in kinds[2:5]), *(pa.array([x], k) for x, (_, k) in zip(rest, kinds[5:]))]
-    return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in kinds])
+def _kept(parts: list, total: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the chunk's phrases are frequent, and the codes of these."""
+    keep, codes = np.zeros(total, dtype=bool), [np.empty((0, length), dtype=np.uint64)]
+    for x in parts:
+        own = np.unpackbits(np.frombuffer(x["bits"], dtype=np.uint8), count=x["n_codes"]).astype(bool)
+        keep[x["start"]:x["start"] + x["n_codes"]] = own
+        codes.append(unpacked_codes(x["kept"], int(own.sum()), length))
+    return keep, np.concatenate(codes)
 
 
-def _first_relation(chunks: DataFrame) -> DataFrame:
-    """R1 as a ``RELATION``: places of words; a break takes a place and has no word."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, n, places, codes in zip(*(c.to_pylist() for c in batch.columns)):
-                places = unpacked(places, np.int32, n)
-                at = np.flatnonzero(places >= 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk]), pa.array([len(at)]), pa.array([packed(at)], pa.binary()), pa.array([packed(places[at])], pa.binary()), pa.array([len(codes) // 8]), pa.array([codes], pa.binary())],
-                    names=["chunk", "n_at", "at", "phrase", "n_phrases", "known"])
+def _extended(at: np.ndarray, phrase: np.ndarray, codes: np.ndarray, tasks: int):
+    """R(k+1) from R(k): places, phrase numbers, all codes and counts of the phrases, in the order they are sent.
 
-    return chunks.select("chunk", "n_places", "places", "codes").mapInArrow(run, RELATION)
+    ``at`` and ``phrase``: R(k) in order.  ``codes``: of its phrases.  Places of different
+    pieces are never next to each other.
+    """
+    next_to = np.flatnonzero(at[1:] == at[:-1] + 1)
+    pairs = phrase[next_to].astype(np.int64) << 32 | phrase[next_to + 1]
+    different, number, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+    longer = np.concatenate([codes[different >> 32], codes[different & 0xFFFFFFFF][:, -1:]], axis=1)
+    order, to = _order(longer, tasks)
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return at[next_to], place[number], longer[order], counts[order].astype(np.int64), to
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LENGTHS) -> tuple[DataFrame, dict[int, DataFrame]]:
-    """The corpus's words, and for every length from 2 to ``longest`` the phrases with ``least`` occurrences."""
+    """``lang`` and ``n`` of the corpus, and by length the phrases (from words on) with ``least`` occurrences."""
+    plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UND)).alias("lang"), F.col("text").cast("string").alias("text"))
+    plain = spread(plain)
+    spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, plain.rdd.getNumPartitions())
     for salt in range(SALTS):
-        chunks = staged(occurrences(docs, salt))
-        words = staged(vocabulary(chunks))
-        if not words.groupBy("c1").count().filter("count > 1").limit(1).count():
+        made = staged(occurrences(plain, salt, tasks), "uncompressed")
+        back = group_count(made, 1, least, tasks)
+        if not back.filter("clash").limit(1).count():
             break
     else:
         raise RuntimeError("codes of words collide for every salt")
-    often = words.filter(F.col("f") >= least).select("c1")
-    # The words' own round: their counts are there already, so only the bits go back.
-    held = chunks.select("chunk", "codes").mapInArrow(_numbered, "chunk long, number long, c1 long").join(often, "c1")
-    bits = held.groupBy("chunk").agg(F.sort_array(F.collect_list("number")).alias("numbers")).mapInArrow(_as_bits, BITS)
-    relation = _first_relation(chunks)
-    found: dict[int, DataFrame] = {}
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(chunks.agg(F.coalesce(F.sum("n_places"), F.lit(0))).first()[0]) // KEYS))
+    n = staged(_totals(back))
+    found = {1: staged(_frequent(back, 1))}
+    places = made.agg(F.coalesce(F.sum("n_at"), F.lit(0))).first()[0]
+    tasks = max(tasks, -(-places // KEYS))
     for length in range(1, longest):
-        joined = relation.join(bits, "chunk", "left")
-        made = staged(extend(joined.select(*relation.columns, "bits"), length, tasks), "uncompressed")
-        sent = made.filter("task IS NOT NULL").select(*[c.split()[0] for c in SENT.split(", ")])
-        found[length + 1], bits = group_count(sent, length + 1, least)
-        found[length + 1] = staged(found[length + 1])
-        relation = made.filter("task IS NULL").select(*[c.split()[0] for c in RELATION.split(", ")])
-    return words, found
-
-
-BITS = "chunk long, bits array<struct<start:long,n_bits:long,bits:binary>>"
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            codes = np.frombuffer(codes, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), chunk)), pa.array(np.arange(len(codes))), pa.array(codes)], names=["chunk", "number", "c1"])
-
-
-def _as_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("n_bits", pa.int64()), ("bits", pa.binary())]))
-    for batch in batches:
-        rows = []
-        for i in range(len(batch)):
-            numbers = batch.column(1)[i].values.to_numpy()
-            bits = np.zeros(numbers[-1] + 1, dtype=bool)
-            bits[numbers] = True
-            rows.append([{"start": 0, "n_bits": len(bits), "bits": np.packbits(bits).tobytes()}])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["chunk", "bits"])
+        made = staged(extend(made, back, length, tasks, length + 1 < longest), "uncompressed")
+        back = group_count(made, length + 1, least, tasks)
+        found[length + 1] = staged(_frequent(back, length + 1))
+    return n, found
 
 
 # Report
@@ -359,9 +385,8 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, longest: i
     phrase's bytes.  Other columns are not read.  No rows, or texts without a phrase
     of ``least`` occurrences, give no rows.
     """
-    words, found = frequent_phrases(docs, least, longest)
-    single = words.filter(F.col("f") >= least).select("c1", "f")
-    counts = {1: single, **found}
+    totals, counts = frequent_phrases(docs, least, longest)
+    words = counts[1]
     rows = None
     for length in range(2, longest + 1):
         names = [f"c{i + 1}" for i in range(length)]
@@ -380,7 +405,6 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, longest: i
         rows = scored if rows is None else rows.unionByName(scored)
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
