@@ -167,11 +167,16 @@ def complete_two_of_three(quantity: Column, price: Column, total: Column):
 
 
 def price_and_total(quantity: Column, amounts: Column) -> tuple[Column, Column]:
-    """(unit price, total) of the amounts a line prints: the last two, and a single
-    one is the unit price."""
+    """(unit price, total) of the amounts a line prints: the last two.
+
+    A single amount p is the unit price where |p * quantity - p| > p, as it is from
+    more than two pieces on; else it is the total, and the price is its share.
+    """
     n = F.size(amounts)
     last = F.get(amounts, n - 1)
-    return F.when(n >= 2, F.get(amounts, n - 2)).otherwise(last), F.when(n >= 2, last).otherwise(quantity * last)
+    is_price = F.abs(last * quantity - last) > last
+    return (F.when(n >= 2, F.get(amounts, n - 2)).when(is_price, last).otherwise(F.try_divide(last, quantity)),
+            F.when(n >= 2, last).when(is_price, last * quantity).otherwise(last))
 
 
 def declared_total(candidates: list[Column], items: Column, shipping: Column) -> Column:

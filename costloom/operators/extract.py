@@ -172,12 +172,29 @@ def _readable(rules: DataFrame) -> DataFrame:
         "_pattern": _whole(F.col("row_pattern")), "_template": _template(wanted), "_at": at, "_number": kinds})
 
 
-def row_cells(lines: DataFrame) -> DataFrame:
+# Row patterns that a plan may spell out; a longer list stays a column.
+MAX_SPELLED_PATTERNS = 32
+
+
+def spelled_patterns(rules: DataFrame) -> list[tuple[str, str]] | None:
+    """The different patterns of a short rule list, with what replaces their matches."""
+    found = _readable(rules).filter("_pattern is not null").select("_pattern", "_template").distinct()
+    rows = found.limit(MAX_SPELLED_PATTERNS + 1).collect()
+    return sorted(map(tuple, rows)) if len(rows) <= MAX_SPELLED_PATTERNS else None
+
+
+def row_cells(lines: DataFrame, patterns: list[tuple[str, str]] | None = None) -> DataFrame:
     """Lines with ``_cells``: the texts of the groups that their rule's row pattern
-    finds, in one run of it, null if it finds nothing."""
+    finds, in one run of it, null if it finds nothing.
+
+    ``patterns`` are those of all rules: spelled out, each is compiled once and not
+    whenever the rule changes from one line to the next.
+    """
     valid = F.col("row_validator").isNull() | _found("trim(text)", "row_validator")
     code = F.col("_code").isNotNull() if "_code" in lines.columns else F.lit(False)
     packed = F.call_function("regexp_replace", F.trim("text"), F.col("_pattern"), F.col("_template"))
+    if patterns:
+        packed = F.coalesce(*[F.when(F.col("_pattern") == p, F.regexp_replace(F.trim("text"), F.lit(p), F.lit(t))) for p, t in patterns])
     read = lines.select("*", _once(F.when(~code & valid, F.split(packed, _PART, -1))).alias("_cells"))
     return read.withColumn("_cells", F.when(F.size("_cells") > 1, F.col("_cells")))
 
@@ -272,18 +289,19 @@ def shipping_fee(classified: DataFrame) -> DataFrame:
 
 
 def text_items(docs: DataFrame, rules: DataFrame, max_rows: int | None = None,
-               measure: Keys | None = None) -> DataFrame:
+               measure: Keys | None = None, with_shipping: bool = False) -> DataFrame:
     """Items of documents whose rule reads the text line by line.
 
     ``docs``: doc_id, vendor, line_no, text (one row per line).  Table regions,
     two-line items and codes on later lines all look along the same order, so the
     lines are partitioned by document once and stay there to the end.
+    ``with_shipping`` keeps the shipping rows too, and ``row_kind``.
     """
     rules = rules.filter("strategy = 'text_regex'")
     code = F.nullif(F.regexp_extract("text", CODE_LINE, 1), F.lit(""))
     # All that a line shows by itself is read before the lines are put in order, so
     # the rules join once and only lines that mean something travel.
-    read = row_cells(with_marks(prepared(docs, rules)).withColumn("_code", code))
+    read = row_cells(with_marks(prepared(docs, rules)).withColumn("_code", code), spelled_patterns(rules))
     telling = read.filter("_mark is not null or _code is not null or _cells is not null").select(
         *[c for c in ITEM_FLAGS if c in read.columns], "_mark", "_open", "_cells", "_at", "_number")
     seq = OrderedGroups(telling, ["doc_id"], ["line_no"], max_rows, measure)
@@ -291,18 +309,27 @@ def text_items(docs: DataFrame, rules: DataFrame, max_rows: int | None = None,
     half = F.when(F.col("_kind").isin("head", "tail"), F.struct(F.col("_kind").alias("kind"), "sku", "description"))
     seq = seq.resume(rows)
     merged = merge_two_lines(seq.with_columns(keep_run=True, _before=LastValue(half, inclusive=False)))
-    kept = classify(merged).filter(F.col("_code").isNotNull() | (F.col("row_kind") == "item"))
+    kept = classify(merged).filter(F.col("_code").isNotNull() | F.col("row_kind").isin(*_kinds(with_shipping)))
     # A code line gives its number to the last item before it; the last one wins.
     is_item = F.col("_code").isNull()
+    if with_shipping:  # a shipping row is a row of its own and takes no code
+        is_shipping = is_item & (F.col("row_kind") == "shipping")
+        kept, is_item = kept.withColumn("_own", F.when(is_shipping, F.col("line_no"))), is_item & ~is_shipping
     owned = seq.resume(kept).with_columns(_item=RunningSum(is_item.cast("long")))
-    values = ["vendor", "line_no", "missing_total_is_zero", *ITEM_VALUES]
-    items = owned.filter("_item > 0").groupBy("doc_id", "_item").agg(
-        F.min_by(F.struct(*values), F.when(is_item, F.col("line_no"))).alias("i"),
-        F.max_by("_code", F.when(~is_item, F.col("line_no"))).alias("code"))
+    values = ["vendor", "line_no", "missing_total_is_zero", *ITEM_VALUES, *(["row_kind"] if with_shipping else [])]
+    alone = ["_own"] if with_shipping else []
+    counts = (F.col("_item") > 0) | F.col("_own").isNotNull() if with_shipping else F.col("_item") > 0
+    items = owned.filter(counts).groupBy("doc_id", "_item", *alone).agg(
+        F.min_by(F.struct(*values), F.when(F.col("_code").isNull(), F.col("line_no"))).alias("i"),
+        F.max_by("_code", F.when(F.col("_code").isNotNull(), F.col("line_no"))).alias("code"))
     items = items.select("doc_id", "i.*", "code").withColumn("sku", F.coalesce("code", "sku")).drop("code")
     return with_missing_total(items)
 
 
+def _kinds(with_shipping: bool) -> list[str]:
+    return ["item", "shipping"] if with_shipping else ["item"]
+
+
 def region(text: Column, start: Column, end: Column) -> Column:
     """The text between the first start marker and the next end marker; a marker
     that is missing or not found leaves its side open."""
@@ -312,7 +339,7 @@ def region(text: Column, start: Column, end: Column) -> Column:
         "regexp_replace", head, F.concat(F.lit("(?is)(?:"), end, F.lit(r").*\z")), F.lit("")))
 
 
-def region_items(docs: DataFrame, rules: DataFrame) -> DataFrame:
+def region_items(docs: DataFrame, rules: DataFrame, with_shipping: bool = False) -> DataFrame:
     """Items of documents whose rule matches rows anywhere in the table region,
     across lines, with a second pattern for rows printed the other way round.
     Rows both patterns find stay twice."""
@@ -331,7 +358,7 @@ def region_items(docs: DataFrame, rules: DataFrame) -> DataFrame:
             "doc_id", "vendor", "missing_total_is_zero", "variant", "pos", *item_columns(F.col("_cells")))
 
     found = rows("row_pattern", "columns", 1).unionByName(rows("row_pattern_alt", "columns_alt", 2))
-    return with_missing_total(classify(found).filter("row_kind = 'item'"))
+    return with_missing_total(classify(found).filter(F.col("row_kind").isin(*_kinds(with_shipping))))
 
 
 # --- table grids ----------------------------------------------------------------
@@ -342,7 +369,8 @@ def keyword_hits(headers: Column, keywords: Column) -> Column:
     return F.size(F.filter(keywords, lambda k: F.exists(low, lambda h: F.contains(h, F.lower(k)))))
 
 
-def table_items(rows: DataFrame, rules: DataFrame, max_rows: int | None = None, measure: Keys | None = None) -> DataFrame:
+def table_items(rows: DataFrame, rules: DataFrame, max_rows: int | None = None, measure: Keys | None = None,
+                with_shipping: bool = False) -> DataFrame:
     """Items of documents whose rule reads table grids (strategy ``pdfplumber_table``).
 
     ``rows``: doc_id, vendor, table_no, row_no (0 is a table's first row), cells.  A
@@ -359,7 +387,7 @@ def table_items(rows: DataFrame, rules: DataFrame, max_rows: int | None = None,
     used = target_tables(tables, max_rows, measure).select("doc_id", "table_no", "use")
     data = join_on_key(ruled, used, ["doc_id", "table_no"], "inner").filter((F.col("use") != "header") | (F.col("row_no") > 0))
     items = grid_items(data.select("doc_id", "vendor", "table_no", "row_no", "missing_total_is_zero", "cells", "columns"))
-    return with_missing_total(classify(items).filter("row_kind = 'item'"))
+    return with_missing_total(classify(items).filter(F.col("row_kind").isin(*_kinds(with_shipping))))
 
 
 def with_footer(found: Column, computed: Column) -> Column:
@@ -443,21 +471,26 @@ def grid_items(rows: DataFrame) -> DataFrame:
     return kept.select(*rest, _once(F.map_from_entries(values)).alias("_cells")).select(*rest, *item_columns(F.col("_cells")))
 
 
-def merge_negative(items: DataFrame, max_rows: int | None = None, measure: Keys | None = None) -> DataFrame:
+def merge_negative(items: DataFrame, max_rows: int | None = None, measure: Keys | None = None,
+                   rest: tuple[str, ...] = (), applies: Column | None = None, bounded: bool = False) -> DataFrame:
     """An item followed by a negative total absorbs that one line: the totals add
     up, the unit price is new total over the item's own quantity (2 places).
 
     Needs doc_id, pos, sku, quantity, unit_price, total (numbers).  A run of
     negative lines pairs up from its start, so only every second line is absorbed.
+    ``rest`` names more columns to keep of the item; where ``applies`` is false every
+    line stays by itself.
     """
-    runs = OrderedGroups(items, ["doc_id"], ["pos"], max_rows, measure).with_columns(
-        _run_start=LastValue(F.when(F.col("total") >= 0, F.col("pos"))))
+    runs = OrderedGroups(items, ["doc_id"], ["pos"], max_rows, measure, bounded).with_columns(
+        _run_start=LastValue(F.when(F.coalesce("total", F.lit(0.0)) >= 0, F.col("pos"))))
     runs = runs.withColumn("_run_start", F.coalesce("_run_start", F.lit(-1)))
     # A run is part of a document, so a document's size bounds it.
-    ranked = OrderedGroups(runs, ["doc_id", "_run_start"], ["pos"], max_rows, measure).with_columns(
+    ranked = OrderedGroups(runs, ["doc_id", "_run_start"], ["pos"], max_rows, measure, bounded).with_columns(
         _n=RunningSum(F.lit(1).cast("long")))
     pair = F.floor((F.col("_n") - 1) / 2)
-    first = F.min_by(F.struct("pos", "sku", "quantity", "unit_price"), "pos")
+    if applies is not None:
+        pair = F.when(applies, pair).otherwise(F.col("_n"))
+    first = F.min_by(F.struct("pos", "sku", "quantity", "unit_price", *rest), "pos")
     merged = ranked.groupBy("doc_id", "_run_start", pair.alias("_pair")).agg(
         first.alias("f"), F.sum(F.col("total").cast("decimal(18,4)")).alias("total"), F.count(F.lit(1)).alias("n"))
     total = F.round("total", 2)
@@ -465,7 +498,7 @@ def merge_negative(items: DataFrame, max_rows: int | None = None, measure: Keys
     price = F.when((F.col("n") > 1) & (F.col("f.quantity") != 0), F.round(
         total.cast("decimal(18,2)") / F.col("f.quantity").cast("decimal(12,4)"), 2).cast("double")).otherwise(F.col("f.unit_price"))
     return merged.select("doc_id", "f.pos", "f.sku", "f.quantity", price.alias("unit_price"),
-                         total.cast("double").alias("total"), F.col("n").alias("lines"))
+                         total.cast("double").alias("total"), F.col("n").alias("lines"), *[f"f.{c}" for c in rest])
 
 
 def packed_items(rows: DataFrame) -> DataFrame:

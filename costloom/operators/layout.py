@@ -298,10 +298,10 @@ def _best(numbers: Column, allowed, fits, score, typed: bool = False) -> Column:
     return F.when(F.size(numbers) > 0, best_of(lambda i: best_of(lambda j: best_of(lambda k: scored(i, j, k)))))
 
 
-def first_source(items: DataFrame, rank: str = "rank") -> DataFrame:
+def first_source(items: DataFrame, rank: str = "rank", measure: Keys | None = None) -> DataFrame:
     """Per document only the rows of its best ranked source ("use B if A is empty")."""
     best = items.groupBy("doc_id").agg(F.min(rank).alias("_best"))
-    return join_on_key(items, best, ["doc_id"]).filter(F.col(rank) == F.col("_best")).drop("_best")
+    return join_on_key(items, best, ["doc_id"], measure=measure).filter(F.col(rank) == F.col("_best")).drop("_best")
 
 
 def first_pair(quantity: Column, prices: Column, tolerance: float = 0.5) -> Column:

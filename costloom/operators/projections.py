@@ -54,13 +54,15 @@ def display_name(description: Column, product: Column, sku: Column) -> Column:
 
 
 def field_defaults(items: DataFrame, document: str = "invoice_id") -> DataFrame:
-    """Lines with what is missing filled in: the reference is named after the number of
-    lines of the document, quantity and unit price are 0."""
+    """Lines with what is missing filled in: the reference (also an empty one) is named
+    after the number of lines of the document, the description is empty, and quantity,
+    unit price and total are 0."""
     counts = items.groupBy(document).agg(F.count(F.lit(1)).alias("_lines"))
     rows = join_on_key(items, counts, [document])
     return rows.withColumns({
-        "reference": F.coalesce("reference", F.concat(F.lit("ITEM_"), "_lines")),
-        "quantity": F.coalesce("quantity", F.lit(0.0)), "unit_price": F.coalesce("unit_price", F.lit(0.0))}).drop("_lines")
+        "reference": F.coalesce(F.nullif("reference", F.lit("")), F.concat(F.lit("ITEM_"), "_lines")),
+        "description": F.coalesce("description", F.lit("")),
+        **{c: F.coalesce(c, F.lit(0.0)) for c in ("quantity", "unit_price", "total")}}).drop("_lines")
 
 
 # Header words of a column, by column, several languages.

@@ -86,12 +86,20 @@ def unmapped_counts(unmapped: DataFrame) -> DataFrame:
         F.max_by("supplier_name", F.struct("seen_at", "pos")).alias("supplier_name"))
 
 
-def mapping_counts(aliases: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """Mappings per brand (``supplier``) and, in the row with a null, in total; ``recent``
-    counts those of the last ``days`` days.  Needs brand and created_at."""
-    recent = F.count_if(F.col("created_at") >= F.date_sub(as_of, days))
-    return aliases.withColumn("supplier", F.coalesce("brand", F.lit("Unknown"))).rollup("supplier").agg(
-        F.count(F.lit(1)).alias("mappings"), recent.alias("recent"))
+def mapping_stats(aliases: DataFrame, unmapped: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Figures of the SKU mappings: ``figure``, ``supplier``, ``n``.
+
+    ``total`` counts all mappings, ``supplier`` those of each brand (blank ones as
+    Unknown), most first, and ``recent unmapped`` the items without a product whose
+    invoice came in during the last ``days`` days.  Needs brand, and seen_at.
+    """
+    brand = F.coalesce(F.nullif("brand", F.lit("")), F.lit("Unknown"))
+    counted = aliases.groupBy(brand.alias("supplier")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("supplier").alias("figure"), "supplier", "n")
+    none = F.lit(None).cast("string").alias("supplier")
+    total = aliases.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("figure"), none, "n")
+    recent = unmapped.filter(F.col("seen_at") >= as_of - F.make_dt_interval(F.lit(days))).agg(F.count(F.lit(1)).alias("n"))
+    rows = total.unionByName(counted).unionByName(recent.select(F.lit("recent unmapped").alias("figure"), none, "n"))
+    return rows.orderBy(F.array_position(F.array(*map(F.lit, ("total", "supplier", "recent unmapped"))), F.col("figure")), F.desc("n"), "supplier")
 
 
 def invoice_logs(invoices: DataFrame, logs: DataFrame, max_rows: int | None = None) -> DataFrame:

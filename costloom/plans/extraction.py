@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from costloom.operators import extract, projections
+from costloom.operators import extract, invoices, projections
 from costloom.operators import lines as below
 from costloom.operators import rows as rows_of
 from costloom.operators.keyed import join_on_key
@@ -577,3 +577,79 @@ SELECT p_partkey AS doc_id, 'CS-COR' || p_partkey AS sku, p_name AS description
 def _(r):
     """Codes put together from the end of a line and the start of the next ones."""
     return below.split_codes(split_code_lines(r))
+
+
+# --- whole invoices -----------------------------------------------------------------
+
+LINE_PATTERN = r"^([A-Z]\d+) (.+?) :: (\d+) u\. :: ([\d.,]+) :: (-?[\d.,]+)$"
+WHOLE_FIELDS = {
+    "header": {"fields": [{"name": "invoice_number", "regex": r"^Invoice No (\w+)$"}, {"name": "invoice_date", "regex": r"^Date (\S+)$", "type": "date"}]},
+    "footer": {"fields": [{"name": "subtotal", "regex": r"^Sum ([\d.,]+)$"}, {"name": "shipping_fee", "regex": r"^Freight ([\d.,]+)$"}]}}
+WHOLE_RULES = [
+    {"vendor": {"name": "Plain Co"}, **WHOLE_FIELDS, "table": {"strategy": "text_regex", "row_pattern": LINE_PATTERN, "columns": ITEM_COLUMNS}},
+    {"vendor": {"name": "Credit Co"}, **WHOLE_FIELDS, "flags": {"merge_negative": True, "first_of_equal_rows": True},
+     "table": {"strategy": "text_regex", "row_pattern": LINE_PATTERN, "columns": ITEM_COLUMNS}},
+    {"vendor": {"name": "Grid Co"}, **WHOLE_FIELDS, "table": {
+        "strategy": "pdfplumber_table", "header_keywords": ["artikel", "summe"], "row_pattern": LINE_PATTERN,
+        "columns": [{**c, "index": i} for i, c in enumerate(ITEM_COLUMNS)]}},
+    {"vendor": {"name": "Region Co"}, **WHOLE_FIELDS, "table": {
+        "strategy": "text_regex_multiline", "row_pattern": r"take ([A-Z]\d+) \((.+?)\) (\d+)\s+at ([\d.,]+) = ([\d.,]+);", "columns": ITEM_COLUMNS}},
+]
+
+
+def whole_documents(r):
+    """Invoices of four vendors as texts and grids; every second one of Grid Co has no grid."""
+    part, pos, vendor = F.col("part_id"), F.col("pos"), F.col("invoice_id") % 4
+    qty, price, total = F.col("quantity").cast("int").cast("string"), F.concat(part, F.lit(",50")), cents_text(F.col("total"))
+    has_grid = F.col("invoice_id") % 8 == 2
+    item = F.concat(F.lit("A"), part, F.lit(" Item "), pos, F.lit(" :: "), qty, F.lit(" u. :: "), price, F.lit(" :: "), total)
+    rebate = F.concat(F.lit("A"), part, F.lit(" Rebate "), pos, F.lit(" :: 1 u. :: 1,00 :: -1,00"))
+    inline = F.concat(F.lit("take A"), part, F.lit(" (Item "), pos, F.lit(") "), qty, F.lit("\nat "), price, F.lit(" = "), total, F.lit(";"))
+    printed = F.when(vendor == 1, F.concat_ws("\n", item, item, F.when(part % 3 == 0, rebate))).when(vendor == 3, inline).when(~has_grid, item)
+    numbered = numbered_items(r)
+    # The lines of one invoice.
+    bodies = numbered.groupBy("invoice_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", printed.alias("text")))).alias("lines"), F.sum(F.col("total").cast("decimal(18,4)")).alias("sum"),
+        F.sum(F.when((F.col("invoice_id") % 4 == 1) & (part % 3 == 0), 1).otherwise(0)).alias("rebates"))
+    key = F.col("invoice_id")
+    stated = (F.col("sum") - F.col("rebates")).cast("double") + F.when(key % 10 == 1, 5.0).otherwise(0.0)
+    text = F.concat_ws("\n", F.concat(F.lit("Invoice No K"), key), F.when(key % 7 != 0, "Date 05.03.2024"),
+                       F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), F.when(key % 12 == 0, "A0 Shipping fee :: 1 u. :: 4,00 :: 4,00"),
+                       F.when(key % 5 != 0, F.concat(F.lit("Sum "), cents_text(stated))), F.when(key % 3 == 1, "Freight 9,50"))
+    name = F.element_at(F.array(*[F.lit(x["vendor"]["name"]) for x in WHOLE_RULES]), (key % 4 + 1).cast("int"))
+    docs = bodies.select(key.alias("doc_id"), name.alias("vendor"), text.alias("text"))
+    cells = F.array(F.concat(F.lit("A"), part), F.concat(F.lit("Item "), pos), qty, price, total)
+    head = F.array(*map(F.lit, ("Artikel", "Text", "Menge", "Preis", "Summe")))
+    row = lambda n, c: F.struct(n.cast("int").alias("row_no"), c.alias("cells"))
+    grid = numbered.filter(has_grid).select("invoice_id", F.inline(
+        F.when(pos == 1, F.array(row(F.lit(0), head), row(pos, cells))).otherwise(F.array(row(pos, cells)))))
+    return docs, grid.select(F.col("invoice_id").alias("doc_id"), F.lit("Grid Co").alias("vendor"), F.lit(0).alias("table_no"), "row_no", "cells")
+
+
+WHOLE = """whole AS (SELECT invoice_id AS doc_id, pos, 'A' || part_id AS sku, 'Item ' || pos AS description, CAST(quantity AS DOUBLE) AS quantity,
+  invoice_id % 4 = 1 AND part_id % 3 = 0 AS rebate, CAST(total AS DECIMAL(18,4)) - CASE WHEN invoice_id % 4 = 1 AND part_id % 3 = 0 THEN 1 ELSE 0 END AS exact, part_id + 0.5::DOUBLE AS printed FROM numbered),
+whole_items AS (SELECT doc_id, sku, description, quantity, CAST(exact AS DOUBLE) AS total,
+  CASE WHEN rebate THEN sign(exact) * ((2 * CAST(abs(exact) * 100 AS BIGINT) + CAST(quantity AS BIGINT)) // (2 * CAST(quantity AS BIGINT))) / 100.0 ELSE printed END AS unit_price,
+  CASE WHEN doc_id % 8 = 2 THEN 'table' WHEN doc_id % 4 = 3 THEN 'text' ELSE 'lines' END AS method FROM whole)"""
+
+
+def whole_arguments(r):
+    return (*whole_documents(r), with_defaults(r.spark.createDataFrame(WHOLE_RULES, RULE_SCHEMA)))
+
+
+@query("st_06_whole_invoice_items", with_roles(ITEMS, NUMBERED, WHOLE, body="SELECT doc_id, sku, description, quantity, unit_price, total, method FROM whole_items"))
+def _(r):
+    """Items of all documents in one call: every strategy, its fallback, and the rules' flags."""
+    return invoices.extract_items(*whole_arguments(r), measure=doc_keys(r)).select("doc_id", "sku", "description", "quantity", "unit_price", "total", "method")
+
+
+@query("st_06_whole_invoices", with_roles(ITEMS, NUMBERED, WHOLE, body="""
+, sums AS (SELECT doc_id, count(*) AS n_items, sum(CAST(total AS DECIMAL(18,4))) AS s, min(method) AS method FROM whole_items GROUP BY 1),
+t AS (SELECT *, CAST(s AS DOUBLE) AS items_total, CAST(CASE WHEN doc_id % 5 = 0 THEN s ELSE s + CASE WHEN doc_id % 10 = 1 THEN 5 ELSE 0 END END AS DOUBLE) AS subtotal,
+  CASE WHEN doc_id % 3 = 1 THEN 9.5 WHEN doc_id % 12 = 0 THEN 4.0 ELSE 0.0 END::DOUBLE AS shipping_fee FROM sums)
+SELECT doc_id, ['plain co', 'credit co', 'grid co', 'region co'][doc_id % 4 + 1] AS vendor, method, 'K' || doc_id AS invoice_number, n_items, items_total, subtotal, shipping_fee,
+  round(subtotal + shipping_fee, 2) AS total, CASE WHEN doc_id % 7 = 0 THEN 'error' WHEN doc_id % 10 = 1 THEN 'warning' ELSE 'ok' END AS verdict FROM t"""))
+def _(r):
+    """Invoices of all documents: fields, totals by footer or lines, verdict."""
+    return invoices.extract_invoices(*whole_arguments(r), measure=doc_keys(r)).select(
+        "doc_id", "vendor", "method", "invoice_number", "n_items", "items_total", "subtotal", "shipping_fee", "total", "verdict")

@@ -219,11 +219,15 @@ def _(r):
 
 
 @query("mn_13_single_amount", with_roles(ITEMS, body="""
-SELECT invoice_id, line_no, supplier_id, part_id, total AS line, unit_price AS price, quantity * unit_price AS total FROM items"""))
-def _(r):
-    """A line that prints one amount only prints its unit price."""
-    price, total = allocate.price_and_total(F.col("quantity"), F.array(F.col("unit_price")))
-    return r.items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), price.alias("price"), total.alias("total"))
+, printed AS (SELECT *, CASE part_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 WHEN 2 THEN 3.0 ELSE 0.5 END::DOUBLE AS q, unit_price AS p FROM items)
+SELECT invoice_id, line_no, supplier_id, part_id, total AS line, q AS quantity,
+  CASE WHEN abs(p * q - p) > p THEN p ELSE p / q END AS price, CASE WHEN abs(p * q - p) > p THEN p * q ELSE p END AS total FROM printed"""))
+def _(r):
+    """A line that prints one amount only prints its unit price or its total, told by the quantity."""
+    part = F.col("part_id") % 4
+    quantity = F.when(part == 0, 1.0).when(part == 1, 2.0).when(part == 2, 3.0).otherwise(0.5)
+    price, total = allocate.price_and_total(quantity, F.array(F.col("unit_price")))
+    return r.items.select("invoice_id", "line_no", "supplier_id", "part_id", F.col("total").alias("line"), quantity.alias("quantity"), price.alias("price"), total.alias("total"))
 
 
 @query("ag_24_declared_total_pattern", with_roles(*BOOK_ROLES, body="""

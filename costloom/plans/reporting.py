@@ -188,13 +188,13 @@ def _(r):
     return report.unmapped_skus(unmapped(r))
 
 
-@query("ag_06_mappings_by_brand", with_roles(ALIASES, body="""
-, dated AS (SELECT coalesce(brand, 'Unknown') AS supplier, DATE '2024-01-31' - CAST(alias_id % 90 AS INT) AS created FROM aliases)
-SELECT supplier, count(*) AS mappings, count(*) FILTER (created >= DATE '2024-01-31' - 30) AS recent FROM dated GROUP BY ROLLUP (supplier)"""))
+@query("ag_06_mappings_by_brand", with_roles(*UNMAPPED_ROLES, body="""
+SELECT 'total' AS figure, CAST(NULL AS VARCHAR) AS supplier, count(*) AS n FROM aliases
+UNION ALL SELECT 'supplier', coalesce(nullif(brand, ''), 'Unknown'), count(*) FROM aliases GROUP BY 2
+UNION ALL SELECT 'recent unmapped', NULL, count(*) FROM unmapped WHERE seen_at >= TIMESTAMP '1998-06-01' - INTERVAL 30 DAY"""))
 def _(r):
-    """Mappings per brand and in total (null), and those of the last 30 days."""
-    dated = r.aliases.withColumn("created_at", F.date_sub(F.lit(AS_OF).cast("date"), (F.col("alias_id") % 90).cast("int")))
-    return report.mapping_counts(dated, F.lit(AS_OF).cast("date"))
+    """All mappings, those of each brand, and the items of the last 30 days without one."""
+    return report.mapping_stats(r.aliases, unmapped(r), F.lit("1998-06-01").cast("timestamp_ntz"))
 
 
 @query("flt_15_recent_unmapped", with_roles(*UNMAPPED_ROLES, body="""
@@ -346,11 +346,13 @@ def _(r):
 
 @query("prj_12_field_defaults", with_roles(ITEMS, body="""
 , n AS (SELECT invoice_id, count(*) AS c FROM items GROUP BY 1)
-SELECT i.invoice_id, line_no, supplier_id, part_id, CASE WHEN part_id % 7 = 0 THEN 'ITEM_' || c ELSE sku END AS reference,
-  CASE WHEN part_id % 5 = 0 THEN 0 ELSE quantity END AS quantity, CASE WHEN part_id % 3 = 0 THEN 0 ELSE unit_price END AS unit_price FROM items i JOIN n USING (invoice_id)"""))
+SELECT i.invoice_id, line_no, supplier_id, part_id, CASE WHEN part_id % 7 < 2 THEN 'ITEM_' || c ELSE sku END AS reference,
+  CASE WHEN part_id % 4 = 0 THEN '' ELSE 'Bar ' || part_id END AS description, CASE WHEN part_id % 5 = 0 THEN 0 ELSE quantity END AS quantity,
+  CASE WHEN part_id % 3 = 0 THEN 0 ELSE unit_price END AS unit_price, CASE WHEN part_id % 2 = 0 THEN 0 ELSE total END AS total FROM items i JOIN n USING (invoice_id)"""))
 def _(r):
-    """A missing reference is named after the number of lines of its document."""
+    """A missing or empty reference is named after the number of lines of its document."""
     part = F.col("part_id")
-    rows = r.items.withColumns({"reference": F.when(part % 7 != 0, F.col("sku")), "quantity": F.when(part % 5 != 0, F.col("quantity")),
-                                "unit_price": F.when(part % 3 != 0, F.col("unit_price"))})
-    return projections.field_defaults(rows).select("invoice_id", "line_no", "supplier_id", "part_id", "reference", "quantity", "unit_price")
+    rows = r.items.withColumns({"reference": F.when(part % 7 == 1, "").when(part % 7 > 1, F.col("sku")), "quantity": F.when(part % 5 != 0, F.col("quantity")),
+                                "description": F.when(part % 4 != 0, F.concat(F.lit("Bar "), part)),
+                                "unit_price": F.when(part % 3 != 0, F.col("unit_price")), "total": F.when(part % 2 != 0, F.col("total"))})
+    return projections.field_defaults(rows).select("invoice_id", "line_no", "supplier_id", "part_id", "reference", "description", "quantity", "unit_price", "total")

@@ -76,13 +76,14 @@ def current_items(spark: SparkSession, folder: str) -> DataFrame:
     return _current(spark, folder).drop("batch")
 
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 DELIVERED = "name string, arrived_at timestamp, content binary"
 QUARANTINE_SCHEMA = "name string, arrived_at timestamp, reason string"
 
 
 def delivered_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Files below a folder (``DELIVERED``); a name says where below it the file came to."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True)
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path).select(
@@ -102,7 +103,7 @@ def store_once(deliveries: DataFrame, folder: str, lateness: str = "1 day") -> N
     def handle(batch: DataFrame, n: int) -> None:
         text = F.try_validate_utf8(F.col("content").cast("string"))
         read = batch.select("name", "arrived_at", "hash", text.alias("text"), F.when(
-            F.col("content").isNull() | (F.length("content") == 0), "empty").when(text.isNull(), "not UTF-8").when(F.trim(text) == "", "blank").alias("reason"))
+            F.col("content").isNull() | (F.length("content") == 0), "empty").when(text.isNull(), "not UTF-8").when(~text.rlike(r"\S"), "blank").alias("reason"))
         write_batch(read.filter("reason is not null").select("name", "arrived_at", "reason"), f"{folder}/quarantine", n)
         write_batch(lines_of(read.filter("reason is null").select("name", "hash", "text")), f"{folder}/lines", n)
 
