@@ -136,32 +136,43 @@ def export_items(items: DataFrame, mapping: DataFrame) -> DataFrame:
         *items.columns, F.coalesce("sku_internal", "sku").alias("export_sku"))
 
 
-def lengths_of(df: DataFrame, name: str) -> Column:
-    """The different lengths of a text column, as an array for use in any row: a few
-    hundred numbers at most, whatever the number of rows."""
-    return df.agg(F.collect_set(F.length(name))).scalar()
+GRAM = 5  # characters by which a longer key is looked for
 
 
-def cuts(text: Column, lengths: Column) -> Column:
-    """All different substrings of a text that have one of the ``lengths``."""
-    size = F.length(text)
-    fitting = F.filter(lengths, lambda n: (n > 0) & (n <= size))
-    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, n)))))
+def grams(text: Column, width: int = GRAM) -> Column:
+    """The different substrings of ``width`` characters of a text."""
+    last = F.length(text) - width + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, width))))
+
+
+def contained(texts: DataFrame, wanted: DataFrame, width: int = GRAM) -> DataFrame:
+    """``text`` and ``key``: which of the ``wanted`` keys (column ``key``) which of the ``texts`` (column ``text``) hold.
+
+    A key of ``width`` characters or more is looked for by that gram of it which the
+    fewest texts have, and compared where a text has it; a text is listed once per
+    gram, so by its length, however many keys and lengths of keys there are.  Shorter
+    keys are joined with the short substrings of the texts.
+    """
+    texts, keys = texts.select("text").distinct(), wanted.select("key").distinct()
+    listed = texts.select("text", F.explode(grams(F.col("text"), width)).alias("gram"))
+    known = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = keys.select("key", F.explode(grams(F.col("key"), width)).alias("gram")).join(known, "gram", "left")
+    rarest = own.groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("r"))
+    rarest = rarest.filter("r.n > 0").select("key", "r.gram")  # a gram that no text has: no text has the key
+    long = listed.join(rarest, "gram").filter(F.contains("text", "key")).select("text", "key")
+    short = keys.filter((F.length("key") > 0) & (F.length("key") < width)).withColumnRenamed("key", "piece")
+    return long.unionByName(pieces(texts, "text", width - 1).join(short, "piece").select("text", F.col("piece").alias("key")))
 
 
 def assign_rules(suppliers: DataFrame, rules: DataFrame) -> DataFrame:
     """Rule of each supplier: exact name first, else the first rule (by ``ord``)
     whose key is contained in the name, else none.
 
-    ``rules`` (key, ord, rule) is the vendors' rule list.  A contained key is one of
-    the name's substrings of a length that some key has, so the join is on the key
-    itself; nothing is compared pairwise.
+    ``rules`` (key, ord, rule) is the vendors' rule list.
     """
-    names = suppliers.select("supplier_name").distinct().withColumn(
-        "norm", F.lower(F.trim("supplier_name"))).withColumn("_lengths", lengths_of(rules, "key"))
-    pieces = names.select("supplier_name", "norm", F.explode(cuts(F.col("norm"), F.col("_lengths"))).alias("key"))
-    hits = join_on_key(pieces, rules, ["key"], "inner").withColumn(
+    names = suppliers.select("supplier_name").distinct().withColumn("norm", F.lower(F.trim("supplier_name")))
+    found = contained(names.select(F.col("norm").alias("text")), rules).withColumnRenamed("text", "norm")
+    hits = join_on_key(names.join(found, "norm"), rules, ["key"], "inner", measure=rules.select("key")).withColumn(
         "rank", F.struct((F.col("key") != F.col("norm")).alias("partial"), "ord"))
     best = hits.groupBy("supplier_name").agg(
         F.min_by(F.struct("rule", "key"), "rank").alias("b"))
@@ -172,29 +183,23 @@ def assign_rules(suppliers: DataFrame, rules: DataFrame) -> DataFrame:
 def map_by_sku_and_brand(items: DataFrame, aliases: DataFrame) -> DataFrame:
     """First mapping with the item's SKU whose brand contains the supplier's name.
 
-    A name that a brand contains is one of the brand's substrings, so mappings are
-    keyed by (SKU, substring) and reduced to the smallest one before the items look
-    theirs up: no item meets all mappings of its SKU.
+    Which brands hold which names is found once for all SKUs; mappings are then keyed
+    by (SKU, name) and reduced to the smallest one before the items look theirs up: no
+    item meets all mappings of its SKU.
     """
     offered = aliases.groupBy("sku", "brand").agg(F.min_by(F.struct("alias_id", "product_id"), "alias_id").alias("m"))
-    offered = offered.withColumn("_lengths", lengths_of(items, "supplier_name"))
-    named = offered.select("sku", "m", F.explode(cuts(F.col("brand"), F.col("_lengths"))).alias("supplier_name"))
+    held = contained(offered.select(F.col("brand").alias("text")), items.select(F.col("supplier_name").alias("key")))
+    named = offered.join(held.select(F.col("text").alias("brand"), F.col("key").alias("supplier_name")), "brand")
     best = named.groupBy("sku", "supplier_name").agg(F.min("m").alias("m"))
     return join_on_key(items, best, ["sku", "supplier_name"]).select(
         *items.columns, F.col("m.product_id").alias("product_id"), F.col("m.alias_id").alias("alias_id"))
 
 
 def match_stored_files(invoices: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored file whose name contains the invoice's file name; the first by name.
-
-    A name contained in a stored name is one of its substrings, so this is an
-    equi-join on substrings of the lengths that invoice names really have.
-    """
-    names = invoices.select("file_name").distinct()
-    cut = stored.select("stored_name").distinct().withColumn("_lengths", lengths_of(names, "file_name"))
-    substrings = cut.select("stored_name", F.explode(cuts(F.col("stored_name"), F.col("_lengths"))).alias("file_name"))
-    # Reduced before it meets the invoices: one row per substring.
-    first = substrings.groupBy("file_name").agg(F.min("stored_name").alias("stored_name"))
+    """Stored file whose name contains the invoice's file name; the first by name."""
+    found = contained(stored.select(F.col("stored_name").alias("text")), invoices.select(F.col("file_name").alias("key")))
+    # Reduced before it meets the invoices: one row per name.
+    first = found.groupBy(F.col("key").alias("file_name")).agg(F.min("text").alias("stored_name"))
     return join_on_key(invoices, first, ["file_name"])
 
 

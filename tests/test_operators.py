@@ -1,6 +1,8 @@
 """Order-dependent and document operators on small cases worked out by hand."""
 
 import json
+import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +237,26 @@ def test_running_cost_over_batches(spark):
         costs.store_running_cost(arrivals.arriving(spark, inbox, spark.read.parquet(inbox).schema), folder)
     got = rows(tables.latest_rows(spark, f"{folder}/costs", "product_id"), "product_id", "average_cost")
     assert got == [(1, pytest.approx(3.4)), (2, 5.0)]
+
+
+def test_contained_keys_against_all_pairs(spark):
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("abc_") for _ in range(rnd.randrange(0, 25))) for _ in range(80)] + [None, "éaé_abc", "aaaaaaaaaa"]
+    keys = ["".join(rnd.choice("abc_") for _ in range(rnd.randrange(0, 9))) for _ in range(120)] + [None, "", "éaé_a", "aaaaa", "zzzzzz", "é"]
+    found = match.contained(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(k,) for k in keys], "key string"))
+    wanted = {(t, k) for t in texts for k in keys if t and k and k in t}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == wanted and len(rows) == len(wanted)
+
+
+def test_single_amounts_are_told_by_the_quantity(spark):
+    rows = spark.createDataFrame([(1.0, [5.0]), (2.0, [5.0]), (3.0, [5.0]), (0.5, [5.0]), (4.0, [2.0, 9.0]), (0.0, [5.0])], "q double, a array<double>")
+    price, total = allocate.price_and_total(F.col("q"), F.col("a"))
+    assert [tuple(r) for r in rows.select(price, total).collect()] == [(5.0, 5.0), (2.5, 5.0), (5.0, 15.0), (10.0, 5.0), (2.0, 9.0), (None, 5.0)]
+
+
+def test_mapping_stats_are_sorted(spark):
+    aliases = spark.createDataFrame([("x",), ("y",), ("y",), (None,), ("",), (None,)], "brand string")
+    unmapped = spark.createDataFrame([(datetime(2024, 1, d),) for d in (1, 2, 30, 31)], "seen_at timestamp_ntz")
+    found = report.mapping_stats(aliases, unmapped, F.lit("2024-02-01").cast("timestamp_ntz"))
+    assert [tuple(r) for r in found.collect()] == [("total", None, 6), ("supplier", "Unknown", 3), ("supplier", "y", 2), ("supplier", "x", 1), ("recent unmapped", None, 3)]
