@@ -15,9 +15,9 @@ patterns and instances, scored in turns in Spark:
 Patterns that stay confident mark the tokens in their slots as personal data of
 the kind of their seeds, unseen ones included.
 
-Three scans of the texts, no shuffle of texts.  The pattern list is bounded: a
-pattern needs at least ``least_share`` of all seeds, so there can be no more than
-2 / ``least_share`` of them, and only that list travels to the tasks.
+Three scans of the texts, no shuffle of texts.  Patterns are a table; a scan takes
+them in blocks of ``PATTERNS``, so what travels to the tasks is bounded, and every
+pattern with ``LEAST_SEEDS`` seeds counts, however many others there are.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ from costloom.llm.registry import query
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_SEEDS = 5       # different seeds a pattern needs
-LEAST_SHARE = 1e-5    # and this share of all seeds, which bounds the list
+PATTERNS = 500_000    # in one block, and one scan of the texts
 ROUNDS = 4
 CONFIDENT = 0.5       # confidence a pattern needs to mark what fills its slot
 PRIOR = 2.0           # slots a pattern is assumed to have failed in beforehand
@@ -139,7 +140,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return spread(docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()))
 
 
-def seed_patterns(docs: DataFrame, least_seeds: int = LEAST_SEEDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def seed_patterns(docs: DataFrame, least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """``pattern``, ``kind`` and ``seeds``: patterns that enough different seeds share.
 
     The kind is that of most seeds, of equals the one listed first.
@@ -170,10 +171,17 @@ def seed_patterns(docs: DataFrame, least_seeds: int = LEAST_SEEDS, least_share:
 
     found = map_texts(_texts(docs), run, "pattern string, kind int, seed long, n long")
     by_seed = found.groupBy("pattern", "kind", "seed").agg(F.sum("n").alias("n"))
-    by_kind = staged(by_seed.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")))
-    all_seeds = by_kind.agg(F.sum("seeds")).first()[0] or 0
+    by_kind = by_seed.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
     each = by_kind.groupBy("pattern").agg(F.sum("seeds").alias("seeds"), F.max_by("kind", F.struct("seeds", -F.col("kind"))).alias("kind"))
-    return each.filter(F.col("seeds") >= max(least_seeds, least_share * all_seeds / 2))
+    return each.filter(F.col("seeds") >= least_seeds)
+
+
+def pattern_blocks(patterns: DataFrame, size: int = PATTERNS) -> Iterator[dict[str, int]]:
+    """``pattern`` and ``kind`` in blocks of about ``size``, dealt by hash; none for no pattern."""
+    count = -(-patterns.count() // size)
+    for i in range(count):
+        block = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(count)) == i)
+        yield {r.pattern: r.kind for r in block.select("pattern", "kind").collect()}
 
 
 def slot_fillers(docs: DataFrame, patterns: set[str]) -> DataFrame:
@@ -231,14 +239,18 @@ def score_patterns(fillers: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return scored
 
 
-def learn(docs: DataFrame, least_seeds: int = LEAST_SEEDS, least_share: float = LEAST_SHARE,
-          confident: float = CONFIDENT) -> dict[str, int]:
-    """Confident patterns and the number of their kind."""
-    seeds = staged(seed_patterns(docs, least_seeds, least_share))
-    listed = {r.pattern for r in seeds.select("pattern").collect()}
-    scored = score_patterns(slot_fillers(docs, listed))
-    kept = seeds.join(scored, "pattern").filter(F.col("confidence") >= confident)
-    return {r.pattern: r.kind for r in kept.select("pattern", "kind").collect()}
+def learned(docs: DataFrame, least_seeds: int = LEAST_SEEDS, confident: float = CONFIDENT, block: int = PATTERNS) -> DataFrame:
+    """``pattern`` and ``kind`` (a number) of the confident patterns."""
+    seeds = staged(seed_patterns(docs, least_seeds))
+    # Each block's counts are a table before the next block is read.
+    fillers = [staged(slot_fillers(docs, set(patterns))) for patterns in pattern_blocks(seeds, block)] or [slot_fillers(docs, set())]
+    scored = score_patterns(reduce(DataFrame.unionByName, fillers))
+    return staged(seeds.join(scored, "pattern").filter(F.col("confidence") >= confident).select("pattern", "kind"))
+
+
+def learn(docs: DataFrame, least_seeds: int = LEAST_SEEDS, confident: float = CONFIDENT) -> dict[str, int]:
+    """``learned`` as a list of its own, for corpora with few patterns."""
+    return {r.pattern: r.kind for r in learned(docs, least_seeds, confident).collect()}
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], patterns: dict[str, int]) -> list[tuple[int, int, int]]:
@@ -265,34 +277,49 @@ def added_spans(text: str, base: list[tuple[int, int, int]], patterns: dict[str,
     return out
 
 
-def find(docs: DataFrame, patterns: dict[str, int]) -> DataFrame:
+SPANS = "array<struct<kind:string,start:int,end:int>>"
+
+
+def find(docs: DataFrame, patterns: DataFrame | dict[str, int], block: int = PATTERNS) -> DataFrame:
     """``doc_id``, ``base`` and ``added`` spans (kind, start, end) of every row.
 
-    Offsets count code points, ends are exclusive.  A null text counts as empty;
-    empty texts have no spans.  Repeated rows stay rows.  Only ``doc_id`` and
-    ``text`` are read.
+    ``patterns``: ``learned`` or ``learn``; of a table, every block is one pass over a
+    text within the same scan.  Offsets count code points, ends are exclusive.  A null
+    text counts as empty; empty texts have no spans.  Repeated rows stay rows.  Only
+    ``doc_id`` and ``text`` are read.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            base, added = [], []
-            for text in strings(batch.column(1)):
-                own = base_spans(text)
-                base.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in own])
-                added.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in added_spans(text, own, patterns)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(base, span), pa.array(added, span)],
-                                             names=["doc_id", "base", "added"])
-
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = "array<struct<kind:string,start:int,end:int>>"
-    return map_texts(spread(plain), run, f"doc_id long, base {spans}, added {spans}")
+    blocks = [patterns] if isinstance(patterns, dict) else list(pattern_blocks(patterns, block)) or [{}]
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def scan(own: dict[str, int], last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                base, added, texts = [], [], strings(batch.column(1))
+                for text, before in zip(texts, batch.column(3).to_pylist()):
+                    fixed = base_spans(text)
+                    # A slot that several patterns mark has the kind listed first.
+                    kinds = {(x["start"], x["end"]): KINDS.index(x["kind"]) for x in before or []}
+                    for a, k, b in added_spans(text, fixed, own):
+                        kinds[a, b] = min(k, kinds.get((a, b), k))
+                    base.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in fixed] if last else None)
+                    added.append([{"kind": KINDS[k], "start": a, "end": b} for (a, b), k in sorted(kinds.items())])
+                text = pa.nulls(len(batch), pa.string()) if last else batch.column(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(base, span), pa.array(added, span)], names=["doc_id", "text", "base", "added"])
+
+        return run
+
+    nothing = F.lit(None).cast(SPANS)
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), nothing.alias("base"), nothing.alias("added")))
+    for i, own in enumerate(blocks):
+        rows = map_texts(rows, scan(own, i + 1 == len(blocks)), f"doc_id long, text string, base {SPANS}, added {SPANS}")
+    return rows.drop("text")
 
 
 @query("op2_personal_data")
 def op2_personal_data(spark, sf_dir):
     """Personal data of every document: the fixed patterns and what the bootstrap adds."""
     docs = table(spark, sf_dir, "documents")
-    found = find(docs, learn(docs))
+    found = find(docs, learned(docs))
 
     def joined(spans):
         order = F.array_sort(F.transform(spans, lambda s: F.struct(
