@@ -7,7 +7,9 @@ items in one scan of a text; each hit says where the item would have to lie, and
 Myers' bit-parallel distance decides there.  Hits that point to the same place are
 decided once.
 
-Items and texts are compared in lower case with single spaces.  The test items go
+Items and texts are compared in lower case with single spaces.  Short items are
+ordinary phrases with a letter changed, so they are looked for as they are, at word
+ends: a budget of no edits and one piece.  The test items go
 to the tasks in blocks of at most ``BLOCK_CHARS`` characters, each block with a scan
 of its own, so the automaton is bounded whatever the benchmark's size.  No text is
 shuffled.
@@ -28,7 +30,7 @@ from costloom.llm.common import map_texts, spread, strings, table
 from costloom.llm.registry import query
 
 ERROR_RATE = 0.06
-LEAST_CHARS = 40           # shorter items are ordinary phrases and aren't looked for
+LEAST_CHARS = 40           # shorter items must be there without an edit, as whole words
 BLOCK_CHARS = 4_000_000    # characters of test items in one automaton
 
 
@@ -95,19 +97,26 @@ def occurrences(pattern: str, masks: dict[str, int], text: str, errors: int) ->
     return out
 
 
+def at_word_ends(text: str, start: int, end: int) -> bool:
+    """No letter or digit goes on at either end of the span."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum() or end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
 class Finder:
     """Finds a block of test items, given as (item_id, text), in texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS):
-        self.items, self.errors, self.masks = [], [], {}
+        self.items, self.errors, self.whole, self.masks = [], [], [], {}
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             text = normal(text or "")
-            if len(text) < least_chars:
+            if not text:
                 continue
-            number, k = len(self.items), budget(len(text), rate)
+            whole = len(text) < least_chars
+            number, k = len(self.items), 0 if whole else budget(len(text), rate)
             self.items.append((item_id, text))
             self.errors.append(k)
+            self.whole.append(whole)
             for i in range(k + 1):
                 a, b = len(text) * i // (k + 1), len(text) * (i + 1) // (k + 1)
                 pieces[text[a:b]].append((number, a))
@@ -129,6 +138,9 @@ class Finder:
         out = []
         for number, places in starts.items():
             item_id, item = self.items[number]
+            if self.whole[number]:
+                out += [(item_id, a, a + len(item), 0) for a in places if at_word_ends(text, a, a + len(item))]
+                continue
             k = self.errors[number]
             if number not in self.masks:
                 self.masks[number] = masks_of(item)
@@ -168,9 +180,10 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, leas
     """One row per place of a test item in a document: ``doc_id``, ``item_id``, ``start``, ``end``, ``distance``.
 
     Places are code points of the text, end exclusive; the distance is in edits of
-    the normal forms.  Null or empty texts and items match nothing, and so do items
-    under ``least_chars``.  Repeated documents match each; an item that is there
-    twice under one item_id counts once.  Only ``doc_id``, ``item_id`` and ``text`` are read.
+    the normal forms.  Null or empty texts and items match nothing; items under
+    ``least_chars`` match whole words without an edit.  Repeated documents match each;
+    an item that is there twice under one item_id counts once.  Only ``doc_id``,
+    ``item_id`` and ``text`` are read.
     """
     plain = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
