@@ -7,7 +7,7 @@ spaces and without marks at the end, by a 96-bit digest.
 
 Of a digest's occurrences the earliest ranked is kept: the one in the document with
 the smallest doc_id, there the first.  Others are repeats.  Runs of repeats that
-follow each other in a document are removed if they have at least ``LEAST_WORDS``
+follow each other in a document are removed if they have at least ``least_words``
 words in all; a short phrase that happens to recur stays.  What is removed is
 reported by its offsets in the original text.
 
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from costloom.llm.common import map_texts, spread, staged, table
 from costloom.llm.registry import query
 
-LEAST_WORDS = 8
-LONG = 40
-CUT_ONE_IN = 8      # words that end a piece of a long sentence
+LEAST_WORDS = 16    # a passage is more than a short sentence that happens to recur
+LONG = 16
+CUT_ONE_IN = 6      # words that end a piece of a long sentence
 LAST = (1 << 63) - 1
 UNIT = re.compile(r"[^\n\r.!?]*+(?:[.!?]++(?=\S)[^\n\r.!?]*+)*+[.!?]*+")
 WORD = re.compile(r"\S+")
@@ -108,7 +108,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 REMOVED = "array<struct<start:int,end:int,words:int,first_docs:array<bigint>>>"
 
 
-def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """Documents that lose something: ``doc_id``, ``removed`` spans, ``words_removed`` and the ``text`` left.
 
     ``removed`` has, in order, code-point offsets of the original text (end
@@ -166,5 +166,5 @@ def without(text: str, removed: list[dict]) -> str:
 @query("op1_substring_dedup")
 def op1_substring_dedup(spark, sf_dir):
     """Documents with passages that an earlier document has, and their texts without them."""
-    found = remove_repeats(table(spark, sf_dir, "documents"))
+    found = remove_repeats(table(spark, sf_dir, "documents"), LEAST_WORDS)
     return found.select("doc_id", "words_removed", "removed", "text")
