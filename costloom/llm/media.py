@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import time
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -111,7 +112,7 @@ class _Archive:
     """An archive being written, without a seek, to whatever store the path names."""
 
     def __init__(self, folder: str):
-        self.path = f"{folder}/{hashlib.blake2b(struct.pack('d', time.time()) + np.random.bytes(16), digest_size=12).hexdigest()}.zip"
+        self.path = f"{folder}/{uuid.uuid4().hex}.zip"
         store, inner = _store(self.path)
         store.create_dir(inner.rpartition("/")[0], recursive=True)
         self.sink = store.open_output_stream(inner, compression=None)

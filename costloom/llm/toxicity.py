@@ -47,7 +47,6 @@ PRIOR = 20_000.0      # weight of the Dirichlet prior, in tokens
 SHIFT = 1.5
 LEAST_Z = 3.0
 REST = -0.3           # score of a token that tells nothing
-TERMS = 200_000       # tokens in the model, at most: those with the largest z
 SIGNIFICANT = 0.05
 HELD = 200_000        # counts a task holds before it lets them go
 STEMS = (5, 4)        # lengths of beginnings, longest first
@@ -209,7 +208,7 @@ def count_tokens(sample: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, wanted: Column, sample_rows: int = SAMPLE,
           prior: float = PRIOR, least_z: float = LEAST_Z, shift: float = SHIFT,
-          rest: float = REST, terms: int = TERMS) -> Model:
+          rest: float = REST) -> Model:
     texts = spread(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")))
     sample = staged(labelled(texts, labels, label, wanted, sample_rows).select("text", "_label"))
     counts = staged(count_tokens(sample))
@@ -222,7 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, wanted: Column, sample
                 - F.log((F.col("other") + alpha) / (other + prior - F.col("other") - alpha)))
     spread_ = F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("other") + alpha))
     telling = counts.withColumn("log_odds", log_odds).withColumn("z", F.col("log_odds") / spread_).filter(F.abs("z") >= least_z)
-    kept = telling.orderBy(F.desc(F.abs("z")), "token").limit(terms).collect()
+    kept = telling.orderBy(F.desc(F.abs("z")), "token").collect()  # tokens of the sample, so its size bounds them
     model = Model({r.token: r.log_odds - shift for r in kept}, rest)
     shares = counts.filter(~F.col("token").endswith("*") & (F.col("other") > 0))
     model.decay = decay_of(score_shares(shares, model, other), rest)
