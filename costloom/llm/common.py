@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # Words and the white space between them, as the contracts spell them.
 SPACE = r"\x20\x09-\x0D"
-# Rows in one Arrow batch of whole texts; a batch of ordinary texts stays at a few MB.
+# Rows with whole texts that are worked on at a time; ordinary texts make a few MB.
 TEXT_ROWS = 256
 
 
@@ -59,9 +59,15 @@ def learnable(doc_id: Column, parts: int, held_out: int) -> Column:
 
 def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
-    """``mapInArrow`` over rows that hold whole texts, in batches of few rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` over rows that hold whole texts, handed to ``fn`` a few rows at a time.
+
+    Spark bounds the bytes of the batches it sends; what ``fn`` makes of them is
+    bounded here, where they are read, whatever the session's settings are by then.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(batch.slice(at, TEXT_ROWS) for batch in batches for at in range(0, len(batch), TEXT_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def strings(column: pa.Array) -> list[str]:
