@@ -15,10 +15,13 @@ one's.  Every pair of segments therefore gives keys of two indices, and linked
 fingerprints share one.  Members of a key are verified by counting bits.
 
 Groups.  Equal fingerprints are one row before any key is made.  Of the members of
-a key, only a spanning forest of the true links is kept, never all pairs.  A key
-with more than ``BLOCK`` fingerprints is verified block against block in as many
-tasks as it needs, so no task holds an unbounded group.  The forest's components
-come from alternating star contraction.
+a key, only a spanning forest of the true links is kept, never all pairs.  Keys with
+more than ``BLOCK`` fingerprints are looked for beforehand; their rows are dealt to
+blocks, and every two blocks meet in a task of their own, so no task holds an
+unbounded group.  The forest's components come from alternating star contraction.
+
+The pipeline's stage also joins texts whose sets of five-word shingles are similar;
+``_similar_classes`` says how.
 """
 
 from __future__ import annotations
@@ -36,14 +39,18 @@ from pyspark.sql import functions as F
 
 from costloom.llm.common import map_texts, spread, staged, table, utf8
 from costloom.llm.registry import query
+from costloom.operators.keyed import hot_list
 
 MAX_BITS = 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the Golay code
 BLOCK = 4096
 PAIRWISE = 12
-NEAR = 38           # of 256 bits that differ on the average at a similarity of 0.8
-LOOSE = 80          # over five deviations above that, also for sets of a few shingles
+MEMBERS = 1024      # texts of a group that meet in a task, with as many of another block
+SHARED = 65_536     # different texts by which a shingle counts as hot
+LOOSE = 80          # of 256 bits 38 differ on the average at a similarity of 0.8; this is over five deviations more
+SENT = 1_000_000    # texts whose places are sent to the scan; more are joined by shuffling
+POSTINGS = 1 << 22  # places of shingles that are looked up at a time
 SAMPLE = 4096       # texts in which common shingles are looked for
 OFTEN = 8
 COMMON = 200_000
@@ -141,26 +148,27 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar_prints(docs: DataFrame, similarity: float) -> DataFrame:
-    """``fingerprints`` with ``set_id`` (the set of five-word shingles), its ``MARKS`` (256 bits whose
-    differing ones tell the similarity) and its ``prefix``."""
+    """``fingerprints`` with ``set_id`` (the set of five-word shingles), its ``size``, its ``MARKS``
+    (256 bits whose differing ones tell the similarity) and its ``prefix``."""
     common, counts = common_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, set_ids, marks, prefixes = [], [], [], []
+            fps, set_ids, sizes, marks, prefixes = [], [], [], [], []
             for text in utf8(batch.column(1)):
                 digests = five_word_set(text)
                 hashes = hashes_of(digests)
                 fps.append(fingerprint(text))
                 set_ids.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+                sizes.append(len(hashes))
                 marks.append(majority(digests) if len(digests) else np.zeros(4, dtype="<u8"))
                 prefixes.append(prefix(hashes, similarity, common, counts))
             fps, set_ids = (np.array(x, dtype=np.uint64).view(np.int64) for x in (fps, set_ids))
             marks = np.array(marks, dtype=np.uint64).reshape(-1, 4)
-            columns = [batch.column(0), batch.column(2), pa.array(fps), pa.array(set_ids), *(pa.array(np.ascontiguousarray(marks[:, i]).view(np.int64)) for i in range(4))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "set_id", *MARKS, "prefix"])
+            columns = [batch.column(0), batch.column(2), pa.array(fps), pa.array(set_ids), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(marks[:, i]).view(np.int64)) for i in range(4))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "set_id", "size", *MARKS, "prefix"])
 
-    schema = "doc_id long, text_hash long, fp long, set_id long" + "".join(f", {c} long" for c in MARKS) + ", prefix array<long>"
+    schema = "doc_id long, text_hash long, fp long, set_id long, size long" + "".join(f", {c} long" for c in MARKS) + ", prefix array<long>"
     return map_texts(spread(_plain(docs)), run, schema)
 
 
@@ -260,23 +268,6 @@ def forest(ids: np.ndarray, marks: np.ndarray, limit: int) -> list[tuple[np.ndar
     return out
 
 
-def forests(ids: np.ndarray, marks: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spanning forests at ``NEAR`` and at ``limit``: every signature that is near any other is in one."""
-    return forest(ids, marks, NEAR) + forest(ids, marks, limit)
-
-
-def across(ids: np.ndarray, marks: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within ``limit`` whose classes, the last column of ``marks``, differ."""
-    out, classes = [], marks[:, -1]
-    if (classes == classes[0]).all():
-        return out
-    for i in range(len(ids) - 1):
-        hit = np.flatnonzero(classes[i + 1:] != classes[i]) + i + 1
-        hit = hit[apart(marks[hit, :-1], marks[i, :-1]) <= limit]
-        out.append((np.full(len(hit), ids[i]), ids[hit]))
-    return out
-
-
 def _pairwise(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for step in range(1, min(PAIRWISE, len(keys))):
@@ -288,38 +279,22 @@ def _pairwise(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray, limit: int)
     return out
 
 
-def _linked(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray, limit: int, block: int | None, carried: list[str], link=forest) -> Iterator[pd.DataFrame]:
-    """Links of whole keys (``task`` null), and the rows of keys too large for one task."""
+def _linked(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray, limit: int) -> Iterator[pd.DataFrame]:
+    """Links of whole keys."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     of = np.repeat(sizes, sizes)
     few = (of > 1) & (of <= PAIRWISE)
-    if link is not across:
-        found = _pairwise(keys[few], ids[few], marks[few], limit)
-    elif block is None:
-        found = _pairwise(keys[few], ids[few], marks[few, :-1], limit)
-    else:
-        found = []  # all pairs of small keys were found by the round before
+    found = _pairwise(keys[few], ids[few], marks[few], limit)
     for start, size in zip(starts[sizes > PAIRWISE].tolist(), sizes[sizes > PAIRWISE].tolist()):
-        own, mark = ids[start:start + size], marks[start:start + size]
-        if block is None or size <= block:
-            _, once = np.unique(own, return_index=True)  # a block meets itself in its own task
-            found += link(own[once], mark[once], limit)
-            continue
-        blocks = -(-size // block)
-        for i in range(blocks):
-            part = slice(i * block, (i + 1) * block)
-            rows = {"a": own[part], "b": own[part], **{c: mark[part, n].view(np.int64) for n, c in enumerate(carried)}}
-            for j in range(blocks):
-                yield pd.DataFrame({"task": (int(keys[start]) << 34) | (min(i, j) << 17) | max(i, j), **rows})
+        found += forest(ids[start:start + size], marks[start:start + size], limit)
     if found:
         a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
         once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        nothing = pd.array([pd.NA] * len(once), dtype="Int64")
-        yield pd.DataFrame({"task": nothing, "a": once[:, 0], "b": once[:, 1], **{c: nothing for c in carried}})
+        yield pd.DataFrame({"a": once[:, 0], "b": once[:, 1]})
 
 
-def _links_of_sorted(limit: int, block: int | None, carried: list[str], link=forest):
+def _links_of_sorted(limit: int, carried: list[str]):
     """Reads (key, id, carried) sorted by key; a key may go on in the next batch.
 
     Without ``carried`` the id itself is the signature.
@@ -328,7 +303,7 @@ def _links_of_sorted(limit: int, block: int | None, carried: list[str], link=for
         held: list[tuple[np.ndarray, ...]] = []
 
         def whole(parts):
-            return _linked(*(np.concatenate(x) for x in zip(*parts)), limit, block, carried, link)
+            return _linked(*(np.concatenate(x) for x in zip(*parts)), limit)
 
         for batch in batches:
             if not len(batch):
@@ -356,19 +331,39 @@ def links(nodes: DataFrame, prints: list[str], carried: list[str], limit: int =
     return links_by_key(golay_keys(nodes, prints, carried), carried, limit, block)
 
 
-def links_by_key(keyed: DataFrame, carried: list[str], limit: int, block: int, link=forest) -> DataFrame:
-    """``a``, ``b``: what ``link`` finds among the rows (``key``, ``id``, ``carried``) of every key."""
-    keyed.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    schema = ", ".join(f"{c} long" for c in ["task", "a", "b", *carried])
-    by_key = keyed.repartition("key").sortWithinPartitions("key", "id")
-    first = staged(by_key.mapInPandas(_links_of_sorted(limit, block, carried, link), schema))
-    tasks = first.filter(F.col("task").isNotNull()).select(F.col("task").alias("key"), F.col("a").alias("id"), *carried)
-    found = tasks.repartition("key").sortWithinPartitions("key", "id").mapInPandas(_links_of_sorted(limit, None, carried, link), schema)
-    return first.filter(F.col("task").isNull()).unionByName(found).filter("a != b").select("a", "b").distinct()
+def links_by_key(keyed: DataFrame, carried: list[str], limit: int, block: int) -> DataFrame:
+    """``a``, ``b``: the links among the rows (``key``, ``id``, ``carried``) of every key."""
+    by_task = in_blocks(keyed, "key", hot_list(keyed.select("key"), block), block)
+    by_task = by_task.select(F.xxhash64("key", "low", "high").alias("key"), "id", *carried)
+    found = by_task.repartition("key").sortWithinPartitions("key", "id").mapInPandas(_links_of_sorted(limit, carried), "a long, b long")
+    return staged(found.filter("a != b").distinct())
+
+
+def in_blocks(rows: DataFrame, group: str, large: DataFrame | None, block: int) -> DataFrame:
+    """``rows`` with ``low`` and ``high``: the two blocks of the task in which they are compared.
+
+    ``large`` lists the groups of over ``block`` rows, with ``rows``.  Each of their rows
+    belongs to one block, by ``id``, and goes to the tasks of all pairs with that block.
+    """
+    whole = {"low": F.lit(0), "high": F.lit(0)}
+    if large is None:
+        return rows.withColumns(whole)
+    cut = rows.join(large.select(group, F.ceil(F.col("rows") / block).cast("int").alias("_blocks")), group)
+    own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+    dealt = cut.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("_own", "_other"), "high": F.greatest("_own", "_other")})
+    return rows.join(large, group, "left_anti").withColumns(whole).unionByName(dealt.drop("_blocks", "_own", "_other"))
+
 
+# Similar sets
 
-def shared_keys(prints: DataFrame) -> DataFrame:
-    """``key`` and ``id``: shingles in the prefixes of two or more ``id``s."""
+def shared_groups(prints: DataFrame, limit: int = SHARED) -> DataFrame:
+    """``grp`` and ``id``: texts that meet, because their prefixes share a shingle.
+
+    The texts of a shingle meet in the group of the smallest of them, so that the many
+    shingles of one family make one group.  A shingle that ``limit`` texts have in their
+    prefixes is a group itself.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of one task: copies bring their keys once
         for batch in batches:
@@ -381,32 +376,160 @@ def shared_keys(prints: DataFrame) -> DataFrame:
             sizes = np.diff(keys.offsets.to_numpy())
             yield pa.RecordBatch.from_arrays([keys.flatten(), pa.array(np.repeat(ids, sizes))], names=["key", "id"])
 
-    by_key = Window.partitionBy("key").orderBy("id")
     keyed = map_texts(prints.select("id", "prefix"), run, "key long, id long")
-    beside = keyed.select("key", "id", F.lag("id").over(by_key).alias("before"), F.lead("id").over(by_key).alias("after"))
-    return beside.filter("before != id OR after != id").select("key", "id")
+    hot = hot_list(keyed.select("key"), limit)
+    rest = keyed if hot is None else keyed.join(hot, "key", "left_anti")
+    by_key = Window.partitionBy("key")
+    met = rest.select("id", F.min("id").over(by_key).alias("grp"), F.max("id").over(by_key).alias("_last")).filter("grp != _last")
+    groups = met.select("grp", "id")
+    if hot is not None:
+        groups = groups.unionByName(keyed.join(hot.select("key"), "key").select(F.col("key").alias("grp"), "id"))
+    return groups.distinct()
+
+
+def _by_group(work, names: list[str], schema: pa.Schema):
+    """Hands ``work`` the rows of one group after the other; rows come sorted by ``names``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
+        def groups(rows: pa.Table):
+            keys = np.stack([rows[n].to_numpy() for n in names], axis=1)
+            cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+                yield from work(keys[a].tolist(), rows.slice(a, b - a))
+
+        def out(rows: pa.Table):
+            return pa.RecordBatch.from_pylist(list(groups(rows)), schema=schema)
 
-def sets_of(docs: DataFrame, prints: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id`` and its ``shingles`` (numbers), read again from one text of each."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [hashes_of(five_word_set(t)) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+            if not len(batch):
+                continue
+            last = [batch.column(n)[-1].as_py() for n in names]
+            same = np.logical_and.reduce([batch.column(n).to_numpy() == x for n, x in zip(names, last)])
+            cut = int(np.argmax(same)) if same.all() else len(same) - int(np.argmin(same[::-1]))
+            if cut or held and [held[0].column(n)[0].as_py() for n in names] != last:
+                done = [*held, batch.slice(0, cut)]
+                yield out(pa.Table.from_batches([x for x in done if len(x)]).combine_chunks())
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield out(pa.Table.from_batches(held).combine_chunks())
 
-    doc = F.coalesce("doc_id", F.lit(LAST))
-    place = prints.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct(doc.alias("doc"), F.col("text_hash"))).alias("at"))
-    place = staged(place.select("id", "at.*"))
-    texts = _plain(docs).select(doc.alias("doc"), "text_hash", "text").join(place, ["doc", "text_hash"]).select("id", "text")
-    return map_texts(texts, run, "id long, shingles array<long>").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose shingles have a Jaccard similarity of at least ``similarity``."""
-    for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("shingles").alias(f"of_{end}")), end)
-    both = pairs.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
-    return both.filter(F.col("both") >= similarity * (F.col("sizes") - F.col("both")) - 1e-9).select("a", "b")
+TASK = ["grp", "low", "high"]
+
+
+def candidates(groups: DataFrame, nodes: DataFrame, similarity: float, members: int = MEMBERS) -> DataFrame:
+    """``grp``, ``low``, ``high``, ``part`` and ``id``: texts of a task that may be similar to others there.
+
+    Two may be if their ``MARKS`` differ in at most ``LOOSE`` bits and their sets are
+    about as large; a ``part`` is what such pairs connect.  Others stay away.
+    """
+    def work(key: list[int], rows: pa.Table) -> Iterator[dict]:
+        ids, sizes = rows["id"].to_numpy(), rows["size"].to_numpy()
+        marks = np.stack([rows[m].to_numpy() for m in MARKS], axis=1).view(np.uint64)
+        rest, alone = np.arange(len(ids)), len(ids) < 2
+        while len(rest) > 1 and not alone:
+            part, open_, rest = [rest[0]], [rest[0]], rest[1:]
+            while open_ and len(rest):
+                x = open_.pop()
+                near = (apart(marks[rest], marks[x]) <= LOOSE) & (np.minimum(sizes[rest], sizes[x]) >= similarity * np.maximum(sizes[rest], sizes[x]) - 1e-9)
+                part += rest[near].tolist()
+                open_ += rest[near].tolist()
+                rest = rest[~near]
+            if len(part) > 1:
+                yield from ({**dict(zip(TASK, key)), "part": int(ids[part[0]]), "id": int(ids[i])} for i in part)
+
+    large = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > members)
+    dealt = in_blocks(groups, "grp", staged(large), members).join(nodes.select("id", "size", *MARKS), "id")
+    in_order = dealt.repartition(*TASK).sortWithinPartitions(*TASK, "id")
+    schema = pa.schema([(n, pa.int64() if n == "grp" else pa.int32()) for n in TASK] + [("part", pa.int64()), ("id", pa.int64())])
+    return in_order.mapInArrow(_by_group(work, TASK, schema), "grp long, low int, high int, part long, id long")
+
+
+def assigned(parts: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """``grp``, ``low``, ``high``, ``part`` and ``id``: where the sets of texts are compared.
+
+    Parts of several groups that share texts are one family, where a text is once; only
+    families of over ``members`` texts stay in the parts of their groups.
+    """
+    linked = parts.filter("part != id").select(F.col("part").alias("a"), F.col("id").alias("b")).distinct()
+    roots = staged(components(linked))
+    family = parts.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("family"))
+    family = staged(family)
+    large = staged(family.groupBy("family").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > members).select("family"))
+    small = family.join(large, "family", "left_anti").select(F.col("family").alias("grp"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.col("family").alias("part"), "id")
+    return small.unionByName(parts.join(family.join(large, "family", "left_semi"), "id", "left_semi"))
+
+
+def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with a Jaccard similarity of at least ``similarity``.
+
+    A set is compared with all that no tree has yet by looking its members up in an
+    inverted list, so a family around one text costs little more than its tree.
+    """
+    sizes = np.array([len(x) for x in sets])
+    if len(ids) < 2:
+        return []
+    if len(ids) == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(ids[0], ids[1])] if both >= similarity * (sizes.sum() - both) - 1e-9 else []
+    _, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(inverse, kind="stable")]
+    count = np.bincount(inverse)
+    start, offset = np.cumsum(count) - count, np.r_[0, np.cumsum(sizes)]
+    left, out = np.ones(len(sets), dtype=bool), []
+    for root in range(len(sets)):
+        open_ = [root] if left[root] else []
+        left[root] = False
+        while open_ and left.any():
+            x = open_.pop()
+            own = inverse[offset[x]:offset[x + 1]]
+            both = np.zeros(len(sets), dtype=np.int64)
+            steps = np.cumsum(count[own])
+            for a in np.searchsorted(steps, np.arange(0, steps[-1] if len(steps) else 0, POSTINGS)).tolist():
+                b = int(np.searchsorted(steps, (steps[a - 1] if a else 0) + POSTINGS, side="right"))
+                some = own[a:max(b, a + 1)]
+                n = count[some]
+                at = np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both += np.bincount(owner[at], minlength=len(sets))
+            hit = np.flatnonzero(left & (both >= similarity * (sizes + sizes[x] - both) - 1e-9))
+            out += [(ids[x], y) for y in ids[hit].tolist()]
+            left[hit] = False
+            open_ += hit.tolist()
+    return out
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, tasks: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: links that connect all pairs of a task whose sets are similar enough.
+
+    The sets are read again from one text of each; a text goes from its scan to the tasks
+    as its set, and nothing else of it is shuffled while the list of ``SENT`` texts or
+    fewer can be sent to the scan.
+    """
+    doc, names = F.coalesce("doc_id", F.lit(LAST)), [*TASK, "part"]
+    place = prints.join(tasks.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct(doc.alias("doc"), F.col("text_hash"))).alias("at"))
+    wanted = staged(place.join(tasks, "id").select("at.*", *names, "id"))
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
+    texts = _plain(docs).select(doc.alias("doc"), "text_hash", "text").join(wanted, ["doc", "text_hash"]).select(*names, "id", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashes_of(five_word_set(t)) for t in utf8(batch.column(5))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.list_(pa.int64()))], names=[*names, "id", "shingles"])
+
+    def work(key: list[int], rows: pa.Table) -> Iterator[dict]:
+        ids, once = np.unique(rows["id"].to_numpy(), return_index=True)  # equal rows bring a text again
+        shingles = rows["shingles"].combine_chunks()
+        own = np.split(shingles.flatten().to_numpy(), np.cumsum(np.diff(shingles.offsets.to_numpy()))[:-1])
+        yield from ({"a": int(a), "b": int(b)} for a, b in similar_forest(ids, [own[i] for i in once], similarity))
+
+    sets = map_texts(texts, read, "grp long, low int, high int, part long, id long, shingles array<long>")
+    in_order = sets.repartition(*names).sortWithinPartitions(*names, "id")
+    return map_texts(in_order, _by_group(work, names, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long").distinct()
 
 
 # Components
@@ -456,37 +579,27 @@ def _similar_classes(docs: DataFrame, similarity: float, block: int = BLOCK) ->
     """``doc_id``, ``text_hash`` and ``class`` of every row: classes of ``near_duplicates``,
     joined where the sets of five-word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Candidates share a shingle of their prefixes, which every similar pair does.  Of
-    these, pairs are compared whose 256-bit signatures differ in at most ``LOOSE``
-    bits (sets of similarity J have cosine 2 J / (1 + J), and two random projections
-    differ in sign with the angle's share of a half turn: 38 at 0.8).  Sets decide.
-    Spanning forests come first; then all pairs that these have left in different
-    classes, so that a large class costs no pairs.
+    Similar texts share a shingle of their prefixes, so they meet in a group
+    (``shared_groups``).  There, 256-bit signatures keep pairs apart that are far from
+    similar (sets of similarity J have cosine 2 J / (1 + J), and two random projections
+    differ in sign with the angle's share of a half turn); those left are decided on the
+    sets themselves, which only the texts that are left bring along.
     """
     prints = similar_prints(docs, similarity).withColumn("id", F.xxhash64("fp", "set_id"))
     prints = staged(prints)
-    nodes = staged(prints.groupBy("id").agg(*[F.first(c).alias(c) for c in ["fp", *MARKS]]))
+    nodes = staged(prints.groupBy("id").agg(*[F.first(c).alias(c) for c in ["fp", "size", *MARKS]]))
     # All texts of a fingerprint are one class; its first node stands for it.
     firsts = staged(nodes.groupBy("fp").agg(F.min("id").alias("first")))
     same = nodes.join(firsts, "fp").filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     by_print = links(firsts.select(F.col("fp").alias("id")), ["id"], [], MAX_BITS, block)
     for end in ("a", "b"):
         by_print = by_print.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end)
-    by_print = staged(by_print.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
-    keyed = staged(staged(shared_keys(prints)).join(nodes.select("id", *MARKS), "id").select("key", "id", *MARKS))
-    near = staged(links_by_key(keyed, MARKS, LOOSE, block, forests))
-    sets = staged(sets_of(docs, prints, near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()))
-    roots = staged(components(same.unionByName(by_print).unionByName(verified(near, sets, similarity))))
-
-    def named(ids):
-        return ids.join(roots, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("root", "id")).drop("node", "root")
-
-    left = staged(links_by_key(named(keyed), [*MARKS, "class"], LOOSE, block, across))
-    joins = verified(left, sets, similarity)
-    for end in ("a", "b"):
-        joins = named(joins.withColumnRenamed(end, "id")).drop("id").withColumnRenamed("class", end)
-    joined = staged(components(joins)).select(F.col("node").alias("class"), F.col("root").alias("wider"))
-    classes = named(nodes.select("id")).join(joined, "class", "left").select("id", F.coalesce("wider", "class").alias("class"))
+    by_print = by_print.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    members = min(block, MEMBERS)
+    parts = staged(candidates(staged(shared_groups(prints)), nodes, similarity, members))
+    similar = similar_links(docs, prints, staged(assigned(parts, members)), similarity)
+    roots = staged(components(same.unionByName(by_print).unionByName(similar)))
+    classes = nodes.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("class"))
     return prints.join(staged(classes), "id").select("doc_id", "text_hash", "class")
 
 
