@@ -216,11 +216,15 @@ def best_triple_by_error(numbers: Column, max_quantity: float = 10_000.0) -> Col
     such a combination the first rising three of the sorted numbers that are off by
     less than 30 %.  An item's numbers are a handful, so they are combined inside the row.
     """
-    best = _best(numbers, lambda i, j, k: (k != i) & (k != j) & (i != j), lambda q, u, t, err, a, b, c: (
-        q.between(1, max_quantity) & u.between(0.5, 50) & (q > 0) & (u > 0) & (err / F.greatest(t, F.lit(1.0)) < 0.2)),
-        lambda q, u, t, err, a, b, c: -err)
-    rising = _best(F.array_sort(numbers), lambda i, j, k: (i < j) & (j < k), lambda q, u, t, err, a, b, c: (
-        (q > 0) & (u > 0) & (err / F.greatest(t, F.lit(1.0)) < 0.3)), lambda q, u, t, err, a, b, c: F.lit(0.0))
+    def near(share: float):
+        return lambda err, t: err / F.greatest(t, F.lit(1.0)) < share
+
+    every = _placed(numbers)
+    best = _best(F.filter(every, lambda n: n["value"].between(1, max_quantity)), F.filter(every, lambda n: n["value"].between(0.5, 50)), every,
+                 lambda i, j: i != j, lambda i, j, k: (k != i) & (k != j), near(0.2), lambda err, a, b, c: -err)
+    ordered = _placed(F.array_sort(numbers))
+    positive = F.filter(ordered, lambda n: n["value"] > 0)
+    rising = _best(positive, positive, ordered, lambda i, j: i < j, lambda i, j, k: j < k, near(0.3), lambda err, a, b, c: F.lit(0.0))
     return F.coalesce(_triple(best), _triple(rising))
 
 
@@ -233,69 +237,99 @@ def best_triple_by_score(numbers: Column) -> Column:
     Without any combination the first quantity and the first two prices are tried
     (``first_pair``).
     """
-    def kinds(a, b, c):
-        return (a["kind"] != "price") & (b["kind"] != "quantity") & (c["kind"] != "quantity")
+    def role(unfit: str, points) -> Column:
+        fit = F.filter(F.transform(numbers, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda p: p["n"]["kind"] != unfit)
+        return F.transform(fit, lambda p: F.struct(
+            p["n"]["value"].alias("value"), p["n"]["position"].alias("position"), p["i"].alias("i"), points(p["n"]).alias("points")))
 
-    best = _best(numbers, lambda i, j, k: k != j, lambda q, u, t, err, a, b, c: (
-        kinds(a, b, c) & (err / F.greatest(t, F.lit(1.0)) <= 0.3)), _points, typed=True)
+    best = _best(role("price", _quantity_points), role("quantity", _price_points), role("quantity", _total_points),
+                 lambda i, j: F.lit(True), lambda i, j, k: k != j, lambda err, t: err / F.greatest(t, F.lit(1.0)) <= 0.3, _points)
     values = lambda kind: F.transform(F.filter(numbers, lambda n: n["kind"] == kind), lambda n: n["value"])
     return F.coalesce(_triple(best), first_pair(F.get(values("quantity"), 0), values("price")))
 
 
 def _triple(best: Column) -> Column:
-    return F.when(best.isNotNull(), F.struct(*[best[c].alias(c) for c in ("quantity", "unit_price", "total")]))
-
-
-def _points(q, u, t, err, a, b, c) -> Column:
-    """Plausibility of a combination: fixed points for each sign that speaks for
-    or against it.  A price is never tried as a quantity, so no points say so."""
-    dotted = lambda n: F.contains(n["original"], F.lit("."))
-    is_number = lambda n: n["kind"] == "number"
-    is_price = lambda n: n["kind"] == "price"
-    # Fixed values: (sign, points).
-    signs = [
-        (a["kind"] == "quantity", 500), ((q == 1.0) & is_number(a), -600), (is_price(b), 800), (is_price(c), 400),
-        (is_number(b) & dotted(b), 300), (is_number(a) & ~dotted(a), 200), (is_number(a) & dotted(a) & (q < 10), -800),
-        (is_number(b) & (u < 2.0), -600), (is_number(c) & (t < 10.0), -400),
-        (a["position"] < b["position"], 50), (a["position"] < c["position"], 50),
-        ((u >= t) & (q > 1), -1000), ((q <= u) & (u <= t), 100),
-    ]
-    # Points by range, upper bounds included, in order.
-    bands = [
-        (q, 0.5, [(10, 200), (50, 150), (200, 100), (1000, 50)], 25, 0),
-        (u, 1.0, [(20, 150), (50, 100), (100, 50)], -50, -50),
-        (t, 1.0, [(100, 150), (500, 100)], -50, -50),
-    ]
-    accuracy = F.when(err < 0.01, 1000.0).when(err < 0.1, 500.0).when(err < 1.0, 200.0).otherwise(err * -100)
-    total = accuracy
+    return let(best, lambda b: F.when(b.isNotNull(), F.struct(*[b[c].alias(c) for c in ("quantity", "unit_price", "total")])))
+
+
+def _sum_of(signs: list[tuple[Column, int]]) -> Column:
+    total = F.lit(0)
     for cond, points in signs:
         total = total + F.when(cond, points).otherwise(0)
-    for value, low, steps, above, below in bands:
-        band = F.when(value < low, below)
-        for top, points in steps:
-            band = band.when(value <= top, points)
-        total = total + band.otherwise(above)
     return total
 
 
-def _best(numbers: Column, allowed, fits, score, typed: bool = False) -> Column:
-    """Highest score over the ``allowed`` choices (i, j, k) of three numbers, the
-    first of equals."""
-    places = F.sequence(F.lit(0), F.size(numbers) - 1)
-    value = lambda n: n["value"] if typed else n
+def _band(value: Column, low: float, steps: list[tuple[float, int]], above: int, below: int) -> Column:
+    """Points by range, upper bounds included, in order."""
+    band = F.when(value < low, below)
+    for top, points in steps:
+        band = band.when(value <= top, points)
+    return band.otherwise(above)
+
+
+def _is(n: Column, kind: str) -> Column:
+    return n["kind"] == kind
+
+
+def _dotted(n: Column) -> Column:
+    return F.contains(n["original"], F.lit("."))
+
+
+# Points for each sign that speaks for or against a number in its place.
+# A price is never tried as a quantity, so no points say so.
+def _quantity_points(a: Column) -> Column:
+    q = a["value"]
+    return _sum_of([(_is(a, "quantity"), 500), ((q == 1.0) & _is(a, "number"), -600), (_is(a, "number") & ~_dotted(a), 200),
+                    (_is(a, "number") & _dotted(a) & (q < 10), -800)]) + _band(q, 0.5, [(10, 200), (50, 150), (200, 100), (1000, 50)], 25, 0)
+
 
-    def best_of(one) -> Column:
-        return F.array_max(F.transform(places, one))
+def _price_points(b: Column) -> Column:
+    u = b["value"]
+    return _sum_of([(_is(b, "price"), 800), (_is(b, "number") & _dotted(b), 300), (_is(b, "number") & (u < 2.0), -600)]) \
+        + _band(u, 1.0, [(20, 150), (50, 100), (100, 50)], -50, -50)
 
-    def scored(i: Column, j: Column, k: Column) -> Column:
-        a, b, c = F.get(numbers, i), F.get(numbers, j), F.get(numbers, k)
-        q, u, t = value(a), value(b), value(c)
-        err = F.abs(q * u - t)
-        return F.when(allowed(i, j, k) & fits(q, u, t, err, a, b, c), F.struct(
-            score(q, u, t, err, a, b, c).alias("score"), (-i).alias("i"), (-j).alias("j"), (-k).alias("k"),
-            q.alias("quantity"), u.alias("unit_price"), t.alias("total")))
 
-    return F.when(F.size(numbers) > 0, best_of(lambda i: best_of(lambda j: best_of(lambda k: scored(i, j, k)))))
+def _total_points(c: Column) -> Column:
+    t = c["value"]
+    return _sum_of([(_is(c, "price"), 400), (_is(c, "number") & (t < 10.0), -400)]) + _band(t, 1.0, [(100, 150), (500, 100)], -50, -50)
+
+
+def _points(err: Column, a: Column, b: Column, c: Column) -> Column:
+    """Plausibility of a combination: what its numbers have by themselves, and together."""
+    q, u, t = a["value"], b["value"], c["value"]
+    together = _sum_of([(a["position"] < b["position"], 50), (a["position"] < c["position"], 50),
+                        ((u >= t) & (q > 1), -1000), ((q <= u) & (u <= t), 100)])
+    accuracy = F.when(err < 0.01, 1000.0).when(err < 0.1, 500.0).when(err < 1.0, 200.0).otherwise(err * -100)
+    return accuracy + (a["points"] + b["points"] + c["points"] + together)
+
+
+def _placed(numbers: Column) -> Column:
+    return F.transform(numbers, lambda n, i: F.struct(n.alias("value"), i.alias("i")))
+
+
+def _best(quantities: Column, prices: Column, totals: Column, pair, apart, near, score) -> Column:
+    """Highest score over the choices of a quantity, a unit price and a total, the first of equals.
+
+    The three lists hold what may stand in a place: ``value``, ``i`` (its place among the
+    item's numbers) and what ``score`` reads.  ``pair`` and ``apart`` say which places go
+    together; only totals ``near`` the product are scored.
+    """
+    def best_of(numbers: Column, one) -> Column:
+        return F.array_max(F.transform(numbers, one))
+
+    def scored(a: Column, b: Column, totals: Column) -> Column:
+        def error(product: Column, c: Column) -> Column:
+            return F.abs(product - c["value"])
+
+        return let(a["value"] * b["value"], lambda product: best_of(
+            F.filter(totals, lambda c: apart(a["i"], b["i"], c["i"]) & near(error(product, c), c["value"])),
+            lambda c: F.struct(
+                score(error(product, c), a, b, c).alias("score"), (-a["i"]).alias("i"), (-b["i"]).alias("j"), (-c["i"]).alias("k"),
+                a["value"].alias("quantity"), b["value"].alias("unit_price"), c["value"].alias("total"))))
+
+    lists = F.struct(quantities.alias("quantities"), prices.alias("prices"), totals.alias("totals"))
+    return let(lists, lambda s: best_of(s["quantities"], lambda a: best_of(
+        F.filter(s["prices"], lambda b: pair(a["i"], b["i"])), lambda b: scored(a, b, s["totals"]))))
 
 
 def first_source(items: DataFrame, rank: str = "rank", measure: Keys | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from costloom.operators import match
+from costloom.operators import layout, match
 
 
 def plan_of(df):
@@ -17,3 +17,15 @@ def test_grams_are_counted_for_wanted_keys_only_and_never_broadcast(spark):
     assert got == {(t, k) for t in (f"{i}_click_{i % 7}.pdf" for i in range(50)) for k in ("click_3.pdf", "k_3") if k in t}
     counts = [x for x in plan_of(found).splitlines() if "strategy=merge" in x]
     assert counts and "LeftSemi" in plan_of(found)
+
+
+def test_best_triples_combine_the_numbers_once(spark):
+    one = "struct<value:double,kind:string,original:string,position:int>"
+    rows = [([(3.0, "quantity", "3", 1), (2.5, "price", "2.5", 2), (7.5, "price", "7.5", 3), (None, "number", "x", 4)], [3.0, 2.5, 7.5, None]),
+            ([], []), (None, None), ([(1.0, None, None, None)], [1.0]), ([(2.0, "quantity", "2", 1), (4.0, "price", "4", 2), (9.0, "price", "9", 3)], [2.0, 60.0, 130.0])]
+    df = spark.createDataFrame(rows, f"s array<{one}>, v array<double>")
+    got = df.select(layout.best_triple_by_score(F.col("s")).alias("s"), layout.best_triple_by_error(F.col("v")).alias("e"))
+    assert [(r.s and tuple(r.s), r.e and tuple(r.e)) for r in got.collect()] == [
+        ((3.0, 2.5, 7.5), (3.0, 2.5, 7.5)), (None, None), (None, None), (None, None), ((2.0, 4.0, 9.0), (60.0, 2.0, 130.0))]
+    assert plan_of(df.select(layout.best_triple_by_score(F.col("s")).alias("b"))).count("array_max(") == 3
+    assert plan_of(df.select(layout.best_triple_by_error(F.col("v")).alias("b"))).count("array_max(") == 6
