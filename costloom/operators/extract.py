@@ -57,19 +57,36 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+FIELDS_APART = 12  # fields of a rule that keep their patterns compiled
+
+
 def fields(text: Column, wanted: Column) -> Column:
     """Map name -> value of the header or footer fields that are found.
 
     Dates become ISO text, numbers the unified reading; a field not found, or
     found empty, has no entry.
     """
-    def one(f: Column) -> Column:
-        raw = F.trim(_match(text, F.concat(F.lit("(?im)"), f["regex"]), f["group"]))
-        value = let(raw, lambda s: F.when(s != "", F.when(f["type"] == "date", normalize_date(s))
-                                          .when(f["type"] == "number", unified(s).cast("string")).otherwise(s)))
+    def one(f: Column, raw: Column) -> Column:
+        value = let(F.trim(raw), lambda s: F.when(s != "", F.when(f["type"] == "date", normalize_date(s))
+                                                  .when(f["type"] == "number", unified(s).cast("string")).otherwise(s)))
         return F.struct(f["name"].alias("key"), value.alias("value"))
 
-    found = F.filter(F.transform(wanted, one), lambda p: p["value"].isNotNull())
+    def read(s: Column, f: Column) -> Column:
+        return _match(s, F.concat(F.lit("(?im)"), f["regex"]), f["group"])
+
+    # The first fields are read by an expression each: one that sees the same pattern
+    # from row to row keeps it compiled, one that goes from field to field would not.
+    def raws(s: Column) -> Column:
+        first = F.array(*[read(s, F.get(wanted, F.lit(n))) for n in range(FIELDS_APART)])
+        rest = F.slice(wanted, FIELDS_APART + 1, F.greatest(F.size(wanted) - FIELDS_APART, F.lit(0)))
+        return F.when(F.size(wanted) <= FIELDS_APART, first).otherwise(F.concat(first, F.transform(rest, lambda f: read(s, f))))
+
+    found = let(text, lambda s: let(raws(s), lambda texts: F.filter(
+        F.transform(wanted, lambda f, i: one(f, F.get(texts, i))), lambda p: p["value"].isNotNull())))
+    return let(found, _last_of_each)
+
+
+def _last_of_each(found: Column) -> Column:
     names = F.array_distinct(F.transform(found, lambda p: p["key"]))
     # The same field may have several rules; the last one found wins.
     return F.map_from_entries(F.transform(names, lambda k: F.struct(
