@@ -8,6 +8,8 @@ rows and writes what it closes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,20 +33,21 @@ def versions_of(marks: DataFrame, key: str, at: str, value: str, order: list[str
 
 
 def extend(opened: DataFrame, marks: DataFrame, key: str, at: str, value: str, order: list[str],
-           max_rows: int | None = None) -> dict[str, DataFrame]:
+           max_rows: int | None = None, store: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> dict[str, DataFrame]:
     """What a batch of marks makes of the open versions: ``closed``, ``open`` and ``late``.
 
     ``late`` marks lie before the version that is open for their product; they would
-    change closed versions and are handed back.
+    change closed versions and are handed back.  ``store`` may put away rows that are
+    used more than once.
     """
     since = opened.select(key, F.col("valid_from").alias("_since"))
-    timed = join_on_key(marks, since, [key])
+    timed = store(join_on_key(marks, since, [key]), "timed")
     late = F.coalesce(F.col(at) < F.col("_since"), F.lit(False))
     fresh = timed.filter(~late).drop("_since")
     first = F.struct(*[F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in order])  # sorts before any mark
     own = rows_with_key(opened, fresh, [key]).select(key, F.col("valid_from").alias(at), F.col(value), first.alias("_order"))
     new = fresh.select(key, at, value, F.struct(*order).alias("_order"))
-    made = versions_of(own.unionByName(new), key, at, value, ["_order"], max_rows)
+    made = store(versions_of(own.unionByName(new), key, at, value, ["_order"], max_rows), "made")
     untouched = rows_with_key(opened, fresh, [key], present=False)
     return {"closed": made.filter("valid_to is not null"),
             "open": untouched.unionByName(made.filter("valid_to is null")), "late": timed.filter(late).drop("_since")}
@@ -54,13 +57,20 @@ def advance(marks: DataFrame, root: str, batch: int, key: str, at: str, value: s
     """Add a batch of marks to the stored versions below ``root``.
 
     Writes ``closed/batch=n``, ``late/batch=n`` and, last, ``open/batch=n``, which makes
-    the batch count.  A batch that is run again writes the same again.
+    the batch count.  A batch that is run again writes the same again.  The marks and
+    what they make are worked out once, below ``steps``, whatever is read from them.
     """
     spark = marks.sparkSession
     schema = f"{key} {dict(marks.dtypes)[key]}, {value} {dict(marks.dtypes)[value]}, valid_from {dict(marks.dtypes)[at]}, valid_to {dict(marks.dtypes)[at]}"
     done = [n for n in versions(spark, f"{root}/open", "batch") if n < batch]
     opened = spark.read.schema(schema).parquet(f"{root}/open/batch={done[-1]}") if done else spark.createDataFrame([], schema)
-    parts = extend(opened, marks, key, at, value, order)
+
+    def store(rows: DataFrame, name: str) -> DataFrame:
+        place = f"{root}/steps/{name}/batch={batch}"
+        rows.write.mode("overwrite").parquet(place)
+        return spark.read.schema(rows.schema).parquet(place)
+
+    parts = extend(opened, marks, key, at, value, order, store=store)
     for name in ("closed", "late", "open"):
         parts[name].write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from costloom.operators import extract, layout, match
+from costloom.operators import extract, layout, match, versions
 
 
 def plan_of(df):
@@ -40,3 +40,21 @@ def test_first_fields_of_a_rule_have_an_expression_each(spark):
     found = df.select(extract.fields(F.col("text"), F.col("wanted")).alias("m"))
     assert [r.m for r in found.collect()] == [{f"f{i}": str(i) if i else "1" for i in range(n)}, {"f0": "0", "f1": "1"}, {}, {}]
     assert plan_of(found).count("regexp_extract(") > extract.FIELDS_APART
+
+
+def test_marks_of_a_batch_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(cost):
+        seen.add(1)
+        return cost
+
+    marks = spark.createDataFrame([(i % 5, i, float(i // 10), i) for i in range(100)], "product_id long, at int, cmp double, seq int")
+    marks = marks.withColumn("cmp", F.udf(counted, "double")("cmp"))
+    root = str(tmp_path)
+    for n in range(2):
+        seen.value = 0
+        versions.advance(marks.filter("at < 50" if n == 0 else "at >= 50"), root, n, "product_id", "at", "cmp", ["seq"])
+        assert seen.value == 50
+    got = versions.stored_versions(spark, root).orderBy("product_id", "valid_from").collect()
+    assert [tuple(r) for r in got if r.product_id == 0] == [(0, float(k), 10 * k, 10 * k + 10 if k < 9 else None) for k in range(10)]
