@@ -49,20 +49,26 @@ def rows_by_anchor(tokens: DataFrame, gap: float = 5.0, bounded: bool = False) -
     a page (not its tokens) are folded in order; a token's row is the number of
     starting heights at or above it.
     """
-    heights = tokens.select(*PAGE, "y").distinct()
-    nothing = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0).cast("long").alias("row"),
-                       F.array().cast("array<struct<y:double,row:bigint>>").alias("rows"))
-
-    def step(acc: Column, y: Column) -> Column:
-        new = acc["top"].isNull() | (y - acc["top"] > gap)
-        return let(F.struct(F.when(new, y).otherwise(acc["top"]).alias("top"), (acc["row"] + new.cast("long")).alias("row")), lambda now: F.struct(
-            now["top"].alias("top"), now["row"].alias("row"),
-            F.array_append(acc["rows"], F.struct(y.alias("y"), now["row"].alias("row"))).alias("rows")))
-
+    def tops(ys: Column) -> Column:
+        return F.aggregate(F.array_sort(F.array_distinct(ys)), F.array().cast("array<double>"), lambda acc, y: F.when(
+            (F.size(acc) == 0) | (y - F.try_element_at(acc, F.lit(-1)) > gap), F.array_append(acc, y)).otherwise(acc))
+
+    def row_of(y: Column, starts: Column) -> Column:
+        return F.size(F.filter(starts, lambda top: top <= y)).cast("long").alias("row")
+
+    if bounded:  # a page is part of one text: its tokens get their rows without a join
+        rest = [c for c in tokens.columns if c not in PAGE]
+        # A null key meets no page.
+        known = tokens.filter(" and ".join(f"{k} is not null" for k in (*PAGE, "y")))
+        pages = known.groupBy(*PAGE).agg(F.collect_list(F.struct(*rest)).alias("_tokens"))
+        rows = let(tops(F.transform("_tokens", lambda t: t["y"])), lambda starts: F.transform(
+            "_tokens", lambda t: F.struct(*[t[c].alias(c) for c in rest], row_of(t["y"], starts))))
+        return pages.select(*PAGE, F.inline(rows)).select(*PAGE, "y", *[c for c in rest if c != "y"], "row")
     # One row per height of a page; tokens find theirs by an equi-join on the height.
-    placed = heights.groupBy(*PAGE).agg(F.sort_array(F.collect_list("y")).alias("ys")).select(
-        *PAGE, F.inline(F.aggregate("ys", nothing, step)["rows"]))
-    return tokens.join(placed, [*PAGE, "y"]) if bounded else join_on_key(tokens, placed, [*PAGE, "y"], "inner")
+    heights = tokens.select(*PAGE, "y").distinct().groupBy(*PAGE).agg(F.collect_list("y").alias("ys"))
+    placed = heights.select(*PAGE, F.inline(let(tops(F.col("ys")), lambda starts: F.transform(
+        "ys", lambda y: F.struct(y.alias("y"), row_of(y, starts))))))
+    return join_on_key(tokens, placed, [*PAGE, "y"], "inner")
 
 
 def row_cells(rows: DataFrame) -> DataFrame:
@@ -150,13 +156,14 @@ def nearest_code(lines: DataFrame, reach: int = 25, max_rows: int | None = None,
 
 
 def typed_runs(tokens: DataFrame, max_rows: int | None = None,
-               measure: Keys | None = None) -> DataFrame:
+               measure: Keys | None = None, tasks: int | None = None) -> DataFrame:
     """Rows out of a token stream "prices, then n integers, then n prices".
 
     ``tokens``: doc_id, n, text, is_price.  After n integers the next n prices are
     totals, prices beyond them are unit prices of the following group.  A group
     counts only when it has as many unit prices and totals as integers; the j-th
-    of each belong together.
+    of each belong together.  ``tasks``: how many are to share the tokens where they meet
+    their groups.
     """
     seq = OrderedGroups(tokens, ["doc_id"], ["n"], max_rows, measure)
     before = seq.with_columns(keep_run=True, _before=Lag(F.col("is_price")))
@@ -179,6 +186,8 @@ def typed_runs(tokens: DataFrame, max_rows: int | None = None,
         "doc_id", F.col("grp"), (F.col("grp") + run).alias("run"), F.col(first).alias("_first"),
         F.col("size"), F.lit(name).alias("role"))
     roles = role(-1, "unit_first", "unit").unionByName(role(0, "first", "qty")).unionByName(role(1, "total_first", "total"))
+    if tasks is not None:
+        runs, roles = (x.repartition(tasks, "doc_id", "run") for x in (runs.select("doc_id", "run", "at", "text"), roles))
     member = runs.join(roles, ["doc_id", "run"]).withColumn("j", F.col("at") - F.col("_first"))
     pick = lambda name: F.max(F.when(F.col("role") == name, F.col("text")))
     return member.filter((F.col("j") >= 0) & (F.col("j") < F.col("size"))).groupBy("doc_id", "grp", "j").agg(

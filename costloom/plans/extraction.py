@@ -11,6 +11,7 @@ from costloom.plans.registry import query
 from costloom.plans.roles import ITEM_ORDER, ITEMS, with_roles
 from costloom.sources.documents import join_pages, lines_of
 from costloom.sources.rules import RULE_SCHEMA, with_defaults
+from costloom.sources.scan import tasks_for
 
 NUMBERS = [{"name": n, "regex_group": g, "type": "number"} for n, g in (("quantity", 3), ("unit_price", 4), ("total", 5))]
 ITEM_COLUMNS = [{"name": "sku", "regex_group": 1}, {"name": "description", "regex_group": 2}, *NUMBERS]
@@ -50,17 +51,34 @@ def cents_text(amount):
     return F.concat(F.floor(c / 100), F.lit(","), F.lpad((c % 100).cast("string"), 2, "0"))
 
 
-def numbered_items(r):
-    return row_numbers(r.items, ["invoice_id"], ITEM_ORDER)
+ROWS_PER_TASK = 1_000_000
+
+
+def numbered_items(r, rows_per_item=None):
+    """Items with ``pos``.  A query that makes many rows of an item says how many: the
+    items are then dealt to tasks by what is made of them, and stay where they are."""
+    if rows_per_item is None:
+        return row_numbers(r.items, ["invoice_id"], ITEM_ORDER)
+    items = r.items.repartition(item_tasks(r, rows_per_item), "invoice_id")
+    return row_numbers(items, ["invoice_id"], ITEM_ORDER, measure=r.items.select("invoice_id"))
+
+
+def item_tasks(r, rows_per_item):
+    return tasks_for(r.items, ROWS_PER_TASK // rows_per_item)
 
 
 NUMBERED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY line_no, supplier_id, part_id, quantity, total) AS pos FROM items)"""
 
 
 def doc_keys(r, rows_per_item=3):
-    """The document of every row a query makes of the items, at most so many each."""
-    copies = F.explode(F.sequence(F.lit(1), F.lit(rows_per_item)))
-    return r.items.select(F.col("invoice_id").alias("doc_id"), copies.alias("_copy")).drop("_copy")
+    """The document of every row a query makes of the items, at most so many each; a share
+    of them is made of a share of the items."""
+    def seen(share):
+        items = r.items.select(F.col("invoice_id").alias("doc_id"))
+        copies = F.explode(F.sequence(F.lit(1), F.lit(rows_per_item)))
+        return (items if share == 1.0 else items.sample(share, seed=11)).select("doc_id", copies.alias("_copy")).drop("_copy")
+
+    return seen
 
 
 def invoice_lines(r):

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from costloom.functions import text
 from costloom.functions.unicode import nfc
 from costloom.operators import extract, layout, rows
-from costloom.plans.extraction import DOC_LINES, NUMBERED, doc_keys, doc_lines, numbered_items
+from costloom.plans.extraction import DOC_LINES, NUMBERED, doc_keys, doc_lines, item_tasks, numbered_items
 from costloom.plans.registry import query
 from costloom.plans.roles import ITEM_ORDER, ITEMS, LEDGER, SALES, with_roles
 from costloom.sources.documents import electronic_invoices, ledger_cells, parse_ledger
 from costloom.sources.rules import RULE_SCHEMA, with_defaults
+from costloom.sources.scan import tasks_for
 
 TOKENS = """words AS (SELECT doc_id, i - 1 AS n, w[i] AS text FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i
     FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS w FROM documents) a) b),
@@ -19,9 +20,12 @@ tokens AS (SELECT doc_id, n, n // 200 AS page, CAST(n % 8 * 60 + length(text) %
 
 
 def tokens(r):
-    """Every word of every document placed on pages of 25 lines with 8 words."""
-    n = F.col("n")
-    words = r.spread("documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "text")).filter("text <> ''")
+    """Every word of every document placed on pages of 25 lines with 8 words.
+
+    The texts are dealt by document before they are cut, so that their tokens need not
+    travel to be put together by document or page."""
+    n, docs = F.col("n"), r.table("documents").select("doc_id", "text")
+    words = docs.repartition(tasks_for(docs, 2_000), "doc_id").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "text")).filter("text <> ''")
     return words.select(
         "doc_id", n.cast("long").alias("n"), F.floor(n / 200).alias("page"),
         (n % 8 * 60 + F.length("text") % 5).cast("double").alias("x"),
@@ -135,10 +139,10 @@ def _(r):
         tok(0, always, lambda i: F.concat(F.col("part_id").cast("string"), F.lit(",0"), i, F.lit(" €"))),
         tok(1, lambda i: ~short | (i < F.col("line_no")), lambda i: (F.col("quantity").cast("int") + i).cast("string")),
         tok(2, always, lambda i: F.concat(F.col("part_id").cast("string"), F.lit(",5"), i, F.lit(" €"))))
-    rows = numbered_items(r).select("invoice_id", "pos", F.inline(stream))
+    rows = numbered_items(r, 24).select("invoice_id", "pos", F.inline(stream))
     toks = rows.select(F.col("invoice_id").alias("doc_id"), (F.col("pos") * 1000 + F.col("section") * 100 + F.col("i")).alias("n"),
                        "text", F.col("text").endswith("€").alias("is_price"))
-    return layout.typed_runs(toks, measure=doc_keys(r, 24)).select("doc_id", "j", "unit_price", "quantity", "total")
+    return layout.typed_runs(toks, measure=doc_keys(r, 24), tasks=item_tasks(r, 24)).select("doc_id", "j", "unit_price", "quantity", "total")
 
 
 @query("wn_09_promotions", with_roles(ITEMS, NUMBERED, body="""
@@ -151,7 +155,7 @@ def _(r):
     row = lambda at, t, reference, q, tot: F.struct(at.alias("line_no"), t.alias("text"), reference.cast("string").alias("reference"),
                                                   q.cast("double").alias("quantity"), tot.cast("double").alias("total"))
     promo = F.when(F.col("part_id") % 4 == 0, F.concat(ref, F.lit(" bar - Promoción -2,00 0,00 -7,25"))).otherwise(F.lit("note"))
-    lines = numbered_items(r).select("invoice_id", "pos", F.inline(F.array(
+    lines = numbered_items(r, 3).select("invoice_id", "pos", F.inline(F.array(
         row(pos * 3, F.concat(ref, F.lit(" bar")), ref, F.col("quantity") + 9, F.col("total")),
         row(pos * 3 + 1, F.lit("text"), nothing, nothing, nothing), row(pos * 3 + 2, promo, nothing, nothing, nothing))))
     out = layout.promotions(lines.withColumnRenamed("invoice_id", "doc_id"), measure=doc_keys(r))
