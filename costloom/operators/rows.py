@@ -64,13 +64,19 @@ def number_and_date(cells: DataFrame, document: str = "invoice_id") -> DataFrame
     """First invoice number and first date of a document in reading order, and the
     last of each, for documents that repeat them corrected."""
     number = F.nullif(F.regexp_extract("cell", r"(?i)^(?:invoice|no\.?|n\.?|number)[\s:]*([A-Z0-9\-_]+)", 1), F.lit(""))
-    parts = [F.regexp_extract("cell", r"(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})", g).try_cast("int") for g in (3, 2, 1)]
-    day = F.try_to_date(F.concat_ws("-", *[F.when(p.isNotNull(), p.cast("string")) for p in parts]), "yyyy-M-d")
+    found = F.regexp_extract("cell", r"(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})", 0)
+    parts = F.split(F.nullif(found, F.lit("")), r"[/\-.]")
+    day = F.try_to_date(F.concat_ws("-", *[parts[n].try_cast("int").cast("string") for n in (2, 1, 0)]), "yyyy-M-d")
+    read = cells.select(document, "place", F.inline(F.array(F.struct(number.alias("number"), day.alias("day")))))
+    number, day = F.col("number"), F.col("day")
 
     def at(v: Column) -> Column:
         return F.when(v.isNotNull(), F.col("place"))
 
-    return cells.groupBy(document).agg(
+    # Cells without either say nothing but that the document is there.
+    told = read.filter(number.isNotNull() | day.isNotNull())
+    there = cells.select(document).distinct()
+    return told.unionByName(there, allowMissingColumns=True).groupBy(document).agg(
         F.min_by(number, at(number)).alias("invoice_number"), F.min_by(day, at(day)).alias("invoice_date"),
         F.max_by(number, at(number)).alias("last_number"), F.max_by(day, at(day)).alias("last_date"))
 
