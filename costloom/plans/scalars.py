@@ -246,8 +246,8 @@ def _(r):
     rows = packed_rows(r).select(*ROW_KEY, F.inline(cells)).filter(
         F.trim("sku").rlike(r"^(IAF|FITT|YAM)[A-Z0-9]*\d+") & (F.col("total") != ""))
     q, p = numbers.whole_quantity(F.col("quantity")), numbers.price(F.col("unit_price"), 4)
-    return rows.select(*ROW_KEY, "sku", "description", q.alias("quantity"), p.alias("unit_price"),
-                       (F.floor(q * p * 100 + 0.5).cast("double") / 100).alias("total"))
+    read = rows.select(*ROW_KEY, "sku", "description", F.inline(F.array(F.struct(q.alias("quantity"), p.alias("unit_price")))))
+    return read.withColumn("total", F.floor(F.col("quantity") * F.col("unit_price") * 100 + 0.5).cast("double") / 100)
 
 
 @query("sc_19_multiline_cells_longest", """

@@ -86,3 +86,11 @@ def test_first_and_last_dates_are_read_once_a_cell(spark):
     assert got == {1: ("F-7", "2024-07-05", "B9", "2024-07-05"), 2: (None, "None", None, "None"), 3: (None, "None", None, "None"),
                    None: ("3-4-2023", "2023-04-03", "3-4-2023", "2023-04-03")}
     assert found._jdf.queryExecution().analyzed().toString().count("(\\d{4})") == 1
+
+
+def test_cells_are_cut_into_lines_once(spark):
+    df = spark.createDataFrame([("a\nb\nc", "1\n2"), (None, "1")], "s string, q string")
+    made = [df.select(text.zip_lines(shortest, s=F.col("s"), q=F.col("q")).alias("z")) for shortest in (True, False)]
+    assert [[tuple(x) for x in r.z] for d in made for r in d.collect()] == [
+        [("a", "1"), ("b", "2")], [("", "1")], [("a", "1"), ("b", "2"), ("c", "")], [("", "1")]]
+    assert all(d._jdf.queryExecution().analyzed().toString().count("split(") == 2 for d in made)
