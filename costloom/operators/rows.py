@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costloom.functions import numbers
-from costloom.functions.falsy import round_half_up
+from costloom.functions.falsy import let, round_half_up
 from costloom.operators.allocate import money
 from costloom.operators.keyed import join_on_key
 
@@ -65,8 +65,8 @@ def number_and_date(cells: DataFrame, document: str = "invoice_id") -> DataFrame
     last of each, for documents that repeat them corrected."""
     number = F.nullif(F.regexp_extract("cell", r"(?i)^(?:invoice|no\.?|n\.?|number)[\s:]*([A-Z0-9\-_]+)", 1), F.lit(""))
     found = F.regexp_extract("cell", r"(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})", 0)
-    parts = F.split(F.nullif(found, F.lit("")), r"[/\-.]")
-    day = F.try_to_date(F.concat_ws("-", *[parts[n].try_cast("int").cast("string") for n in (2, 1, 0)]), "yyyy-M-d")
+    day = let(F.split(F.nullif(found, F.lit("")), r"[/\-.]"), lambda parts: F.try_to_date(
+        F.concat_ws("-", *[parts[n].try_cast("int").cast("string") for n in (2, 1, 0)]), "yyyy-M-d"))
     read = cells.select(document, "place", F.inline(F.array(F.struct(number.alias("number"), day.alias("day")))))
     number, day = F.col("number"), F.col("day")
 
