@@ -37,7 +37,7 @@ LEAST = 10            # occurrences of a candidate
 LENGTHS = 3           # words of the longest candidate
 INSIDE = 50           # percent of its occurrences inside a longer candidate by which a phrase is dropped
 TOP = 2000            # phrases of a language's report
-CHUNK = 1 << 22       # words in a chunk
+CHUNK = 1 << 20       # words in a chunk
 KEYS = 1 << 21        # different phrases, counted once a chunk, that one task adds up
 UND = "und"
 BREAKS = re.compile(rb"[.,;:!?\x0A-\x0D]+")

@@ -121,3 +121,7 @@ def test_pipeline_on_odd_and_no_documents(spark, odd_docs, no_docs, odd_items, t
                 # No language, a copy of 1, a benchmark item in 1; the long text stays.
                 assert {r.doc_id for r in kept.collect()} == {6, 8, 9}
         assert sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] <= sizes[2] and sizes[5] == sizes[4]
+
+
+def test_a_chunk_of_words_ends_after_a_million():
+    assert collocations.CHUNK <= 1 << 20
