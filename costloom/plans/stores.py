@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from costloom.operators import cost, cube, sinks, versions
 from costloom.plans.costing import (ARRIVALS, ASOF, CMP, COSTS, HISTORY_ROLES, KPI_SQL, MARGIN_ROLES, MARGINS, MOVE_ORDER, MOVES, ROLES, WALK, margins,
                                     purchase_costs)
+from costloom.plans.extraction import doc_keys, item_tasks
 from costloom.plans.registry import query
 from costloom.plans.roles import INVOICES, ITEM_ORDER, ITEMS, SALES, cents, cents_sql, with_roles
 from costloom.plans.streams import stream_of
@@ -118,9 +119,12 @@ SELECT invoice_id, CAST((place + 19) // 20 AS BIGINT) AS batch, place, 'Sheet1!'
 def _(r):
     """Cell writes in batches of 20 per invoice, averages last, through the sink and back."""
     shifted = cost.register_shift(cost.checked_items(r.items, r.invoices, r.ledger))
-    updates = sinks.cell_updates(cost.last_line_wins(shifted, ITEM_ORDER)).withColumn("_last", F.col("step") == 5)
+    # An item makes up to six updates; they are made, placed and written where its invoice is.
+    won = cost.last_line_wins(shifted, ITEM_ORDER).repartition(item_tasks(r, 6), "invoice_id")
+    updates = sinks.cell_updates(won).withColumn("_last", F.col("step") == 5)
+    seen = lambda share: doc_keys(r, 6)(share).withColumnRenamed("doc_id", "invoice_id")
     path = tables.work_folder(r.spark)
-    cells.write_batches(cells.batches(updates, ["_last", "row_index", "step"]), path)
+    cells.write_batches(cells.batches(updates, ["_last", "row_index", "step"], measure=seen), path)
     return cells.read_batches(r.spark, path).select("invoice_id", "batch", F.inline("updates"))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from costloom.operators.keyed import Keys
 from costloom.operators.ordered import row_numbers
 from costloom.sources.files import names_in, read_all, store_of, write_all
 
@@ -39,10 +40,10 @@ CELLS_SCHEMA = "invoice_id long, batch long, updates array<struct<place: long, r
 
 # Batches of updates
 
-def batches(cells: DataFrame, order: list[str], size: int = BATCH, max_rows: int | None = None) -> DataFrame:
+def batches(cells: DataFrame, order: list[str], size: int = BATCH, max_rows: int | None = None, measure: Keys | None = None) -> DataFrame:
     """Cell updates (invoice_id, range, value) in batches of ``size``, numbered per invoice
     from 1; ``order`` orders the updates of an invoice totally."""
-    placed = row_numbers(cells, ["invoice_id"], order, "place", max_rows)
+    placed = row_numbers(cells, ["invoice_id"], order, "place", max_rows, measure)
     number = F.ceil(F.col("place") / size)
     listed = F.sort_array(F.collect_list(F.struct("place", "range", "value")))  # at most ``size`` updates
     return placed.groupBy("invoice_id", number.alias("batch")).agg(listed.alias("updates"))
@@ -60,19 +61,29 @@ class CellWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, base = store_of(self.path)
-        file, rows = f"{base}/data/{self.job}-{uuid.uuid4().hex}.jsonl", 0
-        store.create_dir(f"{base}/data", recursive=True)
-        with store.open_output_stream(file) as out:
+        file, rows, out, lines = f"{base}/data/{self.job}-{uuid.uuid4().hex}.arrow", 0, None, None
+        try:
             for batch in iterator:
-                for row in batch.to_pylist():
-                    out.write((json.dumps(row) + "\n").encode())
-                    rows += 1
+                if out is None:
+                    store.create_dir(f"{base}/data", recursive=True)
+                    out = store.open_output_stream(file)
+                    lines = pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                lines.write_batch(batch)
+                rows += len(batch)
+        except BaseException:  # the rows ended before their end: what was written counts nowhere
+            if out is not None:
+                out.close()
+                store.delete_file(file)
+            raise
+        if out is not None:
+            lines.close()
+            out.close()
         return Written(file.removeprefix(f"{base}/"), rows)
 
     def commit(self, messages: list[Written | None]) -> None:
         """One file names all that count; files of attempts that don't are taken away."""
         store, base = store_of(self.path)
-        counted = {m.file: m.rows for m in messages if m is not None}
+        counted = {m.file: m.rows for m in messages if m is not None and m.rows}
         write_all(store, f"{base}/manifest/{self.job}.json", json.dumps(counted).encode())
         self._drop(store, base, set(counted))
 
@@ -104,9 +115,8 @@ class CellReader(DataSourceReader):
     def read(self, partition: File):
         if partition.name:
             store, base = store_of(self.path)
-            for line in read_all(store, f"{base}/{partition.name}").splitlines():
-                row = json.loads(line)
-                yield row["invoice_id"], row["batch"], [(u["place"], u["range"], u["value"]) for u in row["updates"]]
+            with store.open_input_stream(f"{base}/{partition.name}") as f:
+                yield from pa.ipc.open_stream(f)
 
 
 class Cells(DataSource):

@@ -1,5 +1,6 @@
 """Steps that must stay small when tables grow: what is computed once, what is sent where."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from costloom.functions import text
@@ -7,6 +8,8 @@ from costloom.operators import extract, layout, match, rows, versions
 from costloom.plans import catalog
 from costloom.plans.extraction import doc_keys
 from costloom.plans.roles import Roles
+from costloom.sources import cells
+from costloom.sources.files import names_in, store_of
 
 
 def plan_of(df):
@@ -94,3 +97,34 @@ def test_cells_are_cut_into_lines_once(spark):
     assert [[tuple(x) for x in r.z] for d in made for r in d.collect()] == [
         [("a", "1"), ("b", "2")], [("", "1")], [("a", "1"), ("b", "2"), ("c", "")], [("", "1")]]
     assert all(d._jdf.queryExecution().analyzed().toString().count("split(") == 2 for d in made)
+
+
+def test_cell_batches_are_dealt_by_invoice_and_stored_as_they_come(spark, tmp_path):
+    rows = pa.RecordBatch.from_pylist([{"invoice_id": i, "batch": 1, "updates": [{"place": 1, "range": f"S!A{i}", "value": i / 2}]} for i in range(3)])
+    writer = cells.CellWriter(str(tmp_path))
+    found, none = writer.write(iter([rows, rows.slice(0, 1)])), writer.write(iter([]))
+    writer.commit([found, none])
+    store, base = store_of(str(tmp_path))
+    assert [(x.rows, x.file.endswith(".arrow")) for x in (found, none)] == [(4, True), (0, True)] and len(names_in(store, f"{base}/data")) == 1
+    parts = cells.CellReader(str(tmp_path)).partitions()
+    assert [b.num_rows for p in parts for b in cells.CellReader(str(tmp_path)).read(p)] == [3, 1]
+    assert cells.read_batches(spark, str(tmp_path)).filter("updates[0].value = 1").count() == 1
+
+
+def test_keys_are_dealt_before_they_are_cut_into_pieces(spark):
+    keys = spark.createDataFrame([("X12345",), ("P1",), (None,), ("",)], "sku string")
+    known = spark.createDataFrame([("AX1234",), ("AX1234",), ("P12",), (None,)], "sku string")
+    made, plain = match.near_keys(keys, known, tasks=3), match.near_keys(keys, known)
+    assert plan_of(made).count("RepartitionByExpression") == 4 and plan_of(plain).count("RepartitionByExpression") == 0
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, plain.collect())) != []
+
+
+def test_report_lines_are_counted_where_their_invoice_is(spark, sf_dir):
+    assert "REPARTITION_BY_NUM" in catalog.QUERIES["snk_06_run_report"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_generated_values_are_made_by_a_projection(spark):
+    df = extract._once(spark.createDataFrame([("a b",), (None,)], "s string"), "n", F.transform(F.split("s", " "), F.upper))
+    assert [tuple(r) for r in df.collect()] == [("a b", ["A", "B"]), (None, None)]
+    generate = next(x for x in plan_of(df).splitlines() if "Generate" in x)
+    assert "transform(" not in generate and "split(" not in generate
