@@ -26,13 +26,15 @@ def cmp_value(qty_prev: Column, price_prev: Column, qty_in: Column, price_new: C
     return F.when(price_prev.isNotNull() & (qty_prev > 0), average).otherwise(price_new)
 
 
-def checked_items(items: DataFrame, invoices: DataFrame, ledger: DataFrame) -> DataFrame:
+def checked_items(items: DataFrame, invoices: DataFrame, ledger: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Lines with landed price, ledger match and ``outcome``.
 
     ok / not_found / ambiguous / error, where error is a quantity that is not
     positive or a negative price.  Freight is spread over all lines, also those
-    that are later skipped.
+    that are later skipped.  ``source`` is the scan the items came from, when they
+    already went through a shuffle.
     """
+    measure = None if source is None else source.select("invoice_id")
     units = items.groupBy("invoice_id").agg(F.sum("quantity").alias("units"))
     fee = F.col("shipping_fee") / F.col("units")
     per_unit = (
@@ -40,7 +42,7 @@ def checked_items(items: DataFrame, invoices: DataFrame, ledger: DataFrame) -> D
         .select("invoice_id", "invoice_date",
                 F.when(F.col("units") > 0, fee).otherwise(F.lit(0.0)).alias("freight_per_unit"))
     )
-    matched = match_ledger(join_on_key(items, per_unit, ["invoice_id"], "inner"), ledger, items)
+    matched = match_ledger(join_on_key(items, per_unit, ["invoice_id"], "inner", measure), ledger, items if source is None else source)
     error = (
         F.when(F.col("match") != "ok", None)
         .when(F.col("quantity") <= 0, F.concat(F.lit("Invalid quantity for "), "sku"))
