@@ -11,8 +11,11 @@ from costloom.plans.roles import INVOICES, ITEM_ORDER, ITEMS, SALES, cents, cent
 from costloom.plans.streams import stream_of
 from costloom.sources import buckets, cells
 from costloom.sources.documents import parse_ledger
+from costloom.sources.scan import tasks_for
 from costloom.streaming import arrivals, stock, tables
 
+MOVES_PER_BUCKET = 5_000
+
 
 @query("ss_06_cost_with_sales", with_roles(ITEMS, SALES, MOVES, WALK, recursive=True, body="""
 , last AS (SELECT product_id, max(n) AS n FROM walk GROUP BY 1)
@@ -31,7 +34,8 @@ def _(r):
         F.lit(0.0).alias("d"), F.lit(0.0).alias("e"), (-F.col("quantity")).alias("change"), F.lit(None).cast("double").alias("price"))
     folder = tables.work_folder(r.spark)
     moves = bought.unionByName(sold.select(*[moved if c == "moved_at" else c for c in sold.columns]))
-    stock.store_average_cost(moves, MOVE_ORDER, folder)
+    buckets = tasks_for(r.table("lineitem"), MOVES_PER_BUCKET) + tasks_for(r.table("events"), MOVES_PER_BUCKET)
+    stock.store_average_cost(moves, MOVE_ORDER, folder, buckets=buckets)
     return tables.latest_rows(r.spark, f"{folder}/averages", "product_id", stock.AVERAGE_SCHEMA).select(
         "product_id", "stock", cents(F.col("average_cost"), 3).alias("average_cost"))
 

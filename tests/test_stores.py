@@ -5,6 +5,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,50 @@ def test_stock_state_survives_a_stop_and_a_failure(spark):
     assert spark.conf.get(stock.PROVIDER) == settings
 
 
+class OneState:
+    """The state, timers and watermark of one bucket, without a stream."""
+
+    def __init__(self):
+        self.value, self.timers, self.now_ms = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = tuple(value)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now_ms
+
+
+def test_products_of_a_bucket_share_a_state_and_settle_apart():
+    kept, one = stock.StockAverage({"at": "bigint", "seq": "bigint"}), OneState()
+    kept.init(one)
+    frame = lambda *rows: iter([pd.DataFrame(list(rows), columns=["product_id", "at", "seq", "change", "price"])])
+    told = lambda out: {int(r.product_id): (r.stock, r.average_cost, r.waiting) for r in pd.concat(out).itertuples()}
+    out = told(kept.handleInputRows((0,), frame((7, 9000, 1, -8.0, None), (7, 2000, 1, 5.0, 2.0), (8, 1000, 1, 4.0, 3.0), (9, 3000, 1, -1.0, None)), one))
+    assert out[7] == (-3.0, 2.0, 2) and out[8] == (4.0, 3.0, 1) and out[9][0] == -1.0 and pd.isna(out[9][1])
+    assert one.timers == [2]  # the first product of which nothing waits
+    one.now_ms = 4
+    out = told(kept.handleExpiredTimer((0,), one, None))
+    assert out[7] == (-3.0, 2.0, 1) and out[8] == (4.0, 3.0, 0) and out.keys() == {7, 8, 9} and one.timers == [2, 10]
+    assert told(kept.handleExpiredTimer((0,), one, None)) == {}  # nothing new, no rows
+    assert told(kept.handleInputRows((0,), frame((8, 5000, 1, 4.0, 5.0)), one)) == {8: (8.0, 4.0, 1)}
+
+
+def test_moves_without_an_order_value_come_first():
+    moves = [(3, 1), (1, None), (None, 2), (1, 0)]
+    stock.in_order(moves, 2)
+    assert moves == [(None, 2), (1, None), (1, 0), (3, 1)]
+    assert stock.plain(pd.Series([1.0, float("nan")]), True) == [1, None]
+
+
 def test_fold_of_moves():
     assert stock.fold(0.0, None, [(5.0, 2.0), (-8.0, None), (4.0, 3.0), (-4.0, None)]) == (-3.0, 3.0)
     assert stock.fold(0.0, None, [(0.0, 9.0), (-1.0, None)]) == (-1.0, None)
