@@ -133,6 +133,7 @@ def test_moves_without_an_order_value_come_first():
 def test_fold_of_moves():
     assert stock.fold(0.0, None, [(5.0, 2.0), (-8.0, None), (4.0, 3.0), (-4.0, None)]) == (-3.0, 3.0)
     assert stock.fold(0.0, None, [(0.0, 9.0), (-1.0, None)]) == (-1.0, None)
+    assert stock.fold(2.0, 3.0, [(None, 9.0), (None, None), (-1.0, None)]) == (1.0, 3.0)
 
 
 @pytest.mark.parametrize("max_rows", [None, 60])
