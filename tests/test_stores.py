@@ -123,10 +123,10 @@ def test_products_of_a_bucket_share_a_state_and_settle_apart():
     assert told(kept.handleInputRows((0,), frame((8, 5000, 1, 4.0, 5.0)), one)) == {8: (8.0, 4.0, 1)}
 
 
-def test_moves_without_an_order_value_come_first():
+def test_moves_without_an_order_value_come_last():
     moves = [(3, 1), (1, None), (None, 2), (1, 0)]
     stock.in_order(moves, 2)
-    assert moves == [(None, 2), (1, None), (1, 0), (3, 1)]
+    assert moves == [(1, 0), (1, None), (3, 1), (None, 2)]
     assert stock.plain(pd.Series([1.0, float("nan")]), True) == [1, None]
 
 
