@@ -54,9 +54,12 @@ def unified(text: Column) -> Column:
     return let(text, _unified)
 
 
-def unified_column(text: Column) -> Column:
-    """``unified`` of a plain column, whose common spellings need no array function."""
-    return _unified(text)
+def unified_plain(text: Column) -> Column:
+    """``unified`` of the two commonest spellings, which need no cleaning; null for all others."""
+    return (
+        F.when(text.rlike(r"^-?\d+(\.\d+)?$"), text.try_cast("double"))
+        .when(text.rlike(r"^\d{1,5},(\d{1,2}|\d{4,9})$"), _swap_comma(text).try_cast("double"))
+    )
 
 
 def _unified(text: Column) -> Column:

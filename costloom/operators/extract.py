@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from costloom.functions.dates import normalize_date
 from costloom.functions.falsy import let
-from costloom.functions.numbers import as_text, unified, unified_column
+from costloom.functions.numbers import as_text, unified, unified_plain
 from costloom.functions.text import tidy_lines, undouble
 from costloom.operators.keyed import Keys, join_on_key
 from costloom.operators.ordered import RUN, LastValue, OrderedGroups, RunningMax, RunningSum
@@ -144,37 +144,10 @@ def _template(wanted: Column) -> Column:
     return F.concat(F.array_join(groups, ""), F.lit(_PART))
 
 
-def _cells(text: Column, pattern: Column, columns: Column) -> Column:
-    """Map column name -> text of one row match; a group that took no part is
-    absent, and so is the map where the pattern does not occur.
-
-    The pattern runs once per text: the match is replaced by its wanted groups,
-    one after another, and the rest of the text goes.
-    """
-    wanted = F.filter(columns, lambda c: c["regex_group"].isNotNull())
-    packed = F.call_function("regexp_replace", text, _whole(pattern), _template(wanted))
-
-    def named(parts: Column) -> Column:
-        pairs = F.transform(wanted, lambda c, i: let(F.get(parts, i + 1), lambda raw: F.struct(
-            c["name"].alias("key"), F.when(raw != "", typed_cell(raw, c["type"])).alias("value"))))
-        return F.when(F.size(parts) > F.size(wanted) + 1, F.map_from_entries(
-            F.filter(pairs, lambda p: p["value"].isNotNull())))
-
-    return let(F.split(packed, _PART, -1), named)
-
-
-def typed_cell(raw: Column, kind: Column) -> Column:
-    return F.when(kind == "number", as_text(unified(raw))).otherwise(tidy_lines(raw))
-
-
 ITEM_VALUES = ["sku", "description", "position", "quantity", "unit_price", "total",
                "original_price", "discount_percent"]
 
 
-def item_columns(cells: Column) -> list[Column]:
-    return [F.try_element_at(cells, F.lit(k)).alias(k) for k in ITEM_VALUES]
-
-
 ITEM_FLAGS = ("doc_id", "vendor", "line_no", "merge_two_lines", "missing_total_is_zero", "_code", RUN)
 CODE_LINE = r"FID:\s*(\d+)"
 
@@ -182,11 +155,24 @@ CODE_LINE = r"FID:\s*(\d+)"
 def _readable(rules: DataFrame) -> DataFrame:
     """Rules with what reading a line needs, worked out once per rule: the pattern that
     takes a whole line, what replaces it, and where each item value is found."""
-    wanted = F.filter("columns", lambda c: c["regex_group"].isNotNull())
+    return rules.withColumns({
+        "_pattern": _whole(F.col("row_pattern")), **_row_places("columns"), **_row_places("columns_alt", "_alt"),
+        **_grid_places(F.col("columns"))})
+
+
+def _row_places(columns: str, suffix: str = "") -> dict[str, Column]:
+    """What replaces a row, and which of its parts each item value is."""
+    wanted = F.filter(columns, lambda c: c["regex_group"].isNotNull())
     at = F.array(*[F.array_position(F.transform(wanted, lambda c: c["name"]), k).cast("int") for k in ITEM_VALUES])
     kinds = F.array(*[F.exists(wanted, lambda c: (c["name"] == k) & (c["type"] == "number")) for k in ITEM_VALUES])
-    return rules.withColumns({
-        "_pattern": _whole(F.col("row_pattern")), "_template": _template(wanted), "_at": at, "_number": kinds})
+    return {f"_template{suffix}": _template(wanted), f"_at{suffix}": at, f"_number{suffix}": kinds}
+
+
+def _grid_places(columns: Column) -> dict[str, Column]:
+    """Where each item value stands in a grid's rows, and whether it is an amount."""
+    first = lambda k: F.get(F.filter(columns, lambda c: c["name"] == k), F.lit(0))
+    return {"_grid_at": F.array(*[first(k)["index"] for k in ITEM_VALUES]),
+            "_grid_number": F.array(*[first(k)["type"] == "number" for k in ITEM_VALUES])}
 
 
 # Row patterns that a plan may spell out; a longer list stays a column.
@@ -228,19 +214,29 @@ def row_items(lines: DataFrame) -> DataFrame:
         lines = row_cells(lines)
     keep = [c for c in ITEM_FLAGS if c in lines.columns]
     hits = lines.filter(F.col("_code").isNotNull() | F.col("_cells").isNotNull())
-    raw = {k: F.nullif(F.get("_cells", F.get("_at", F.lit(n))), F.lit("")) for n, k in enumerate(ITEM_VALUES)}
-    texts = hits.select(*keep, "_number", *[v.alias(f"_raw_{k}") for k, v in raw.items()])
-    # The numbers are columns of their own, so that plain spellings are read in generated code.
-    number = F.struct(*[F.when(F.get("_number", F.lit(n)) & F.col(f"_raw_{k}").isNotNull(), unified_column(F.col(f"_raw_{k}"))).alias(k)
-                        for n, k in enumerate(ITEM_VALUES)])
-    read = texts.select("*", _once(number).alias("_n"))
-    values = []
-    for n, k in enumerate(ITEM_VALUES):
-        v = F.col(f"_n.{k}")
-        spelled = F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))
-        values.append(F.when(F.get("_number", F.lit(n)), spelled).otherwise(
-            F.when(F.col(f"_raw_{k}").isNotNull(), tidy_lines(F.col(f"_raw_{k}")))).alias(k))
-    return read.select(*keep, *values)
+    return item_values(hits, keep, row_texts())
+
+
+def row_texts() -> list[Column]:
+    """What the row pattern found for each item value; a group that took no part is absent."""
+    return [F.nullif(F.get("_cells", F.get("_at", F.lit(n))), F.lit("")) for n in range(len(ITEM_VALUES))]
+
+
+def item_values(rows: DataFrame, keep: list[str], raws: list[Column]) -> DataFrame:
+    """``keep`` and the item values: ``raws`` are their texts as printed, null where there
+    is none, and ``_number`` says which of them are amounts."""
+    texts = rows.select(*keep, "_number", *[raw.alias(f"_raw_{k}") for k, raw in zip(ITEM_VALUES, raws)])
+    # Plain spellings are read by themselves: without array functions that is generated code.
+    plain = F.struct(*[F.when(F.get("_number", F.lit(n)), unified_plain(F.col(f"_raw_{k}"))).alias(k) for n, k in enumerate(ITEM_VALUES)])
+    read = texts.select("*", _once(plain).alias("_n"))
+
+    def value(n: int, k: str) -> Column:
+        raw, v = F.col(f"_raw_{k}"), F.col(f"_n.{k}")
+        spelled = (F.when(v == F.floor(v), v.cast("long").cast("string")).when(v.isNotNull(), v.cast("string"))
+                   .when(raw.isNotNull(), as_text(unified(raw))))
+        return F.when(F.get("_number", F.lit(n)), spelled).otherwise(F.when(raw.isNotNull(), tidy_lines(raw))).alias(k)
+
+    return read.select(*keep, *[value(n, k) for n, k in enumerate(ITEM_VALUES)])
 
 
 def line_kind() -> Column:
@@ -278,13 +274,15 @@ def classify(items: DataFrame) -> DataFrame:
     footer = place.rlike(_any_of(FOOTER_WORDS)) | (short & F.trim(low).rlike(f"^({_any_of(FOOTER_WORDS)})"))
     phrases = _any_of(METADATA_PHRASES)
     promo = F.trim(low).rlike(f"^({phrases})")
+    # Most texts are one line, which is kept or not; only longer ones are cut.
+    one_line, said = ~F.contains(desc, F.lit("\n")), low.rlike(phrases)
     kept = F.filter(F.split(desc, "\n"), lambda s: ~F.lower(s).rlike(phrases))
+    nothing = F.when(one_line, said).otherwise(F.size(kept) == 0)
     kind = (F.when(~has_id, "empty").when(shipping, "shipping").when(footer, "footer")
-            .when(promo | (F.size(kept) == 0), "metadata").otherwise("item"))
-    return items.withColumns({
-        "row_kind": kind, "sku": code,
-        "description": F.array_join(F.transform(kept, lambda s: F.trim(s)), " "),
-    })
+            .when(promo | nothing, "metadata").otherwise("item"))
+    text = F.when(one_line, F.when(said, "").otherwise(F.trim(desc))).otherwise(
+        F.array_join(F.transform(kept, lambda s: F.trim(s)), " "))
+    return items.withColumns({"row_kind": kind, "sku": code, "description": text})
 
 
 def with_missing_total(items: DataFrame) -> DataFrame:
@@ -319,10 +317,10 @@ def text_items(docs: DataFrame, rules: DataFrame, max_rows: int | None = None,
     # All that a line shows by itself is read before the lines are put in order, so
     # the rules join once and only lines that mean something travel.
     read = row_cells(with_marks(prepared(docs, rules)).withColumn("_code", code), spelled_patterns(rules))
-    telling = read.filter("_mark is not null or _code is not null or _cells is not null").select(
-        *[c for c in ITEM_FLAGS if c in read.columns], "_mark", "_open", "_cells", "_at", "_number")
+    telling = read.filter("_mark is not null or _code is not null or _cells is not null")
+    telling = item_values(telling, [*[c for c in ITEM_FLAGS if c in read.columns], "_mark", "_open"], row_texts())
     seq = OrderedGroups(telling, ["doc_id"], ["line_no"], max_rows, measure)
-    rows = row_items(inside_table(seq.with_columns(keep_run=True, _state=table_state()))).withColumn("_kind", line_kind())
+    rows = inside_table(seq.with_columns(keep_run=True, _state=table_state())).withColumn("_kind", line_kind())
     half = F.when(F.col("_kind").isin("head", "tail"), F.struct(F.col("_kind").alias("kind"), "sku", "description"))
     seq = seq.resume(rows)
     merged = merge_two_lines(seq.with_columns(keep_run=True, _before=LastValue(half, inclusive=False)))
@@ -363,18 +361,19 @@ def region_items(docs: DataFrame, rules: DataFrame, with_shipping: bool = False)
     ruled = prepared(docs, rules.filter("strategy = 'text_regex_multiline'"))
     area = ruled.withColumn("area", region(F.col("text"), F.col("start_marker"), F.col("end_marker")))
 
-    def rows(pattern: str, columns: str, variant: int) -> DataFrame:
+    def rows(pattern: str, suffix: str, variant: int) -> DataFrame:
         full = F.concat(F.lit("(?s)"), F.col(pattern))
         hits = area.filter(F.col(pattern).isNotNull()).withColumn(
             "hit", F.call_function("regexp_extract_all", F.col("area"), full, F.lit(0)))
-        one = hits.select("doc_id", "vendor", "missing_total_is_zero", F.col(columns).alias("columns"),
+        places = [F.col(f"{c}{suffix}").alias(c) for c in ("_template", "_at", "_number")]
+        one = hits.select("doc_id", "vendor", "missing_total_is_zero", F.lit(variant).alias("variant"), *places,
                           full.alias("pattern"), F.posexplode("hit").alias("pos", "hit"))
-        cells = _cells(F.col("hit"), F.col("pattern"), F.col("columns"))
-        return one.select("doc_id", "vendor", "missing_total_is_zero", F.lit(variant).alias("variant"), "pos",
-                          _once(cells).alias("_cells")).select(
-            "doc_id", "vendor", "missing_total_is_zero", "variant", "pos", *item_columns(F.col("_cells")))
+        packed = F.call_function("regexp_replace", F.col("hit"), _whole(F.col("pattern")), F.col("_template"))
+        read = one.select("*", _once(F.split(packed, _PART, -1)).alias("_cells"))
+        read = read.withColumn("_cells", F.when(F.size("_cells") > 1, F.col("_cells")))
+        return item_values(read, ["doc_id", "vendor", "missing_total_is_zero", "variant", "pos"], row_texts())
 
-    found = rows("row_pattern", "columns", 1).unionByName(rows("row_pattern_alt", "columns_alt", 2))
+    found = rows("row_pattern", "", 1).unionByName(rows("row_pattern_alt", "_alt", 2))
     return with_missing_total(classify(found).filter(F.col("row_kind").isin(*_kinds(with_shipping))))
 
 
@@ -403,7 +402,7 @@ def table_items(rows: DataFrame, rules: DataFrame, max_rows: int | None = None,
         F.max(F.when(first, F.size("columns"))).alias("n_columns")).filter("headers is not null")
     used = target_tables(tables, max_rows, measure).select("doc_id", "table_no", "use")
     data = join_on_key(ruled, used, ["doc_id", "table_no"], "inner").filter((F.col("use") != "header") | (F.col("row_no") > 0))
-    items = grid_items(data.select("doc_id", "vendor", "table_no", "row_no", "missing_total_is_zero", "cells", "columns"))
+    items = grid_items(data.select("doc_id", "vendor", "table_no", "row_no", "missing_total_is_zero", "cells", "columns", "_grid_at", "_grid_number"))
     return with_missing_total(classify(items).filter(F.col("row_kind").isin(*_kinds(with_shipping))))
 
 
@@ -465,27 +464,27 @@ def grid_items(rows: DataFrame) -> DataFrame:
     A row whose number cells hold several lines becomes several rows; blank rows
     and rows with a blank total are dropped.
     """
+    if "_grid_at" not in rows.columns:
+        rows = rows.select("*", *[_once(v).alias(k) for k, v in _grid_places(F.col("columns")).items()])
     cells, cols = F.col("cells"), F.col("columns")
     by_number = F.exists(cols, lambda c: (c["type"] == "number") & F.contains(
         F.coalesce(F.get(cells, c["index"]), F.lit("")), F.lit("\n")))
     anywhere = F.exists(cells, lambda c: F.contains(F.coalesce(c, F.lit("")), F.lit("\n")))
-    packed = F.when(F.size(cols) > 0, by_number).otherwise(anywhere)
+    # A row without a line break anywhere is what most rows are, and needs no look at its columns.
+    packed = F.contains(F.array_join(cells, ""), F.lit("\n")) & F.when(F.size(cols) > 0, by_number).otherwise(anywhere)
     split = F.transform(cells, lambda c: F.split(F.coalesce(c, F.lit("")), "\n"))
-    n = F.when(packed, F.array_max(F.transform(split, lambda p: F.size(p)))).otherwise(1)
-    out = F.when(~packed, F.array(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))))).otherwise(
+    n = F.array_max(F.transform(split, lambda p: F.size(p)))
+    whole = F.when(F.exists(cells, lambda c: c.isNull()), F.transform(cells, lambda c: F.coalesce(c, F.lit("")))).otherwise(cells)
+    out = F.when(~packed, F.array(whole)).otherwise(
         F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
             split, lambda p: F.coalesce(F.get(p, i), F.lit("")))))
     one = rows.select(*[c for c in rows.columns if c != "cells"], F.posexplode(out).alias("sub", "cells"))
-    total_index = F.get(F.transform(F.filter(cols, lambda c: c["name"] == "total"), lambda c: c["index"]), F.lit(0))
-    filled = F.exists("cells", lambda c: F.trim(c) != "")
-    kept = one.filter(filled & has_total(F.col("cells"), total_index))
+    total_index = F.get("_grid_at", F.lit(ITEM_VALUES.index("total")))
+    filled = F.trim(F.array_join("cells", "")) != ""
+    kept = one.filter(filled & has_total(F.col("cells"), total_index)).withColumn("_number", F.col("_grid_number"))
     # A column beyond the end of a short row has no value at all.
-    present = F.filter(cols, lambda c: c["index"] < F.size("cells"))
-    values = F.filter(F.transform(present, lambda c: F.struct(
-        c["name"].alias("key"), typed_cell(F.get(F.col("cells"), c["index"]), c["type"]).alias("value"))),
-        lambda p: p["value"].isNotNull())
-    rest = [c for c in kept.columns if c not in ("cells", "columns")]
-    return kept.select(*rest, _once(F.map_from_entries(values)).alias("_cells")).select(*rest, *item_columns(F.col("_cells")))
+    raws = [F.get("cells", F.get("_grid_at", F.lit(n))) for n in range(len(ITEM_VALUES))]
+    return item_values(kept, [c for c in kept.columns if c not in ("cells", "columns", "_grid_at", "_grid_number", "_number")], raws)
 
 
 def merge_negative(items: DataFrame, max_rows: int | None = None, measure: Keys | None = None,

@@ -52,6 +52,7 @@ def cents_text(amount):
 
 
 ROWS_PER_TASK = 1_000_000
+LINES_PER_ITEM = 3  # printed lines, at most
 
 
 def numbered_items(r, rows_per_item=None):
@@ -97,13 +98,15 @@ def invoice_lines(r):
         line(base + 1, F.concat(F.lit("= "), qty, F.lit(" x "), part, F.lit(",50 -> "), total), part % 5 != 0),
         line(base + 2, F.lit("= 9 x 1,00 -> 9,00"), (part % 11 == 0) & (part % 5 != 0)))
     is_even = F.col("invoice_id") % 2 == 0
-    body = numbered_items(r).select("invoice_id", F.inline(F.when(is_even, even).otherwise(odd))).filter("text is not null")
-    frame = r.items.select("invoice_id").distinct().filter(is_even).select("invoice_id", F.inline(F.array(
-        line(F.lit(1).cast("long"), F.lit("Invoice")), line(F.lit(2).cast("long"), F.lit("A9 outside :: 1 u. :: 1,00 :: 1,00")),
-        line(F.lit(3).cast("long"), F.lit("Code  ::  Text")),
-        line(F.lit(10**9), F.lit("Sum of lines 1,00")), line(F.lit(10**9 + 1), F.lit("A9 after :: 1 u. :: 1,00 :: 1,00")))))
+    fixed = lambda n, t: line(F.lit(n).cast("long"), F.lit(t))
+    frame = F.array(
+        fixed(1, "Invoice"), fixed(2, "A9 outside :: 1 u. :: 1,00 :: 1,00"), fixed(3, "Code  ::  Text"),
+        fixed(10**9, "Sum of lines 1,00"), fixed(10**9 + 1, "A9 after :: 1 u. :: 1,00 :: 1,00"))
+    # The frame of an invoice is printed with its first item.
+    lines = F.when(is_even & (F.col("pos") == 1), F.concat(frame, even)).when(is_even, even).otherwise(odd)
     vendor = F.when(is_even, "LINE vendor ").otherwise("pair vendor")
-    return body.unionByName(frame).select(F.col("invoice_id").alias("doc_id"), vendor.alias("vendor"), "line_no", "text")
+    return numbered_items(r, LINES_PER_ITEM).select("invoice_id", F.inline(lines)).filter("text is not null").select(
+        F.col("invoice_id").alias("doc_id"), vendor.alias("vendor"), "line_no", "text")
 
 
 @query("sc_22_row_pattern_items", with_roles(ITEMS, NUMBERED, body="""

@@ -1,12 +1,11 @@
 """Queries: positioned tokens, neighbour searches, number triples, odd sources."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from costloom.functions import text
 from costloom.functions.unicode import nfc
 from costloom.operators import extract, layout, rows
-from costloom.plans.extraction import DOC_LINES, NUMBERED, doc_keys, doc_lines, item_tasks, numbered_items
+from costloom.plans.extraction import DOC_LINES, LINES_PER_ITEM, NUMBERED, doc_keys, doc_lines, item_tasks, numbered_items
 from costloom.plans.registry import query
 from costloom.plans.roles import ITEM_ORDER, ITEMS, LEDGER, SALES, with_roles
 from costloom.sources.documents import electronic_invoices, ledger_cells, parse_ledger
@@ -413,14 +412,14 @@ def _(r):
                     text_of(F.col("quantity").cast("int")), F.concat(text_of(part % 50), F.lit(",50")), F.when(part % 4 != 0, "7,25"))
     # A row without a total has no total column at all.
     cells = F.when(part % 4 == 0, F.slice(cells, 1, 4)).otherwise(cells)
-    numbered = numbered_items(r)
-    body = numbered.select("invoice_id", F.when(pos <= 3, 1).otherwise(F.floor(pos / 3) + 2).cast("int").alias("table_no"), pos.cast("int").alias("row_no"), cells.alias("cells"))
     arr = lambda *w: F.array(*[F.lit(x) for x in w])
-    heads = numbered.filter("pos = 1").select("invoice_id", F.inline(F.array(
-        F.struct(F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), arr("Kunde", "Nr").alias("cells")),
-        F.struct(F.lit(1).alias("table_no"), F.lit(0).alias("row_no"), arr("Artikel", "Text", "MENGE", "Preis", "Summe").alias("cells")))))
-    first = F.min("row_no").over(Window.partitionBy("invoice_id", "table_no"))
-    grid = body.unionByName(heads).withColumn("row_no", F.col("row_no") - first)
+    row = lambda table, n, c: F.struct(table.cast("int").alias("table_no"), n.cast("int").alias("row_no"), c.alias("cells"))
+    # The first table has a header row and up to three items; each later one begins at a third item.
+    third = F.floor(pos / 3)
+    body = row(F.when(pos <= 3, 1).otherwise(third + 2), F.when(pos <= 3, pos).otherwise(pos - F.greatest(F.lit(4), 3 * third)), cells)
+    heads = [row(F.lit(0), F.lit(0), arr("Kunde", "Nr")), row(F.lit(1), F.lit(0), arr("Artikel", "Text", "MENGE", "Preis", "Summe"))]
+    grid = numbered_items(r, LINES_PER_ITEM).select("invoice_id", F.inline(
+        F.when(pos == 1, F.array(*heads, body)).otherwise(F.array(body))))
     rule = with_defaults(r.spark.createDataFrame([GRID_RULE], RULE_SCHEMA))
     items = extract.table_items(grid.select(F.col("invoice_id").alias("doc_id"), F.lit("grid").alias("vendor"), "table_no", "row_no", "cells"), rule, measure=doc_keys(r))
     number = lambda c: F.col(c).cast("double").alias(c)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from costloom.functions import text
 from costloom.operators import extract, layout, match, rows, versions
 from costloom.plans import catalog
-from costloom.plans.extraction import doc_keys
+from costloom.plans.extraction import ITEM_COLUMNS, doc_keys, invoice_lines, item_tasks
 from costloom.plans.roles import Roles
 from costloom.sources import cells
 from costloom.sources.files import names_in, store_of
+from costloom.sources.rules import RULE_SCHEMA, with_defaults
 
 
 def plan_of(df):
@@ -121,3 +122,68 @@ def test_keys_are_dealt_before_they_are_cut_into_pieces(spark):
 
 def test_report_lines_are_counted_where_their_invoice_is(spark, sf_dir):
     assert "REPARTITION_BY_NUM" in catalog.QUERIES["snk_06_run_report"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+ITEM_LINES = ["> B7 ~  Two \t words ", "= 2 x 1.234,50 -> 2,00", "A1 outside", "FID: 44", "> C8 ~ Total", "= 1 x 1,00 -> 1,00"]
+
+
+def generators(df):
+    return [x for x in plan_of(df).splitlines() if "Generate explode(" in x or "Generate inline(" in x]
+
+
+def test_values_of_a_line_are_read_in_generated_code_before_lines_are_ordered(spark):
+    rule = spark.createDataFrame([{"vendor": {"name": "v"}, "flags": {"merge_two_lines": True}, "table": {
+        "strategy": "text_regex", "row_pattern": r"^> ([A-Z]\d+) ~ (.+)$|^= (\d+) x ([\d.,]+) -> ([\d.,]+)$", "columns": ITEM_COLUMNS}}], RULE_SCHEMA)
+    lines = spark.createDataFrame([(1, " V ", n, t) for n, t in enumerate(ITEM_LINES)], "doc_id int, vendor string, line_no int, text string")
+    found = extract.text_items(lines, with_defaults(rule))
+    assert [(r.line_no, r.sku, r.description, r.quantity, r.unit_price, r.total) for r in found.collect()] == [
+        (1, "44", "Two words", "2", "1234.5", "2")]
+    assert generators(found) and not any("lambda" in x for x in generators(found))
+    plan = plan_of(found)
+    assert plan.index("_state") < plan.index("Generate explode(")  # nodes are printed from the last to the first
+
+
+def test_printed_lines_are_made_where_their_invoice_is(spark, tmp_path):
+    items = spark.createDataFrame(
+        [(k, s, 4 + s, 1, 2.0, 5.25, 0.0, 0.0, None) for k in (1, 2, None) for s in (1, 2)],
+        "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate date")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    r = Roles(spark, str(tmp_path))
+    lines = invoice_lines(r)
+    assert "Union" not in plan_of(lines) and lines.rdd.getNumPartitions() == item_tasks(r, 3)
+    got = [(x.doc_id, x.line_no, x.text) for x in lines.orderBy("doc_id", "line_no", "text").collect()]
+    assert [n for k, n, _ in got if k == 2] == [1, 2, 3, 14, 18, 19, 20, 10**9, 10**9 + 1]
+    assert [n for k, n, _ in got if k == 1] == [n for k, n, _ in got if k is None] == [14, 18, 19]
+
+
+def test_grid_values_are_read_in_generated_code(spark):
+    cells = [["A1", " Bar  of\tnuts ", "1.234,50", " "], ["A2", None, "", "2,00"], ["A3"], ["B1\nB2", "x", "3\n4", "5"], [" ", None], None, []]
+    columns = [{"name": "sku", "index": 0, "type": "string"}, {"name": "description", "index": 1, "type": "string"},
+               {"name": "quantity", "index": 2, "type": "number"}, {"name": "total", "index": 3, "type": "number"}]
+    rows = spark.createDataFrame([(i, c, columns) for i, c in enumerate(cells)],
+                                 "n int, cells array<string>, columns array<struct<name:string,index:int,type:string>>")
+    found = extract.grid_items(rows)
+    got = [(r.n, r.sub, r.sku, r.description, r.quantity, r.total) for r in found.orderBy("n", "sub").collect()]
+    assert got == [(1, 0, "A2", "", "0", "2"), (2, 0, "A3", None, None, None), (3, 0, "B1", "x", "3", "5")]
+    assert "lambda" not in generators(found)[0]  # the values; before them come the places of each row's own columns
+
+
+def test_texts_of_one_line_and_of_several_are_told_apart_alike(spark):
+    texts = ["Mega deal", "Bar\nMega deal today\n second line ", "Mega deal\nBLACK FRIDAY", " a \t b ", "", None, "Sample points for Bar", "x\n\n y"]
+    df = spark.createDataFrame([(n, "S", t, None) for n, t in enumerate(texts)], "n int, sku string, description string, position string")
+    got = {r.n: (r.row_kind, r.description) for r in extract.classify(df).collect()}
+    assert got == {0: ("metadata", ""), 1: ("item", "Bar second line"), 2: ("metadata", ""), 3: ("item", "a \t b"), 4: ("item", ""), 5: ("item", ""),
+                   6: ("metadata", ""), 7: ("item", "x  y")}
+    odd = spark.createDataFrame([(t,) for t in (" a \t b ", "\n", " \n \n ", "a\r\n  b\x0b", "one", None, "", "\ta\n\nb ")], "t string")
+    assert [r.t for r in odd.select(text.tidy_lines(F.col("t")).alias("t")).collect()] == ["a b", "\n", "\n\n", "a\nb", "one", "", "", "a\n\nb"]
+
+
+def test_rows_in_a_region_read_their_values_in_generated_code(spark):
+    rule = spark.createDataFrame([{"vendor": {"name": "v"}, "table": {
+        "strategy": "text_regex_multiline", "row_pattern": r"take ([A-Z]\d+) \((.+?)\) (\d+)\s+at ([\d.,]+) = ([\d.,]+);", "columns": ITEM_COLUMNS,
+        "row_pattern_alt": r"back (\w+) ([A-Z]\d+)", "columns_alt": [{"name": "sku", "regex_group": 2}, {"name": "description", "regex_group": 1}]}}], RULE_SCHEMA)
+    docs = spark.createDataFrame([(1, "v", "take A1 (Bar\n of) 2\nat 1,50 = 3,00;\nback bar B2")], "doc_id int, vendor string, text string")
+    found = extract.region_items(docs, with_defaults(rule))
+    assert sorted((r.variant, r.sku, r.description, r.quantity, r.unit_price, r.total) for r in found.collect()) == [
+        (1, "A1", "Bar of", "2", "1.5", "3"), (2, "B2", "bar", None, None, None)]
+    assert generators(found) and not any("lambda" in x for x in generators(found))
