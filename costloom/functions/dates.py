@@ -29,10 +29,13 @@ def normalize_date(text: Column) -> Column:
     The calendar is not checked, so "31-02-2024" passes through.  Month names count
     as whole words only, so a weekday ("mardi") is no month.
     """
-    s = F.lower(F.trim(text))
-    for number, names in MONTHS.items():
-        s = F.regexp_replace(s, r"(?<!\p{L})(?:" + "|".join(names) + r")(?!\p{L})", number)
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\d\-/.]", " "), r"\s+", " "))
+    def digits(s: Column) -> Column:
+        for number, names in MONTHS.items():
+            s = F.regexp_replace(s, r"(?<!\p{L})(?:" + "|".join(names) + r")(?!\p{L})", number)
+        return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\d\-/.]", " "), r"\s+", " "))
+
+    # Most dates are digits and marks, where there is nothing to replace.
+    s = let(F.lower(F.trim(text)), lambda t: F.when(t.rlike(r"\A[\d\-/.]+\z"), t).otherwise(digits(t)))
 
     def two(x: Column) -> Column:
         return F.when(F.length(x) < 2, F.lpad(x, 2, "0")).otherwise(x)

@@ -15,7 +15,7 @@ from costloom.functions.falsy import let
 from costloom.functions.numbers import as_text, unified, unified_plain
 from costloom.functions.text import tidy_lines, undouble
 from costloom.operators.keyed import Keys, join_on_key
-from costloom.operators.ordered import RUN, LastValue, OrderedGroups, RunningMax, RunningSum
+from costloom.operators.ordered import RUN, LastValue, Lead, OrderedGroups, RunningMax, RunningSum
 
 # Words that mark shipping, footer and promotion rows.
 SHIPPING_SKUS = ["DELIVERY", "SHIPPING", "FREIGHT", "VERSAND"]
@@ -39,10 +39,14 @@ MAX_BROADCAST_RULES = 10_000
 
 def with_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """Documents (or lines) with the columns of their vendor's rule."""
-    few = rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
-    rules = _readable(rules)
     docs = docs.withColumn("vendor", F.lower(F.trim("vendor")))
-    return docs.join(F.broadcast(rules), "vendor") if few else join_on_key(docs, rules, ["vendor"], "inner")
+    return join_rules(docs, _readable(rules), "inner")
+
+
+def join_rules(docs: DataFrame, rules: DataFrame, how: str, measure: Keys | None = None) -> DataFrame:
+    """Rows joined with their vendor's rule; only a long rule list needs a look for vendors of many rows."""
+    few = rules.select("vendor").limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
+    return docs.join(F.broadcast(rules), "vendor", how) if few else join_on_key(docs, rules, ["vendor"], how, measure)
 
 
 def prepared(docs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -488,33 +492,36 @@ def grid_items(rows: DataFrame) -> DataFrame:
 
 
 def merge_negative(items: DataFrame, max_rows: int | None = None, measure: Keys | None = None,
-                   rest: tuple[str, ...] = (), applies: Column | None = None, bounded: bool = False) -> DataFrame:
+                   rest: tuple[str, ...] = (), applies: Column | None = None, bounded: bool = False,
+                   within: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """An item followed by a negative total absorbs that one line: the totals add
     up, the unit price is new total over the item's own quantity (2 places).
 
     Needs doc_id, pos, sku, quantity, unit_price, total (numbers).  A run of
     negative lines pairs up from its start, so only every second line is absorbed.
     ``rest`` names more columns to keep of the item; where ``applies`` is false every
-    line stays by itself.
+    line stays by itself.  ``within`` names the columns whose lines follow one another.
     """
-    runs = OrderedGroups(items, ["doc_id"], ["pos"], max_rows, measure, bounded).with_columns(
-        _run_start=LastValue(F.when(F.coalesce("total", F.lit(0.0)) >= 0, F.col("pos"))))
-    runs = runs.withColumn("_run_start", F.coalesce("_run_start", F.lit(-1)))
-    # A run is part of a document, so a document's size bounds it.
-    ranked = OrderedGroups(runs, ["doc_id", "_run_start"], ["pos"], max_rows, measure, bounded).with_columns(
-        _n=RunningSum(F.lit(1).cast("long")))
-    pair = F.floor((F.col("_n") - 1) / 2)
+    lines = OrderedGroups(items, within, ["pos"], max_rows, measure, bounded)
+    # A run begins at a line that is not negative; its lines are numbered in it.
+    starts = F.when(F.coalesce("total", F.lit(0.0)) >= 0, F.col("_at"))
+    numbered = lines.with_columns(keep_run=True, _at=RunningSum(F.lit(1).cast("long")))
+    runs = lines.resume(numbered).with_columns(keep_run=True, _start=LastValue(starts))
+    odd = (F.col("_at") - F.coalesce("_start", F.lit(1))) % 2 == 0
     if applies is not None:
-        pair = F.when(applies, pair).otherwise(F.col("_n"))
-    first = F.min_by(F.struct("pos", "sku", "quantity", "unit_price", *rest), "pos")
-    merged = ranked.groupBy("doc_id", "_run_start", pair.alias("_pair")).agg(
-        first.alias("f"), F.sum(F.col("total").cast("decimal(18,4)")).alias("total"), F.count(F.lit(1)).alias("n"))
-    total = F.round("total", 2)
+        odd = ~F.coalesce(applies, F.lit(False)) | odd
+    amount = F.col("total").cast("decimal(18,4)")
+    paired = lines.resume(runs.withColumn("_first", odd)).with_columns(_next=Lead(F.struct("_first", amount.alias("amount"))))
+    taken = ~F.col("_next._first")
+    added = F.when(taken, F.col("_next.amount"))
+    merged = paired.filter("_first").withColumns({
+        "_sum": F.coalesce(amount + added, amount, added).cast("decimal(28,4)"), "n": F.when(taken, 2).otherwise(1).cast("long")})
+    total = F.round("_sum", 2)
     # Divided as decimals: an exact half cent is rounded up, never as its double happens to lie.
-    price = F.when((F.col("n") > 1) & (F.col("f.quantity") != 0), F.round(
-        total.cast("decimal(18,2)") / F.col("f.quantity").cast("decimal(12,4)"), 2).cast("double")).otherwise(F.col("f.unit_price"))
-    return merged.select("doc_id", "f.pos", "f.sku", "f.quantity", price.alias("unit_price"),
-                         total.cast("double").alias("total"), F.col("n").alias("lines"), *[f"f.{c}" for c in rest])
+    price = F.when((F.col("n") > 1) & (F.col("quantity") != 0), F.round(
+        total.cast("decimal(18,2)") / F.col("quantity").cast("decimal(12,4)"), 2).cast("double")).otherwise(F.col("unit_price"))
+    return merged.select(*within, "pos", "sku", "quantity", price.alias("unit_price"),
+                         total.cast("double").alias("total"), F.col("n").alias("lines"), *rest)
 
 
 def packed_items(rows: DataFrame) -> DataFrame:

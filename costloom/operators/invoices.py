@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costloom.operators import extract, quality
-from costloom.operators.keyed import Keys, join_on_key
+from costloom.operators.keyed import Keys
 from costloom.operators.layout import first_source
 from costloom.operators.ordered import row_numbers
 from costloom.operators.rows import first_of_equal
@@ -56,18 +56,19 @@ def invoice_rows(docs: DataFrame, grids: DataFrame, rules: DataFrame, max_rows:
     """
     flags = rules.select("vendor", *FLAGS)
     rows = rows_of_documents(docs, grids, rules, max_rows, measure)
-    rows = join_on_key(rows, flags, ["vendor"], measure=docs.select(F.lower(F.trim("vendor")).alias("vendor")))
+    rows = extract.join_rules(rows, flags, "left", docs.select(F.lower(F.trim("vendor")).alias("vendor")))
     numbers = {c: F.col(c).try_cast("double") for c in ("quantity", "unit_price", "total")}
     rows = rows.withColumns(numbers)
     # Rows of other vendors differ by their place.
     rows = rows.withColumn("_apart", F.when(~F.col("first_of_equal_rows"), F.col("place")))
     once = first_of_equal(rows, ["doc_id", "row_kind", *EQUAL, "_apart"], ["place"]).drop("_apart")
     # Items and shipping rows are numbered apart, so that what follows an item is an item.
-    kinds = once.withColumn("doc_id", F.struct("doc_id", "row_kind"))
-    numbered = row_numbers(kinds, ["doc_id"], ["place"], "pos", bounded=True)
-    applies = F.col("merge_negative") & (F.col("doc_id.row_kind") == "item")
-    lines = extract.merge_negative(numbered, rest=("vendor", "method", "description", "merge_negative"), applies=applies, bounded=True)
-    return lines.select("doc_id.doc_id", "doc_id.row_kind", *[c for c in lines.columns if c not in ("doc_id", "merge_negative")])
+    # The keys begin with the document: all of its rows stay where they met.
+    apart = ("doc_id", "row_kind")
+    numbered = row_numbers(once, apart, ["place"], "pos", bounded=True)
+    applies = F.col("merge_negative") & (F.col("row_kind") == "item")
+    lines = extract.merge_negative(numbered, rest=("vendor", "method", "description", "merge_negative"), applies=applies, bounded=True, within=apart)
+    return lines.drop("merge_negative")
 
 
 def extract_items(docs: DataFrame, grids: DataFrame, rules: DataFrame, max_rows: int | None = None, measure: Keys | None = None) -> DataFrame:

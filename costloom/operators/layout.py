@@ -8,12 +8,13 @@ lines come out of one row's text, so no hot documents need to be looked for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costloom.functions.falsy import let
-from costloom.operators.keyed import Keys, join_on_key
+from costloom.operators.keyed import Keys, hot_list, join_on_key
 from costloom.operators.ordered import Lag, LastValue, Lead, NextValue, OrderedGroups, RunningSum
+from costloom.session import max_group_rows
 
 PAGE = ["doc_id", "page"]
 
@@ -341,10 +342,21 @@ def _best(quantities: Column, prices: Column, totals: Column, pair, apart, near,
         F.filter(s["prices"], lambda b: pair(a["i"], b["i"])), lambda b: scored(a, b, s["totals"]))))
 
 
-def first_source(items: DataFrame, rank: str = "rank", measure: Keys | None = None) -> DataFrame:
-    """Per document only the rows of its best ranked source ("use B if A is empty")."""
-    best = items.groupBy("doc_id").agg(F.min(rank).alias("_best"))
-    return join_on_key(items, best, ["doc_id"], measure=measure).filter(F.col(rank) == F.col("_best")).drop("_best")
+def first_source(items: DataFrame, rank: str = "rank", measure: Keys | None = None, max_rows: int | None = None) -> DataFrame:
+    """Per document only the rows of its best ranked source ("use B if A is empty").
+
+    The rows of a document meet once, in one task; only with documents too large for
+    that the best ranks are found first and joined to the rows.
+    """
+    limit = max_rows or max_group_rows(items.sparkSession)
+    if hot_list(items.select("doc_id") if measure is None else measure, limit) is None:
+        # A null document has no best; nothing is asked of its rows where they are made.
+        best = F.when(F.col("doc_id").isNotNull(), F.min(rank).over(Window.partitionBy("doc_id")))
+        ranked = items.withColumn("_best", best)
+    else:
+        best = items.groupBy("doc_id").agg(F.min(rank).alias("_best"))
+        ranked = join_on_key(items, best, ["doc_id"], "inner", measure, max_rows)
+    return ranked.filter(F.col(rank) == F.col("_best")).drop("_best")
 
 
 def first_pair(quantity: Column, prices: Column, tolerance: float = 0.5) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costloom.functions import numbers
@@ -26,9 +26,10 @@ def merged_references(items: DataFrame, reference: str, order: Sequence[str], do
 
 def first_of_equal(items: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row, whole, of those equal in ``key`` (nulls are equal to each other)."""
-    rest = [c for c in items.columns if c not in key]
-    first = items.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
-    return first.select(*key, "_first.*").select(*items.columns)
+    # As keys of a grouping, where 0.0 and -0.0 are one value.
+    floats = {c: F.col(c) + F.lit(0.0).cast(t) for c, t in items.dtypes if c in key and t in ("double", "float")}
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return items.withColumns({**floats, "_nth": nth}).filter("_nth = 1").drop("_nth")
 
 
 def shipping_fees(rows: DataFrame, footers: DataFrame, document: str = "invoice_id") -> DataFrame:

@@ -4,7 +4,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from costloom.functions import text
+from costloom.functions.dates import normalize_date
 from costloom.operators import extract, layout, match, rows, versions
+from costloom.operators.rows import first_of_equal
 from costloom.plans import catalog
 from costloom.plans.extraction import ITEM_COLUMNS, doc_keys, invoice_lines, item_tasks
 from costloom.plans.roles import Roles
@@ -187,3 +189,37 @@ def test_rows_in_a_region_read_their_values_in_generated_code(spark):
     assert sorted((r.variant, r.sku, r.description, r.quantity, r.unit_price, r.total) for r in found.collect()) == [
         (1, "A1", "Bar of", "2", "1.5", "3"), (2, "B2", "bar", None, None, None)]
     assert generators(found) and not any("lambda" in x for x in generators(found))
+
+
+def test_the_best_source_is_found_while_its_rows_are_read_once(spark):
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 1, "a2"), (2, 3, "c"), (None, 1, "x"), (None, 2, "y")], "doc_id int, rank int, v string")
+    once = layout.first_source(rows, measure=rows.select("doc_id"))
+    assert plan_of(once).count("LogicalRDD") == 1
+    for found in (once, layout.first_source(rows), layout.first_source(rows, max_rows=1)):
+        assert sorted(map(tuple, found.collect())) == [(1, 1, "a"), (1, 1, "a2"), (2, 3, "c")]
+
+
+def test_negative_lines_are_taken_up_in_one_order(spark):
+    data = [(1, "item", n, 2.0, 5.0, t) for n, t in enumerate([-1.0, -2.0, -4.0, 9.0, -0.5, None, -3.0, -0.25, 7.0], 1)]
+    data += [(1, "shipping", 1, 1.0, -1.0, -1.0), (1, "shipping", 2, 1.0, -2.0, -2.0), (None, "item", 1, 4.0, 1.0, 4.0), (None, "item", 2, 1.0, -1.0, -1.0)]
+    df = spark.createDataFrame([(*d, "s") for d in data], "doc_id int, row_kind string, pos int, quantity double, unit_price double, total double, sku string")
+    found = extract.merge_negative(df, bounded=True, within=("doc_id", "row_kind"), applies=F.col("row_kind") == "item")
+    assert "Aggregate" not in plan_of(found)
+    got = sorted(((r.doc_id or 0, r.row_kind, r.pos, r.total, r.lines, r.unit_price) for r in found.collect()))
+    assert got == [(0, "item", 1, 3.0, 2, 0.75), (1, "item", 1, -3.0, 2, -1.5), (1, "item", 3, -4.0, 1, 5.0), (1, "item", 4, 8.5, 2, 4.25),
+                   (1, "item", 6, -3.0, 2, -1.5), (1, "item", 8, -0.25, 1, 5.0), (1, "item", 9, 7.0, 1, 5.0),
+                   (1, "shipping", 1, -1.0, 1, -1.0), (1, "shipping", 2, -2.0, 1, -2.0)]
+
+
+def test_equal_rows_keep_the_first_without_a_grouping(spark):
+    rows = spark.createDataFrame([("k", 0.0, 2, "b"), ("k", -0.0, 1, "a"), (None, 1.0, 1, "c"), (None, 1.0, 2, "d")], "k string, v double, n int, t string")
+    found = first_of_equal(rows, ["k", "v"], ["n"])
+    assert "Aggregate" not in plan_of(found)
+    assert sorted((str(r.k), str(r.v), r.t) for r in found.collect()) == [("None", "1.0", "c"), ("k", "0.0", "a")]
+
+
+def test_dates_of_digits_are_read_like_dates_with_words(spark):
+    dates = ["05.03.2024", " 2024-3-5 ", "5/3/24", "5 March 2024", "mardi 5 mars 2024", "5..3.2024", "", "-", "05.03.2024 10", "05.03.2024\n", None]
+    df = spark.createDataFrame([(d,) for d in dates], "d string")
+    assert [r.d for r in df.select(normalize_date(F.col("d")).alias("d")).collect()] == [
+        "2024-03-05", "2024-03-05", "2024-03-05", "2024-03-05", "2024-03-05", None, None, None, None, "2024-03-05", None]
