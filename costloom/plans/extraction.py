@@ -55,12 +55,12 @@ ROWS_PER_TASK = 1_000_000
 LINES_PER_ITEM = 3  # printed lines, at most
 
 
-def numbered_items(r, rows_per_item=None):
-    """Items with ``pos``.  A query that makes many rows of an item says how many: the
-    items are then dealt to tasks by what is made of them, and stay where they are."""
-    if rows_per_item is None:
+def numbered_items(r, rows_per_item=None, tasks=None):
+    """Items with ``pos``.  A query that makes many rows of an item says how many (or for how
+    many ``tasks``): the items are then dealt to tasks by what is made of them, and stay where they are."""
+    if rows_per_item is None and tasks is None:
         return row_numbers(r.items, ["invoice_id"], ITEM_ORDER)
-    items = r.items.repartition(item_tasks(r, rows_per_item), "invoice_id")
+    items = r.items.repartition(tasks or item_tasks(r, rows_per_item), "invoice_id")
     return row_numbers(items, ["invoice_id"], ITEM_ORDER, measure=r.items.select("invoice_id"))
 
 
@@ -618,8 +618,22 @@ WHOLE_RULES = [
 ]
 
 
+# Rows a whole invoice's item passes through: lines and cells, hits, values.
+WHOLE_ROWS_PER_ITEM = 6
+
+
+def whole_tasks(r):
+    """Tasks that share the documents, never as many as those of a plain exchange: Spark would
+    leave out the exchange of the texts, and each of their readers would put them together."""
+    tasks = item_tasks(r, WHOLE_ROWS_PER_ITEM)
+    return tasks + (tasks == int(r.spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def whole_documents(r):
-    """Invoices of four vendors as texts and grids; every second one of Grid Co has no grid."""
+    """Invoices of four vendors as texts and grids; every second one of Grid Co has no grid.
+
+    The texts are put together once, in one exchange that all their readers share: nothing
+    a reader asks of a text gets below its ``explode``, so the plans up to there are equal."""
     part, pos, vendor = F.col("part_id"), F.col("pos"), F.col("invoice_id") % 4
     qty, price, total = F.col("quantity").cast("int").cast("string"), F.concat(part, F.lit(",50")), cents_text(F.col("total"))
     has_grid = F.col("invoice_id") % 8 == 2
@@ -627,10 +641,11 @@ def whole_documents(r):
     rebate = F.concat(F.lit("A"), part, F.lit(" Rebate "), pos, F.lit(" :: 1 u. :: 1,00 :: -1,00"))
     inline = F.concat(F.lit("take A"), part, F.lit(" (Item "), pos, F.lit(") "), qty, F.lit("\nat "), price, F.lit(" = "), total, F.lit(";"))
     printed = F.when(vendor == 1, F.concat_ws("\n", item, item, F.when(part % 3 == 0, rebate))).when(vendor == 3, inline).when(~has_grid, item)
-    numbered = numbered_items(r)
-    # The lines of one invoice.
-    bodies = numbered.groupBy("invoice_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", printed.alias("text")))).alias("lines"), F.sum(F.col("total").cast("decimal(18,4)")).alias("sum"),
+    tasks = whole_tasks(r)
+    # The lines of one invoice, printed in generated code before they are listed.
+    lines = numbered_items(r).select("*", F.explode(F.array(printed)).alias("text"))
+    bodies = lines.groupBy("invoice_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("lines"), F.sum(F.col("total").cast("decimal(18,4)")).alias("sum"),
         F.sum(F.when((F.col("invoice_id") % 4 == 1) & (part % 3 == 0), 1).otherwise(0)).alias("rebates"))
     key = F.col("invoice_id")
     stated = (F.col("sum") - F.col("rebates")).cast("double") + F.when(key % 10 == 1, 5.0).otherwise(0.0)
@@ -638,11 +653,12 @@ def whole_documents(r):
                        F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), F.when(key % 12 == 0, "A0 Shipping fee :: 1 u. :: 4,00 :: 4,00"),
                        F.when(key % 5 != 0, F.concat(F.lit("Sum "), cents_text(stated))), F.when(key % 3 == 1, "Freight 9,50"))
     name = F.element_at(F.array(*[F.lit(x["vendor"]["name"]) for x in WHOLE_RULES]), (key % 4 + 1).cast("int"))
-    docs = bodies.select(key.alias("doc_id"), name.alias("vendor"), text.alias("text"))
+    docs = bodies.select(key.alias("doc_id"), name.alias("vendor"), text.alias("text")).repartition(tasks, "doc_id")
+    docs = docs.select("doc_id", "vendor", F.explode(F.array("text")).alias("text"))
     cells = F.array(F.concat(F.lit("A"), part), F.concat(F.lit("Item "), pos), qty, price, total)
     head = F.array(*map(F.lit, ("Artikel", "Text", "Menge", "Preis", "Summe")))
     row = lambda n, c: F.struct(n.cast("int").alias("row_no"), c.alias("cells"))
-    grid = numbered.filter(has_grid).select("invoice_id", F.inline(
+    grid = numbered_items(r, tasks=tasks).filter(has_grid).select("invoice_id", F.inline(
         F.when(pos == 1, F.array(row(F.lit(0), head), row(pos, cells))).otherwise(F.array(row(pos, cells)))))
     return docs, grid.select(F.col("invoice_id").alias("doc_id"), F.lit("Grid Co").alias("vendor"), F.lit(0).alias("table_no"), "row_no", "cells")
 

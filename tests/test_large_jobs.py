@@ -218,6 +218,18 @@ def test_equal_rows_keep_the_first_without_a_grouping(spark):
     assert sorted((str(r.k), str(r.v), r.t) for r in found.collect()) == [("None", "1.0", "c"), ("k", "0.0", "a")]
 
 
+def test_whole_invoices_read_texts_that_were_put_together_once(spark, tmp_path):
+    items = spark.createDataFrame([(k, 1, 4 + k, 1, 2.0, 5.25, 0.0, 0.0, None) for k in (1, 2, 3, 4, 8)],
+        "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate date")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalog.QUERIES["st_06_whole_invoice_items"](spark, str(tmp_path))
+    assert sorted((r.doc_id, r.sku, r.total, r.method) for r in found.collect()) == [
+        (1, "A5", 5.25, "lines"), (2, "A6", 5.25, "table"), (3, "A7", 5.25, "text"), (4, "A8", 5.25, "lines"), (8, "A12", 5.25, "lines")]
+    # Readers of the texts share one exchange; the other exchange of items is for the grids.
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("collect_list(struct(pos") == 2 and "ReusedExchange" in plan  # partial and final of one grouping
+
+
 def test_dates_of_digits_are_read_like_dates_with_words(spark):
     dates = ["05.03.2024", " 2024-3-5 ", "5/3/24", "5 March 2024", "mardi 5 mars 2024", "5..3.2024", "", "-", "05.03.2024 10", "05.03.2024\n", None]
     df = spark.createDataFrame([(d,) for d in dates], "d string")
