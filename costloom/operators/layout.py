@@ -163,23 +163,68 @@ def typed_runs(tokens: DataFrame, max_rows: int | None = None,
     ``tokens``: doc_id, n, text, is_price.  After n integers the next n prices are
     totals, prices beyond them are unit prices of the following group.  A group
     counts only when it has as many unit prices and totals as integers; the j-th
-    of each belong together.  ``tasks``: how many are to share the tokens where they meet
-    their groups.
+    of each belong together.  Tokens get their places in the order of their document, where
+    they are; only documents too large for a task are joined to their groups, and ``tasks``
+    says how many are to share the tokens then.
     """
     seq = OrderedGroups(tokens, ["doc_id"], ["n"], max_rows, measure)
     before = seq.with_columns(keep_run=True, _before=Lag(F.col("is_price")))
     new = F.when(F.col("_before").isNull() | (F.col("_before") != F.col("is_price")), 1).otherwise(0)
     runs = seq.resume(before.withColumn("_new", new.cast("long"))).with_columns(
         run=RunningSum(F.col("_new")), at=RunningSum(F.lit(1).cast("long")))
+    member = _members_by_join(runs, max_rows, measure, tasks) if seq.split else _members_in_order(runs)
+    pick = lambda name: F.max(F.when(F.col("role") == name, F.col("text")))
+    return member.filter((F.col("j") >= 0) & (F.col("j") < F.col("size"))).groupBy("doc_id", "grp", "j").agg(
+        pick("unit").alias("unit_price"), pick("qty").alias("quantity"), pick("total").alias("total"))
+
+
+def _fits(size: Column, before: Column, earlier: Column, after: Column) -> Column:
+    """A run of ``size`` integers has as many unit prices and totals: ``before`` and ``after``
+    are the sizes of the runs around it, ``earlier`` that of the integers before these."""
+    return (before - F.least(before, F.coalesce(earlier, F.lit(0))) == size) & (F.least(after, size) == size)
+
+
+def _members_in_order(runs: DataFrame) -> DataFrame:
+    """Tokens (doc_id, run, at, text) with their place in a valid group.  A run knows those
+    before it from their last tokens, and hears of the next one at its own last token."""
+    order = Window.partitionBy("doc_id").orderBy("run", "n")
+    run = Window.partitionBy("doc_id", "run").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    is_last = F.col("at") == F.col("first") + F.col("size") - 1
+
+    def of_last(value: Column) -> Column:
+        return F.last(F.when(is_last, value), ignorenulls=True).over(earlier)
+
+    def heard(name: str) -> Column:
+        return F.max(F.when(is_last, F.col(name))).over(run)
+
+    sized = runs.filter("doc_id is not null").select("doc_id", "n", "run", "at", "text", *[
+        f.over(run).alias(name) for name, f in (("size", F.count(F.lit(1))), ("first", F.min("at")), ("_price", F.first("is_price")))])
+    counts = F.when(~F.col("_price"), F.col("size"))
+    around = sized.select("*", of_last(F.col("size")).alias("_b"), of_last(counts).alias("_n0"), F.lead("size").over(order).alias("_next"))
+    after = around.withColumn("_a", heard("_next"))
+    # The size of a valid group, else null.
+    valid = F.when(~F.col("_price") & _fits(F.col("size"), F.col("_b"), F.col("_n0"), F.col("_a")), F.col("size"))
+    sizes = after.select("doc_id", "n", "run", "at", "text", "size", "first", valid.alias("_qty"))
+    # 0 stands for a run that is no valid group, so that the runs before it are not taken for the last one.
+    known = F.coalesce(F.col("_qty"), F.lit(0))
+    told = sizes.select("*", of_last(known).alias("_total"), F.lead(known).over(order).alias("_next"))
+    placed = told.withColumn("_unit", heard("_next"))
+    start = {"unit": F.col("first") + F.col("size") - F.col("_unit"), "qty": F.col("first"), "total": F.col("first")}
+    role = lambda name, step: F.struct(
+        (F.col("run") + step).alias("grp"), (F.col("at") - start[name]).alias("j"), F.col(f"_{name}").alias("size"), F.lit(name).alias("role"))
+    return placed.select("doc_id", "text", F.inline(F.array(role("unit", 1), role("qty", 0), role("total", -1))))
+
+
+def _members_by_join(runs: DataFrame, max_rows: int | None, measure: Keys | None, tasks: int | None) -> DataFrame:
+    """The same for documents that are larger than a task."""
     sizes = runs.groupBy("doc_id", "run").agg(
         F.first("is_price").alias("is_price"), F.count(F.lit(1)).alias("size"), F.min("at").alias("first"))
     order = OrderedGroups(sizes, ["doc_id"], ["run"], max_rows, measure)
     around = order.with_columns(keep_run=True, _b=Lag(F.struct("size", "first")), _a=Lead(F.struct("size", "first")))
     earlier = order.resume(around).with_columns(_n0=LastValue(F.when(~F.col("is_price"), F.col("size")), inclusive=False))
     groups = earlier.filter("not is_price")
-    units = F.col("_b.size") - F.least(F.col("_b.size"), F.coalesce("_n0", F.lit(0)))
-    totals = F.least(F.col("_a.size"), F.col("size"))
-    valid = groups.filter((units == F.col("size")) & (totals == F.col("size"))).select(
+    valid = groups.filter(_fits(F.col("size"), F.col("_b.size"), F.col("_n0"), F.col("_a.size"))).select(
         "doc_id", F.col("run").alias("grp"), F.col("size"), F.col("first"),
         (F.col("_b.first") + F.col("_b.size") - F.col("size")).alias("unit_first"), F.col("_a.first").alias("total_first"))
     # Every token of a valid group knows its run; three runs lead to one group.
@@ -189,10 +234,7 @@ def typed_runs(tokens: DataFrame, max_rows: int | None = None,
     roles = role(-1, "unit_first", "unit").unionByName(role(0, "first", "qty")).unionByName(role(1, "total_first", "total"))
     if tasks is not None:
         runs, roles = (x.repartition(tasks, "doc_id", "run") for x in (runs.select("doc_id", "run", "at", "text"), roles))
-    member = runs.join(roles, ["doc_id", "run"]).withColumn("j", F.col("at") - F.col("_first"))
-    pick = lambda name: F.max(F.when(F.col("role") == name, F.col("text")))
-    return member.filter((F.col("j") >= 0) & (F.col("j") < F.col("size"))).groupBy("doc_id", "grp", "j").agg(
-        pick("unit").alias("unit_price"), pick("qty").alias("quantity"), pick("total").alias("total"))
+    return runs.join(roles, ["doc_id", "run"]).withColumn("j", F.col("at") - F.col("_first"))
 
 
 def promotions(lines: DataFrame, max_rows: int | None = None,

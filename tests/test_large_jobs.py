@@ -1,5 +1,7 @@
 """Steps that must stay small when tables grow: what is computed once, what is sent where."""
 
+import random
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -235,3 +237,19 @@ def test_dates_of_digits_are_read_like_dates_with_words(spark):
     df = spark.createDataFrame([(d,) for d in dates], "d string")
     assert [r.d for r in df.select(normalize_date(F.col("d")).alias("d")).collect()] == [
         "2024-03-05", "2024-03-05", "2024-03-05", "2024-03-05", "2024-03-05", None, None, None, None, "2024-03-05", None]
+
+
+def test_typed_tokens_meet_their_group_without_a_join(spark):
+    """Both ways say the same of any stream: unknown tokens, runs of all lengths, no document."""
+    rnd = random.Random(5)
+    stream = [(d, n, f"{n}{'€' if p else ''}", p) for d in (*range(40), None) for n, p in enumerate(
+        p for _ in range(12) for p in [rnd.choice([True, False, True, False, None])] * rnd.choice([1, 1, 2, 2, 3]))]
+    regular = [(d, n, f"{n}", n // 3 % 4 != 1) for d in range(100, 120) for n in range(48)]
+    df = spark.createDataFrame(stream + regular, "doc_id int, n int, text string, is_price boolean").repartition(3, "n")
+    once = layout.typed_runs(df, measure=df.select("doc_id"))
+    assert "Join" not in plan_of(once)
+    joined = layout.typed_runs(df, max_rows=10)
+    assert "Join" in plan_of(joined)
+    got = sorted(map(tuple, once.collect()))
+    assert got == sorted(map(tuple, joined.collect())) and len({r[0] for r in got}) > 20
+    assert (100, 2, 0, "0", "3", "6") in got and all(r[0] is not None for r in got)
