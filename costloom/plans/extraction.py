@@ -618,8 +618,8 @@ WHOLE_RULES = [
 ]
 
 
-# Rows a whole invoice's item passes through: lines and cells, hits, values.
-WHOLE_ROWS_PER_ITEM = 6
+# Printed rows of an item: larger tasks cost less, as each holds the buffers of many sorts.
+WHOLE_ROWS_PER_ITEM = 3
 
 
 def whole_tasks(r):
