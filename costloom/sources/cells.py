@@ -12,6 +12,7 @@ bytes of the blocks it was planned, and of their cells the columns of the range.
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import io
 import json
@@ -65,6 +66,8 @@ class CellWriter(DataSourceArrowWriter):
         try:
             for batch in iterator:
                 if out is None:
+                    if self._aborted(store, base):
+                        return Written("", 0)
                     store.create_dir(f"{base}/data", recursive=True)
                     out = store.open_output_stream(file)
                     lines = pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
@@ -78,6 +81,9 @@ class CellWriter(DataSourceArrowWriter):
         if out is not None:
             lines.close()
             out.close()
+            if self._aborted(store, base):
+                with contextlib.suppress(FileNotFoundError):  # the driver was first
+                    store.delete_file(file)
         return Written(file.removeprefix(f"{base}/"), rows)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -88,14 +94,20 @@ class CellWriter(DataSourceArrowWriter):
         self._drop(store, base, set(counted))
 
     def abort(self, messages: list[Written | None]) -> None:
+        """Takes away what was written.  Tasks that are still at work when the job has failed see its mark, and leave nothing either."""
         store, base = store_of(self.path)
+        write_all(store, f"{base}/aborted/{self.job}", b"")
         self._drop(store, base, set())
 
+    def _aborted(self, store, base: str) -> bool:
+        return bool(store.get_file_info(f"{base}/aborted/{self.job}").type)
+
     def _drop(self, store, base: str, kept: set[str]) -> None:
         for name in names_in(store, f"{base}/data"):
             short = name[name.index("data/"):] if name.startswith("data/") else "data/" + name.rsplit("/", 1)[1]
             if short.startswith(f"data/{self.job}-") and short not in kept:
-                store.delete_file(name)
+                with contextlib.suppress(FileNotFoundError):  # a late task was first
+                    store.delete_file(name)
 
 
 @dataclass
